@@ -11,7 +11,7 @@ from claimsieve.operators.encoding import encode, fit_encoder
 from claimsieve.plans.label import label_claims
 from claimsieve.plans.prepare import Prepared, complete_claims, prepare_claims
 from claimsieve.schema import RAW_TO_LOGICAL
-from claimsieve.sources import write_csv
+from claimsieve.sources import spread, write_csv
 from claimsieve.staging import Workspace
 
 EXACT = 0.0
@@ -26,7 +26,7 @@ def claims_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Rows of some parts come a second time: unchanged, or with the name in upper case.
     """
-    line = table(spark, sf_dir, "lineitem")
+    line = spread(table(spark, sf_dir, "lineitem"))
     joined = (
         line.join(table(spark, sf_dir, "part"), line.l_partkey == F.col("p_partkey"))
         .join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))

@@ -1,4 +1,4 @@
-from claimsieve.functions.columns import both, either, finite, flag, normalised, ratio
-from claimsieve.functions.quantiles import exact_quantiles, quantiles
+from claimsieve.functions.columns import either, finite, flag, normalised, ratio
+from claimsieve.functions.quantiles import exact_quantiles, quantiles, sketched
 
-__all__ = ["both", "either", "exact_quantiles", "finite", "flag", "normalised", "quantiles", "ratio"]
+__all__ = ["either", "exact_quantiles", "finite", "flag", "normalised", "quantiles", "ratio", "sketched"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from functools import reduce
-from operator import and_, or_
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,6 +36,3 @@ def flag(condition: Column) -> Column:
 def either(conditions: Iterable[Column]) -> Column:
     return reduce(or_, conditions)
 
-
-def both(conditions: Iterable[Column]) -> Column:
-    return reduce(and_, conditions)

@@ -11,12 +11,23 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from fractions import Fraction
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimsieve.functions.columns import finite
+
 Quantiles = dict[str, list[float | None]]
 
 
+def sketched(column: Column, probs: Sequence[float], rel_err: float) -> Column:
+    """An aggregate: array of quantiles whose rank is off by ``rel_err`` of the rows at most.
+
+    Its state is bounded by the error alone, tasks pre-aggregate theirs, and it combines with
+    other aggregates in one pass. Null where there is no value.
+    """
+    return F.percentile_approx(column, [float(p) for p in probs], math.ceil(1 / rel_err))
+
+
 def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], rel_err: float) -> Quantiles:
     """Quantiles of every column in one pass; ``rel_err`` 0 asks for exact ones.
 
@@ -24,29 +35,31 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], rel
     """
     if rel_err == 0:
         return exact_quantiles(df, columns, probs)
-    return _sketch(df, columns, probs, rel_err)
-
-
-def _sketch(df: DataFrame, columns: Sequence[str], probs: Sequence[float], rel_err: float) -> Quantiles:
-    found = df.approxQuantile(list(columns), list(probs), rel_err)
-    return {name: values or [None] * len(probs) for name, values in zip(columns, found)}
+    row = df.agg(*(sketched(finite(c), probs, rel_err).alias(c) for c in columns)).head()
+    return {c: row[c] or [None] * len(probs) for c in columns}
 
 
 @dataclass
 class _Target:
-    """One quantile being looked for: its rank lies strictly between two values."""
+    """A quantile being looked for: its rank lies among the values strictly between two bounds."""
 
     column: str
     prob: float
     rank: int
+    inside: int  # values strictly between the bounds
     low: float = -math.inf
     high: float = math.inf
-    below: int = 0  # values <= low
-    inside: int = 0  # values strictly between low and high
+    below: int = 0  # values up to low
     value: float | None = None
 
+    def within(self) -> Column:
+        """The column's values between the bounds, null elsewhere."""
+        value = F.col(self.column)
+        above = value.isNotNull() if math.isinf(self.low) else value > self.low
+        return F.when(above if math.isinf(self.high) else above & (value < self.high), value)
+
     def settle(self, low: float, high: float, under: int, at_low: int, between: int, at_high: int) -> None:
-        """Narrow to the part of the split at ``low`` and ``high`` that holds the rank."""
+        """Keep the piece that holds the rank, given the values under, at and between two new bounds."""
         to_low, to_between = under + at_low, under + at_low + between
         to_high = to_between + at_high
         if self.rank <= under:
@@ -71,53 +84,50 @@ def exact_quantiles(
 ) -> Quantiles:
     """Exact quantiles whose memory does not grow with the data.
 
-    Each round sketches the open intervals, counts the values around the sketched bounds and
-    keeps the piece that holds the wanted rank, about ``4 * sketch_err`` of the one before. Once
-    an interval holds ``collect_rows`` values or fewer, their counts by value decide. The counts
-    are exact, so a bound the sketch puts wrongly costs a round and not the result. ``df`` is
-    read a few times and should be a stored table.
+    A round sketches a pair of bounds around each wanted rank, counts the values around them and
+    keeps the piece that holds the rank, about ``4 * sketch_err`` of the one before. Once a piece
+    holds ``collect_rows`` values or fewer, its counts by value decide. The counts are exact, so
+    bounds that the sketch puts wrongly cost a round and not the result. Ten billion rows take
+    three rounds of two passes; ``df`` should be a stored table.
     """
-    values = df.select(*(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns))
-    totals = values.agg(*(F.count(c).alias(c) for c in columns)).head()
-    targets = [
-        _Target(c, p, max(1, math.ceil(Fraction(str(p)) * totals[c])), inside=totals[c])
-        for c in columns
-        if totals[c]
-        for p in probs
-    ]
+    values = df.select(*(finite(c).alias(c) for c in columns))
+    around = [share for p in probs for share in _around(p, sketch_err)]
+    first = values.agg(
+        *(F.count(c).alias(f"n_{c}") for c in columns),
+        *(sketched(F.col(c), around, sketch_err).alias(f"q_{c}") for c in columns),
+    ).head()
+    targets, bounds = [], {}
+    for c in columns:
+        n = first[f"n_{c}"]
+        for i, p in enumerate(probs if n else []):
+            target = _Target(c, p, max(1, math.ceil(Fraction(str(p)) * n)), n)
+            bounds[id(target)] = first[f"q_{c}"][2 * i : 2 * i + 2]
+            targets.append(target)
     while wide := [t for t in targets if t.value is None and t.inside > collect_rows]:
-        _narrow(values, wide, sketch_err)
+        _split(values, wide, [bounds.pop(id(t)) for t in wide] if bounds else _bounds(values, wide, sketch_err))
+        bounds = {}
     if near := [t for t in targets if t.value is None]:
         _decide(values, near)
     found = {(t.column, t.prob): t.value for t in targets}
     return {c: [found.get((c, p)) for p in probs] for c in columns}
 
 
-def _within(target: _Target):
-    value = F.col(target.column)
-    if math.isinf(target.low) and math.isinf(target.high):
-        return value
-    return F.when((value > target.low) & (value < target.high), value)
-
-
-def _narrow(values: DataFrame, targets: list[_Target], sketch_err: float) -> None:
-    """One round: two passes over the wanted columns, whatever the number of targets."""
-    # Targets of one column that still share an interval share a sketch.
-    intervals = {(t.column, t.low, t.high): t for t in targets}
-    names = {key: f"v{i}" for i, key in enumerate(intervals)}
-    masked = values.select(*(_within(t).alias(names[key]) for key, t in intervals.items()))
-    shares = [(t.rank - t.below) / t.inside for t in targets]
-    probs = sorted({min(1.0, max(0.0, s + d)) for s in shares for d in (-2 * sketch_err, 2 * sketch_err)})
-    sketched = _sketch(masked, list(names.values()), probs, sketch_err)
-    bounds = []
-    for target, share in zip(targets, shares):
-        points = sketched[names[(target.column, target.low, target.high)]]
-        bounds.append(
-            (
-                points[probs.index(max(0.0, share - 2 * sketch_err))],
-                points[probs.index(min(1.0, share + 2 * sketch_err))],
-            )
-        )
+def _around(share: float, err: float) -> tuple[float, float]:
+    """Shares whose sketched values lie on both sides of the value wanted."""
+    return max(0.0, share - 2 * err), min(1.0, share + 2 * err)
+
+
+def _bounds(values: DataFrame, targets: list[_Target], err: float) -> list[list[float]]:
+    """New bounds for every target, sketched from the values between its present ones."""
+    shares = [_around((t.rank - t.below) / t.inside, err) for t in targets]
+    row = values.agg(
+        *(sketched(t.within(), share, err).alias(f"q{i}") for i, (t, share) in enumerate(zip(targets, shares)))
+    ).head()
+    return list(row)
+
+
+def _split(values: DataFrame, targets: list[_Target], bounds: list[list[float]]) -> None:
+    """Count the values around the bounds of every target in one pass, and narrow the targets."""
     counts = []
     for i, (target, (low, high)) in enumerate(zip(targets, bounds)):
         value = F.col(target.column)
@@ -133,24 +143,24 @@ def _narrow(values: DataFrame, targets: list[_Target], sketch_err: float) -> Non
 
 
 def _decide(values: DataFrame, targets: list[_Target]) -> None:
-    """Counts by value inside the last intervals, each of a checked size."""
+    """Walk the counts by value of the last pieces, whose size has been checked."""
     names = [f"v{i}" for i in range(len(targets))]
-    masked = values.select(*(_within(t).alias(name) for name, t in zip(names, targets)))
     counts = (
-        masked.where(F.coalesce(*names).isNotNull())
+        values.select(*(t.within().alias(name) for name, t in zip(names, targets)))
+        .where(F.coalesce(*names).isNotNull())
         .unpivot([], names, "target", "value")
         .where(F.col("value").isNotNull())
         .groupBy("target", "value")
-        .count()
+        .agg(F.count("*").alias("rows"))
         .collect()
     )
     by_target: dict[str, list] = {name: [] for name in names}
-    for target, value, count in counts:
-        by_target[target].append((value, count))
+    for target, value, rows in counts:
+        by_target[target].append((value, rows))
     for name, target in zip(names, targets):
         reached = target.below
-        for value, count in sorted(by_target[name]):
-            reached += count
+        for value, rows in sorted(by_target[name]):
+            reached += rows
             if reached >= target.rank:
                 target.value = value
                 break

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimsieve.functions import finite, normalised, quantiles
 from claimsieve.schema import (
@@ -25,7 +28,11 @@ def rename_columns(df: DataFrame, mapping: Mapping[str, str] = RAW_TO_LOGICAL) -
 
 
 def drop_missing_keys(df: DataFrame, keys: Sequence[str] = CRITICAL) -> DataFrame:
-    return df.dropna(how="any", subset=list(keys))
+    """Rows with a value in every key. NaN counts as missing, as in ``dropna``, whose filter,
+    unlike this one, does not reach the Parquet scan."""
+    present = [F.col(k).isNotNull() for k in keys]
+    present += [~F.isnan(k) for k in keys if isinstance(df.schema[k].dataType, (T.DoubleType, T.FloatType))]
+    return df.where(reduce(and_, present))
 
 
 def measures_as_double(df: DataFrame, columns: Sequence[str] = MEASURES) -> DataFrame:

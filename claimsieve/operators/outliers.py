@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimsieve.functions import flag, quantiles
+from claimsieve.functions import flag, quantiles, sketched
 from claimsieve.schema import (
     IQR_FACTOR,
     IQR_PREFIX,
@@ -20,6 +20,7 @@ from claimsieve.schema import (
     Z_PREFIX,
 )
 
+_QUARTILES = [0.25, 0.75]
 STATS_SCHEMA = "column string, mean double, stddev double, q1 double, q3 double"
 
 
@@ -47,23 +48,33 @@ class MeasureStats:
 
 def mean_stddev(df: DataFrame, columns: Sequence[str] = MEASURES) -> DataFrame:
     """Mean and sample standard deviation of all columns as one wide row, in one aggregate."""
-    return df.agg(
+    return df.agg(*_moments(columns))
+
+
+def _moments(columns: Sequence[str]) -> list[Column]:
+    return [
         *(F.mean(c).alias(f"{c}_mean") for c in columns),
         *(F.stddev(c).alias(f"{c}_stddev") for c in columns),
-    )
+    ]
 
 
 def fit_outlier_stats(
     df: DataFrame, columns: Sequence[str] = MEASURES, rel_err: float = QUANTILE_ERROR
 ) -> list[MeasureStats]:
-    """Statistics of every column: one aggregate and one quantile pass over the measures.
+    """Statistics of every column, from one aggregate over the measures.
 
     Four numbers per column come back; as literals they fold into the generated code, so the
-    flags need no join. ``df`` is read twice (more if exact) and should be a stored table.
+    flags need no join. Exact quartiles (``rel_err`` 0) take a few passes more, and ``df`` should
+    then be a stored table.
     """
-    moments = mean_stddev(df, columns).head()
-    quartiles = quantiles(df, columns, [0.25, 0.75], rel_err)
-    return [MeasureStats(c, moments[f"{c}_mean"], moments[f"{c}_stddev"], *quartiles[c]) for c in columns]
+    if rel_err == 0:
+        row = mean_stddev(df, columns).head()
+        quartiles = quantiles(df, columns, _QUARTILES, rel_err)
+    else:
+        sketches = [sketched(F.col(c), _QUARTILES, rel_err).alias(f"{c}_quartiles") for c in columns]
+        row = df.agg(*_moments(columns), *sketches).head()
+        quartiles = {c: row[f"{c}_quartiles"] or [None, None] for c in columns}
+    return [MeasureStats(c, row[f"{c}_mean"], row[f"{c}_stddev"], *quartiles[c]) for c in columns]
 
 
 def stats_frame(spark: SparkSession, stats: Sequence[MeasureStats]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,40 +13,67 @@ from claimsieve.schema import SUBMITTED
 
 _DESCRIBED = (T.NumericType, T.StringType)
 
+# Columns per aggregate. Eight buffer fields each keep it below the hundred fields up to which
+# Spark generates code for a stage.
+_GROUP = 12
+
+# How a text starts that reads as a number. Others would each raise and catch an
+# exception in the cast.
+_NUMBER_START = r"(?i)^[\x00-\x20]*[+-]?(\.?[0-9]|inf|nan)"
+
 
 def row_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("count"))
 
 
-def _statistics(field: T.StructField) -> Column:
-    """One column's statistics as a struct, the same type for every column."""
+def _is_text(field: T.StructField) -> bool:
+    return isinstance(field.dataType, T.StringType)
+
+
+def _number(field: T.StructField) -> Column:
     column = F.col(field.name)
-    is_text = isinstance(field.dataType, T.StringType)
-    number = column.try_cast("double") if is_text else column.cast("double")
+    if _is_text(field):
+        return F.when(column.rlike(_NUMBER_START), column.try_cast("double"))
+    return column.cast("double")
+
+
+def _statistics(field: T.StructField, place: int) -> Column:
+    """One column's statistics as a struct, the same type for every column."""
+    column, number = F.col(field.name), F.col(f"_{place}")
     no_text, no_number = F.lit(None).cast("string"), F.lit(None).cast("double")
+    text = _is_text(field)
     return F.struct(
         F.lit(field.name).alias("column"),
         F.count(column).alias("count"),
-        F.count_if(column.isNull()).alias("nulls"),
+        (F.count("*") - F.count(column)).alias("nulls"),
         F.mean(number).alias("mean"),
         F.stddev(number).alias("stddev"),
-        (no_number if is_text else F.min(number)).alias("min"),
-        (no_number if is_text else F.max(number)).alias("max"),
-        (F.min(column) if is_text else no_text).alias("min_text"),
-        (F.max(column) if is_text else no_text).alias("max_text"),
+        (no_number if text else F.min(number)).alias("min"),
+        (no_number if text else F.max(number)).alias("max"),
+        (F.min(column) if text else no_text).alias("min_text"),
+        (F.max(column) if text else no_text).alias("max_text"),
     )
 
 
+def _described(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
+    numbers = [_number(f).alias(f"_{i}") for i, f in enumerate(fields)]
+    rows = F.array(*(_statistics(f, i) for i, f in enumerate(fields)))
+    return df.select(*(f.name for f in fields), *numbers).agg(rows.alias("rows")).select(F.inline("rows"))
+
+
 def column_statistics(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """One row per numeric or string column, all from a single pass.
+    """One row per numeric or string column. Every column is read once.
 
-    As in a plain describe, mean and deviation of a string column are those of its values that
-    read as numbers, and columns of other types are left out. Null counts are 0, not null, for
-    an empty table.
+    Numbers and texts, and a few columns at a time, have an aggregate of their own, all in one
+    job: one over everything would be too wide for generated code. As in a plain describe, mean
+    and deviation of a string column are those of its values that read as numbers, and columns
+    of other types are left out. Null counts are 0, not null, for an empty table.
     """
     fields = [df.schema[c] for c in columns] if columns else df.schema.fields
-    structs = [_statistics(f) for f in fields if isinstance(f.dataType, _DESCRIBED)]
-    return df.agg(F.array(*structs).alias("rows")).select(F.inline("rows"))
+    fields = [f for f in fields if isinstance(f.dataType, _DESCRIBED)]
+    kinds = [[f for f in fields if not _is_text(f)], [f for f in fields if _is_text(f)]]
+    groups = [kind[i : i + _GROUP] for kind in kinds for i in range(0, len(kind), _GROUP)]
+    return reduce(DataFrame.unionByName, [_described(df, group) for group in groups])
 
 
 def describe_table(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from claimsieve.sources.tables import (
     read_claims,
     read_stage,
     read_strings,
+    spread,
     write_csv,
     write_stage,
 )
@@ -17,6 +18,7 @@ __all__ = [
     "read_metric_files",
     "read_stage",
     "read_strings",
+    "spread",
     "write_csv",
     "write_metric_file",
     "write_stage",

@@ -58,6 +58,15 @@ def write_csv(df: DataFrame, path: str) -> None:
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan of fewer partitions than cores, such as one packed file, over all of them.
+
+    A scan that already has that many, as any large table does, is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def preview(df: DataFrame, n: int, order_by: Sequence[str] | None = None) -> DataFrame:
     """The first ``n`` rows: in the order of ``order_by``, else whichever the scan meets first."""
     return (df.orderBy(*order_by) if order_by else df).limit(n)

@@ -8,13 +8,13 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from tests.comparing import compare, oracle_connection, test_session  # noqa: E402
+from tests.comparing import compare, oracle_connection, local_session  # noqa: E402
 
 import __spark_entry__ as entry  # noqa: E402
 
 
 def main(sf: str = "0.01", *names: str) -> int:
-    spark, sf_dir = test_session(), f"/root/testdata/sf{sf}"
+    spark, sf_dir = local_session(), f"/root/testdata/sf{sf}"
     connection, sql, failed = oracle_connection(sf_dir), entry.oracle_sql(), 0
     for name, query in entry.queries().items():
         if names and name not in names:

@@ -18,7 +18,7 @@ TYPES = {
 }
 
 
-def test_session() -> SparkSession:
+def local_session() -> SparkSession:
     spark = (
         SparkSession.builder.master("local[8]")
         .config("spark.sql.shuffle.partitions", "8")
