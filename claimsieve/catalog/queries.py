@@ -30,6 +30,7 @@ from claimsieve.sources import (
     read_metric_files,
     read_stage,
     read_strings,
+    spread,
     write_csv,
     write_metric_file,
     write_stage,
@@ -93,7 +94,7 @@ def s5_csv_roundtrip(s: Stages) -> DataFrame:
 
 
 def _scored_lines(s: Stages, score: str) -> DataFrame:
-    line = table(s.spark, s.sf_dir, "lineitem")
+    line = spread(table(s.spark, s.sf_dir, "lineitem"))
     return line.select(
         F.col(score).alias("rawPrediction"), (F.col("l_returnflag") == "R").cast("double").alias("label")
     )

@@ -37,28 +37,26 @@ def _number(field: T.StructField) -> Column:
     return column.cast("double")
 
 
-def _statistics(field: T.StructField, place: int) -> Column:
+def _statistics(field: T.StructField, place: int) -> str:
     """One column's statistics as a struct, the same type for every column."""
-    column, number = F.col(field.name), F.col(f"_{place}")
-    no_text, no_number = F.lit(None).cast("string"), F.lit(None).cast("double")
-    text = _is_text(field)
-    return F.struct(
-        F.lit(field.name).alias("column"),
-        F.count(column).alias("count"),
-        (F.count("*") - F.count(column)).alias("nulls"),
-        F.mean(number).alias("mean"),
-        F.stddev(number).alias("stddev"),
-        (no_number if text else F.min(number)).alias("min"),
-        (no_number if text else F.max(number)).alias("max"),
-        (F.min(column) if text else no_text).alias("min_text"),
-        (F.max(column) if text else no_text).alias("max_text"),
+    quoted = "`" + field.name.replace("`", "``") + "`"
+    title = field.name.replace("\\", "\\\\").replace("'", "\\'")
+    ends = "min({0}) AS min{1}, max({0}) AS max{1}"
+    missing = "CAST(NULL AS {0}) AS min{1}, CAST(NULL AS {0}) AS max{1}"
+    if _is_text(field):
+        extremes = f"{missing.format('DOUBLE', '')}, {ends.format(quoted, '_text')}"
+    else:
+        extremes = f"{ends.format(f'_{place}', '')}, {missing.format('STRING', '_text')}"
+    return (
+        f"struct('{title}' AS column, count({quoted}) AS count, count(*) - count({quoted}) AS nulls,"
+        f" mean(_{place}) AS mean, stddev(_{place}) AS stddev, {extremes})"
     )
 
 
 def _described(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
     numbers = [_number(f).alias(f"_{i}") for i, f in enumerate(fields)]
-    rows = F.array(*(_statistics(f, i) for i, f in enumerate(fields)))
-    return df.select(*(f.name for f in fields), *numbers).agg(rows.alias("rows")).select(F.inline("rows"))
+    rows = ", ".join(_statistics(f, i) for i, f in enumerate(fields))
+    return df.select(*(f.name for f in fields), *numbers).selectExpr(f"array({rows}) AS rows").selectExpr("inline(rows)")
 
 
 def column_statistics(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -73,7 +71,7 @@ def column_statistics(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     fields = [f for f in fields if isinstance(f.dataType, _DESCRIBED)]
     kinds = [[f for f in fields if not _is_text(f)], [f for f in fields if _is_text(f)]]
     groups = [kind[i : i + _GROUP] for kind in kinds for i in range(0, len(kind), _GROUP)]
-    return reduce(DataFrame.unionByName, [_described(df, group) for group in groups])
+    return reduce(DataFrame.union, [_described(df, group) for group in groups])
 
 
 def describe_table(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
