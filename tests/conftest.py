@@ -15,3 +15,13 @@ def workspace(spark):
     space = Workspace(spark)
     yield space
     space.drop()
+
+
+@pytest.fixture
+def plan_text():
+    def text(df):
+        return df._jdf.queryExecution().explainString(
+            df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")
+        )
+
+    return text

@@ -1,0 +1,189 @@
+import pytest
+from pyspark.sql import functions as F
+
+from claimsieve.catalog.claims_view import claims_view, raw_names
+from claimsieve.operators import cleaning, encoding, outliers, rules
+from claimsieve.plans.encode import encode_claims
+from claimsieve.plans.label import label_claims
+from claimsieve.plans.pipeline import run_files
+from claimsieve.plans.prepare import complete_claims, prepare_claims
+from claimsieve.plans.profile import profile_claims
+from claimsieve.schema import FILLED_CATEGORICALS, IQR_PREFIX, MEASURES, MIXED_PREFIX, RATIO, Z_PREFIX
+from claimsieve.sources import read_stage, write_csv
+from claimsieve.staging import Workspace
+from tests.micro import claims as micro_claims
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def space(spark):
+    space = Workspace(spark)
+    yield space
+    space.drop()
+
+
+@pytest.fixture(scope="module")
+def claims(spark, space):
+    return space.stage(claims_view(spark, SMALL), "claims")
+
+
+@pytest.fixture(scope="module")
+def prepared(claims, space):
+    return prepare_claims(claims, space, rel_err=0.0)
+
+
+def test_row_counts_of_every_step(claims, prepared):
+    capped = rules.cap_ratio(prepared.flagged)
+    counts = [claims.count(), complete_claims(claims).count(), prepared.population.count(), capped.count()]
+    assert counts == [6242, 6121, 6016, 5333]
+    assert prepared.cleaned.count() == 4010
+    found = {r.is_fraud: r["count"] for r in rules.label_distribution(label_claims(prepared.cleaned)).collect()}
+    assert found == {0: 3921, 1: 89}
+
+
+def test_cleaned_columns(prepared):
+    names = prepared.cleaned.columns
+    assert len(names) == 40
+    assert dict(prepared.cleaned.dtypes)[RATIO] == "double"
+    assert {t for n, t in prepared.cleaned.dtypes if "Flag" in n} == {"int"}
+
+
+def test_medians_and_flag_totals(prepared):
+    assert list(prepared.medians.values()) == [25, 25, 70, 53365.52, 23465.0, 1576.3790999999999, 2024.694]
+    totals = prepared.flagged.agg(*(F.sum(p + m).alias(p + m) for p in (Z_PREFIX, IQR_PREFIX) for m in MEASURES)).head()
+    assert [totals[Z_PREFIX + m] for m in MEASURES] == [0, 0, 34, 41, 44, 26, 21]
+    assert [totals[IQR_PREFIX + m] for m in MEASURES] == [0, 0, 164, 43, 47, 72, 54]
+
+
+def test_nothing_is_missing_after_filling(prepared):
+    missing = " or ".join(f"{c} is null" for c in [*FILLED_CATEGORICALS, *MEASURES])
+    assert prepared.population.where(missing).count() == 0
+
+
+def test_duplicate_removal_is_idempotent(claims):
+    once = cleaning.drop_duplicates(claims)
+    assert cleaning.drop_duplicates(once).count() == once.count() < claims.count()
+
+
+def test_result_does_not_depend_on_partitions(claims, prepared, workspace):
+    other = prepare_claims(claims.repartition(5), workspace, rel_err=0.0)
+    assert other.medians == prepared.medians
+    assert other.cleaned.exceptAll(prepared.cleaned).count() == 0
+    assert prepared.cleaned.exceptAll(other.cleaned).count() == 0
+
+
+def test_sketched_run_stays_near_the_exact_one(claims, prepared, workspace):
+    sketched = prepare_claims(claims, workspace)
+    exact = {s.column: s for s in prepared.stats}
+    n = prepared.population.count()
+    for s in sketched.stats:
+        assert s.mean == pytest.approx(exact[s.column].mean, rel=0.01)
+        for p, value in ((0.25, s.q1), (0.75, s.q3)):
+            under = prepared.population.where(F.col(s.column) < value).count()
+            upto = prepared.population.where(F.col(s.column) <= value).count()
+            assert under <= (p + 0.02) * n and upto >= (p - 0.02) * n
+
+
+def test_number_of_jobs_that_prepare_takes(spark, claims, workspace):
+    spark.sparkContext.setJobGroup("prepare", "prepare")
+    workspace.stage(prepare_claims(claims, workspace).cleaned, "cleaned")
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("prepare")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # Medians, population, statistics and result: a shuffle's map side counts as a job of its own.
+    assert len(jobs) <= 8
+
+
+def test_stored_statistics_flag_a_later_batch_alike(spark, prepared, workspace):
+    stored = workspace.stage(outliers.stats_frame(spark, prepared.stats), "stats")
+    stats = outliers.stats_from_frame(stored)
+    assert stats == prepared.stats
+    again = outliers.flag_outliers(prepared.population, stats)
+    flags = [p + m for p in (Z_PREFIX, IQR_PREFIX, MIXED_PREFIX) for m in MEASURES]
+    assert again.select(flags).exceptAll(prepared.flagged.select(flags)).count() == 0
+
+
+def test_a_third_of_the_rows_may_be_copies_of_one(spark, claims, workspace, plan_text):
+    one = claims.dropna().limit(1)
+    copies = one.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(3000)))).drop("copy")
+    table = workspace.stage(claims.unionByName(copies), "skewed")
+    once = cleaning.drop_duplicates(complete_claims(table))
+    assert once.count() == cleaning.drop_duplicates(complete_claims(claims)).count()
+    plan = plan_text(once)
+    # Copies are folded before the one shuffle.
+    assert plan.count("Exchange") == 1
+    assert plan.index("HashAggregate", plan.index("Exchange")) > 0
+
+
+def test_prepare_normalising_first_drops_case_variants(spark, workspace):
+    table = micro_claims(spark, [2.0, 2.0], [1.0, 1.0], Provider_ID=[1, 1], Provider_Last_Name=["a", " A"])
+    assert prepare_claims(table, workspace, rel_err=0.0).population.count() == 2
+    assert prepare_claims(table, Workspace(spark), rel_err=0.0, normalise_first=True).population.count() == 1
+
+
+def test_filters_and_columns_reach_the_scan(spark, claims, prepared, workspace, plan_text):
+    median_plan = plan_text(complete_claims(claims).select("Total_Services"))
+    assert "IsNotNull(Provider_ID), IsNotNull(Procedure_Code)" in median_plan
+    assert "Provider_Last_Name" not in median_plan
+    high = plan_text(rules.high_charge(prepared.population).select("Provider_ID"))
+    assert "GreaterThan(Average_Submitted_Charge,1000.0)" in high
+    for df in (prepared.cleaned, label_claims(prepared.cleaned)):
+        plan = plan_text(df)
+        assert "Exchange" not in plan and "Join" not in plan and "Python" not in plan
+
+
+def test_no_plan_has_a_cross_join_or_a_python_worker(spark, plan_text):
+    from claimsieve.catalog.queries import queries
+
+    for name in ("p4_median_fill", "a4_dedupe", "a6_describe_all", "o4_all_flags", "j1_prepare", "j3_label", "m1_index_by_join"):
+        plan = plan_text(queries()[name](spark, SMALL))
+        for part in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "ArrowEval"):
+            assert part not in plan, (name, part)
+
+
+def test_profile(prepared, workspace):
+    cleaned = workspace.stage(prepared.cleaned, "cleaned")
+    profile = profile_claims(cleaned, workspace)
+    assert profile.rows.head()["count"] == 4010
+    assert profile.first_rows.count() == 20
+    assert profile.schema.count() == profile.columns.count() == profile.nulls.count() == 40
+    assert profile.measures.count() == 6
+    assert profile.rows_by_state.agg(F.sum("count")).head()[0] == 4010
+    assert profile.high_charges.where(F.col(rules.SUBMITTED) <= 1000).count() == 0
+    assert profile.nulls.agg(F.sum("nulls")).head()[0] == 0
+
+
+def test_scaled_slots_have_unit_deviation(prepared, workspace):
+    from pyspark.ml.stat import Summarizer
+
+    labelled = workspace.stage(label_claims(prepared.cleaned), "labelled")
+    processed, _ = encode_claims(labelled, workspace)
+    variance = processed.agg(Summarizer.metrics("variance").summary(F.col("scaled_features")).alias("s")).head().s.variance
+    assert all(v == pytest.approx(1.0, abs=1e-9) or v == 0 for v in variance)
+
+
+def test_encoder_survives_saving(prepared, workspace):
+    from pyspark.ml import PipelineModel
+
+    labelled = workspace.stage(label_claims(prepared.cleaned), "labelled")
+    encoder = encoding.fit_encoder(labelled, workspace)
+    encoder.model.write().overwrite().save(workspace.location("model"))
+    loaded = encoding.Encoder(PipelineModel.load(workspace.location("model")), encoder.categorical)
+    a, b = (encoding.to_xy(encoding.encode(labelled, e)) for e in (encoder, loaded))
+    assert a.exceptAll(b).count() == 0
+
+
+def test_all_stages_from_a_csv_file(spark, claims, prepared, workspace):
+    path, output = workspace.location("raw"), workspace.location("out")
+    write_csv(raw_names(claims), path)
+    outcome = run_files(spark, path, output, Workspace(spark), rel_err=0.0)
+    assert {r.is_fraud: r["count"] for r in outcome.labels.collect()} == {0: 3921, 1: 89}
+    cleaned = read_stage(spark, f"{output}/cleaned")
+    assert cleaned.exceptAll(prepared.cleaned).count() == 0
+    assert read_stage(spark, f"{output}/processed").count() == 4010
+    metrics = read_stage(spark, f"{output}/metrics")
+    assert {(r.model, r.metric) for r in metrics.collect()} == {
+        (m, k) for m in ("logistic", "forest") for k in ("areaUnderROC", "accuracy")
+    }
+    assert {r.Source for r in outcome.metrics.collect()} == {"lr_metrics.csv", "rf_metrics.csv"}
+    assert spark.read.option("header", True).csv(f"{output}/consolidated_metrics.csv").count() == 4
