@@ -10,6 +10,7 @@ import json
 import os
 import sys
 import time
+from contextlib import contextmanager
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
@@ -40,7 +41,7 @@ def evaluate(df: DataFrame) -> None:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", os.cpu_count() or 8))
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     size = sum(path.stat().st_size for path in Path(sf_dir).glob("*.parquet"))
     builder = SparkSession.builder.master(f"local[{cpus}]").appName("bench")
     for key, value in settings_for(size, cpus).items():
@@ -58,26 +59,38 @@ def main() -> None:
     claims_seconds = time.time() - start
     s.raw_csv(), s.labelled(), s.processed()
 
-    def prepared_label(rel_err: float) -> None:
+    @contextmanager
+    def scratch():
         workspace = s.scratch()
-        evaluate(label_distribution(label_claims(prepare_claims(s.claims(), workspace, rel_err).cleaned)))
+        yield workspace
+        workspace.drop()
+
+    def prepared_label(rel_err: float) -> None:
+        with scratch() as workspace:
+            cleaned = prepare_claims(s.claims(), workspace, rel_err).cleaned
+            evaluate(label_distribution(label_claims(cleaned)))
 
     def prepared_table() -> None:
-        workspace = s.scratch()
-        workspace.stage(prepare_claims(s.claims(), workspace).cleaned, "cleaned")
+        with scratch() as workspace:
+            workspace.stage(prepare_claims(s.claims(), workspace).cleaned, "cleaned")
 
     def profile() -> None:
-        p = profile_claims(s.cleaned(), s.scratch())
-        for df in (p.first_rows, p.rows, p.columns, p.nulls, p.mean_charge_by_type, p.rows_by_state, p.high_charges):
-            evaluate(df)
+        with scratch() as workspace:
+            p = profile_claims(s.cleaned(), workspace)
+            for df in (p.first_rows, p.rows, p.columns, p.nulls, p.mean_charge_by_type, p.rows_by_state, p.high_charges):
+                evaluate(df)
 
     def encoded() -> None:
-        workspace = s.scratch()
-        workspace.stage(encode_claims(s.labelled(), workspace)[0], "processed")
+        with scratch() as workspace:
+            workspace.stage(encode_claims(s.labelled(), workspace)[0], "processed")
+
+    def trained(model: str) -> None:
+        with scratch() as workspace:
+            train_and_score(s.processed(), workspace, [model])
 
     def end_to_end() -> None:
-        workspace = s.scratch()
-        evaluate(run_all(s.claims(), workspace.location("out"), workspace).labels)
+        with scratch() as workspace:
+            evaluate(run_all(s.claims(), workspace.location("out"), workspace).labels)
 
     jobs = {
         "prepare_label": lambda: prepared_label(0.01),
@@ -86,8 +99,8 @@ def main() -> None:
         "profile": profile,
         "label": lambda: evaluate(label_claims(s.cleaned())),
         "encode_to_parquet": encoded,
-        "logistic_fit_score_auc": lambda: train_and_score(s.processed(), "logistic", s.scratch()),
-        "forest_fit_score_auc": lambda: train_and_score(s.processed(), "forest", s.scratch()),
+        "logistic_fit_score_auc": lambda: trained("logistic"),
+        "forest_fit_score_auc": lambda: trained("forest"),
         "end_to_end": end_to_end,
         "quartiles_4_columns": lambda: quantiles(
             table(spark, sf_dir, "lineitem").select(*(F.col(c) for c in QUARTILE_COLUMNS)),

@@ -403,6 +403,7 @@ _BODIES = {
     "m5_pipeline": _profile(scaled=True, named=False),
     "m5_pipeline_many_labels": _profile(scaled=True, named=False),
     "m6_hash_split": f"SELECT {_list(KEYS)}, CASE WHEN {_TRAIN} THEN 'train' ELSE 'test' END AS Source FROM labelled",
+    "m6_stored_split": f"SELECT {_list([*KEYS, LABEL])} FROM labelled",
     "j1_prepare": "SELECT * FROM cleaned",
     "j2_profile": _PROFILE,
     "j3_label": "SELECT * FROM labelled",

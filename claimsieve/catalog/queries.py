@@ -505,21 +505,27 @@ def _confusion(predictions: DataFrame) -> DataFrame:
     return predictions.groupBy("label", "prediction").agg(F.count("*").alias("count"))
 
 
+@query
+def m6_stored_split(s: Stages) -> DataFrame:
+    """Both parts together: every row once."""
+    return reporting.union_all(learning.stored_split(s.labelled(), s.scratch())).select(*KEYS, LABEL)
+
+
 @query
 def m7_logistic(s: Stages) -> DataFrame:
-    train, test = learning.random_split(s.processed())
+    train, test = learning.stored_split(s.processed(), s.scratch())
     return _confusion(learning.score(test, learning.fit_logistic(train)))
 
 
 @query
 def m8_forest(s: Stages) -> DataFrame:
-    train, test = learning.random_split(s.processed())
+    train, test = learning.stored_split(s.processed(), s.scratch())
     return _confusion(learning.score(test, learning.fit_forest(train)))
 
 
 @query
 def m9_score(s: Stages) -> DataFrame:
-    train, test = learning.random_split(s.processed())
+    train, test = learning.stored_split(s.processed(), s.scratch())
     scored = learning.score(test, learning.fit_logistic(train))
     return scored.select("label", "prediction", vector_to_array("probability")[1].alias("probability"))
 
@@ -584,9 +590,8 @@ def j4_encode_without_flags(s: Stages) -> DataFrame:
 
 @query
 def j5_train(s: Stages) -> DataFrame:
-    workspace = s.scratch()
-    frames = [train_and_score(s.processed(), m, workspace).metrics for m in ("logistic", "forest")]
-    return reporting.union_all(frames).drop("run_id")
+    trained = train_and_score(s.processed(), s.scratch())
+    return reporting.union_all([t.metrics for t in trained.values()]).drop("run_id")
 
 
 @query

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimsieve.schema import DEPTH, TRAIN_TEST, TREES
+from claimsieve.staging import Workspace
 
 _BUCKETS = 10_000
 
@@ -18,11 +19,29 @@ _BUCKETS = 10_000
 def random_split(
     df: DataFrame, weights: Sequence[float] = TRAIN_TEST, seed: int = 42
 ) -> tuple[DataFrame, DataFrame]:
-    """Random parts of a stored table; the seed gives the same ones while its files stay the same."""
+    """Random parts, drawn anew whenever one is read.
+
+    The seed gives the same parts as long as the table is cut into the same partitions, which a
+    cluster that grows or shrinks between two reads does not promise.
+    """
     train, test = df.randomSplit(list(weights), seed)
     return train, test
 
 
+def stored_split(
+    df: DataFrame, workspace: Workspace, weights: Sequence[float] = TRAIN_TEST, seed: int = 42
+) -> tuple[DataFrame, DataFrame]:
+    """Random parts, drawn once and written, so that they stay disjoint and whole whatever happens.
+
+    It costs a write and spares every later read the sort that a random split needs.
+    """
+    share = weights[0] / sum(weights)
+    part = F.when(F.rand(seed) < share, F.lit("train")).otherwise(F.lit("test"))
+    stored = workspace.stage(df.withColumn("_part", part), "split", partition_by="_part")
+    train, test = (stored.where(F.col("_part") == name).drop("_part") for name in ("train", "test"))
+    return train, test
+
+
 def hash_side(keys: Sequence[str], weights: Sequence[float] = TRAIN_TEST):
     """1 where a hash of the keys falls to the first part, else 0.
 

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from claimsieve.operators.cleaning import rename_columns
 from claimsieve.operators.rules import label_distribution
 from claimsieve.plans.consolidate import consolidate_metrics
 from claimsieve.plans.encode import encode_claims
@@ -15,7 +16,6 @@ from claimsieve.plans.profile import Profile, profile_claims
 from claimsieve.plans.train import train_and_score
 from claimsieve.schema import QUANTILE_ERROR
 from claimsieve.sources import append_metrics, read_claims, read_stage, write_metric_file, write_stage
-from claimsieve.operators.cleaning import rename_columns
 from claimsieve.staging import Workspace
 
 # Metric file of each model, and the consolidated one.
@@ -38,7 +38,11 @@ def run_all(
     include_flags: bool = True,
     seed: int = 42,
 ) -> Outcome:
-    """Prepare, profile, label, encode, train both models and consolidate their metrics."""
+    """Prepare, profile, label, encode, train both models and consolidate their metrics.
+
+    Every stage writes its table under ``output`` and the next one reads it. Drop ``workspace``
+    once the profile is no longer read.
+    """
     spark = claims.sparkSession
     write_stage(prepare_claims(claims, workspace, rel_err).cleaned, f"{output}/cleaned")
     cleaned = read_stage(spark, f"{output}/cleaned")
@@ -47,15 +51,14 @@ def run_all(
     labelled = read_stage(spark, f"{output}/labelled")
     write_stage(encode_claims(labelled, workspace, include_flags)[0], f"{output}/processed")
     processed = read_stage(spark, f"{output}/processed")
+    trained = train_and_score(processed, workspace, list(METRIC_FILES), seed)
     for model_name, file_name in METRIC_FILES.items():
-        metrics = train_and_score(processed, model_name, workspace, seed).metrics
-        append_metrics(metrics, f"{output}/metrics")
-        write_metric_file(metrics, f"{output}/{file_name}")
+        append_metrics(trained[model_name].metrics, f"{output}/metrics")
+        write_metric_file(trained[model_name].metrics, f"{output}/{file_name}")
     consolidated = consolidate_metrics(spark, output, list(METRIC_FILES.values()), f"{output}/{CONSOLIDATED}")
     return Outcome(profile, label_distribution(labelled), consolidated)
 
 
-def run_files(spark: SparkSession, csv_path: str, output: str, workspace: Workspace | None = None, **options) -> Outcome:
+def run_files(spark: SparkSession, csv_path: str, output: str, workspace: Workspace, **options) -> Outcome:
     """The same from a claims CSV under its published column names."""
-    claims = rename_columns(read_claims(spark, csv_path))
-    return run_all(claims, output, workspace or Workspace(spark), **options)
+    return run_all(rename_columns(read_claims(spark, csv_path)), output, workspace, **options)

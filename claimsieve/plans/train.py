@@ -1,16 +1,18 @@
-"""Train, score and evaluate one classifier."""
+"""Train, score and evaluate classifiers."""
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Model
 from pyspark.sql import DataFrame
 
-from claimsieve.operators.learning import evaluate, fit_forest, fit_logistic, random_split, score
+from claimsieve.operators.learning import evaluate, fit_forest, fit_logistic, score, stored_split
 from claimsieve.staging import Workspace
 
 _FIT = {"logistic": fit_logistic, "forest": fit_forest}
+MODELS = tuple(_FIT)
 
 
 @dataclass
@@ -21,16 +23,25 @@ class Trained:
 
 
 def train_and_score(
-    processed: DataFrame, model_name: str, workspace: Workspace, seed: int = 42, **params
-) -> Trained:
-    """Fit on 70 % of a stored table and evaluate on the rest; ``params`` go to the fit.
-
-    The scores without their vectors are staged, so that the metrics do not score twice.
+    processed: DataFrame,
+    workspace: Workspace,
+    models: Sequence[str] = MODELS,
+    seed: int = 42,
+    params: Mapping[str, Mapping] | None = None,
+) -> dict[str, Trained]:
+    """Fit every model on the same 70 % of the rows and evaluate it on the others.
+
+    ``params`` has further arguments of a model's fit. The scores, without their vectors, are
+    staged, so that the metrics do not score twice.
     """
-    train, test = random_split(processed, seed=seed)
-    if model_name == "forest":
-        params = {"seed": seed, **params}
-    model = _FIT[model_name](train, **params)
-    predictions = score(test, model)
-    scored = workspace.stage(predictions.select("label", "rawPrediction", "prediction"), f"scored_{model_name}")
-    return Trained(model, predictions, evaluate(scored, model_name, workspace.run_id))
+    train, test = stored_split(processed, workspace, seed=seed)
+    trained = {}
+    for name in models:
+        arguments = dict((params or {}).get(name, {}))
+        if name == "forest":
+            arguments.setdefault("seed", seed)
+        model = _FIT[name](train, **arguments)
+        predictions = score(test, model)
+        scored = workspace.stage(predictions.select("label", "rawPrediction", "prediction"), f"scored_{name}")
+        trained[name] = Trained(model, predictions, evaluate(scored, name, workspace.run_id))
+    return trained

@@ -35,6 +35,6 @@ def read_metric_files(spark: SparkSession, folder: str, names: Sequence[str]) ->
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], T.StructType([T.StructField("Source", T.StringType())]))
-    # A metric set is either one file or a folder of part files below the given folder.
-    below = F.substring_index(F.col("_metadata.file_path"), f"{folder.rstrip('/')}/", -1)
-    return text.select("*", F.substring_index(below, "/", 1).alias("Source"))
+    # Either the file or the folder it is a part of has the name.
+    segments = F.split("_metadata.file_path", "/")
+    return text.select("*", F.element_at(F.filter(segments, lambda x: x.isin(*names)), -1).alias("Source"))

@@ -28,7 +28,7 @@ def staging_root(spark: SparkSession) -> str:
 
 
 class Workspace:
-    """One run's folder of stage tables."""
+    """One run's folder of stage tables. Staging a name again replaces its table."""
 
     def __init__(self, spark: SparkSession, root: str | None = None, run_id: str | None = None):
         self.spark = spark
@@ -38,9 +38,10 @@ class Workspace:
     def location(self, name: str) -> str:
         return f"{self.path}/{name}"
 
-    def stage(self, df: DataFrame, name: str) -> DataFrame:
+    def stage(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
         """Write ``df`` under ``name`` and return the table read back."""
-        df.write.mode("overwrite").parquet(self.location(name))
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(self.location(name))
         return self.spark.read.schema(df.schema).parquet(self.location(name))
 
     def drop(self) -> None:

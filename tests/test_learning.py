@@ -55,6 +55,16 @@ def test_random_split_is_a_partition_near_its_weights(spark):
     assert train.count() == learning.random_split(df, seed=5)[0].count()
 
 
+def test_stored_split_is_a_partition_near_its_weights(spark, workspace, plan_text):
+    df = spark.range(30_000, numPartitions=5).select("id", F.lit(1.0).alias("same"))
+    train, test = learning.stored_split(df, workspace, seed=5)
+    assert train.columns == ["id", "same"]
+    assert sorted(r.id for part in (train, test) for r in part.collect()) == list(range(30_000))
+    assert train.count() == pytest.approx(21_000, rel=0.03)
+    # Reading a part touches its own files alone, without a sort.
+    assert "PartitionFilters: [isnotnull(_part" in plan_text(train) and "Sort" not in plan_text(train)
+
+
 def test_hash_split_keeps_a_key_together_and_all_rows(spark):
     df = spark.range(5000).select((F.col("id") % 400).alias("a"), F.when(F.col("id") % 3 > 0, "k").alias("b"), "id")
     train, test = learning.hash_split(df, ["a", "b"])

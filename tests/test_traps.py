@@ -1,6 +1,7 @@
 """One test per place where a near-right reading of the rules gives other results."""
 
 import math
+from bisect import bisect_left, bisect_right
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -93,12 +94,8 @@ def test_area_is_exact_unless_binned(spark):
     data = [(float(i * 37 % 5000), float((i * i) % 3 == 0)) for i in range(5000)]
     df = spark.createDataFrame(data, "rawPrediction double, label double")
     up = [s for s, y in data if y]
-    down = [s for s, y in data if not y]
-    ordered = sorted(down)
-    import bisect
-
-    wins = sum(bisect.bisect_left(ordered, s) + 0.5 * (bisect.bisect_right(ordered, s) - bisect.bisect_left(ordered, s)) for s in up)
-    exact = wins / (len(up) * len(down))
+    down = sorted(s for s, y in data if not y)
+    exact = sum(bisect_left(down, s) + bisect_right(down, s) for s in up) / 2 / (len(up) * len(down))
     assert learning.area_under_roc(df) == pytest.approx(exact, abs=1e-12)
     assert learning.area_under_roc(df, num_bins=50) != pytest.approx(exact, abs=1e-12)
 
@@ -169,8 +166,8 @@ def test_seeded_models_repeat(spark, workspace):
     stored = workspace.stage(df, "rows")
     processed = workspace.stage(encoding.to_xy(encoding.encode(stored, encoding.fit_encoder(stored, workspace, ["cat"], ["x"], []))), "xy")
     for model in ("logistic", "forest"):
-        params = {"trees": 5} if model == "forest" else {}
-        a, b = (rows(train_and_score(processed, model, workspace, seed=3, **params).metrics) for _ in range(2))
+        params = {"forest": {"trees": 5}}
+        a, b = (rows(train_and_score(processed, workspace, [model], seed=3, params=params)[model].metrics) for _ in range(2))
         assert a == b
         assert {r[1] for r in a} == {"areaUnderROC", "accuracy"}
         assert all(0 <= r[2] <= 1 for r in a)
