@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,12 +126,11 @@ class Stages:
         return Workspace(self.spark)
 
 
-@cache
-def _stages(application: str, sf_dir: str) -> Stages:
-    return Stages(SparkSession.active(), sf_dir)
+_STAGES: dict[tuple[str, str], Stages] = {}
 
 
 def stages(spark: SparkSession, sf_dir: str) -> Stages:
-    found = _stages(spark.sparkContext.applicationId, str(sf_dir))
-    found.spark = spark
-    return found
+    key = (spark.sparkContext.applicationId, str(sf_dir))
+    if key not in _STAGES:
+        _STAGES[key] = Stages(spark, str(sf_dir))
+    return _STAGES[key]

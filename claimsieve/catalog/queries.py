@@ -618,5 +618,6 @@ def j8_end_to_end(s: Stages) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label distribution of prepared claims, with the sketched quantiles a large table asks for."""
-    prepared = prepare_claims(claims_view(spark, sf_dir), Workspace(spark))
-    return rules.label_distribution(label_claims(prepared.cleaned))
+    workspace = Workspace(spark)
+    claims = workspace.stage(claims_view(spark, sf_dir), "claims")
+    return rules.label_distribution(label_claims(prepare_claims(claims, workspace).cleaned))
