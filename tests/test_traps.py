@@ -78,13 +78,15 @@ def test_flags_refer_to_rows_before_the_charge_rules(spark, workspace):
 
 def test_ratio_arm_of_the_rule_fires_on_uncapped_rows(spark):
     flags = ", ".join(f"{MIXED_PREFIX}{m} int" for m in MEASURES[3:6])
-    df = spark.createDataFrame([(0, 0, 0, 100.0), (0, 0, 0, 10.0), (0, 0, 0, None), (0, 1, 0, None)], f"{flags}, {RATIO} double")
+    data = [(0, 0, 0, 100.0), (0, 0, 0, 10.0), (0, 0, 0, None), (0, 1, 0, None)]
+    df = spark.createDataFrame(data, f"{flags}, {RATIO} double")
     labelled = rules.label(df, rules.any_rule(rules.fraud_rules()))
     assert [r.is_fraud for r in labelled.collect()] == [1, 0, 0, 1]
 
 
 def test_area_and_accuracy_have_their_own_names(spark):
-    df = spark.createDataFrame([(0.9, 0.0, 1.0), (0.8, 0.0, 1.0), (0.1, 0.0, 0.0)], "rawPrediction double, prediction double, label double")
+    data = [(0.9, 0.0, 1.0), (0.8, 0.0, 1.0), (0.1, 0.0, 0.0)]
+    df = spark.createDataFrame(data, "rawPrediction double, prediction double, label double")
     metrics = {r.metric: r.value for r in learning.evaluate(df, "m", "r").collect()}
     assert metrics["areaUnderROC"] == 1.0
     assert metrics["accuracy"] == pytest.approx(1 / 3)
@@ -117,7 +119,8 @@ def fitted(categories, workspace):
 
 
 def test_flags_can_be_left_out_of_the_features(spark, workspace):
-    df = spark.createDataFrame([("a", 1.0, 0, 1), ("b", 2.0, 1, 0)], f"cat string, x double, {MIXED_PREFIX}x int, is_fraud int")
+    data = [("a", 1.0, 0, 1), ("b", 2.0, 1, 0)]
+    df = spark.createDataFrame(data, f"cat string, x double, {MIXED_PREFIX}x int, is_fraud int")
     wide = encoding.encode(df, encoding.fit_encoder(df, workspace, ["cat"], ["x"]))
     narrow = encoding.encode(df, encoding.fit_encoder(df, workspace, ["cat"], ["x"], flags=()))
     assert encoding.slot_names(wide) == ["x", f"{MIXED_PREFIX}x", "cat_OHE_a", "cat_OHE_b"]
@@ -162,12 +165,17 @@ def test_hash_split_ignores_partitioning(spark):
 def test_seeded_models_repeat(spark, workspace):
     from claimsieve.plans.train import train_and_score
 
-    df = spark.range(400).select(((F.col("id") * 37 % 100) / 50).alias("x"), (F.col("id") % 3).cast("string").alias("cat"), ((F.col("id") * 37 % 100) > 60).cast("int").alias("is_fraud"))
+    x = F.col("id") * 37 % 100
+    df = spark.range(400).select(
+        (x / 50).alias("x"), (F.col("id") % 3).cast("string").alias("cat"), (x > 60).cast("int").alias("is_fraud")
+    )
     stored = workspace.stage(df, "rows")
-    processed = workspace.stage(encoding.to_xy(encoding.encode(stored, encoding.fit_encoder(stored, workspace, ["cat"], ["x"], []))), "xy")
+    encoder = encoding.fit_encoder(stored, workspace, ["cat"], ["x"], [])
+    processed = workspace.stage(encoding.to_xy(encoding.encode(stored, encoder)), "xy")
     for model in ("logistic", "forest"):
         params = {"forest": {"trees": 5}}
-        a, b = (rows(train_and_score(processed, workspace, [model], seed=3, params=params)[model].metrics) for _ in range(2))
+        runs = [train_and_score(processed, workspace, [model], 3, params)[model].metrics for _ in range(2)]
+        a, b = map(rows, runs)
         assert a == b
         assert {r[1] for r in a} == {"areaUnderROC", "accuracy"}
         assert all(0 <= r[2] <= 1 for r in a)
@@ -222,10 +230,14 @@ def test_description_leaves_out_booleans_and_agrees_with_describe(spark):
     assert [r["column"] for r in profiling.describe_table(df).collect()] == ["i", "d", "s"]
 
 
-@pytest.mark.parametrize("text", ["nan", "Infinity", "-inf", "+1", ".5", "1e3", "1E-3", " 2", "2d", "x1", "-", "", "12abc", "NaN", "0x1p3"])
+@pytest.mark.parametrize(
+    "text",
+    ["nan", "Infinity", "-inf", "+1", ".5", "1e3", "1E-3", " 2", "2d", "x1", "-", "", "12abc", "NaN", "0x1p3"],
+)
 def test_only_texts_that_read_as_numbers_are_cast(spark, text):
     df = spark.createDataFrame([(text,)], "s string")
-    row = df.select(profiling._number(df.schema["s"]).alias("guarded"), F.col("s").try_cast("double").alias("plain")).head()
+    guarded, plain = profiling._number(df.schema["s"]), F.col("s").try_cast("double")
+    row = df.select(guarded.alias("guarded"), plain.alias("plain")).head()
     assert repr(row["guarded"]) == repr(row["plain"])
 
 
