@@ -10,7 +10,7 @@ from claimsieve.plans.label import label_claims
 from claimsieve.plans.prepare import Prepared, complete_claims, prepare_claims
 from claimsieve.schema import RAW_TO_LOGICAL
 from claimsieve.sources import spread, write_csv
-from claimsieve.staging import Workspace
+from claimsieve.staging import Workspace, scratch
 
 EXACT = 0.0
 
@@ -78,7 +78,7 @@ class Stages:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
-        self.workspace = Workspace(spark)
+        self.workspace = scratch(spark)
         self._tables: dict[str, object] = {}
 
     def _once(self, name: str, make):
@@ -123,7 +123,7 @@ class Stages:
 
     def scratch(self) -> Workspace:
         """A new folder for a query that writes."""
-        return Workspace(self.spark)
+        return scratch(self.spark)
 
 
 _STAGES: dict[tuple[str, str], Stages] = {}

@@ -6,45 +6,63 @@ RDD checkpoint, is columnar, so a later pass reads only the columns it needs.
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import itertools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def staging_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
-
-    Where it is unset a local session gets a folder of its own; a cluster has to name one.
-    """
+    """The shared folder named by ``spark.checkpoint.dir``, else one below the warehouse, which is shared too."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if not spark.conf.get("spark.master", "local").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    root = tempfile.mkdtemp(prefix="claimsieve-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staging"
 
 
 class Workspace:
-    """One run's folder of stage tables. Staging a name again replaces its table."""
+    """One run's folder of stage tables.
+
+    Every call of :meth:`stage` writes a folder of its own, so that a later call with the same
+    name leaves earlier results readable. As a context manager it drops its folder at the end.
+    """
 
     def __init__(self, spark: SparkSession, root: str | None = None, run_id: str | None = None):
         self.spark = spark
         self.run_id = run_id or uuid.uuid4().hex
         self.path = f"{(root or staging_root(spark)).rstrip('/')}/claimsieve/{self.run_id}"
+        self._calls = itertools.count()
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *exc: object) -> None:
+        self.drop()
 
     def location(self, name: str) -> str:
         return f"{self.path}/{name}"
 
     def stage(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-        """Write ``df`` under ``name`` and return the table read back."""
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(self.location(name))
-        return self.spark.read.schema(df.schema).parquet(self.location(name))
+        """Write ``df`` to a new folder named after ``name`` and return the table read back."""
+        path = self.location(f"{name}-{next(self._calls)}")
+        writer = df.write
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self) -> None:
         """Delete this run's tables; call it when nothing reads them any more."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def scratch(spark: SparkSession) -> Workspace:
+    """A workspace for a lazy result: its tables go when the Python process ends."""
+    workspace = Workspace(spark)
+
+    def clean() -> None:
+        try:
+            workspace.drop()
+        except Exception:  # noqa: BLE001  the session may have ended first
+            pass
+
+    atexit.register(clean)
+    return workspace

@@ -125,22 +125,21 @@ def test_staging_folder_is_the_one_the_session_names():
     assert Workspace(Session(spark_checkpoint_dir="hdfs:///x/"), run_id="r").location("t") == "hdfs:///x/claimsieve/r/t"
 
 
-def test_a_cluster_without_shared_folder_is_refused():
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        staging_root(Session(spark_master="yarn"))
+def test_without_that_setting_the_shared_warehouse_is_used():
+    session = Session(spark_master="yarn", spark_sql_warehouse_dir="hdfs:///house/")
+    assert staging_root(session) == "hdfs:///house/_staging"
 
 
-def test_a_local_session_gets_a_folder_once():
-    session = Session(spark_master="local[2]")
-    assert staging_root(session) == staging_root(session)
+def test_staging_a_name_again_leaves_the_first_table_readable(spark, workspace):
+    first, second = workspace.stage(spark.range(3), "t"), workspace.stage(spark.range(5), "t")
+    assert (first.count(), second.count()) == (3, 5)
 
 
 def test_stage_cuts_the_lineage_and_can_be_dropped(spark, workspace, plan_text):
     staged = workspace.stage(spark.range(10).groupBy((F.col("id") % 3).alias("k")).count(), "t")
     assert "Exchange" not in plan_text(staged)
-    other = Workspace(spark)
-    path = other.location("t")
-    other.stage(spark.range(3), "t")
-    other.drop()
+    with Workspace(spark) as other:
+        path = other.path
+        other.stage(spark.range(3), "t")
     with pytest.raises(PySparkException):
-        spark.read.parquet(path)
+        spark.read.parquet(path + "/*")
