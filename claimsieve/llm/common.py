@@ -49,6 +49,12 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, size: int = PIECE_BYTES
             yield batch.slice(a, b - a)
 
 
+def ascii_lowered(texts: pa.Array) -> pa.Array:
+    """A-Z in lower case; null as empty. The texts are copied first, as ``ascii_lower`` misreads slices of arrays."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    return pc.ascii_lower(texts.take(pa.array(np.arange(len(texts)))))
+
+
 class Words:
     """The words of some texts as codes of their distinct words.
 
@@ -57,8 +63,8 @@ class Words:
     """
 
     def __init__(self, texts: pa.Array, lower: bool):
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+        texts = ascii_lowered(texts) if lower else pc.fill_null(texts.cast(pa.large_string()), "")
+        lists = pc.ascii_split_whitespace(texts)
         offsets = lists.offsets.to_numpy().astype(np.int64)
         encoded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
         self.values = encoded.dictionary

@@ -5,10 +5,12 @@ from __future__ import annotations
 import string
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimsieve.llm import chat, content_sort, lines, warc
+
+from claimsieve.llm import chat, content_sort, decontaminate, language, lines, packing, warc
 from claimsieve.llm.common import read_table, sha256_hex
 from claimsieve.staging import scratch
 
@@ -36,6 +38,12 @@ def _query(sql: str | None = None):
     return register
 
 
+@_query()
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (read_table(spark, sf_dir, name) for name in ("documents", "benchmark"))
+    return decontaminate.contaminated(docs, items)
+
+
 @_query(f"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(range(len(ls))) AS pos, unnest(ls) AS line FROM d),
@@ -65,18 +73,34 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, workspace = read_table(spark, sf_dir, "pages"), scratch(spark)
     path = workspace.location("archive")
     warc.write_warc(pages, path, workspace)
-    read = warc.read_warc(spark, path, workspace)
+    digest = lambda payload: [F.octet_length(payload).alias("payload_size"), warc.base32_sha1(payload).alias("sha1")]
+    read = warc.read_warc(spark, path, workspace, digest)
     revisit = F.col("type") == "revisit"
     number = lambda c: F.nullif(F.col(c), F.lit("")).cast("long")
     return read.select(
         number("id").alias("page_id"),
-        F.when(revisit, F.col("full_length")).otherwise(F.octet_length("payload")).cast("long").alias("payload_bytes"),
-        F.when(revisit, F.col("digest")).otherwise(warc.base32_sha1(F.col("payload"))).alias("payload_digest"),
+        F.when(revisit, F.col("full_length")).otherwise(F.col("payload_size")).cast("long").alias("payload_bytes"),
+        F.when(revisit, F.col("digest")).otherwise(F.col("sha1")).alias("payload_digest"),
         F.col("type").alias("record_type"),
         number("refers_to").alias("refers_to"),
     )
 
 
+@_query()
+def op4_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.train(docs.where(~language.held_out(F.col("doc_id"))).select("text", "lang"))
+    rows = docs.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "text")
+    return language.with_language(rows, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@_query()
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    tokens = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
+    return packing.pack(tokens, scratch(spark))
+
+
 @_query(f"""
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), {_LOWER}) AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,

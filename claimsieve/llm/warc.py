@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -76,17 +77,40 @@ def write_warc(
     rows.join(first, ["key", "size"], "left").select(record.alias("value")).write.option("lineSep", END).text(path)
 
 
-def read_warc(spark: SparkSession, path: str, workspace: Workspace) -> DataFrame:
-    """The records of the archives below ``path``: file, start, headers, payload.
+def read_warc(
+    spark: SparkSession, path: str, workspace: Workspace, summary: Callable[[Column], list[Column]] = lambda payload: [payload.alias("payload")]
+) -> DataFrame:
+    """The records of the archives below ``path``: file, start, header fields, and what ``summary`` makes of the payload.
 
     Any task may start in the middle of a file: it takes every magic string as a candidate record,
     and from the candidate's Content-Length follows where the next record has to start. Candidates
     that a file's start reaches over these links are records; magic strings inside payloads are not
     reached, and their parts are put back into the payload. The links are followed by pointer
     jumping: each round doubles the steps, so that a file of n records takes log2(n) rounds over
-    a table of a few numbers for each candidate.
+    a table of a few numbers for each candidate. Payloads are not shuffled, but for those of records
+    that a magic string cuts.
     Cases: an empty file or folder gives no rows; a file stops counting at its first broken record.
     """
+    found = _scan(spark, path)
+    light = found.select("file", "block", "at", "size", *_links(), *_fields(summary))
+    light = workspace.stage(light, "warc_parts")
+    starts = workspace.stage(_starts(light), "warc_starts")
+    reached = _reached(starts.where("next is not null").select("file", "start", "next"), workspace)
+    records = starts.join(reached, ["file", "start"], "left_semi")
+    # a record has ended where its part ends, unless a magic string in its payload cuts it
+    whole = F.col("start") + len(MAGIC) + F.col("size") == F.col("next")
+    records = workspace.stage(records.withColumn("whole", whole), "warc_records")
+    own = records.where("whole").select("at", "start").join(light.drop("block", "size", "head_size", "length"), "at").drop("at")
+    cut = records.where("not whole").select("file", "start", F.col("next").alias("to"))
+    if cut.isEmpty():
+        return own
+    parts = workspace.stage(found.join(cut.select("file").distinct(), "file", "left_semi"), "warc_cut_files")
+    again = _starts(parts.select("file", "block", "at", "size", *_links()))
+    return own.unionByName(_glued(again, cut, parts).select("file", "start", *_fields(summary)))
+
+
+def _scan(spark: SparkSession, path: str) -> DataFrame:
+    """What lies between magic strings: file, block, order in the block, value, header."""
     meta = F.col("_metadata")
     parts = (
         spark.read.option("lineSep", MAGIC)
@@ -100,10 +124,16 @@ def read_warc(spark: SparkSession, path: str, workspace: Workspace) -> DataFrame
         )
         .withColumn("size", F.octet_length("value").cast("long"))
     )
-    whole = F.octet_length("head") < F.col("size")
-    parts = workspace.stage(parts.withColumn("head", F.when(whole, F.col("head"))), "warc_parts")
+    return parts.withColumn("head", F.when(F.octet_length("head") < F.col("size"), F.col("head")))
+
+
+def _links() -> list[Column]:
+    length = F.regexp_extract("head", r"(?im)^Content-Length: *(\d{1,18}) *$", 1)
+    return [F.octet_length("head").alias("head_size"), length.alias("length")]
 
-    # where each part starts: all that its block has before it, and all earlier blocks of the file
+
+def _starts(parts: DataFrame) -> DataFrame:
+    """Where each part starts (all that its block has before it, and all earlier blocks of the file), and the next record."""
     step = F.col("size") + len(MAGIC)
     in_block = Window.partitionBy("file", "block").orderBy("at")
     in_file = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -114,9 +144,8 @@ def read_warc(spark: SparkSession, path: str, workspace: Workspace) -> DataFrame
         F.coalesce(F.sum("bytes").over(in_file), F.lit(0)).alias("base"),
         (F.sum("bytes").over(Window.partitionBy("file")) - len(MAGIC)).alias("file_bytes"),
     )
-    length = F.regexp_extract("head", r"(?im)^Content-Length: *(\d{1,18}) *$", 1)
-    starts = (
-        parts.select("file", "block", "at", "size", F.octet_length("head").alias("head_size"), length.alias("length"))
+    return (
+        parts.select("file", "block", "at", "size", "head_size", "length")
         .join(blocks, ["file", "block"])
         .withColumn("start", F.col("base") + F.sum(step).over(in_block) - step - len(MAGIC))
         .withColumn("content", F.when(F.col("length") != "", F.col("length")).cast("long"))
@@ -124,14 +153,6 @@ def read_warc(spark: SparkSession, path: str, workspace: Workspace) -> DataFrame
         .where("start >= 0")
         .select("file", "at", "start", "size", F.when(F.col("next") <= F.col("file_bytes"), F.col("next")).alias("next"))
     )
-    starts = workspace.stage(starts, "warc_starts")
-    reached = _reached(starts.where("next is not null").select("file", "start", "next"), workspace)
-    records = starts.join(reached, ["file", "start"], "left_semi")
-    # a record has ended where its part ends, unless a magic string in its payload cuts it
-    whole = F.col("start") + len(MAGIC) + F.col("size") == F.col("next")
-    own = records.where(whole).select("at", "start").join(parts.select("at", "file", "head", "value"), "at")
-    glued = _glued(starts, records.where(~whole).select("file", "start", F.col("next").alias("to")), parts)
-    return own.unionByName(glued).select("file", "start", *_fields())
 
 
 def _reached(links: DataFrame, workspace: Workspace) -> DataFrame:
@@ -153,7 +174,7 @@ def _reached(links: DataFrame, workspace: Workspace) -> DataFrame:
 def _glued(starts: DataFrame, cut: DataFrame, parts: DataFrame) -> DataFrame:
     """Records whose payload holds magic strings: their parts in order, with the magic between."""
     so_far = Window.partitionBy("file").orderBy("start")
-    begun = F.when(F.col("to").isNotNull(), F.struct("at", "start", "to"))
+    begun = F.when(F.col("to").isNotNull(), F.struct("start", "to"))
     marked = (
         starts.join(cut.select("file").distinct(), "file", "left_semi")
         .join(cut, ["file", "start"], "left")
@@ -164,12 +185,10 @@ def _glued(starts: DataFrame, cut: DataFrame, parts: DataFrame) -> DataFrame:
     ordered = F.sort_array(F.collect_list(F.struct("part", "value")))
     joined = marked.join(parts.select("at", "file", "value"), "at").groupBy("file", "owner").agg(ordered.alias("all"))
     value = F.array_join(F.col("all.value"), MAGIC)
-    return joined.select(
-        F.col("owner.at").alias("at"), F.col("owner.start").alias("start"), "file", F.substring_index(value, END, 1).alias("head"), value.alias("value")
-    )
+    return joined.select("file", F.col("owner.start").alias("start"), F.substring_index(value, END, 1).alias("head"), value.alias("value"))
 
 
-def _fields() -> list[Column]:
+def _fields(summary: Callable[[Column], list[Column]]) -> list[Column]:
     """Headers and payload of a record's text without its magic."""
 
     def field(name: str) -> Column:
@@ -185,5 +204,5 @@ def _fields() -> list[Column]:
         F.regexp_extract("head", r"(?im)^WARC-Refers-To: *<urn:page:(-?\d+)>", 1).alias("refers_to"),
         F.regexp_extract("head", r"(?im)^WARC-Payload-Digest: *sha1:(\w+)", 1).alias("digest"),
         field("X-Payload-Length").cast("long").alias("full_length"),
-        payload.alias("payload"),
+        *summary(payload),
     ]
