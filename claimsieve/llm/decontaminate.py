@@ -13,10 +13,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimsieve.llm.common import Words, mix, pieces, window_hashes
+from claimsieve.llm.common import PIECE_BYTES, Words, mix, pieces, window_hashes
 
 #: Word n-grams of the filter ahead of the embedding.
-GRAMS = (2, 3)
+GRAMS = (1, 2, 3)
 
 
 @dataclass(frozen=True)
@@ -48,24 +48,22 @@ def embed(hashes: np.ndarray, begin: np.ndarray, size: int, stop: np.ndarray, se
     move on. Windows with few edits so come to strings with few differing places. A key hashes the
     emitted words of some sampled steps; walk and steps depend on the size and the seed alone.
     """
-    keys = np.empty((search.walks * search.samples, len(begin)), dtype=np.uint64)
-    steps = 3 * size
-    for walk in range(search.walks):
-        rng = np.random.default_rng([search.seed, walk, size])
-        salts = rng.integers(1, 1 << 63, steps, dtype=np.uint64)
-        sampled = [np.sort(rng.choice(steps, min(search.bits, steps), replace=False)) for _ in range(search.samples)]
-        at = begin.copy()
-        end = np.minimum(begin + size, stop)
-        out = [np.full(len(begin), walk * search.samples + k + (size << 16), dtype=np.uint64) for k in range(search.samples)]
-        for step in range(steps):
-            inside = at < end
-            symbol = np.where(inside, hashes[np.minimum(at, len(hashes) - 1)], np.uint64(0))
-            for k in range(search.samples):
-                if step in sampled[k]:
-                    out[k] = mix(out[k] ^ symbol)
-            move = ((symbol ^ salts[step]) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(63)
-            at += move.astype(np.int64) * inside
-        keys[walk * search.samples : (walk + 1) * search.samples] = out
+    n, steps, walks = len(begin), 3 * size, search.walks
+    draws = [np.random.default_rng([search.seed, walk, size]) for walk in range(walks)]
+    salts = np.stack([x.integers(1, 1 << 63, steps, dtype=np.uint64) for x in draws])
+    sampled: dict[int, list[tuple[int, int]]] = {}
+    for walk, sample in np.ndindex(walks, search.samples):
+        for step in draws[walk].choice(steps, min(search.bits, steps), replace=False).tolist():
+            sampled.setdefault(step, []).append((walk, walk * search.samples + sample))
+    keys = np.repeat(np.arange(walks * search.samples, dtype=np.uint64)[:, None] + np.uint64(size << 16), n, axis=1)
+    end = np.minimum(begin + size, stop)
+    at = np.repeat(begin[None], walks, axis=0)
+    padded = np.append(hashes, np.uint64(0))
+    for step in range(max(sampled) + 1):
+        symbol = padded[np.where(at < end, at, len(hashes))]
+        for walk, key in sampled.get(step, ()):
+            keys[key] = mix(keys[key] ^ symbol[walk])
+        at += (((symbol ^ salts[:, step, None]) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(63)).astype(np.int64)
     return keys
 
 
@@ -95,22 +93,34 @@ class ItemIndex:
         return self.hashes[self.offsets[row] : self.offsets[row + 1]]
 
 
-def _windows(index: ItemIndex, size: int, hits: list[np.ndarray], begins: np.ndarray, stops: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Starts of windows of ``size`` words that hold enough of the items' n-grams.
+def _windows(index: ItemIndex, hits: list[np.ndarray], begins: np.ndarray, stops: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each item size the starts of the windows that hold enough of the items' n-grams.
 
     A passage within k edits of an item of m words has at least m - n + 1 - n * k of its n-grams, and
-    the window from its start at least k less; other windows can't match and are left out.
+    the window from its start at least k less; other windows can't match and are left out. What no
+    size of a few neighbouring ones could match is left out first.
     """
-    k = int(index.search.most(size))
-    last = np.maximum(begins, stops - size)
-    starts = np.arange(len(doc))
-    good = starts <= last[doc]
-    for n, upto in zip(GRAMS, hits):
-        least = size - n + 1 - n * k - k
-        if least > 0:
-            end = np.maximum(np.minimum(starts + size, stops[doc]) - n + 1, starts)
-            good &= upto[end] - upto[starts] >= least
-    return np.flatnonzero(good)
+    ends = stops[doc]
+    every = np.arange(len(doc))
+
+    def enough(starts: np.ndarray, size: int, least: list[int]) -> np.ndarray:
+        good = np.ones(len(starts), dtype=bool)
+        stop = np.minimum(starts + size, ends[starts])
+        for n, upto, few in zip(GRAMS, hits, least):
+            if few > 0:
+                good &= upto[np.maximum(stop - n + 1, starts)] - upto[starts] >= few
+        return starts[good]
+
+    def bounds(size: int) -> list[int]:
+        k = int(index.search.most(size))
+        return [size - n + 1 - n * k - k for n in GRAMS]
+
+    for at in range(0, len(index.sizes), 8):
+        sizes = index.sizes[at : at + 8].tolist()
+        maybe = enough(every, sizes[-1], [min(x) for x in zip(*map(bounds, sizes))])
+        for size in sizes:
+            last = np.maximum(begins, stops - size)
+            yield size, enough(maybe[maybe <= last[doc[maybe]]], size, bounds(size))
 
 
 def edit_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -153,8 +163,7 @@ def _search(index: ItemIndex, words: Words) -> Iterator[tuple[int, int, int, int
         hit[maybe[np.isin(found[maybe], grams)]] = 1
         hits.append(np.concatenate([[0], np.cumsum(hit)]))
     pairs = []
-    for size in index.sizes.tolist():
-        starts = _windows(index, size, hits, begins, stops, doc)
+    for size, starts in _windows(index, hits, begins, stops, doc):
         if not len(starts):
             continue
         flat, owner = index.buckets[size]
@@ -179,7 +188,11 @@ def _search(index: ItemIndex, words: Words) -> Iterator[tuple[int, int, int, int
         item, text, k = int(items[a]), int(texts[a]), int(most[a])
         low = max(int(starts[a]) - k, int(begins[text]))
         high = min(int(starts[b - 1]) + int(size[a]) + k, int(stops[text]))
-        edits, begin, end = edit_match(index.item(item), hashes[low:high])
+        own = index.item(item)
+        # two-grams that a passage near the item has to share with it
+        if np.isin(window_hashes(hashes[low:high], 2), window_hashes(own, 2)).sum() < len(own) - 1 - 2 * k:
+            continue
+        edits, begin, end = edit_match(own, hashes[low:high])
         if edits <= k:
             found = (edits, low + begin - int(begins[text]), low + end - int(begins[text]))
             best[text, item] = min(found, best.get((text, item), found))
@@ -223,7 +236,7 @@ def contaminated(
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = sent.value
-            for batch in pieces(batches, "__text"):
+            for batch in pieces(batches, "__text", 2 * PIECE_BYTES):
                 found = list(_search(index, Words(batch.column("__text"), lower=True)))
                 if found:
                     text_row, item, begin, end, edits = map(list, zip(*found))
