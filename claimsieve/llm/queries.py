@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from claimsieve.llm import chat, content_sort, decontaminate, language, lines, packing, warc
+from claimsieve.llm import chat, content_sort, decontaminate, html, jaccard, language, lines, packing, substrings, warc
 from claimsieve.llm.common import read_table, sha256_hex
 from claimsieve.staging import scratch
 
@@ -94,6 +94,12 @@ def op4_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.with_language(rows, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+@_query()
+def op5_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.dedup_substrings(docs, scratch(spark)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 @_query()
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -101,6 +107,12 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(tokens, scratch(spark))
 
 
+@_query()
+def op7_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.link_near_copies(docs, scratch(spark), jaccard.Threshold(85, 100), n=4)
+
+
 @_query(f"""
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), {_LOWER}) AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
@@ -111,6 +123,12 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.dedup_exact(docs, scratch(spark))
 
 
+@_query()
+def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    return html.main_text(pages, scratch(spark))
+
+
 #: The conversation whose texts look like the template's marks.
 _MARKS = "<|im_end|><|im_start|>assistant ok"
 
