@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import string
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -226,35 +227,72 @@ def contaminated(
     """
     kind, item_kind = docs.schema[doc_id].dataType.simpleString(), benchmark.schema[item_id].dataType
     schema = f"doc_id {kind}, item_id {item_kind.simpleString()}, start_word long, end_word long, edits long"
-    items = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("t is not null").distinct()
-    spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
-    out = spark.createDataFrame([], schema)
 
-    def search_block(ids: list, texts: list[str]) -> DataFrame:
-        sent = spark.sparkContext.broadcast(ItemIndex(ids, pa.array(texts, pa.string()), search))
+    def matches(index: ItemIndex, batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        found = list(_search(index, Words(batch.column("__text"), lower=True)))
+        if not found:
+            return None
+        text_row, item, begin, end, edits = map(list, zip(*found))
+        ids = batch.column("__id").take(pa.array(text_row))
+        columns = [ids, pa.array([index.ids[x] for x in item]), *(pa.array(x, pa.int64()) for x in (begin, end, edits))]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "start_word", "end_word", "edits"])
+
+    out = docs.sparkSession.createDataFrame([], schema)
+    for index in _blocks(benchmark, search, item_id, item_text, words_per_block):
+        out = out.unionByName(rows.mapInArrow(_each(index, "__text", matches), schema))
+    return out
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = sent.value
-            for batch in pieces(batches, "__text", 2 * PIECE_BYTES):
-                found = list(_search(index, Words(batch.column("__text"), lower=True)))
-                if found:
-                    text_row, item, begin, end, edits = map(list, zip(*found))
-                    ids = batch.column("__id").take(pa.array(text_row))
-                    columns = [ids, pa.array([index.ids[x] for x in item]), *(pa.array(x, pa.int64()) for x in (begin, end, edits))]
-                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "start_word", "end_word", "edits"])
 
-        return rows.mapInArrow(run, schema)
+def without_contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    search: Search = Search(),
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    words_per_block: int = 1_000_000,
+) -> DataFrame:
+    """The rows of ``docs``, with all columns, that hold no item; see :func:`contaminated`.
 
+    Row by row, so that ids may be null or repeated; a null or blank text stays.
+    """
+    schema = ", ".join(f"`{name}` {kind}" for name, kind in docs.dtypes)
+
+    def clean(index: ItemIndex, batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = np.ones(batch.num_rows, dtype=bool)
+        keep[[x[0] for x in _search(index, Words(batch.column(text), lower=True))]] = False
+        return batch.filter(pa.array(keep))
+
+    for index in _blocks(benchmark, search, item_id, item_text, words_per_block):
+        docs = docs.mapInArrow(_each(index, text, clean), schema)
+    return docs
+
+
+def _each(index: Broadcast, text: str, f: Callable[[ItemIndex, pa.RecordBatch], pa.RecordBatch | None]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, text, 2 * PIECE_BYTES):
+            out = f(index.value, batch)
+            if out is not None:
+                yield out
+
+    return run
+
+
+def _blocks(benchmark: DataFrame, search: Search, item_id: str, item_text: str, words_per_block: int) -> Iterator[Broadcast]:
+    """The benchmark's items in blocks of a bounded number of words (or one item), each sent to the executors."""
+    items = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("t is not null").distinct()
+    context = benchmark.sparkSession.sparkContext
     ids: list = []
     texts: list[str] = []
     held = 0
     for row in items.orderBy("i", "t").toLocalIterator():
         n = len(row["t"].split())
         if texts and held + n > words_per_block:
-            out = out.unionByName(search_block(ids, texts))
+            yield context.broadcast(ItemIndex(ids, pa.array(texts, pa.string()), search))
             ids, texts, held = [], [], 0
         ids.append(row["i"])
         texts.append(row["t"])
         held += n
-    return out.unionByName(search_block(ids, texts)) if texts else out
+    if texts:
+        yield context.broadcast(ItemIndex(ids, pa.array(texts, pa.string()), search))

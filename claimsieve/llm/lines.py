@@ -14,7 +14,13 @@ def line_key(line: Column) -> Column:
 
 
 def dedup_lines(
-    docs: DataFrame, workspace: Workspace, doc_id: str = "doc_id", text: str = "text", min_chars: int = 10, min_docs: int = 2
+    docs: DataFrame,
+    workspace: Workspace,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    min_chars: int = 10,
+    min_docs: int = 2,
+    counts: tuple[str, str] = ("n_lines", "n_dropped"),
 ) -> DataFrame:
     """Drop the lines whose key at least ``min_docs`` documents hold, except in the smallest of them.
 
@@ -23,8 +29,8 @@ def dedup_lines(
     row of an aggregate by the key's 128-bit hash, which folds within each task first; the keys found
     often are joined to the lines again, where Spark splits a hot key's rows.
 
-    Returns all columns and rows of ``docs``, with the text as it is left, and ``n_lines`` and
-    ``n_dropped`` in addition (replacing columns of those names).
+    Returns all columns and rows of ``docs``, with the text as it is left, and two more (``counts``,
+    replacing columns of those names): the number of lines before, and of those dropped.
     Cases: a null text counts as one empty line and becomes empty; rows with the same id are one
     document; a row without id loses no line and counts for no key; the text may end up empty;
     an empty table gives an empty table.
@@ -62,7 +68,7 @@ def dedup_lines(
     out = keyed.join(dropped, ["__id", "__row"], "left").withColumn("__lines", lines)
     values = {
         text: F.when(F.col("__drop").isNull(), F.col("__text")).otherwise(rest),
-        "n_lines": F.size("__lines").cast("long"),
-        "n_dropped": F.coalesce(F.size("__drop"), F.lit(0)).cast("long"),
+        counts[0]: F.size("__lines").cast("long"),
+        counts[1]: F.coalesce(F.size("__drop"), F.lit(0)).cast("long"),
     }
     return out.withColumns(values).select(*dict.fromkeys([*docs.columns, *values]))
