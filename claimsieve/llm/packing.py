@@ -169,7 +169,7 @@ class SumOfSquares:
         return where, c - gap
 
 
-def pack(tokens: DataFrame, workspace: Workspace, capacity: int = 2048, per_task: int = 250_000) -> DataFrame:
+def pack(tokens: DataFrame, workspace: Workspace, capacity: int = 2048, per_task: int = 100_000) -> DataFrame:
     """Give each piece a place: the columns of ``tokens`` and ``sequence_id, offset``.
 
     The pieces are dealt by hash to as many tasks as leaves about ``per_task`` for each, and a task
