@@ -85,6 +85,34 @@ def _take(values: np.ndarray, counts: np.ndarray, rows: np.ndarray) -> np.ndarra
     return values[np.arange(n.sum()) + np.repeat(begins[rows] - (np.cumsum(n) - n), n)]
 
 
+def bit_sketches(values: np.ndarray, counts: np.ndarray, threshold: Threshold) -> list[bytes]:
+    """Each set's parity bits: every value flips one of a power of two of bits.
+
+    The bits in which two sketches differ are at most the values in which the sets differ. A sketch of twice the bits
+    is folded by XOR of its halves. There are 16 bits for each value in which linked sets may differ.
+    """
+    apart = threshold.most_apart(counts.astype(np.int64) * threshold.of // threshold.share)
+    size = np.int64(1) << np.ceil(np.log2(np.maximum(64, 16 * apart))).astype(np.int64)
+    base = np.cumsum(size) - size
+    owner = np.repeat(np.arange(len(counts)), counts)
+    flipped = base[owner] + (mix(values + np.uint64(0x2545F4914F6CDD1D)) & (size[owner] - 1).astype(np.uint64)).astype(np.int64)
+    parity = (np.bincount(flipped, minlength=int(size.sum())) & 1).astype(np.uint8)
+    packed = np.packbits(parity, bitorder="little").tobytes()
+    edges = (np.append(base, size.sum()) // 8).tolist()
+    return [packed[a:b] for a, b in zip(edges, edges[1:])]
+
+
+def bits_apart(a: bytes, b: bytes) -> int:
+    """In how many bits two sketches differ, the longer one folded."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, y, size = int.from_bytes(a, "little"), int.from_bytes(b, "little"), 8 * len(a)
+    while size > 8 * len(b):
+        size //= 2
+        x = (x >> size) ^ (x & ((1 << size) - 1))
+    return (x ^ y).bit_count()
+
+
 def bucket_keys(values: np.ndarray, counts: np.ndarray, threshold: Threshold) -> tuple[np.ndarray, np.ndarray]:
     """(set, key) such that sets that link share a key.
 
@@ -103,7 +131,9 @@ def bucket_keys(values: np.ndarray, counts: np.ndarray, threshold: Threshold) ->
     for step in (0, 1):
         group = band + step
         apart = threshold.most_apart(edges[group + 1] - 1)
-        few = np.minimum(apart // 8, 4)
+        # a set has some 1.2 % empty words at most on average; the few are three deviations more
+        empty = 0.012 * apart
+        few = np.where(apart < 8, 0, np.ceil(empty + 3 * np.sqrt(empty))).astype(np.int64)
         words = apart + 1 + few
         sets, sizes, data = rows, counts[rows], full
         empties: list[list[list[int]]] = []
@@ -133,7 +163,7 @@ def bucket_keys(values: np.ndarray, counts: np.ndarray, threshold: Threshold) ->
     return np.concatenate(owners), np.concatenate(keys)
 
 
-_SETS = "__id {id}, __n long, __sum long, __xor long, __keys array<long>"
+_SETS = "__id {id}, __n long, __sum long, __xor long, __keys array<long>, __bits binary"
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -148,8 +178,9 @@ def link_near_copies(
     A document's set holds the distinct ``n``-word shingles of its text, with A-Z in lower case; two
     documents link when their sets' Jaccard similarity reaches the threshold, and ``component_id`` is
     the smallest id that links reach. All links count, though not all are looked at: equal sets are found by two hashes, and of a bucket of
-    equal sketch words each set is compared in full with the first one. A bucket whose sets
-    are then still in several components goes on with the next sets as centres, twice as many each round, until
+    equal sketch words each set is compared with the first one: first by sketches of single bits, whose
+    distance bounds the sets' difference from below, and if that leaves it open by the whole sets. Of buckets whose sets
+    are then still in several components, one for each choice of sets goes on with the next sets as centres, four times as many each round, until
     it is in one component or all pairs across components have been compared.
     A task lets out the keys of equal sets once.
     Cases: a null or blank text has no shingles and no links; a text with fewer than ``n`` words has
@@ -177,11 +208,14 @@ def link_near_copies(
                 elif new[k]:
                     seen.add(mark)
             fresh = np.flatnonzero(new)
-            owner, keys = bucket_keys(_take(values, counts, fresh), counts[fresh], threshold)
+            own, sizes = _take(values, counts, fresh), counts[fresh]
+            owner, keys = bucket_keys(own, sizes, threshold)
+            bits = np.full(len(counts), None, dtype=object)
+            bits[fresh] = np.array([*bit_sketches(own, sizes, threshold), None], dtype=object)[:-1]
             order = np.argsort(owner, kind="stable")
             each = np.zeros(len(counts), dtype=np.int64)
             each[fresh] = np.bincount(owner, minlength=len(fresh))
-            columns = [batch.column("__id"), pa.array(counts, pa.int64()), pa.array(_signed(total)), pa.array(_signed(parity)), ragged(_signed(keys[order]), each, pa.int64())]
+            columns = [batch.column("__id"), pa.array(counts, pa.int64()), pa.array(_signed(total)), pa.array(_signed(parity)), ragged(_signed(keys[order]), each, pa.int64()), pa.array(bits, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
 
     sets = workspace.stage(rows.mapInArrow(sketched, schema), "sets")
@@ -196,43 +230,68 @@ def link_near_copies(
     shared = workspace.stage(keyed.where("rank > 1 or next is not null").drop("next"), "buckets")
     near = shared.where("doc != first").select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct()
     near = workspace.stage(near, "pairs")
-    texts = shared.select(F.col("doc").alias("__id")).distinct()
-    texts = workspace.stage(rows.join(texts, "__id", "left_semi"), "texts")
-    tested = workspace.stage(_verified(near, texts, threshold, n), "tested")
-    links = tested.where("linked").select("a", "b").unionByName(equal)
+    found = shared.select(F.col("doc").alias("__id")).distinct()
+    sketches = workspace.stage(sets.where("__bits is not null").select("__id", "__n", "__bits").join(found, "__id", "left_semi"), "sketches")
+    tested = workspace.stage(_close(near, sketches, threshold), "tested")
+    texts = workspace.stage(rows.join(tested.where("close").select(F.explode(F.array("a", "b")).alias("__id")).distinct(), "__id", "left_semi"), "texts")
+    links = workspace.stage(_verified(tested.where("close"), texts, threshold, n).unionByName(equal), "links")
     label = components(links, workspace)
     centres = 2
     while True:
         open_ = _open_buckets(shared, label, workspace)
         if open_.where(F.col("rank") > centres).isEmpty():
             break
-        a = open_.where((F.col("rank") >= centres) & (F.col("rank") < 2 * centres))
+        a = open_.where((F.col("rank") >= centres) & (F.col("rank") < 4 * centres))
         a = a.select("key", F.col("doc").alias("a"), F.col("component").alias("ca"), F.col("rank").alias("ra"))
         b = open_.select("key", F.col("doc").alias("b"), F.col("component").alias("cb"), F.col("rank").alias("rb"))
-        more = a.join(b, "key").where("rb > ra and ca != cb").select("a", "b").distinct()
-        more = workspace.stage(more.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if not more.isEmpty():
-            tested = workspace.stage(tested.unionByName(_verified(more, texts, threshold, n)), "tested")
-            links = tested.where("linked").select("a", "b").unionByName(equal)
-            label = components(links, workspace)
-        shared, centres = open_.drop("component"), 2 * centres
+        more = a.join(b, "key").where("rb > ra and ca != cb").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+        more = workspace.stage(_close(workspace.stage(more, "pairs"), sketches, threshold), "tested")
+        tested = workspace.stage(tested.unionByName(more), "tested")
+        if not more.where("close").isEmpty():
+            ids = more.where("close").select(F.explode(F.array("a", "b")).alias("__id")).distinct()
+            texts = workspace.stage(rows.join(ids, "__id", "left_semi"), "texts")
+            new = workspace.stage(_verified(more.where("close"), texts, threshold, n), "links")
+            if not new.isEmpty():
+                links = workspace.stage(links.unionByName(new), "links")
+                label = components(links, workspace)
+        shared, centres = open_.drop("component"), 4 * centres
     out = sets.select("__id", "__n").join(label.withColumnRenamed("node", "__id"), "__id", "left")
     component = F.coalesce("component", "__id")
     return out.select(F.col("__id").alias("doc_id"), F.col("__n").alias("n_shingles"), component.alias("component_id"))
 
 
 def _open_buckets(shared: DataFrame, label: DataFrame, workspace: Workspace) -> DataFrame:
-    """The rows of buckets whose sets are in more than one component."""
+    """The rows of buckets whose sets are in more than one component; of buckets with the same sets, one."""
     known = label.withColumnRenamed("node", "doc")
     rows = shared.join(known, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    rows = workspace.stage(rows, "bucket_rows")
-    spread = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
+    rows = workspace.stage(rows.select("key", "doc", "rank", "component"), "bucket_rows")
+    mark = F.sum(F.xxhash64("doc").cast("decimal(38,0)"))
+    spread = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), mark.alias("mark"), F.count("*").alias("n"))
+    spread = spread.where("low != high").groupBy("mark", "n").agg(F.min("key").alias("key"))
     spread = workspace.stage(spread.select("key"), "open_keys")
     return workspace.stage(rows.join(spread, "key", "left_semi"), "open_buckets")
 
 
+def _close(pairs: DataFrame, sketches: DataFrame, threshold: Threshold) -> DataFrame:
+    """``a, b, close``: whether the sketches leave it open that the sets link."""
+    one = sketches.select(F.col("__id").alias("a"), F.col("__n").alias("n_a"), F.col("__bits").alias("bits_a"))
+    two = sketches.select(F.col("__id").alias("b"), F.col("__n").alias("n_b"), F.col("__bits").alias("bits_b"))
+    kind = dict(pairs.dtypes)["a"]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = (batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()) * (threshold.of - threshold.share)
+            most = (sizes // (threshold.of + threshold.share)).tolist()
+            close = [bits_apart(x, y) <= m for x, y, m in zip(batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist(), most)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(close, pa.bool_())], ["a", "b", "close"])
+
+    found = pairs.join(two, "b").join(one, "a").mapInArrow(compare, f"a {kind}, b {kind}, close boolean")
+    return found.groupBy("a", "b").agg(F.max("close").alias("close"))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: Threshold, n: int) -> DataFrame:
-    """``a, b, linked``: the pairs with whether their whole sets reach the threshold."""
+    """``a, b``: the pairs whose whole sets reach the threshold."""
+    pairs = pairs.select("a", "b")
     one = texts.select(F.col("__id").alias("a"), F.col("__text").alias("text_a"))
     two = texts.select(F.col("__id").alias("b"), F.col("__text").alias("text_b"))
     kind = dict(pairs.dtypes)["a"]
@@ -254,4 +313,4 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: Threshold, n: int)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked)], ["a", "b", "linked"])
 
     found = pairs.join(two, "b").join(one, "a").mapInArrow(compare, f"a {kind}, b {kind}, linked boolean")
-    return found.groupBy("a", "b").agg(F.max("linked").alias("linked"))
+    return found.where("linked").select("a", "b").distinct()

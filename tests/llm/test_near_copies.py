@@ -134,3 +134,16 @@ def test_pieces_keep_all_rows():
     cut = list(pieces(iter([batch, batch.slice(0, 0), batch.slice(2, 3)]), "t", 60))
     assert [x for b in cut for x in b.column("k").to_pylist()] == [*range(7), 2, 3, 4]
     assert len(cut) > 3
+
+
+def test_bits_apart_bound_the_difference():
+    rng = np.random.default_rng(8)
+    threshold = jaccard.Threshold(85)
+    for size in (1, 5, 40, 300, 3000):
+        for other in (size, max(1, size * 3 // 4), size * 2):
+            total = np.unique(rng.integers(0, 1 << 63, 2 * size + other, dtype=np.uint64))
+            rng.shuffle(total)
+            a, b = total[:size], total[size // 3 :][:other]
+            one, two = jaccard.bit_sketches(np.concatenate([a, b]), np.array([len(a), len(b)]), threshold)
+            assert jaccard.bits_apart(one, two) == jaccard.bits_apart(two, one) <= len(np.setxor1d(a, b))
+            assert jaccard.bits_apart(one, one) == 0
