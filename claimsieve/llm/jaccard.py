@@ -179,9 +179,9 @@ def link_near_copies(
     documents link when their sets' Jaccard similarity reaches the threshold, and ``component_id`` is
     the smallest id that links reach. All links count, though not all are looked at: equal sets are found by two hashes, and of a bucket of
     equal sketch words each set is compared with the first one: first by sketches of single bits, whose
-    distance bounds the sets' difference from below, and if that leaves it open by the whole sets. Of buckets whose sets
-    are then still in several components, one for each choice of sets goes on with the next sets as centres, four times as many each round, until
-    it is in one component or all pairs across components have been compared.
+    distance bounds the sets' difference from below, and if that leaves it open by the whole sets. The sets of buckets that
+    are then still in several components make families, in which sketches are compared block by block, and the closest pairs across components
+    are compared in full, until no pair across components is close enough that has not failed.
     A task lets out the keys of equal sets once.
     Cases: a null or blank text has no shingles and no links; a text with fewer than ``n`` words has
     one shingle; rows that share an id are one document with the links of all its texts; a row
@@ -226,54 +226,121 @@ def link_near_copies(
 
     by_key = Window.partitionBy("key").orderBy("doc")
     keyed = sets.where("__id is not null").select(F.col("__id").alias("doc"), F.explode("__keys").alias("key"))
-    keyed = keyed.withColumns({"first": F.first("doc").over(by_key), "rank": F.row_number().over(by_key), "next": F.lead("doc").over(by_key)})
-    shared = workspace.stage(keyed.where("rank > 1 or next is not null").drop("next"), "buckets")
-    near = shared.where("doc != first").select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct()
-    near = workspace.stage(near, "pairs")
+    keyed = keyed.withColumns({"first": F.first("doc").over(by_key), "next": F.lead("doc").over(by_key)})
+    shared = workspace.stage(keyed.where("doc != first or next is not null").select("key", "doc", "first"), "buckets")
+    near = workspace.stage(shared.where("doc != first").select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct(), "pairs")
     found = shared.select(F.col("doc").alias("__id")).distinct()
     sketches = workspace.stage(sets.where("__bits is not null").select("__id", "__n", "__bits").join(found, "__id", "left_semi"), "sketches")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("__id")).distinct()
+        texts = workspace.stage(rows.join(ids, "__id", "left_semi"), "texts")
+        return workspace.stage(_verified(pairs, texts, threshold, n), "links")
+
     tested = workspace.stage(_close(near, sketches, threshold), "tested")
-    texts = workspace.stage(rows.join(tested.where("close").select(F.explode(F.array("a", "b")).alias("__id")).distinct(), "__id", "left_semi"), "texts")
-    links = workspace.stage(_verified(tested.where("close"), texts, threshold, n).unionByName(equal), "links")
+    new = verified(tested)
+    failed = tested.join(new, ["a", "b"], "left_anti")
+    links = workspace.stage(new.unionByName(equal), "links")
     label = components(links, workspace)
-    centres = 2
+    families = _families(shared, label, workspace)
     while True:
-        open_ = _open_buckets(shared, label, workspace)
-        if open_.where(F.col("rank") > centres).isEmpty():
+        candidates = workspace.stage(_forest(families, label, sketches, failed, threshold, workspace), "candidates")
+        if candidates.isEmpty():
             break
-        a = open_.where((F.col("rank") >= centres) & (F.col("rank") < 4 * centres))
-        a = a.select("key", F.col("doc").alias("a"), F.col("component").alias("ca"), F.col("rank").alias("ra"))
-        b = open_.select("key", F.col("doc").alias("b"), F.col("component").alias("cb"), F.col("rank").alias("rb"))
-        more = a.join(b, "key").where("rb > ra and ca != cb").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-        more = workspace.stage(_close(workspace.stage(more, "pairs"), sketches, threshold), "tested")
-        tested = workspace.stage(tested.unionByName(more), "tested")
-        if not more.where("close").isEmpty():
-            ids = more.where("close").select(F.explode(F.array("a", "b")).alias("__id")).distinct()
-            texts = workspace.stage(rows.join(ids, "__id", "left_semi"), "texts")
-            new = workspace.stage(_verified(more.where("close"), texts, threshold, n), "links")
-            if not new.isEmpty():
-                links = workspace.stage(links.unionByName(new), "links")
-                label = components(links, workspace)
-        shared, centres = open_.drop("component"), 4 * centres
+        new = verified(candidates)
+        failed = workspace.stage(failed.unionByName(candidates.join(new, ["a", "b"], "left_anti")), "failed")
+        if not new.isEmpty():
+            links = workspace.stage(links.unionByName(new), "links")
+            label = components(links, workspace)
     out = sets.select("__id", "__n").join(label.withColumnRenamed("node", "__id"), "__id", "left")
     component = F.coalesce("component", "__id")
     return out.select(F.col("__id").alias("doc_id"), F.col("__n").alias("n_shingles"), component.alias("component_id"))
 
 
-def _open_buckets(shared: DataFrame, label: DataFrame, workspace: Workspace) -> DataFrame:
-    """The rows of buckets whose sets are in more than one component; of buckets with the same sets, one."""
+def _families(shared: DataFrame, label: DataFrame, workspace: Workspace) -> DataFrame:
+    """``doc, family``: the sets of buckets that are in more than one component, together where buckets share a set."""
     known = label.withColumnRenamed("node", "doc")
     rows = shared.join(known, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    rows = workspace.stage(rows.select("key", "doc", "rank", "component"), "bucket_rows")
-    mark = F.sum(F.xxhash64("doc").cast("decimal(38,0)"))
-    spread = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), mark.alias("mark"), F.count("*").alias("n"))
-    spread = spread.where("low != high").groupBy("mark", "n").agg(F.min("key").alias("key"))
+    rows = workspace.stage(rows, "bucket_rows")
+    spread = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
     spread = workspace.stage(spread.select("key"), "open_keys")
-    return workspace.stage(rows.join(spread, "key", "left_semi"), "open_buckets")
+    pairs = rows.join(spread, "key", "left_semi").select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct()
+    return components(workspace.stage(pairs, "open_pairs"), workspace).select(F.col("node").alias("doc"), F.col("component").alias("family"))
+
+
+def _forest(
+    families: DataFrame, label: DataFrame, sketches: DataFrame, failed: DataFrame, threshold: Threshold, workspace: Workspace, block_bytes: int = 4 << 20
+) -> DataFrame:
+    """``a, b``: pairs across components that the sketches leave open, no more than join all that they may join.
+
+    The sets of a family are dealt to blocks of bounded bytes and each block is compared with each, sketch by
+    sketch, in a task of its own. Of the pairs that are close enough and have not failed, a block lets out a spanning forest,
+    the closest first.
+    """
+    known = label.withColumnRenamed("node", "doc")
+    rows = families.join(known, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    rows = workspace.stage(rows, "family_rows")
+    several = rows.groupBy("family").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
+    several = workspace.stage(several.select("family"), "open_families")
+    rows = rows.join(several, "family", "left_semi").join(sketches.withColumnRenamed("__id", "doc"), "doc")
+    both = failed.select("a", "b").unionByName(failed.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    rows = rows.join(both.groupBy(F.col("a").alias("doc")).agg(F.collect_set("b").alias("failed")), "doc", "left")
+    rows = workspace.stage(rows, "family_sketches")
+    sizes = rows.groupBy("family").agg(F.ceil(F.sum(F.octet_length("__bits") + 64) / block_bytes).cast("int").alias("blocks"))
+    rows = rows.join(workspace.stage(sizes, "family_sizes"), "family")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+    kind = dict(families.dtypes)["doc"]
+    return rows.groupBy("family", "low", "high").applyInArrow(lambda table: _joining(table, threshold), f"a {kind}, b {kind}").distinct()
+
+
+def _joining(table: pa.Table, threshold: Threshold) -> pa.Table:
+    """Pairs of a block with another, or with itself, that join components, the closest first."""
+    ids, parts, failed = (table.column(x).to_pylist() for x in ("doc", "component", "failed"))
+    n, own = table.column("__n").to_numpy(), table.column("own").to_numpy()
+    bits = table.column("__bits").to_pylist()
+    low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+    number = {x: k for k, x in enumerate(dict.fromkeys(parts))}
+    part = np.array([number[x] for x in parts])
+    lengths = np.array([len(x) for x in bits])
+    by_length = {size: np.flatnonzero(lengths == size) for size in sorted(set(lengths.tolist()))}
+    words = {size: np.frombuffer(b"".join(bits[k] for k in rows), dtype=np.uint64).reshape(len(rows), -1) for size, rows in by_length.items()}
+    found = []
+    for large, rows in by_length.items():
+        folded = words[large]
+        for small in sorted((x for x in by_length if x <= large), reverse=True):
+            while folded.shape[1] * 8 > small:
+                half = folded.shape[1] // 2
+                folded = folded[:, :half] ^ folded[:, half:]
+            columns, others = by_length[small], words[small]
+            for place, k in enumerate(rows):
+                apart = np.bitwise_count(others ^ folded[place]).sum(axis=1, dtype=np.int64)
+                near = apart * (threshold.of + threshold.share) <= (n[columns] + n[k]) * (threshold.of - threshold.share)
+                near &= part[columns] != part[k]
+                near &= (own[columns] != own[k]) if low != high else (columns != k)
+                hits = np.flatnonzero(near)
+                found.extend(zip(apart[hits].tolist(), [int(k)] * len(hits), columns[hits].tolist()))
+    parent = list(range(len(number)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for _, x, y in sorted(found):
+        a, b = find(part[x]), find(part[y])
+        if a != b and ids[y] not in (failed[x] or ()):
+            parent[a] = b
+            out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+    kind = table.schema.field("doc").type
+    return pa.table({"a": pa.array([x for x, _ in out], kind), "b": pa.array([y for _, y in out], kind)})
 
 
 def _close(pairs: DataFrame, sketches: DataFrame, threshold: Threshold) -> DataFrame:
-    """``a, b, close``: whether the sketches leave it open that the sets link."""
+    """``a, b``: the pairs of which the sketches leave it open whether the sets link."""
     one = sketches.select(F.col("__id").alias("a"), F.col("__n").alias("n_a"), F.col("__bits").alias("bits_a"))
     two = sketches.select(F.col("__id").alias("b"), F.col("__n").alias("n_b"), F.col("__bits").alias("bits_b"))
     kind = dict(pairs.dtypes)["a"]
@@ -286,7 +353,7 @@ def _close(pairs: DataFrame, sketches: DataFrame, threshold: Threshold) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(close, pa.bool_())], ["a", "b", "close"])
 
     found = pairs.join(two, "b").join(one, "a").mapInArrow(compare, f"a {kind}, b {kind}, close boolean")
-    return found.groupBy("a", "b").agg(F.max("close").alias("close"))
+    return found.where("close").select("a", "b").distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: Threshold, n: int) -> DataFrame:
