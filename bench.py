@@ -28,7 +28,7 @@ from claimsieve.plans.prepare import prepare_claims  # noqa: E402
 from claimsieve.plans.profile import profile_claims  # noqa: E402
 from claimsieve.plans.train import train_and_score  # noqa: E402
 from claimsieve.session import settings_for  # noqa: E402
-from claimsieve.sources import spread  # noqa: E402
+
 
 QUARTILE_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 CATALOG = ["s1_csv_scan", "a4_dedupe", "a6_describe_all", "m1_string_index", "m1_index_by_join", "m10_auc"]
@@ -103,7 +103,7 @@ def main() -> None:
         "forest_fit_score_auc": lambda: trained("forest"),
         "end_to_end": end_to_end,
         "quartiles_4_columns": lambda: quantiles(
-            spread(table(spark, sf_dir, "lineitem").select(*QUARTILE_COLUMNS)),
+            table(spark, sf_dir, "lineitem").select(*QUARTILE_COLUMNS),
             QUARTILE_COLUMNS,
             [0.25, 0.75],
             0.01,

@@ -2,28 +2,63 @@
 
 from __future__ import annotations
 
-from claimsieve.schema import (
-    ALLOWED,
-    CRITICAL,
-    ENCODED_CATEGORICALS,
-    FILLED_CATEGORICALS,
-    IQR_PREFIX,
-    LABEL,
-    LOGICAL,
-    MEASURES,
-    MIXED_PREFIX,
-    NORMALISED_TEXT,
-    PROFILED_MEASURES,
-    RATIO,
-    SUBMITTED,
-    UNKNOWN,
-    Z_PREFIX,
-)
-
 DIGITS = 4
-ALL = LOGICAL.fieldNames()
-TEXT = [f.name for f in LOGICAL.fields if f.dataType.simpleString() == "string"]
-KEYS = [*CRITICAL, "Total_Services"]
+
+# The columns are written out here and not taken from the library, so that a wrong role there shows.
+TYPES = {
+    "Provider_ID": "bigint",
+    "Provider_Last_Name": "string",
+    "Provider_First_Name": "string",
+    "Provider_Credentials": "string",
+    "Provider_Type": "string",
+    "Provider_State": "string",
+    "Provider_RUCA_Code": "double",
+    "Provider_RUCA_Description": "string",
+    "Medicare_Participation": "string",
+    "Procedure_Code": "string",
+    "Procedure_Description": "string",
+    "Total_Beneficiaries": "double",
+    "Total_Services": "double",
+    "Total_Beneficiary_Days": "double",
+    "Average_Submitted_Charge": "double",
+    "Average_Medicare_Allowed": "double",
+    "Average_Medicare_Payment": "double",
+    "Average_Standardized_Payment": "double",
+}
+ALL = list(TYPES)
+TEXT = [c for c, kind in TYPES.items() if kind == "string"]
+CRITICAL = ["Provider_ID", "Procedure_Code"]
+KEYS = ["Provider_ID", "Procedure_Code", "Total_Services"]
+MEASURES = [
+    "Total_Beneficiaries",
+    "Total_Services",
+    "Total_Beneficiary_Days",
+    "Average_Submitted_Charge",
+    "Average_Medicare_Allowed",
+    "Average_Medicare_Payment",
+    "Average_Standardized_Payment",
+]
+PROFILED_MEASURES = [
+    "Total_Beneficiaries",
+    "Total_Services",
+    "Total_Beneficiary_Days",
+    "Average_Submitted_Charge",
+    "Average_Medicare_Allowed",
+    "Average_Medicare_Payment",
+]
+FILLED_CATEGORICALS = [
+    "Provider_Last_Name",
+    "Provider_First_Name",
+    "Provider_Credentials",
+    "Provider_Type",
+    "Provider_State",
+    "Provider_RUCA_Description",
+]
+NORMALISED_TEXT = ["Provider_Last_Name", "Provider_First_Name", "Provider_Credentials", "Provider_Type"]
+ENCODED_CATEGORICALS = ["Provider_Credentials", "Provider_Type", "Provider_State", "Medicare_Participation"]
+SUBMITTED, ALLOWED = "Average_Submitted_Charge", "Average_Medicare_Allowed"
+RATIO, LABEL, UNKNOWN = "Valid_Charge_Ratio", "is_fraud", "Unknown"
+Z_PREFIX, IQR_PREFIX, MIXED_PREFIX = "Z_Outlier_Flag_", "IQR_Outlier_Flag_", "Mixed_Outlier_Flag_"
 FLAGS = [prefix + m for prefix in (Z_PREFIX, IQR_PREFIX, MIXED_PREFIX) for m in MEASURES]
 MIXED = [MIXED_PREFIX + m for m in MEASURES]
 CLEANED = [*ALL, *FLAGS, RATIO]
@@ -180,16 +215,26 @@ def _round(expression: str, name: str | None = None, digits: int = DIGITS) -> st
     return f"round({expression}, {digits}) AS {name or expression}"
 
 
-def _profile(scaled: bool, named: bool) -> str:
-    def part(p: str) -> str:
-        return _round(f"CASE WHEN sd = 0 THEN 0 ELSE {p} / sd END" if scaled else f"CAST({p} AS DOUBLE)", p)
+def _entries(numeric) -> str:
+    """The slots of a labelled row: number, name, value and deviation."""
+    measures = [f"{{'i': {i}, 'n': '{c}', 'x': CAST({c} AS DOUBLE), 'sd': (SELECT sd FROM slots WHERE name = '{c}')}}" for i, c in enumerate(numeric)]
+    blocks = [f"{{'i': b{i}.slot, 'n': b{i}.name, 'x': CASE WHEN b{i}.slot IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END, 'sd': b{i}.sd}}" for i in range(len(ENCODED_CATEGORICALS))]
+    return "[" + ", ".join([*measures, *blocks]) + "]"
 
-    nonzero = "CASE WHEN sd = 0 THEN 0 ELSE nonzero END" if scaled else "nonzero"
-    names = "name, " if named else ""
-    return (
-        f"SELECT slot, {names}{_list(part(p) for p in ('mean', 'min', 'max'))},"
-        f" CAST({nonzero} AS BIGINT) AS nonzero FROM slots"
-    )
+
+_BLOCKS = " ".join(f"LEFT JOIN slots b{i} ON b{i}.name = '{c}_OHE_' || labelled.{c}" for i, c in enumerate(ENCODED_CATEGORICALS))
+
+
+def _vectors(numeric, scaled: bool = True, named: bool = False, beside: str = "") -> str:
+    """Each labelled row's keys and the slots of its vector that are not zero."""
+    value = "CASE WHEN v.sd = 0 THEN 0 ELSE v.x / v.sd END" if scaled else "v.x"
+    text = f"CAST({'v.n' if named else 'v.i'} AS VARCHAR) || ':' || CAST(CAST(round({value}, {DIGITS}) AS DECIMAL(18, 4)) AS VARCHAR)"
+    some = f"list_filter({_entries(numeric)}, lambda v: v.x <> 0 AND {'v.sd <> 0' if scaled else 'true'})"
+    keys = _list(f"labelled.{c}" for c in KEYS)
+    return f"SELECT {keys}, {beside} array_to_string(list_transform({some}, lambda v: {text}), ' ') AS slots FROM labelled {_BLOCKS}"
+
+
+_LABEL_BESIDE = f"CAST({LABEL} AS DOUBLE) AS label,"
 
 
 def _describe(table: str, columns, nulls: bool = False) -> str:
@@ -216,7 +261,7 @@ def _describe(table: str, columns, nulls: bool = False) -> str:
 def _long(source: str, output: str, item: str, statistics) -> str:
     return " UNION ALL ".join(
         f"SELECT '{output}' AS output, CAST({item} AS VARCHAR) AS item, '{s}' AS statistic,"
-        f' round(CAST("{s}" AS DOUBLE), {DIGITS}) AS value FROM ({source})'
+        f' round(CAST("{s}" AS DOUBLE), {DIGITS}) AS value, CAST(NULL AS VARCHAR) AS text FROM ({source})'
         for s in statistics
     )
 
@@ -246,6 +291,16 @@ _PROFILE = " UNION ALL ".join(
             "item",
             ["count"],
         ),
+        _long(
+            f"SELECT *, row_number() OVER (ORDER BY {_list(f'{c} NULLS FIRST' for c in CLEANED)}) AS place FROM"
+            f" (SELECT * FROM cleaned ORDER BY {_list(f'{c} NULLS FIRST' for c in CLEANED)} LIMIT 20)",
+            "first_rows",
+            "place",
+            ["Provider_ID", *MEASURES],
+        ),
+        "SELECT 'schema', name, 'type', CAST(NULL AS DOUBLE), type FROM (VALUES "
+        + _list(f"('{c}', '{TYPES.get(c, 'double' if c == RATIO else 'int')}')" for c in CLEANED)
+        + ") AS t(name, type)",
     ]
 )
 
@@ -261,7 +316,10 @@ def _auc(score: str, model: str) -> str:
 
 
 _LINE_METRICS = f"{_auc('l_extendedprice', 'price')} UNION ALL {_auc('l_quantity', 'quantity')}"
-_METRIC_FILES = f"SELECT model, metric, value, run_id, model || '_metrics.csv' AS Source FROM ({_LINE_METRICS})"
+_METRIC_FILES = (
+    "SELECT model, metric, value, CASE model WHEN 'price' THEN run_id END AS run_id, model || '_metrics.csv' AS Source"
+    f" FROM ({_LINE_METRICS})"
+)
 _ACCURACY = """SELECT 'price', 'accuracy',
   round(avg(CASE WHEN (l_extendedprice > 50000) = (l_returnflag = 'R') THEN 1.0 ELSE 0.0 END), 9), 'run'
   FROM lineitem"""
@@ -294,35 +352,15 @@ def _flatten() -> str:
     for value in "FO":
         indicator = f"(CASE WHEN Medicare_Participation = '{value}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)"
         columns.append(_round(scaled(indicator), f"Medicare_Participation_OHE_{value}"))
-    return f"SELECT {_list(columns)} FROM labelled"
-
-
-def _features_by_label() -> str:
-    def rows(y: int) -> str:
-        own = f"labelled WHERE {LABEL} = {y}"
-        numeric = " UNION ALL ".join(
-            f"SELECT '{c}' AS name, avg({c}) AS mean, count(*) FILTER (WHERE {c} <> 0) AS nonzero FROM {own}"
-            for c in [*MEASURES, *MIXED]
-        )
-        blocks = " UNION ALL ".join(
-            f"SELECT '{c}_OHE_' || {c}, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM {own}), count(*)"
-            f" FROM {own} GROUP BY {c}"
-            for c in ENCODED_CATEGORICALS
-        )
-        return (
-            f"SELECT CAST({y} AS DOUBLE) AS label, slot,"
-            " round(CASE WHEN sd = 0 THEN 0 ELSE coalesce(o.mean, 0) / sd END, 4) AS mean,"
-            " CAST(CASE WHEN sd = 0 THEN 0 ELSE coalesce(o.nonzero, 0) END AS BIGINT) AS nonzero"
-            f" FROM slots LEFT JOIN ({numeric} UNION ALL {blocks}) o USING (name)"
-        )
-
-    return f"{rows(0)} UNION ALL {rows(1)}"
+    for i, c in enumerate(ENCODED_CATEGORICALS[:3]):
+        columns.append(f"CASE WHEN b{i}.sd <> 0 THEN b{i}.name END AS {c}_slot")
+        columns.append(f"round(CASE WHEN b{i}.sd <> 0 THEN 1.0::DOUBLE / b{i}.sd ELSE 0 END, {DIGITS}) AS {c}_value")
+    return f"SELECT {_list([*CRITICAL, *columns])} FROM labelled {_BLOCKS}"
 
 
-def _schema_rows() -> str:
-    types = {f.name: f.dataType.simpleString() for f in LOGICAL.fields}
-    types |= {f: "int" for f in FLAGS} | {RATIO: "double", LABEL: "int"}
-    rows = _list(f"('{c}', '{types[c]}', true)" for c in LABELLED)
+def _schema_rows(columns, more: str = "") -> str:
+    types = {**TYPES, **{f: "int" for f in FLAGS}, RATIO: "double", LABEL: "int"}
+    rows = _list(f"('{c}', '{types[c]}', true)" for c in columns)
     return f"SELECT name, type, nullable FROM (VALUES {rows}) AS t(name, type, nullable)"
 
 
@@ -335,6 +373,35 @@ SELECT p.*, {_flag("value")} FROM p, stats
 
 _TYPED = _each(MEASURES, lambda c: f"CAST({c} AS DOUBLE)")
 
+#: What stays of a file whose keys and charges are spoilt by rule, and what is refused.
+_MISFITS = f"""SELECT key, code, charge, rejected FROM (
+  SELECT CASE WHEN bad_key THEN Provider_ID || 'x' ELSE CAST(Provider_ID AS VARCHAR) END AS key, Procedure_Code AS code,
+    CASE WHEN bad_charge THEN '1,200.50' END AS charge,
+    concat_ws(',', CASE WHEN bad_key THEN 'Rndrng_NPI' END, CASE WHEN bad_charge THEN 'Avg_Sbmtd_Chrg' END) AS rejected
+  FROM (SELECT *, coalesce(Provider_ID % 97 = 0, false) AS bad_key, Total_Services = 7 AS bad_charge FROM claims))"""
+
+#: All claims, copies included, labelled by the statistics of the first batch.
+_LATER = f"""SELECT {_list([*KEYS, RATIO, LABEL, *MIXED])}, true AS scored FROM (
+  SELECT *, CASE WHEN {_RULE} THEN 1 ELSE 0 END AS {LABEL} FROM (
+    SELECT p.*, {_list(_flag(m) for m in MEASURES)}, {_RATIO} FROM filled p, stats)
+  WHERE {RATIO} <= 10 AND {SUBMITTED} >= {ALLOWED} AND {SUBMITTED} <= 10 * {ALLOWED})"""
+
+_DESCRIBED = len(CLEANED)
+_END_TO_END = f"""
+SELECT stage, '' AS item, CAST(n AS BIGINT) AS rows FROM (
+  SELECT unnest(['labelled', 'processed']) AS stage, count(*) AS n FROM labelled
+  UNION ALL VALUES ('schema', {_DESCRIBED}), ('columns', {_DESCRIBED}), ('measures', 6), ('nulls', {_DESCRIBED}), ('first_rows', 20)
+  UNION ALL SELECT 'mean_charge_by_type', count(DISTINCT Provider_Type) FROM labelled
+  UNION ALL SELECT 'rows_by_state', count(DISTINCT Provider_State) FROM labelled
+  UNION ALL SELECT 'high_charges', count(*) FROM labelled WHERE {SUBMITTED} > 1000)
+UNION ALL SELECT 'scored', 'beyond each test row once by each model', 0
+UNION ALL SELECT 'label', CAST({LABEL} AS VARCHAR), count(*) FROM labelled GROUP BY {LABEL}
+UNION ALL SELECT 'metric', unnest(['lr_metrics.csv areaUnderROC', 'lr_metrics.csv accuracy', 'rf_metrics.csv areaUnderROC', 'rf_metrics.csv accuracy']), 1
+"""
+
+_MODEL_METRICS = """SELECT unnest(['logistic', 'logistic', 'forest', 'forest']) AS model,
+  unnest(['areaUnderROC', 'accuracy', 'areaUnderROC', 'accuracy']) AS metric, true AS as_recomputed"""
+
 # Bodies that read the chain of stages.
 _BODIES = {
     "s1_csv_scan": f"SELECT {_TYPED} FROM claims",
@@ -342,9 +409,9 @@ _BODIES = {
     f" FROM (SELECT {_TYPED} FROM claims)",
     "s4_parquet_roundtrip": "SELECT * FROM claims",
     "s5_csv_roundtrip": "SELECT * FROM complete",
-    "s8_vector_roundtrip": _profile(scaled=True, named=False),
+    "s8_vector_roundtrip": _vectors([*MEASURES, *MIXED]),
     "s9_preview": _in_order("cleaned", CLEANED, 20),
-    "s10_schema": _schema_rows(),
+    "s10_schema": _schema_rows(LABELLED),
     "p1_rename": "SELECT * FROM claims",
     "p2_drop_critical": "SELECT * FROM claims WHERE Provider_ID IS NOT NULL AND Procedure_Code IS NOT NULL",
     "p3_fill_unknown": f"SELECT {_each(FILLED_CATEGORICALS, lambda c: f"coalesce({c}, '{UNKNOWN}')")} FROM claims",
@@ -361,7 +428,7 @@ _BODIES = {
     "p13_label_cast": f"SELECT {_list(KEYS)}, CAST({LABEL} AS DOUBLE) AS label FROM labelled",
     "p14_source_column": f"SELECT {_list(KEYS)}, 'claims' AS Source FROM claims",
     "p15_prefix_columns": f"SELECT {_list([*KEYS, *MIXED])} FROM cleaned",
-    "p16_select_features": _features_by_label(),
+    "p16_select_features": _vectors([*MEASURES, *MIXED], beside=_LABEL_BESIDE),
     "p17_vector_flatten": _flatten(),
     "a1_median": " UNION ALL ".join(
         f"SELECT '{m}' AS \"column\", median_{m} AS median FROM medians" for m in MEASURES
@@ -402,27 +469,37 @@ _BODIES = {
     f" UNION ALL SELECT {_list(KEYS)}, {LABEL}, 'suspicious' FROM labelled WHERE {LABEL} = 1",
     "m1_string_index": _label_rows("claims"),
     "m1_index_by_join": _label_rows("claims"),
-    "m2_one_hot": 'SELECT "column", index AS slot, "count" AS nonzero FROM indices',
-    "m3_assemble": _profile(scaled=False, named=True),
-    "m4_scale": _profile(scaled=True, named=True),
-    "m5_pipeline": _profile(scaled=True, named=False),
-    "m5_pipeline_many_labels": _profile(scaled=True, named=False),
+    "m2_one_hot": "SELECT "
+    + _list([*(f"labelled.{c}" for c in KEYS), *(f"coalesce(i{n}.index || ':1.0000', '') AS {c}" for n, c in enumerate(ENCODED_CATEGORICALS))])
+    + " FROM labelled "
+    + " ".join(f"LEFT JOIN indices i{n} ON i{n}.\"column\" = '{c}' AND i{n}.label = labelled.{c}" for n, c in enumerate(ENCODED_CATEGORICALS)),
+    "m6_random_split": "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS in_both_or_neither, true AS near_share FROM labelled",
+    "m9_score": f"SELECT count(*) AS rows, count(*) AS matching FROM labelled WHERE NOT ({_TRAIN})",
+    "j9_later_batch": _LATER,
+    "s1_rejected_rows": _MISFITS,
+    "m3_assemble": _vectors([*MEASURES, *MIXED], scaled=False, named=True),
+    "m4_scale": _vectors([*MEASURES, *MIXED], named=True),
+    "m5_pipeline": _vectors([*MEASURES, *MIXED]),
+    "m5_pipeline_many_labels": _vectors([*MEASURES, *MIXED]),
     "m6_hash_split": f"SELECT {_list(KEYS)}, CASE WHEN {_TRAIN} THEN 'train' ELSE 'test' END AS Source FROM labelled",
     "m6_stored_split": f"SELECT {_list([*KEYS, LABEL])} FROM labelled",
     "j1_prepare": "SELECT * FROM cleaned",
     "j2_profile": _PROFILE,
     "j3_label": "SELECT * FROM labelled",
-    "j4_encode": _profile(scaled=True, named=False),
+    "j4_encode": _vectors([*MEASURES, *MIXED], beside=_LABEL_BESIDE),
     "j7_sample": _in_order("labelled", LABELLED, 50),
-    "j8_end_to_end": f'SELECT {LABEL}, count(*) AS "count" FROM labelled GROUP BY {LABEL}',
+    "j8_end_to_end": _END_TO_END,
 }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         **{name: f"{CHAIN_ALL} {body}" for name, body in _BODIES.items()},
-        "j4_encode_without_flags": f"{CHAIN_WITHOUT_FLAGS} {_profile(scaled=True, named=False)}",
-        "s3_parquet_scan": "SELECT * EXCLUDE (l_shipdate) FROM lineitem",
+        "j4_encode_without_flags": f"{CHAIN_WITHOUT_FLAGS} {_vectors(MEASURES, beside=_LABEL_BESIDE)}",
+        "m7_logistic": f"{CHAIN_WITHOUT_FLAGS} SELECT slot, name, true AS vanishes FROM slots",
+        "m8_forest": "SELECT 100 AS trees, 5 AS depth, true AS same, true AS tells_apart",
+        "j5_train": _MODEL_METRICS,
+        "s3_parquet_scan": "SELECT * REPLACE (CAST(l_shipdate AS VARCHAR) AS l_shipdate) FROM lineitem",
         "s6_metric_append": _LINE_METRICS,
         "s7_skip_missing": _METRIC_FILES,
         "j6_consolidate": _METRIC_FILES,

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimsieve.catalog.claims_view import EXACT, Stages, claims_view, raw_names, stages, table
 from claimsieve.functions import quantiles
 from claimsieve.operators import cleaning, encoding, labels, learning, outliers, profiling, reporting, rules
+from claimsieve.plans.artefacts import Artefacts
 from claimsieve.plans.consolidate import consolidate_metrics
 from claimsieve.plans.encode import encode_claims
 from claimsieve.plans.label import label_claims
@@ -27,15 +26,15 @@ from claimsieve.sources import (
     describe_schema,
     preview,
     read_claims,
+    read_claims_checked,
     read_metric_files,
     read_stage,
     read_strings,
-    spread,
     write_csv,
     write_metric_file,
     write_stage,
 )
-from claimsieve.staging import Workspace
+from claimsieve.staging import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -67,6 +66,24 @@ def s1_csv_scan(s: Stages) -> DataFrame:
     return cleaning.rename_columns(read_claims(s.spark, s.raw_csv()))
 
 
+@query
+def s1_rejected_rows(s: Stages) -> DataFrame:
+    """Rows of a file with keys and amounts that don't fit their types, kept and rejected."""
+    path = s.scratch().location("misfits")
+    as_text = lambda c: F.col(c).cast("string")
+    key = F.when(F.col("Provider_ID") % 97 == 0, F.concat(as_text("Provider_ID"), F.lit("x"))).otherwise(as_text("Provider_ID"))
+    charge = F.when(F.col("Total_Services") == 7, F.lit("1,200.50")).otherwise(as_text("Average_Submitted_Charge"))
+    text = s.claims().withColumns({"Provider_ID": key, "Average_Submitted_Charge": charge})
+    write_csv(raw_names(text), path)
+    good, bad = read_claims_checked(s.spark, path)
+    names = {"Rndrng_NPI": "key", "HCPCS_Cd": "code", "Avg_Sbmtd_Chrg": "charge"}
+    kept = good.select(*(F.col(c).cast("string").alias(n) for c, n in names.items()), F.lit("").alias("rejected"))
+    kept = kept.withColumn("charge", F.lit(None).cast("string"))
+    refused = bad.select(*(F.col(c).alias(n) for c, n in names.items()), F.array_join("rejected_columns", ",").alias("rejected"))
+    refused = refused.withColumn("charge", F.when(F.col("rejected").contains("Avg_Sbmtd_Chrg"), F.col("charge")))
+    return kept.unionByName(refused)
+
+
 @query
 def s2_csv_strings(s: Stages) -> DataFrame:
     text = cleaning.rename_columns(read_strings(s.spark, s.raw_csv()))
@@ -75,7 +92,7 @@ def s2_csv_strings(s: Stages) -> DataFrame:
 
 @query
 def s3_parquet_scan(s: Stages) -> DataFrame:
-    return read_stage(s.spark, f"{s.sf_dir}/lineitem.parquet").drop("l_shipdate")
+    return read_stage(s.spark, f"{s.sf_dir}/lineitem.parquet").withColumn("l_shipdate", F.col("l_shipdate").cast("string"))
 
 
 @query
@@ -90,11 +107,11 @@ def s4_parquet_roundtrip(s: Stages) -> DataFrame:
 def s5_csv_roundtrip(s: Stages) -> DataFrame:
     path = s.scratch().location("claims_csv")
     write_csv(raw_names(s.complete()), path)
-    return cleaning.rename_columns(read_claims(s.spark, path, strict=True))
+    return cleaning.rename_columns(read_claims(s.spark, path))
 
 
 def _scored_lines(s: Stages, score: str) -> DataFrame:
-    line = spread(table(s.spark, s.sf_dir, "lineitem"))
+    line = table(s.spark, s.sf_dir, "lineitem")
     return line.select(
         F.col(score).alias("rawPrediction"), (F.col("l_returnflag") == "R").cast("double").alias("label")
     )
@@ -116,9 +133,10 @@ def s6_metric_append(s: Stages) -> DataFrame:
 
 
 def _metric_folder(s: Stages) -> str:
-    folder = s.scratch().path
-    for name, metrics in _line_metrics(s).items():
-        write_metric_file(metrics, f"{folder}/{name}_metrics.csv")
+    """Two files whose headers differ in order, and one of which lacks a column."""
+    folder, metrics = s.scratch().path, _line_metrics(s)
+    write_metric_file(metrics["price"], f"{folder}/price_metrics.csv")
+    write_metric_file(metrics["quantity"].select("value", "model", "metric"), f"{folder}/quantity_metrics.csv")
     return folder
 
 
@@ -134,8 +152,8 @@ def s7_skip_missing(s: Stages) -> DataFrame:
 @query
 def s8_vector_roundtrip(s: Stages) -> DataFrame:
     path = s.scratch().location("processed")
-    write_stage(encoding.to_xy(s.encoded()), path)
-    return _slot_profile(read_stage(s.spark, path), "scaled_features")
+    write_stage(encoding.to_xy(s.encoded(), *KEYS), path)
+    return _vector_rows(read_stage(s.spark, path), "scaled_features")
 
 
 @query
@@ -231,17 +249,22 @@ def p15_prefix_columns(s: Stages) -> DataFrame:
 
 @query
 def p16_select_features(s: Stages) -> DataFrame:
-    summary = Summarizer.metrics("mean", "numNonZeros").summary(F.col("scaled_features"))
-    return _slots(encoding.to_xy(s.encoded()).groupBy("label").agg(summary.alias("s")), ["mean", "numNonZeros"], "label")
+    return _vector_rows(encoding.to_xy(s.encoded(), *KEYS), "scaled_features", "label")
 
 
 @query
 def p17_vector_flatten(s: Stages) -> DataFrame:
+    """All slots as columns. Those of three blocks come together: which one is set, and to what."""
     encoded = s.encoded()
     wanted = [*MEASURES, *(MIXED_PREFIX + m for m in MEASURES), *PARTICIPATION_SLOTS]
     names = encoding.slot_names(encoded)
-    flat = encoding.flatten_vector(encoded, "scaled_features", names, wanted)
-    return flat.select(*(rounded(c) for c in wanted))
+    flat = encoding.flatten_vector(encoded, "scaled_features", names, beside=CRITICAL)
+    blocks = []
+    for column in ENCODED_CATEGORICALS[:3]:
+        own = [n for n in names if n.startswith(f"{column}_OHE_")]
+        blocks.append(F.coalesce(*(F.when(F.col(f"`{n}`") != 0, F.lit(n)) for n in own)).alias(f"{column}_slot"))
+        blocks.append(F.round(sum((F.col(f"`{n}`") for n in own), F.lit(0.0)), DIGITS).alias(f"{column}_value"))
+    return flat.select(*CRITICAL, *(rounded(c) for c in wanted), *blocks)
 
 
 # Aggregates and duplicates
@@ -385,9 +408,11 @@ def o4_event_flags(s: Stages) -> DataFrame:
 @query
 def o4_stored_stats(s: Stages) -> DataFrame:
     p = s.prepared()
-    stored = s.scratch().stage(outliers.stats_frame(s.spark, p.stats), "stats")
+    other = [outliers.MeasureStats(x.column, 0.0, 1.0, 0.0, 1.0) for x in p.stats]
+    both = outliers.stats_frame(s.spark, p.stats, "first").union(outliers.stats_frame(s.spark, other, "second"))
+    stored = s.scratch().stage(both, "stats")
     later = cleaning.measures_as_double(s.claims())
-    flagged = outliers.flag_outliers(later, outliers.stats_from_frame(stored))
+    flagged = outliers.flag_outliers(later, outliers.stats_from_frame(stored, "first"))
     return flagged.select(*KEYS, *(MIXED_PREFIX + m for m in MEASURES))
 
 
@@ -424,85 +449,65 @@ def _label_indices(indexed: DataFrame) -> DataFrame:
     )
 
 
+def _indexed_claims(s: Stages, head: int) -> DataFrame:
+    claims, workspace = s.claims(), s.scratch()
+    counts = labels.label_counts(claims, ENCODED_CATEGORICALS)
+    known = workspace.stage(labels.indexed_labels(counts, workspace), "labels")
+    return _label_indices(labels.index_by_join(claims, known, ENCODED_CATEGORICALS, head))
+
+
 @query
 def m1_string_index(s: Stages) -> DataFrame:
-    claims = s.claims()
-    counts = labels.label_counts(claims, ENCODED_CATEGORICALS)
-    found = labels.collected_labels(counts, ENCODED_CATEGORICALS, encoding.LABEL_BOUND)
-    return _label_indices(PipelineModel(labels.indexers(found)).transform(claims))
+    return _indexed_claims(s, labels.HEAD)
 
 
 @query
 def m1_index_by_join(s: Stages) -> DataFrame:
-    claims = s.claims()
-    counts = labels.label_counts(claims, ENCODED_CATEGORICALS)
-    table_of_labels = s.scratch().stage(labels.indexed_labels(counts, s.scratch()), "labels")
-    return _label_indices(labels.index_by_join(claims, table_of_labels, ENCODED_CATEGORICALS, head=5))
-
-
-def _slots(summary: DataFrame, parts: list[str], *by: str) -> DataFrame:
-    """Summaries of a vector as one row per slot."""
-    zipped = F.arrays_zip(*(vector_to_array(F.col(f"s.{p}")).alias(p) for p in parts))
-    rows = summary.select(*by, F.posexplode(zipped).alias("slot", "v"))
-    return rows.select(
-        *by,
-        "slot",
-        *(
-            F.col(f"v.{p}").cast("long").alias("nonzero")
-            if p == "numNonZeros"
-            else F.round(F.col(f"v.{p}"), DIGITS).alias(p)
-            for p in parts
-        ),
-    )
+    """With most labels outside the broadcast head."""
+    return _indexed_claims(s, 5)
 
 
-def _slot_profile(df: DataFrame, column: str) -> DataFrame:
-    parts = ["mean", "min", "max", "numNonZeros"]
-    return _slots(df.agg(Summarizer.metrics(*parts).summary(F.col(column)).alias("s")), parts)
+def _vector_text(column: str, names: list[str] | None = None):
+    """The slots of a vector that are not zero, with their numbers or names, rounded."""
+    slots = F.transform(vector_to_array(column), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    name = (lambda i: F.element_at(F.array(*(F.lit(n) for n in names)), i + 1)) if names else (lambda i: i.cast("string"))
+    text = lambda v: F.concat(name(v["i"]), F.lit(":"), F.round(v["x"], DIGITS).cast("decimal(18,4)").cast("string"))
+    return F.array_join(F.transform(F.filter(slots, lambda v: v["x"] != 0), text), " ")
 
 
-def _named(profile: DataFrame, names: list[str]) -> DataFrame:
-    named = profile.sparkSession.createDataFrame(list(enumerate(names)), "slot int, name string")
-    return profile.join(F.broadcast(named), "slot")
+def _vector_rows(df: DataFrame, column: str, *beside: str, names: list[str] | None = None) -> DataFrame:
+    """Each row's keys and whole vector."""
+    return df.select(*KEYS, *beside, _vector_text(column, names).alias("slots"))
 
 
 @query
 def m2_one_hot(s: Stages) -> DataFrame:
-    encoded = s.encoded()
-    frames = [
-        _slots(
-            encoded.agg(Summarizer.metrics("numNonZeros").summary(F.col(f"{c}_OHE")).alias("s")), ["numNonZeros"]
-        ).withColumn("column", F.lit(c))
-        for c in ENCODED_CATEGORICALS
-    ]
-    return reporting.union_all(frames)
+    return s.encoded().select(*KEYS, *(_vector_text(f"{c}_OHE").alias(c) for c in ENCODED_CATEGORICALS))
 
 
 @query
 def m3_assemble(s: Stages) -> DataFrame:
-    encoded = s.encoded()
-    return _named(_slot_profile(encoded, "features"), encoding.slot_names(encoded))
+    return _vector_rows(s.encoded(), "features", names=encoding.slot_names(s.encoded()))
 
 
 @query
 def m4_scale(s: Stages) -> DataFrame:
-    encoded = s.encoded()
-    return _named(_slot_profile(encoded, "scaled_features"), encoding.slot_names(encoded))
+    return _vector_rows(s.encoded(), "scaled_features", names=encoding.slot_names(s.encoded()))
 
 
 @query
 def m5_pipeline(s: Stages) -> DataFrame:
-    encoder = encoding.fit_encoder(s.labelled(), s.scratch())
+    """The vectors of an encoder that was saved and loaded."""
     path = s.scratch().location("encoder")
-    encoder.model.write().overwrite().save(path)
-    loaded = encoding.Encoder(type(encoder.model).load(path), encoder.categorical)
-    return _slot_profile(encoding.encode(s.labelled(), loaded), "scaled_features")
+    s.encoder().save(path)
+    return _vector_rows(encoding.encode(s.labelled(), encoding.Encoder.load(s.spark, path)), "scaled_features")
 
 
 @query
 def m5_pipeline_many_labels(s: Stages) -> DataFrame:
-    processed, _ = encode_claims(s.labelled(), s.scratch(), label_bound=10)
-    return _slot_profile(processed, "scaled_features")
+    """With most labels outside the broadcast head."""
+    encoder = encoding.fit_encoder(s.labelled(), s.scratch(), head=3)
+    return _vector_rows(encoding.encode(s.labelled(), encoder), "scaled_features")
 
 
 @query
@@ -514,12 +519,16 @@ def m6_hash_split(s: Stages) -> DataFrame:
 
 @query
 def m6_random_split(s: Stages) -> DataFrame:
-    parts = zip(["train", "test"], learning.random_split(s.labelled()))
-    return reporting.union_all([reporting.with_source(part.select(*KEYS), name) for name, part in parts])
-
-
-def _confusion(predictions: DataFrame) -> DataFrame:
-    return predictions.groupBy("label", "prediction").agg(F.count("*").alias("count"))
+    """Rows, rows in both or neither part, and whether the first part's share is near its weight."""
+    rows = s.scratch().stage(s.labelled().select(F.monotonically_increasing_id().alias("row")), "rows")
+    train, test = (part.select("row", F.lit(name).alias("part")) for name, part in zip(["train", "test"], learning.random_split(rows)))
+    found = rows.join(train.unionByName(test).groupBy("row").agg(F.count("*").alias("n"), F.max("part").alias("part")), "row", "left")
+    share = F.avg((F.col("part") == "train").cast("double"))
+    return found.agg(
+        F.count("*").alias("rows"),
+        F.count_if(F.coalesce("n", F.lit(0)) != 1).alias("in_both_or_neither"),
+        F.abs(share - 0.7).__lt__(0.03).alias("near_share"),
+    )
 
 
 @query
@@ -528,23 +537,55 @@ def m6_stored_split(s: Stages) -> DataFrame:
     return reporting.union_all(learning.stored_split(s.labelled(), s.scratch())).select(*KEYS, LABEL)
 
 
+def _plain_split(s: Stages) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Vectors without flags, from which the label can't be told with certainty, split by key; the slots' names."""
+    encoder = encoding.fit_encoder(s.labelled(), s.scratch(), flags=())
+    encoded = encoding.encode(s.labelled(), encoder)
+    names = encoding.slot_names(encoded)
+    train, test = learning.hash_split(s.scratch().stage(encoding.to_xy(encoded, *KEYS), "plain"), CRITICAL)
+    return train, test, names
+
+
+def _slot_table(s: Stages, values: list[float], names: list[str]) -> DataFrame:
+    return s.spark.createDataFrame(list(zip(range(len(names)), names, values)), "slot int, name string, value double")
+
+
 @query
 def m7_logistic(s: Stages) -> DataFrame:
-    train, test = learning.stored_split(s.processed(), s.scratch())
-    return _confusion(learning.score(test, learning.fit_logistic(train)))
+    """For each slot whether the gradient of the likelihood vanishes at the fit."""
+    train, _, names = _plain_split(s)
+    scored = learning.score(train, learning.fit_logistic(train))
+    apart = vector_to_array("probability")[1] - F.col("label")
+    sums = scored.select(apart.alias("e"), F.posexplode(vector_to_array("scaled_features")).alias("slot", "x"))
+    gradient = sums.groupBy("slot").agg(F.abs(F.avg(F.col("e") * F.col("x"))).alias("g"))
+    named = F.broadcast(_slot_table(s, [0.0] * len(names), names).drop("value"))
+    return named.join(gradient, "slot").select("slot", "name", (F.col("g") < 2e-3).alias("vanishes"))
 
 
 @query
 def m8_forest(s: Stages) -> DataFrame:
-    train, test = learning.stored_split(s.processed(), s.scratch())
-    return _confusion(learning.score(test, learning.fit_forest(train)))
+    """Size of a forest, whether a second fit is the same, and whether it tells labels apart on other rows."""
+    train, test = learning.hash_split(s.scratch().stage(encoding.to_xy(s.encoded(), *CRITICAL), "split"), CRITICAL)
+    first, second = (learning.fit_forest(train) for _ in range(2))
+    same = first.toDebugString.split("\n", 1)[1] == second.toDebugString.split("\n", 1)[1]
+    area = learning.area_under_roc(learning.score(test, first))
+    row = (first.getNumTrees, max(t.depth for t in first.trees), same, area > 0.99)
+    return s.spark.createDataFrame([row], "trees int, depth int, same boolean, tells_apart boolean")
 
 
 @query
 def m9_score(s: Stages) -> DataFrame:
-    train, test = learning.stored_split(s.processed(), s.scratch())
-    scored = learning.score(test, learning.fit_logistic(train))
-    return scored.select("label", "prediction", vector_to_array("probability")[1].alias("probability"))
+    """Test rows, and those whose probability is the logistic of the stored coefficients over their slots."""
+    train, test, names = _plain_split(s)
+    model = learning.fit_logistic(train)
+    stored = s.scratch().stage(_slot_table(s, model.coefficients.toArray().tolist(), names), "coefficients")
+    scored = learning.score(test, model).withColumn("row", F.monotonically_increasing_id())
+    scored = s.scratch().stage(scored.select("row", "prediction", "scaled_features", vector_to_array("probability")[1].alias("p")), "scored")
+    slots = scored.select("row", "p", "prediction", F.posexplode(vector_to_array("scaled_features")).alias("slot", "x"))
+    sums = slots.join(F.broadcast(stored), "slot").groupBy("row", "p", "prediction").agg(F.sum(F.col("x") * F.col("value")).alias("z"))
+    own = 1 / (1 + F.exp(-(F.col("z") + model.intercept)))
+    near = (F.abs(own - F.col("p")) < 1e-6) & (F.col("prediction") == (F.col("p") > 0.5).cast("double"))
+    return sums.agg(F.count("*").alias("rows"), F.count_if(near).alias("matching"))
 
 
 @query
@@ -565,16 +606,22 @@ def j1_prepare(s: Stages) -> DataFrame:
 
 @query
 def j2_profile(s: Stages) -> DataFrame:
-    """All outputs that have numbers as (output, item, statistic, value)."""
-    p = profile_claims(s.cleaned(), s.scratch())
+    """All outputs as (output, item, statistic, value, text)."""
+    cleaned = s.cleaned()
+    p = profile_claims(cleaned, s.scratch(), order_by=cleaned.columns)
+    none = F.lit(None).cast("string")
 
     def rows(frame: DataFrame, output: str, item: str, statistics: list[str]) -> DataFrame:
         values = [F.round(F.col(c).cast("double"), DIGITS).alias(c) for c in statistics]
-        long = frame.select(F.col(item).alias("item"), *values).unpivot(["item"], statistics, "statistic", "value")
-        return long.withColumn("output", F.lit(output))
+        long = frame.select(F.col(item).cast("string").alias("item"), *values).unpivot(["item"], statistics, "statistic", "value")
+        return long.select(F.lit(output).alias("output"), "item", "statistic", "value", none.alias("text"))
 
     numbers = ["count", "mean", "stddev", "min", "max"]
     high = p.high_charges.agg(F.count("*").alias("count")).withColumn("item", F.lit("all"))
+    first = p.first_rows.withColumn("place", F.row_number().over(Window.orderBy(*cleaned.columns)))
+    schema = p.schema.select(
+        F.lit("schema").alias("output"), F.col("name").alias("item"), F.lit("type").alias("statistic"), F.lit(None).cast("double").alias("value"), F.col("type").alias("text")
+    )
     return reporting.union_all(
         [
             rows(p.rows.withColumn("item", F.lit("all")), "rows", "item", ["count"]),
@@ -584,6 +631,8 @@ def j2_profile(s: Stages) -> DataFrame:
             rows(p.mean_charge_by_type, "charge_by_type", "Provider_Type", ["avg_Average_Submitted_Charge"]),
             rows(p.rows_by_state, "rows_by_state", "Provider_State", ["count"]),
             rows(high, "high_charges", "item", ["count"]),
+            rows(first, "first_rows", "place", ["Provider_ID", *MEASURES]),
+            schema,
         ]
     )
 
@@ -595,20 +644,33 @@ def j3_label(s: Stages) -> DataFrame:
 
 @query
 def j4_encode(s: Stages) -> DataFrame:
-    processed, _ = encode_claims(s.labelled(), s.scratch())
-    return _slot_profile(processed, "scaled_features")
+    return _vector_rows(encode_claims(s.labelled(), s.scratch(), keep=tuple(KEYS))[0], "scaled_features", "label")
 
 
 @query
 def j4_encode_without_flags(s: Stages) -> DataFrame:
-    processed, _ = encode_claims(s.labelled(), s.scratch(), include_flags=False)
-    return _slot_profile(processed, "scaled_features")
+    processed, _ = encode_claims(s.labelled(), s.scratch(), include_flags=False, keep=tuple(KEYS))
+    return _vector_rows(processed, "scaled_features", "label")
 
 
 @query
 def j5_train(s: Stages) -> DataFrame:
+    """For each model whether its metrics are those recomputed from its stored scores."""
     trained = train_and_score(s.processed(), s.scratch())
-    return reporting.union_all([t.metrics for t in trained.values()]).drop("run_id")
+    frames = []
+    for name, t in trained.items():
+        x = vector_to_array("rawPrediction")[1] - vector_to_array("rawPrediction")[0]
+        points = t.scored.select(x.alias("x"), F.col("label").alias("y"), (F.col("label") == F.col("prediction")).cast("double").alias("hit"))
+        # mid-ranks of the scores, by their distinct values
+        by_value = points.groupBy("x").agg(F.count("*").alias("n"), F.sum("y").alias("up"))
+        below = F.sum("n").over(Window.orderBy("x")) - F.col("n")
+        ranked = by_value.withColumn("place", below + (F.col("n") + 1) / 2)
+        area = ranked.agg(F.sum(F.col("up") * F.col("place")).alias("r"), F.sum("up").alias("p"), F.sum("n").alias("n"))
+        area = area.select(((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * (F.col("n") - F.col("p")))).alias("value"))
+        own = area.withColumn("metric", F.lit("areaUnderROC")).unionByName(points.agg(F.avg("hit").alias("value")).withColumn("metric", F.lit("accuracy")))
+        both = t.metrics.select("metric", F.col("value").alias("told")).join(own, "metric")
+        frames.append(both.select(F.lit(name).alias("model"), "metric", (F.abs(F.col("told") - F.col("value")) < 1e-9).alias("as_recomputed")))
+    return reporting.union_all(frames)
 
 
 @query
@@ -629,12 +691,48 @@ def j7_sample(s: Stages) -> DataFrame:
 
 @query
 def j8_end_to_end(s: Stages) -> DataFrame:
+    """Rows of every stage and of every output, and the metrics' names."""
     workspace = s.scratch()
-    return run_all(s.claims(), workspace.location("out"), workspace, rel_err=EXACT).labels
+    out = run_all(s.claims(), workspace.location("out"), workspace, rel_err=EXACT)
+    p = out.profile
+    frames = {
+        "labelled": out.labelled,
+        "processed": out.processed,
+        "schema": p.schema,
+        "first_rows": p.first_rows,
+        "columns": p.columns,
+        "measures": p.measures,
+        "nulls": p.nulls,
+        "mean_charge_by_type": p.mean_charge_by_type,
+        "rows_by_state": p.rows_by_state,
+        "high_charges": p.high_charges,
+    }
+    counts = [df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("stage"), F.lit("").alias("item"), "rows") for name, df in frames.items()]
+    scored = out.trained["logistic"].scored.unionByName(out.trained["forest"].scored)
+    test = out.processed.where("_part = 'test'")
+    spare = scored.select(F.lit(1).alias("n")).unionByName(test.select(F.lit(-2).alias("n"))).agg(F.sum("n").alias("rows"))
+    counts.append(spare.select(F.lit("scored").alias("stage"), F.lit("beyond each test row once by each model").alias("item"), "rows"))
+    labels_ = out.labels.select(F.lit("label").alias("stage"), F.col(LABEL).cast("string").alias("item"), F.col("count").alias("rows"))
+    metrics = out.metrics.groupBy("Source", "metric").agg(F.count("*").alias("rows"))
+    metrics = metrics.select(F.lit("metric").alias("stage"), F.concat_ws(" ", "Source", "metric").alias("item"), "rows")
+    return reporting.union_all([*counts, labels_, metrics])
+
+
+@query
+def j9_later_batch(s: Stages) -> DataFrame:
+    """Claims as a later batch, labelled, encoded and scored by what a run saved; all rows and all columns of the flags."""
+    path = s.scratch().location("artefacts")
+    train = learning.fit_logistic(s.processed())
+    saved = Artefacts(s.encoder(), {"logistic": train}, s.prepared().medians, s.prepared().stats)
+    for run_id in ("first", "second"):
+        saved.save(s.spark, path, run_id)
+    loaded = Artefacts.load(s.spark, path, "first", ("logistic",))
+    scored = loaded.score_batch(loaded.prepare_batch(s.claims()), "logistic")
+    return scored.select(*KEYS, RATIO, LABEL, *(MIXED_PREFIX + m for m in MEASURES), F.col("prediction").isNotNull().alias("scored"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label distribution of prepared claims, with the sketched quantiles a large table asks for."""
-    workspace = Workspace(spark)
+    workspace = scratch(spark)
     claims = workspace.stage(claims_view(spark, sf_dir), "claims")
     return rules.label_distribution(label_claims(prepare_claims(claims, workspace).cleaned))

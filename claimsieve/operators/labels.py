@@ -1,16 +1,15 @@
 """Category labels ordered by frequency, and the index of each row's label.
 
 The index of a label is its place in its column by descending frequency, ties in order of the
-label. Labels up to a checked number travel with a fitted indexer. Beyond it they stay a table:
-the most frequent ones are joined by broadcast, so that no hot label is shuffled, and the
-others, none of which can be hot, by a shuffle of just the rows that need them.
+label. The labels are a stored table, however many there are: the most frequent ones are joined by
+broadcast, so that no hot label is shuffled, and the others by a shuffle in which neither a
+label of the table nor one that it lacks can be hot.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import StringIndexerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +17,13 @@ from claimsieve.staging import Workspace
 
 _OFFSET_BITS = 33  # monotonically_increasing_id: partition above, row in the partition below
 
+#: Labels of a column that are broadcast, and their longest: 16 MB of text a column at most.
+HEAD = 20_000
+_HEAD_CHARS = 200
+
+#: Places over which the rows with a label outside the head are spread.
+_SALTS = 32
+
 
 def label_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows per (column, label), all columns in one pass; nulls are no label."""
@@ -30,23 +36,6 @@ def label_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def collected_labels(counts: DataFrame, columns: Sequence[str], bound: int) -> dict[str, list[str]] | None:
-    """Ordered labels of every column, or None if there are more than ``bound`` in all."""
-    rows = counts.limit(bound + 1).collect()
-    if len(rows) > bound:
-        return None
-    ordered = sorted(rows, key=lambda r: (-r["count"], r["label"]))
-    return {c: [r["label"] for r in ordered if r["column"] == c] for c in columns}
-
-
-def indexers(labels: dict[str, list[str]]) -> list[StringIndexerModel]:
-    """One indexer per column; null and unseen values share the index after its labels."""
-    return [
-        StringIndexerModel.from_labels(found, inputCol=c, outputCol=f"{c}_Index", handleInvalid="keep")
-        for c, found in labels.items()
-    ]
-
-
 def indexed_labels(counts: DataFrame, workspace: Workspace) -> DataFrame:
     """(column, label, count, index), however many labels there are.
 
@@ -77,26 +66,54 @@ def indexed_labels(counts: DataFrame, workspace: Workspace) -> DataFrame:
     )
 
 
-def index_by_join(df: DataFrame, labels: DataFrame, columns: Sequence[str], head: int) -> DataFrame:
-    """Add ``<column>_Index`` from a table of labels of any size.
+def label_numbers(labels: DataFrame, columns: Sequence[str]) -> dict[str, int]:
+    """How many labels each column has."""
+    found = {r["column"]: r["size"] for r in labels.groupBy("column").agg(F.count("*").alias("size")).collect()}
+    return {c: found.get(c, 0) for c in columns}
+
+
+def index_by_join(
+    df: DataFrame,
+    labels: DataFrame,
+    columns: Sequence[str],
+    head: int = HEAD,
+    names: Mapping[str, Sequence[str]] | None = None,
+) -> DataFrame:
+    """Add ``<column>_Index``; null and unseen values share the index after the labels.
 
-    The values, and null and unseen ones sharing the index after the labels, are those of
-    ``indexers``. ``head`` labels per column are broadcast.
+    The rows are read once: all heads (labels of index below ``head`` that are not overly long) are
+    joined by broadcast in one chain. A column with labels beyond its head has a second join, by
+    shuffle, on the label and a salt: rows that are settled or null take part under a label that is
+    none, and an unseen label is spread by the salt, however many rows have it. ``names`` are the
+    labels in order, for the attribute of the index column.
     """
-    sizes = {r["column"]: r["size"] for r in labels.groupBy("column").agg(F.count("*").alias("size")).collect()}
-    for column in columns:
-        size, name = sizes.get(column, 0), f"{column}_Index"
-        own = labels.where(F.col("column") == column).select(
-            F.col("label").alias(column), F.col("index").cast("double").alias(name)
+    sizes = label_numbers(labels, columns)
+    own_columns = df.columns
+    in_head = (F.col("index") < head) & (F.length("label") <= _HEAD_CHARS)
+    beyond = {r["column"] for r in labels.where(~in_head).select("column").distinct().collect()}
+    for place, column in enumerate(columns):
+        own = labels.where((F.col("column") == column) & in_head)
+        own = own.select(F.col("label").alias(column), F.col("index").cast("double").alias(f"_index_{place}"))
+        df = df.join(F.broadcast(own), column, "left")
+    for place, column in enumerate(columns):
+        if column not in beyond:
+            continue
+        open_ = F.col(column).isNotNull() & F.col(f"_index_{place}").isNull()
+        spread = F.monotonically_increasing_id()
+        rest = labels.where((F.col("column") == column) & ~in_head)
+        rest = rest.select(
+            F.col("label").alias("_key"),
+            F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)).cast("array<long>")).alias("_salt"),
+            F.col("index").cast("double").alias("_rest"),
         )
-        frequent = df.join(F.broadcast(own.where(F.col(name) < head)), column, "left")
-        if size <= head:
-            found = frequent
-        else:
-            settled = F.col(name).isNotNull() | F.col(column).isNull()
-            rare = frequent.where(~settled).drop(name).join(own.where(F.col(name) >= head), column, "left")
-            found = frequent.where(settled).unionByName(rare)
-        nominal = {"ml_attr": {"type": "nominal", "name": name, "num_vals": size + 1}}
-        index = F.coalesce(F.col(name), F.lit(float(size))).alias(name, metadata=nominal)
-        df = found.select(*df.columns, index)
-    return df
+        # settled rows have a negative salt, which no row of the labels has
+        keys = {"_key": F.when(open_, F.col(column)).otherwise(""), "_salt": F.when(open_, spread % _SALTS).otherwise(-1 - spread)}
+        joined = df.withColumns(keys).join(rest, ["_key", "_salt"], "left")
+        df = joined.withColumn(f"_index_{place}", F.coalesce(f"_index_{place}", "_rest")).drop("_key", "_salt", "_rest")
+    indices = []
+    for place, column in enumerate(columns):
+        name = f"{column}_Index"
+        nominal = {"type": "nominal", "name": name}
+        nominal |= {"vals": [*names[column], "__unknown"]} if names else {"num_vals": sizes[column] + 1}
+        indices.append(F.coalesce(F.col(f"_index_{place}"), F.lit(float(sizes[column]))).alias(name, metadata={"ml_attr": nominal}))
+    return df.select(*own_columns, *indices)

@@ -28,6 +28,18 @@ def random_split(
     return train, test
 
 
+def with_part(df: DataFrame, weights: Sequence[float] = TRAIN_TEST, seed: int = 42) -> DataFrame:
+    """A column ``_part``, ``train`` or ``test``, drawn for each row; write the result before reading it twice."""
+    share = weights[0] / sum(weights)
+    return df.withColumn("_part", F.when(F.rand(seed) < share, F.lit("train")).otherwise(F.lit("test")))
+
+
+def parts(stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both parts of a stored table with ``_part``, best one that is partitioned by it."""
+    train, test = (stored.where(F.col("_part") == name).drop("_part") for name in ("train", "test"))
+    return train, test
+
+
 def stored_split(
     df: DataFrame, workspace: Workspace, weights: Sequence[float] = TRAIN_TEST, seed: int = 42
 ) -> tuple[DataFrame, DataFrame]:
@@ -35,11 +47,7 @@ def stored_split(
 
     It costs a write and spares every later read the sort that a random split needs.
     """
-    share = weights[0] / sum(weights)
-    part = F.when(F.rand(seed) < share, F.lit("train")).otherwise(F.lit("test"))
-    stored = workspace.stage(df.withColumn("_part", part), "split", partition_by="_part")
-    train, test = (stored.where(F.col("_part") == name).drop("_part") for name in ("train", "test"))
-    return train, test
+    return parts(workspace.stage(with_part(df, weights, seed), "split", partition_by="_part"))
 
 
 def hash_side(keys: Sequence[str], weights: Sequence[float] = TRAIN_TEST):

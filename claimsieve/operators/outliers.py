@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from claimsieve.functions import flag, quantiles, sketched
+from claimsieve.functions import flag, quantiles, sketch_aggregates, sketch_size
 from claimsieve.schema import (
     IQR_FACTOR,
     IQR_PREFIX,
@@ -21,7 +22,7 @@ from claimsieve.schema import (
 )
 
 _QUARTILES = [0.25, 0.75]
-STATS_SCHEMA = "column string, mean double, stddev double, q1 double, q3 double"
+STATS_SCHEMA = "run_id string, column string, mean double, stddev double, q1 double, q3 double"
 
 
 @dataclass(frozen=True)
@@ -61,7 +62,7 @@ def _moments(columns: Sequence[str]) -> list[Column]:
 def fit_outlier_stats(
     df: DataFrame, columns: Sequence[str] = MEASURES, rel_err: float = QUANTILE_ERROR
 ) -> list[MeasureStats]:
-    """Statistics of every column, from one aggregate over the measures.
+    """Statistics of every column, from one pass over the measures whose sketches are merged in two levels.
 
     Four numbers per column come back; as literals they fold into the generated code, so the
     flags need no join. Exact quartiles (``rel_err`` 0) take a few passes more, and ``df`` should
@@ -70,23 +71,44 @@ def fit_outlier_stats(
     if rel_err == 0:
         row = mean_stddev(df, columns).head()
         quartiles = quantiles(df, columns, _QUARTILES, rel_err)
-    else:
-        sketches = [sketched(F.col(c), _QUARTILES, rel_err).alias(f"{c}_quartiles") for c in columns]
-        row = df.agg(*_moments(columns), *sketches).head()
-        quartiles = {c: row[f"{c}_quartiles"] or [None, None] for c in columns}
-    return [MeasureStats(c, row[f"{c}_mean"], row[f"{c}_stddev"], *quartiles[c]) for c in columns]
+        return [MeasureStats(c, row[f"{c}_mean"], row[f"{c}_stddev"], *quartiles[c]) for c in columns]
+    names = {str(i): F.col(f"`{c}`") for i, c in enumerate(columns)}
+    part = lambda v: F.struct(F.count(v).alias("n"), F.mean(v).alias("mean"), (F.var_pop(v) * F.count(v)).alias("m2"))
+    moments = {f"moments_{i}": (part(v), F.collect_list(f"moments_{i}")) for i, v in names.items()}
+    found = sketch_aggregates(df, names, dict.fromkeys(names, _QUARTILES), sketch_size(rel_err / 4), moments)
+    return [
+        MeasureStats(c, *_combined(found[f"moments_{i}"]), *(found[f"q_{i}"] or [None, None])) for i, c in enumerate(columns)
+    ]
+
 
+def _combined(parts: Sequence[Row]) -> tuple[float | None, float | None]:
+    """Mean and sample standard deviation from those of some groups of rows."""
+    n, mean, m2 = 0, 0.0, 0.0
+    for part in parts:
+        if part["n"]:
+            apart, total = part["mean"] - mean, n + part["n"]
+            m2 += part["m2"] + apart * apart * n * part["n"] / total
+            mean += apart * part["n"] / total
+            n = total
+    return (mean if n else None), (math.sqrt(m2 / (n - 1)) if n > 1 else None)
 
-def stats_frame(spark: SparkSession, stats: Sequence[MeasureStats]) -> DataFrame:
-    """Statistics as a table, one row per measure, to be stored with the batch they came from."""
-    return spark.createDataFrame([asdict(s) for s in stats], STATS_SCHEMA)
 
+def stats_frame(spark: SparkSession, stats: Sequence[MeasureStats], run_id: str) -> DataFrame:
+    """Statistics as a table, one row per measure under the run they came from, to be stored and appended to."""
+    return spark.createDataFrame([{"run_id": run_id, **asdict(s)} for s in stats], STATS_SCHEMA)
 
-def stats_from_frame(df: DataFrame, columns: Sequence[str] = MEASURES) -> list[MeasureStats]:
-    """Stored statistics of ``columns``, to flag a later batch against them."""
+
+def stats_from_frame(df: DataFrame, run_id: str, columns: Sequence[str] = MEASURES) -> list[MeasureStats]:
+    """The stored statistics of one run, to flag a later batch against them.
+
+    Raises an error where a column of the run has no row, or more than one.
+    """
     fields = ["column", "mean", "stddev", "q1", "q3"]
-    rows = {r["column"]: r for r in df.where(F.col("column").isin(*columns)).select(*fields).collect()}
-    return [MeasureStats(**rows[c].asDict()) for c in columns]
+    rows = df.where((F.col("run_id") == run_id) & F.col("column").isin(*columns)).select(*fields).limit(len(columns) + 1).collect()
+    found = {r["column"]: r for r in rows}
+    if len(found) < len(columns) or len(rows) > len(columns):
+        raise ValueError(f"run {run_id} has {len(rows)} rows of statistics for {len(columns)} columns")
+    return [MeasureStats(**found[c].asDict()) for c in columns]
 
 
 def _outside(column: str, bounds: tuple[float, float] | None):

@@ -30,8 +30,12 @@ def _is_text(field: T.StructField) -> bool:
     return isinstance(field.dataType, T.StringType)
 
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def _number(field: T.StructField) -> Column:
-    column = F.col(field.name)
+    column = F.col(_quoted(field.name))
     if _is_text(field):
         return F.when(column.rlike(_NUMBER_START), column.try_cast("double"))
     return column.cast("double")
@@ -39,7 +43,7 @@ def _number(field: T.StructField) -> Column:
 
 def _statistics(field: T.StructField, place: int) -> str:
     """One column's statistics as a struct, the same type for every column."""
-    quoted = "`" + field.name.replace("`", "``") + "`"
+    quoted = _quoted(field.name)
     title = field.name.replace("\\", "\\\\").replace("'", "\\'")
     ends = "min({0}) AS min{1}, max({0}) AS max{1}"
     missing = "CAST(NULL AS {0}) AS min{1}, CAST(NULL AS {0}) AS max{1}"
@@ -56,7 +60,7 @@ def _statistics(field: T.StructField, place: int) -> str:
 def _described(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
     numbers = [_number(f).alias(f"_{i}") for i, f in enumerate(fields)]
     rows = ", ".join(_statistics(f, i) for i, f in enumerate(fields))
-    return df.select(*(f.name for f in fields), *numbers).selectExpr(f"array({rows}) AS rows").selectExpr("inline(rows)")
+    return df.select(*(_quoted(f.name) for f in fields), *numbers).selectExpr(f"array({rows}) AS rows").selectExpr("inline(rows)")
 
 
 def column_statistics(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -80,12 +84,12 @@ def describe_table(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
 
 def null_counts(df: DataFrame) -> DataFrame:
     """One wide row: the number of nulls of every column."""
-    return df.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in df.columns))
+    return df.agg(*(F.count_if(F.col(_quoted(c)).isNull()).alias(c) for c in df.columns))
 
 
 def null_counts_long(df: DataFrame) -> DataFrame:
     """The same with one row per column."""
-    return null_counts(df).unpivot([], df.columns, "column", "nulls")
+    return null_counts(df).unpivot([], [_quoted(c) for c in df.columns], "column", "nulls")
 
 
 def mean_by(df: DataFrame, key: str = "Provider_Type", column: str = SUBMITTED) -> DataFrame:

@@ -9,10 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def union_all(frames: Sequence[DataFrame], by_name: bool = True) -> DataFrame:
-    """All rows of all frames, columns matched by name, or by position as plain union does."""
-    merge = DataFrame.unionByName if by_name else DataFrame.union
-    return reduce(merge, frames)
+def union_all(frames: Sequence[DataFrame], by_name: bool = True, allow_missing: bool = False) -> DataFrame:
+    """All rows of all frames, columns matched by name, or by position as plain union does.
+
+    ``allow_missing`` lets a frame lack columns that another has; they are null in its rows.
+    """
+    if not by_name:
+        return reduce(DataFrame.union, frames)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=allow_missing), frames)
 
 
 def with_source(df: DataFrame, source: str) -> DataFrame:

@@ -4,17 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from claimsieve.operators.encoding import LABEL_BOUND, Encoder, encode, fit_encoder, to_xy
+from claimsieve.operators.encoding import Encoder, encode, fit_encoder, to_xy
 from claimsieve.staging import Workspace
 
 
-def encode_claims(
-    labelled: DataFrame, workspace: Workspace, include_flags: bool = True, label_bound: int = LABEL_BOUND
-) -> tuple[DataFrame, Encoder]:
-    """(``scaled_features``, ``label``) and the fitted encoder. ``labelled`` is a stored table.
+def encode_claims(labelled: DataFrame, workspace: Workspace, include_flags: bool = True, keep: tuple[str, ...] = ()) -> tuple[DataFrame, Encoder]:
+    """(``scaled_features``, ``label``), behind the columns to ``keep``, and the fitted encoder. ``labelled`` is a stored table.
 
     The label derives from the flags, so with them among the features both classifiers are
     close to perfect; ``include_flags=False`` leaves them out.
     """
-    encoder = fit_encoder(labelled, workspace, flags=None if include_flags else (), label_bound=label_bound)
-    return to_xy(encode(labelled, encoder)), encoder
+    encoder = fit_encoder(labelled, workspace, flags=None if include_flags else ())
+    return to_xy(encode(labelled, encoder), *keep), encoder

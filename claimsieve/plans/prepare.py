@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from claimsieve.operators.cleaning import (
     drop_duplicates,
@@ -14,10 +14,13 @@ from claimsieve.operators.cleaning import (
     fit_medians,
     measures_as_double,
     normalise_text,
+    rename_columns,
 )
 from claimsieve.operators.outliers import MeasureStats, fit_outlier_stats, flag_outliers
 from claimsieve.operators.rules import add_charge_ratio, cap_ratio, check_range
 from claimsieve.schema import IQR_FACTOR, QUANTILE_ERROR, RATIO_LIMIT, Z_LIMIT
+from claimsieve.session import wide_shuffle
+from claimsieve.sources import read_claims
 from claimsieve.staging import Workspace
 
 
@@ -37,6 +40,11 @@ def complete_claims(claims: DataFrame) -> DataFrame:
     return measures_as_double(drop_missing_keys(claims))
 
 
+def stored_claims(spark: SparkSession, csv_path: str, workspace: Workspace) -> DataFrame:
+    """Claims of a CSV file under logical names, parsed once and staged; rows without their keys are left out."""
+    return workspace.stage(drop_missing_keys(rename_columns(read_claims(spark, csv_path))), "typed")
+
+
 def prepare_claims(
     claims: DataFrame,
     workspace: Workspace,
@@ -48,14 +56,16 @@ def prepare_claims(
 ) -> Prepared:
     """The cleaned table from claims under logical names.
 
-    ``claims`` is read twice: its measures for the medians, then all of it for the duplicate
-    removal, the one shuffle, whose result is staged. Statistics and the final result read the
+    ``claims`` is a stored table (see :func:`stored_claims` for a CSV file), read twice or, for exact medians, a few times more: its
+    measures for the medians, then all of it for the duplicate
+    removal, the one shuffle, as wide as the table's bytes ask for, whose result is staged. Statistics and the final result read the
     staged table. Flags refer to all rows, before the charge rules remove some.
     """
     complete = complete_claims(claims)
     medians = fit_medians(complete, rel_err=rel_err)
     filled = fill_unknown(fill_medians(complete, medians))
-    population = workspace.stage(normalise_text(drop_duplicates(filled, normalise_first)), "population")
+    with wide_shuffle(claims):
+        population = workspace.stage(normalise_text(drop_duplicates(filled, normalise_first)), "population")
     stats = fit_outlier_stats(population, rel_err=rel_err)
     flagged = add_charge_ratio(flag_outliers(population, stats, k, m))
     return Prepared(check_range(cap_ratio(flagged, limit), factor=limit), flagged, population, medians, stats)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -27,8 +28,8 @@ class Profile:
     high_charges: DataFrame
 
 
-def profile_claims(cleaned: DataFrame, workspace: Workspace, n: int = 20) -> Profile:
-    """All profiling outputs.
+def profile_claims(cleaned: DataFrame, workspace: Workspace, n: int = 20, order_by: Sequence[str] | None = None) -> Profile:
+    """All profiling outputs; the first ``n`` rows are those of ``order_by``, else whichever the scan meets first.
 
     Column statistics and null counts, of every column, come from a single pass whose one row
     per column is staged; the description of the measures is a part of it.
@@ -37,7 +38,7 @@ def profile_claims(cleaned: DataFrame, workspace: Workspace, n: int = 20) -> Pro
     described = columns.drop("nulls")
     return Profile(
         schema=describe_schema(cleaned),
-        first_rows=preview(cleaned, n),
+        first_rows=preview(cleaned, n, order_by),
         rows=row_count(cleaned),
         columns=described,
         measures=described.where(F.col("column").isin(*PROFILED_MEASURES)),

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.ml import Model
 from pyspark.sql import DataFrame
 
-from claimsieve.operators.learning import evaluate, fit_forest, fit_logistic, score, stored_split
+from claimsieve.operators.learning import evaluate, fit_forest, fit_logistic, parts, score, stored_split
 from claimsieve.staging import Workspace
 
 _FIT = {"logistic": fit_logistic, "forest": fit_forest}
@@ -17,8 +17,11 @@ MODELS = tuple(_FIT)
 
 @dataclass
 class Trained:
+    """``predictions`` is lazy; ``scored`` has label, raw prediction and prediction of each test row, staged."""
+
     model: Model
     predictions: DataFrame
+    scored: DataFrame
     metrics: DataFrame
 
 
@@ -31,10 +34,11 @@ def train_and_score(
 ) -> dict[str, Trained]:
     """Fit every model on the same 70 % of the rows and evaluate it on the others.
 
+    A stored table with a column ``_part`` has its parts already; else they are drawn and stored.
     ``params`` has further arguments of a model's fit. The scores, without their vectors, are
     staged, so that the metrics do not score twice.
     """
-    train, test = stored_split(processed, workspace, seed=seed)
+    train, test = parts(processed) if "_part" in processed.columns else stored_split(processed, workspace, seed=seed)
     trained = {}
     for name in models:
         arguments = dict((params or {}).get(name, {}))
@@ -43,5 +47,5 @@ def train_and_score(
         model = _FIT[name](train, **arguments)
         predictions = score(test, model)
         scored = workspace.stage(predictions.select("label", "rawPrediction", "prediction"), f"scored_{name}")
-        trained[name] = Trained(model, predictions, evaluate(scored, name, workspace.run_id))
+        trained[name] = Trained(model, predictions, scored, evaluate(scored, name, workspace.run_id))
     return trained

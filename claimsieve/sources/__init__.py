@@ -3,9 +3,9 @@ from claimsieve.sources.tables import (
     describe_schema,
     preview,
     read_claims,
+    read_claims_checked,
     read_stage,
     read_strings,
-    spread,
     write_csv,
     write_stage,
 )
@@ -15,10 +15,10 @@ __all__ = [
     "describe_schema",
     "preview",
     "read_claims",
+    "read_claims_checked",
     "read_metric_files",
     "read_stage",
     "read_strings",
-    "spread",
     "write_csv",
     "write_metric_file",
     "write_stage",

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from claimsieve.operators.reporting import union_all, with_source
 from claimsieve.schema import METRICS
-from claimsieve.sources.tables import write_csv
+from claimsieve.sources.tables import read_strings, write_csv
+
+#: Characters that a path pattern would not take literally.
+_GLOB = re.compile(r"[\\{}\[\]*?,]")
 
 
 def append_metrics(metrics: DataFrame, path: str) -> None:
@@ -26,15 +30,17 @@ def write_metric_file(metrics: DataFrame, path: str) -> None:
 def read_metric_files(spark: SparkSession, folder: str, names: Sequence[str]) -> DataFrame:
     """All metric CSVs of ``folder`` called ``names``, as strings, with ``Source`` naming each.
 
-    One scan reads them all. A name nothing is stored under is skipped; if that holds for all,
-    the result is empty.
+    Columns are brought together by name, so the files may have them in any order, and one that a file lacks is
+    null in its rows. A name nothing is stored under is skipped; if that holds for all, the result is empty.
     """
-    try:
-        text = spark.read.option("header", True).csv(f"{folder.rstrip('/')}/{{{','.join(names)}}}")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
+    found = []
+    for name in names:
+        path = f"{folder.rstrip('/')}/{_GLOB.sub(r'\\\g<0>', name)}"
+        try:
+            found.append(with_source(read_strings(spark, path), name))
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+    if not found:
         return spark.createDataFrame([], T.StructType([T.StructField("Source", T.StringType())]))
-    # Either the file or the folder it is a part of has the name.
-    segments = F.split("_metadata.file_path", "/")
-    return text.select("*", F.element_at(F.filter(segments, lambda x: x.isin(*names)), -1).alias("Source"))
+    return union_all(found, allow_missing=True)

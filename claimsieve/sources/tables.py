@@ -11,26 +11,35 @@ from pyspark.sql import types as T
 from claimsieve.schema import RAW
 
 
-def read_claims(
-    spark: SparkSession, path: str, schema: T.StructType = RAW, infer: bool = False, strict: bool = False
-) -> DataFrame:
+def read_claims(spark: SparkSession, path: str, schema: T.StructType = RAW, infer: bool = False) -> DataFrame:
     """Claims from CSV with a header.
 
     Columns are found by header name, so files may hold more columns or another order; the
-    scan parses only those of ``schema``. A value that does not fit its type becomes null, or
-    fails the job if ``strict``. ``infer`` takes names and types from the file instead, for a
+    scan parses only those of ``schema``. A value that does not fit its type fails the job; see
+    :func:`read_claims_checked` for files that hold such values. ``infer`` takes names and types from the file instead, for a
     pass more over the text; codes like ``00100`` then turn into numbers.
     """
     if infer:
         return spark.read.option("header", True).option("inferSchema", True).csv(path)
-    text = read_strings(spark, path)
-    convert = (lambda c, t: c.cast(t)) if strict else (lambda c, t: c.try_cast(t))
-    return text.select(
-        *(
-            F.col(f.name) if isinstance(f.dataType, T.StringType) else convert(F.col(f.name), f.dataType).alias(f.name)
-            for f in schema.fields
-        )
-    )
+    return read_strings(spark, path).select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields))
+
+
+def read_claims_checked(spark: SparkSession, path: str, schema: T.StructType = RAW) -> tuple[DataFrame, DataFrame]:
+    """Rows whose values all fit their types, and the others as text.
+
+    The rejected rows have their columns as they were read, and ``rejected_columns`` with the names of the columns that
+    don't fit. Store them, or count them, before going on with the first part alone.
+    """
+    text = read_strings(spark, path).select(*(f.name for f in schema.fields))
+    misfits = [
+        F.when(F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull(), F.lit(f.name))
+        for f in schema.fields
+        if not isinstance(f.dataType, T.StringType)
+    ]
+    checked = text.withColumn("rejected_columns", F.filter(F.array(*misfits), lambda c: c.isNotNull()))
+    good = checked.where(F.size("rejected_columns") == 0)
+    typed = good.select(*(F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields))
+    return typed, checked.where(F.size("rejected_columns") > 0)
 
 
 def read_strings(spark: SparkSession, path: str) -> DataFrame:
@@ -58,15 +67,6 @@ def write_csv(df: DataFrame, path: str) -> None:
     )
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan of fewer partitions than cores, such as one packed file, over all of them.
-
-    A scan that already has that many, as any large table does, is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def preview(df: DataFrame, n: int, order_by: Sequence[str] | None = None) -> DataFrame:
     """The first ``n`` rows: in the order of ``order_by``, else whichever the scan meets first."""
     return (df.orderBy(*order_by) if order_by else df).limit(n)

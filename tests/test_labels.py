@@ -1,5 +1,4 @@
 import pytest
-from pyspark.ml import PipelineModel
 from pyspark.ml.feature import StringIndexer
 from pyspark.sql import functions as F
 
@@ -23,31 +22,51 @@ def pairs(df):
     return sorted((r.k, r.a_Index, r.b_Index) for r in df.collect())
 
 
-def fitted(df):
-    return labels.collected_labels(labels.label_counts(df, COLUMNS), COLUMNS, 1000)
+@pytest.fixture
+def known(skewed, workspace):
+    return workspace.stage(labels.indexed_labels(labels.label_counts(skewed, COLUMNS), workspace), "labels")
 
 
-def test_indices_are_those_of_the_built_in_indexer(skewed):
-    built_in = StringIndexer(inputCols=COLUMNS, outputCols=["a_Index", "b_Index"], handleInvalid="keep").fit(skewed)
-    own = PipelineModel(labels.indexers(fitted(skewed)))
-    assert pairs(own.transform(skewed)) == pairs(built_in.transform(skewed))
-    assert list(fitted(skewed).values()) == [list(found) for found in built_in.labelsArray]
+def built_in(df):
+    indexer = StringIndexer(inputCols=COLUMNS, outputCols=["a_Index", "b_Index"], handleInvalid="keep").fit(df)
+    return pairs(indexer.transform(df)), [list(found) for found in indexer.labelsArray]
 
 
-@pytest.mark.parametrize("head", [0, 1, 3, 1000])
-def test_join_gives_the_same_indices(skewed, workspace, head):
-    table = workspace.stage(labels.indexed_labels(labels.label_counts(skewed, COLUMNS), workspace), "labels")
-    expected = pairs(PipelineModel(labels.indexers(fitted(skewed))).transform(skewed))
-    joined = labels.index_by_join(skewed, table, COLUMNS, head)
+@pytest.mark.parametrize("head", [0, 1, 3, 20_000])
+def test_indices_are_those_of_the_built_in_indexer(skewed, known, head):
+    expected, names = built_in(skewed)
+    joined = labels.index_by_join(skewed, known, COLUMNS, head)
     assert pairs(joined) == expected
     assert joined.columns == ["k", "a", "b", "a_Index", "b_Index"]
+    assert list(encoding.ordered_names(known, COLUMNS).values()) == names
 
 
-def test_unseen_values_share_the_index_after_the_labels(spark, skewed, workspace):
-    table = workspace.stage(labels.indexed_labels(labels.label_counts(skewed, COLUMNS), workspace), "labels")
-    new = spark.createDataFrame([(1, "never", None), (2, "hot", "never")], "k int, a string, b string")
-    sizes = {c: len(found) for c, found in fitted(skewed).items()}
-    assert pairs(labels.index_by_join(new, table, COLUMNS, 2)) == [(1, sizes["a"], sizes["b"]), (2, 0.0, sizes["b"])]
+@pytest.mark.parametrize("head", [0, 2, 20_000])
+def test_unseen_values_share_the_index_after_the_labels(spark, known, head):
+    new = spark.createDataFrame([(1, "never", None), (2, "hot", "never"), (3, "", "x")], "k int, a string, b string")
+    sizes = labels.label_numbers(known, COLUMNS)
+    assert pairs(labels.index_by_join(new, known, COLUMNS, head)) == [(1, sizes["a"], sizes["b"]), (2, 0.0, sizes["b"]), (3, sizes["a"], 0.0)]
+
+
+def test_an_unseen_label_on_half_of_a_later_batch_is_spread(spark, known):
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        i = F.col("id")
+        batch = spark.range(8000).select(i.alias("k"), F.when(i % 2 == 0, "unseen").otherwise("v7").alias("a"), F.lit("x").alias("b"))
+        joined = labels.index_by_join(batch, known, COLUMNS, 1)
+        sizes = [r["n"] for r in joined.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert sum(sizes) == 8000 and max(sizes) < 2500
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_long_labels_are_not_broadcast(spark, workspace, plan_text):
+    df = spark.createDataFrame([(1, "x" * 500, "p"), (2, "y", "p")], "k int, a string, b string")
+    known = workspace.stage(labels.indexed_labels(labels.label_counts(df, COLUMNS), workspace), "labels")
+    assert pairs(labels.index_by_join(df, known, COLUMNS)) == [(1, 0.0, 0.0), (2, 1.0, 0.0)]
 
 
 def test_index_table_counts_up_over_any_partitions(spark, workspace):
@@ -62,31 +81,42 @@ def test_index_table_counts_up_over_any_partitions(spark, workspace):
     assert [r[3] for r in found if r[0] == "a"] == list(range(700))
 
 
-def test_more_labels_than_the_bound_are_not_collected(skewed):
-    counts = labels.label_counts(skewed, COLUMNS)
-    total = counts.count()
-    assert labels.collected_labels(counts, COLUMNS, total) is not None
-    assert labels.collected_labels(counts, COLUMNS, total - 1) is None
-
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5])
+def test_rows_are_scanned_once(spark, workspace, plan_text, n):
+    columns = [f"c{i}" for i in range(n)]
+    rows = workspace.stage(spark.range(500).select("id", *((F.col("id") % (20 + i)).cast("string").alias(c) for i, c in enumerate(columns))), "rows")
+    known = workspace.stage(labels.indexed_labels(labels.label_counts(rows, columns), workspace), "labels")
+    plan = plan_text(labels.index_by_join(rows, known, columns, head=3))
+    scans = [line for line in plan.split("\n") if "FileScan" in line and "id#" in line]
+    assert len(scans) == 1
+    assert "Union" not in plan and "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
 
-def test_hot_label_is_not_shuffled(skewed, workspace, plan_text):
-    table = workspace.stage(labels.indexed_labels(labels.label_counts(skewed, COLUMNS), workspace), "labels")
-    plan = plan_text(labels.index_by_join(skewed.select("k", "a"), table, ["a"], 5))
-    assert "Union" in plan
-    assert "BroadcastHashJoin" in plan
-    assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
 
-
-def test_both_ways_give_the_same_vectors(skewed, workspace):
+def test_any_head_gives_the_same_vectors_and_names(skewed, workspace):
     table = workspace.stage(
         skewed.withColumn("x", F.col("k").cast("double")).withColumn("is_fraud", (F.col("k") % 2).cast("int")), "rows"
     )
-    found = []
-    for bound in (1000, 4):
-        encoder = encoding.fit_encoder(table, workspace, COLUMNS, ["x"], [], label_bound=bound)
-        assert (encoder.labels is None) == (bound == 1000)
-        encoded = encoding.encode(table, encoder).select("k", "scaled_features", "label")
-        found.append(sorted((r.k, tuple(r.scaled_features.toArray()), r.label) for r in encoded.collect()))
+    found, names = [], []
+    for head in (20_000, 4):
+        encoder = encoding.fit_encoder(table, workspace, COLUMNS, ["x"], [], head=head)
+        encoder.save(workspace.location(f"encoder-{head}"))
+        encoder = encoding.Encoder.load(table.sparkSession, workspace.location(f"encoder-{head}"))
+        encoded = encoding.encode(table, encoder)
+        names.append(encoding.slot_names(encoded))
+        found.append(sorted((r.k, tuple(r.scaled_features.toArray()), r.label) for r in encoded.select("k", "scaled_features", "label").collect()))
     assert len(found[0]) == 3000
+    assert names[0] == names[1] and names[0][:2] == ["x", "a_OHE_hot"]
     for (k, v, y), (k2, v2, y2) in zip(*found):
         assert (k, y) == (k2, y2) and v == pytest.approx(v2, rel=1e-12)
+
+
+def test_two_encoders_of_one_workspace_both_work(skewed, workspace):
+    table = workspace.stage(skewed.withColumn("x", F.lit(1.0)).withColumn("is_fraud", F.lit(1)), "rows")
+    first, second = (encoding.fit_encoder(table, workspace, [c], ["x"], []) for c in COLUMNS)
+    assert first.transform(table).count() == second.transform(table).count() == 3000
+
+
+def test_vectors_too_wide_for_the_driver_are_refused(skewed, workspace):
+    table = workspace.stage(skewed.withColumn("x", F.lit(1.0)).withColumn("is_fraud", F.lit(1)), "rows")
+    with pytest.raises(ValueError, match="slots"):
+        encoding.fit_encoder(table, workspace, COLUMNS, ["x"], [], max_slots=50)

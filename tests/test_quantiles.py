@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from claimsieve.functions import exact_quantiles, quantiles
+from claimsieve.functions import exact_quantiles, quantiles, sketch_aggregates
 
 PROBS = [0.25, 0.5, 0.75]
 
@@ -48,12 +48,27 @@ def test_bounds_that_miss_only_cost_rounds(spark, monkeypatch):
 
 
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.floats(-1e6, 1e6, allow_nan=False).map(lambda v: v + 0.0), min_size=1, max_size=200))
+@given(st.lists(st.one_of(st.floats(-1e6, 1e6, allow_nan=False).map(lambda v: v + 0.0), st.sampled_from([math.inf, -math.inf])), min_size=1, max_size=200))
 def test_any_list_matches_sorting(spark, values):
     found = exact_quantiles(frame(spark, values), ["x"], PROBS, sketch_err=0.05, collect_rows=10)
     assert found["x"] == by_sorting(values)
 
 
+@pytest.mark.parametrize("end", [math.inf, -math.inf])
+@pytest.mark.parametrize("share", [0.249, 0.25, 0.5, 0.76, 1.0])
+def test_infinite_values_count(spark, end, share):
+    values = [end] * int(2000 * share) + [float(k) for k in range(int(2000 * (1 - share)))]
+    assert exact_quantiles(frame(spark, values), ["x"], PROBS, sketch_err=0.02, collect_rows=50)["x"] == by_sorting(values)
+
+
+def test_sketches_are_merged_in_two_levels(spark, plan_text):
+    df = spark.range(0, 6000, numPartitions=1500).select(F.col("id").cast("double").alias("x"))
+    found = sketch_aggregates(df, {"x": F.col("x")}, {"x": [0.5]}, 200)
+    assert abs(found["q_x"][0] - 3000) < 150 and found["n_x"] == 6000
+    grouped = df.groupBy(F.pmod(F.spark_partition_id(), F.lit(512)).alias("g")).count()
+    assert grouped.count() == 512
+
+
 def test_exact_values_do_not_depend_on_partitions(spark):
     values = [float(v * 7919 % 10007) / 4 for v in range(10007)]
     found = {tuple(exact_quantiles(frame(spark, values, n), ["x"], PROBS)["x"]) for n in (1, 3, 16)}

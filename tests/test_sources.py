@@ -9,10 +9,10 @@ from claimsieve.sources import (
     describe_schema,
     preview,
     read_claims,
+    read_claims_checked,
     read_metric_files,
     read_stage,
     read_strings,
-    spread,
     write_csv,
     write_metric_file,
     write_stage,
@@ -55,14 +55,6 @@ def test_files_with_differing_headers_fail(spark, workspace):
         read_strings(spark, path).collect()
 
 
-def test_values_that_do_not_fit(spark, workspace):
-    names, values = ",".join(RAW_TO_LOGICAL), ",".join(["x"] * len(RAW_TO_LOGICAL))
-    path = text_file(spark, workspace.location("csv"), names, values)
-    assert read_claims(spark, path).head()["Rndrng_NPI"] is None
-    with pytest.raises(PySparkException):
-        read_claims(spark, path, strict=True).collect()
-
-
 def test_csv_keeps_outer_spaces_quotes_and_nulls(spark, workspace):
     data = [("  A ", 'say "hi", you'), (None, "b")]
     df = spark.createDataFrame(data, "x string, y string")
@@ -103,11 +95,31 @@ def test_preview_and_schema(spark):
     assert rows(describe_schema(df)) == [("k", "int", True), ("v", "string", True)]
 
 
-def test_spread_only_widens_narrow_scans(spark):
-    cores = spark.sparkContext.defaultParallelism
-    assert spread(spark.range(100).coalesce(1)).rdd.getNumPartitions() == cores
-    wide = spark.range(0, 100, numPartitions=cores + 3)
-    assert spread(wide) is wide
+def test_metric_files_are_brought_together_by_name(spark, workspace):
+    frames = {
+        "lr.csv": spark.createDataFrame([("lr", "accuracy", 0.5)], "model string, metric string, value double"),
+        "rf.csv": spark.createDataFrame([("accuracy", "rf")], "metric string, model string"),
+        "odd{1}[a]*,.csv": spark.createDataFrame([("odd",)], "model string"),
+    }
+    for name, metrics in frames.items():
+        write_metric_file(metrics, f"{workspace.path}/{name}")
+    found = read_metric_files(spark, workspace.path, ["rf.csv", "none.csv", *frames])
+    assert set(found.columns) == {"model", "metric", "value", "Source"}
+    got = {(r["model"], r["metric"], r["value"], r["Source"]) for r in found.collect()}
+    assert got == {("lr", "accuracy", "0.5", "lr.csv"), ("rf", "accuracy", None, "rf.csv"), ("odd", None, None, "odd{1}[a]*,.csv")}
+
+
+def test_values_that_do_not_fit_are_kept_apart(spark, workspace):
+    names = list(RAW_TO_LOGICAL)
+    lines = [",".join("1" for _ in names), ",".join("1x" if n == "Rndrng_NPI" else "1" for n in names), ",".join('"1,200.50"' if n == "Avg_Sbmtd_Chrg" else "" for n in names)]
+    path = text_file(spark, workspace.location("csv"), ",".join(names), *lines)
+    good, bad = read_claims_checked(spark, path)
+    assert good.schema == read_claims(spark, path).schema
+    assert [r["Rndrng_NPI"] for r in good.collect()] == [1]
+    found = sorted((tuple(r["rejected_columns"]), r["Rndrng_NPI"], r["Avg_Sbmtd_Chrg"]) for r in bad.collect())
+    assert found == [(("Avg_Sbmtd_Chrg",), None, "1,200.50"), (("Rndrng_NPI",), "1x", "1")]
+    with pytest.raises(PySparkException):
+        read_claims(spark, path).collect()
 
 
 class Conf(dict):
