@@ -140,8 +140,8 @@ def dedup_substrings(docs: DataFrame, workspace: Workspace, size: int = 20, doc_
     those symbols are shuffled; where two places share one, the windows under it are compared by
     128 bits of hashes of their words, and all but the earliest go. Texts with equal words are
     looked at once.
-    Cases: a null or blank text has no words; a text with fewer than ``size`` words stays; rows that share an id and a text
-    are one document and none of them counts as earlier; a row without id stays whole and is no
+    Cases: a null or blank text has no words; a text with fewer than ``size`` words stays; rows that share an id
+    are no source for each other, beyond what each text repeats of itself; a row without id stays whole and is no
     source; an empty table gives an empty table; other columns are not looked at.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -204,11 +204,12 @@ def dedup_substrings(docs: DataFrame, workspace: Workspace, size: int = 20, doc_
     shared = shared.groupBy(F.coalesce("__first", "__id").alias("__id")).agg(F.collect_set("key").alias("__shared"))
     texts = workspace.stage(rows.join(shared, "__id"), "texts")
 
-    window_schema = f"__id {kind}, __at int, __p long, __q long"
+    # a window that its own text has before needs no other text; it goes along under a mark of its own
+    window_schema = f"__id {kind}, __at int, __p long, __q long, __own boolean"
     windows = texts.mapInArrow(lambda batches: _windows(batches, size), window_schema)
     earliest = Window.partitionBy("__p", "__q").orderBy("__id", "__at")
-    first = F.first(F.struct("__id", "__at")).over(earliest)
-    later = windows.withColumn("first", first).where(F.col("first") != F.struct("__id", "__at"))
+    first = F.first("__id").over(earliest)
+    later = windows.withColumn("first", first).where("__own or first != __id")
     later = later.groupBy("__id").agg(F.collect_set("__at").alias("__starts"))
 
     cut_schema = f"__id {kind}, __sha string, __cut long, __kept string, __spans array<struct<begin: int, end: int>>"
@@ -244,9 +245,13 @@ def _windows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
                 wanted[a:b] = np.isin(own, np.concatenate([flat[offsets[k] : offsets[k + 1]], values[counts > 1]]))
         starts, whole, owner = starts[wanted], whole[wanted], owner[wanted]
         other = window_hashes(mix(words.hashes() ^ np.uint64(0x8CB92BA72F3D8DD7)), size)[starts] if len(starts) else whole
+        order = np.lexsort((starts, other, whole, owner))
+        again = np.zeros(len(order), dtype=bool)
+        again[order[1:]] = (owner[order[1:]] == owner[order[:-1]]) & (whole[order[1:]] == whole[order[:-1]]) & (other[order[1:]] == other[order[:-1]])
         at = starts - words.offsets[owner]
-        columns = [batch.column("__id").take(pa.array(owner)), pa.array(at, pa.int32()), pa.array(_signed(whole)), pa.array(_signed(other))]
-        yield pa.RecordBatch.from_arrays(columns, ["__id", "__at", "__p", "__q"])
+        whole = np.where(again, mix(whole + starts.astype(np.uint64)), whole)
+        columns = [batch.column("__id").take(pa.array(owner)), pa.array(at, pa.int32()), pa.array(_signed(whole)), pa.array(_signed(other)), pa.array(again)]
+        yield pa.RecordBatch.from_arrays(columns, ["__id", "__at", "__p", "__q", "__own"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
