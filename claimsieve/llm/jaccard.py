@@ -15,8 +15,8 @@ from claimsieve.llm.common import Words, mix, pieces, ragged, window_hashes
 from claimsieve.llm.components import components
 from claimsieve.staging import Workspace
 
-#: Independent sketches of a set with too many empty words in the ones before.
-SKETCHES = 3
+#: Independent sketches of a set with too many empty words in the ones before; half of the smallest sets need a second.
+SKETCHES = 8
 
 
 @dataclass(frozen=True)
@@ -39,6 +39,23 @@ class Threshold:
         return 2 * size * (self.of - self.share) // (self.of + self.share)
 
 
+    def spare_words(self, apart: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Words of a sketch beyond one more than the differing values, so that few sets have more empty words.
+
+        A set of ``least`` values leaves each word empty by chance; the words are that number on average
+        and three deviations more. Where that would be more than a quarter, as in small sets, they are what a sketch without
+        them leaves empty and two deviations more, and none for differences under 8: words of single values are in too many sets.
+        """
+        first = (apart + 1) * np.exp(-least / (apart + 1))
+        little = np.where(apart < 8, 0, np.ceil(first + 2 * np.sqrt(first)))
+        spare = little
+        for _ in range(12):
+            words = apart + 1 + spare
+            empty = words * np.exp(-least / words)
+            spare = np.minimum(np.ceil(empty + 3 * np.sqrt(empty)), apart)
+        return np.where(spare * 4 <= apart, spare, little).astype(np.int64)
+
+
 def shingle_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes of each text's ``n``-word shingles in order, and how many each has.
 
@@ -119,7 +136,7 @@ def bucket_keys(values: np.ndarray, counts: np.ndarray, threshold: Threshold) ->
     A set goes with its own size band and the next. In a band whose sets differ in at most d values if they
     link, sketches have d + 1 words and a few more, so that such sets agree in at least 1 + the few. The words that agree
     may all be empty in a set with more empty words than the few; only then it takes part with a further sketch too, and
-    after the last with a key for each choice of one empty word of every sketch.
+    after the last with a key for each choice of an empty word of the last two.
     """
     rows = np.flatnonzero(counts > 0)
     if not len(rows):
@@ -131,9 +148,7 @@ def bucket_keys(values: np.ndarray, counts: np.ndarray, threshold: Threshold) ->
     for step in (0, 1):
         group = band + step
         apart = threshold.most_apart(edges[group + 1] - 1)
-        # a set has some 1.2 % empty words at most on average; the few are three deviations more
-        empty = 0.012 * apart
-        few = np.where(apart < 8, 0, np.ceil(empty + 3 * np.sqrt(empty))).astype(np.int64)
+        few = threshold.spare_words(apart, edges[np.maximum(group - 1, 0)])
         words = apart + 1 + few
         sets, sizes, data = rows, counts[rows], full
         empties: list[list[list[int]]] = []
@@ -150,7 +165,7 @@ def bucket_keys(values: np.ndarray, counts: np.ndarray, threshold: Threshold) ->
             cuts = np.searchsorted(owner[~there], np.concatenate([weak, weak + 1]))
             places = part[~there]
             now = [places[a:b].tolist() for a, b in zip(cuts[: len(weak)], cuts[len(weak) :])]
-            empties = [[*empties[k], x] if empties else [x] for k, x in zip(weak.tolist(), now)]
+            empties = [[*empties[k][-1:], x] if empties else [x] for k, x in zip(weak.tolist(), now)]
             data = _take(data, sizes, weak)
             sets, sizes, words, few, group = sets[weak], sizes[weak], words[weak], few[weak], group[weak]
             if not len(weak):
