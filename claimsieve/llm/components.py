@@ -11,8 +11,8 @@ from claimsieve.staging import Workspace
 def components(pairs: DataFrame, workspace: Workspace) -> DataFrame:
     """``node, component`` for each node of ``pairs`` (columns ``a, b``); a component is named after its smallest node.
 
-    Every node takes the smallest label among itself and its neighbours, then the label of its
-    label, until nothing changes. Minima fold within tasks; both sides of each join are stored tables, so
+    Every node, and the node it is labelled with, takes the smallest label among itself and its neighbours, then the label of
+    that, until nothing changes. Minima fold within tasks; both sides of each join are stored tables, so
     that Spark splits a node with very many neighbours. Pairs with a null are left out; repeated
     pairs and pairs of a node with itself are allowed; no pairs give no rows.
     """
@@ -26,8 +26,12 @@ def components(pairs: DataFrame, workspace: Workspace) -> DataFrame:
         if state == before:
             return labels.withColumnRenamed("label", "component")
         before = state
-        near = edges.join(labels, edges["b"] == labels["node"]).select(F.col("a").alias("node"), "label")
-        lowest = labels.unionByName(near).groupBy("node").agg(F.min("label").alias("label"))
+        near = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("low"))
+        seen = labels.join(near, labels["node"] == near["a"])
+        # a node's label moves on with it, so that long chains close up
+        own = seen.select("node", F.least("label", "low").alias("label"))
+        moved = seen.select(F.col("label").alias("node"), F.col("low").alias("label"))
+        lowest = own.unionByName(moved).groupBy("node").agg(F.min("label").alias("label"))
         lowest = workspace.stage(lowest, "labels")
         there = lowest.select(F.col("node").alias("label"), F.col("label").alias("far"))
         labels = workspace.stage(lowest.join(there, "label").select("node", F.col("far").alias("label")), "labels")

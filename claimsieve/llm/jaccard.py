@@ -195,8 +195,7 @@ def link_near_copies(
     the smallest id that links reach. All links count, though not all are looked at: equal sets are found by two hashes, and of a bucket of
     equal sketch words each set is compared with the first one: first by sketches of single bits, whose
     distance bounds the sets' difference from below, and if that leaves it open by the whole sets. The sets of buckets that
-    are then still in several components make families, in which sketches are compared block by block, and the closest pairs across components
-    are compared in full, until no pair across components is close enough that has not failed.
+    are then still in several components make families, in which all pairs across components are compared block by block, by sketches and then by whole sets.
     A task lets out the keys of equal sets once.
     Cases: a null or blank text has no shingles and no links; a text with fewer than ``n`` words has
     one shingle; rows that share an id are one document with the links of all its texts; a row
@@ -247,26 +246,13 @@ def link_near_copies(
     found = shared.select(F.col("doc").alias("__id")).distinct()
     sketches = workspace.stage(sets.where("__bits is not null").select("__id", "__n", "__bits").join(found, "__id", "left_semi"), "sketches")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("__id")).distinct()
-        texts = workspace.stage(rows.join(ids, "__id", "left_semi"), "texts")
-        return workspace.stage(_verified(pairs, texts, threshold, n), "links")
-
-    tested = workspace.stage(_close(near, sketches, threshold), "tested")
-    new = verified(tested)
-    failed = tested.join(new, ["a", "b"], "left_anti")
-    links = workspace.stage(new.unionByName(equal), "links")
+    texts = workspace.stage(rows.join(found, "__id", "left_semi"), "texts")
+    links = _verified(_close(near, sketches, threshold), texts, threshold, n).unionByName(equal)
+    links = workspace.stage(links, "links")
     label = components(links, workspace)
-    families = _families(shared, label, workspace)
-    while True:
-        candidates = workspace.stage(_forest(families, label, sketches, failed, threshold, workspace), "candidates")
-        if candidates.isEmpty():
-            break
-        new = verified(candidates)
-        failed = workspace.stage(failed.unionByName(candidates.join(new, ["a", "b"], "left_anti")), "failed")
-        if not new.isEmpty():
-            links = workspace.stage(links.unionByName(new), "links")
-            label = components(links, workspace)
+    more = workspace.stage(_family_links(shared, label, sketches, texts, threshold, n, workspace), "family_links")
+    if not more.isEmpty():
+        label = components(links.unionByName(more), workspace)
     out = sets.select("__id", "__n").join(label.withColumnRenamed("node", "__id"), "__id", "left")
     component = F.coalesce("component", "__id")
     return out.select(F.col("__id").alias("doc_id"), F.col("__n").alias("n_shingles"), component.alias("component_id"))
@@ -283,41 +269,66 @@ def _families(shared: DataFrame, label: DataFrame, workspace: Workspace) -> Data
     return components(workspace.stage(pairs, "open_pairs"), workspace).select(F.col("node").alias("doc"), F.col("component").alias("family"))
 
 
-def _forest(
-    families: DataFrame, label: DataFrame, sketches: DataFrame, failed: DataFrame, threshold: Threshold, workspace: Workspace, block_bytes: int = 4 << 20
+def _family_links(
+    shared: DataFrame, label: DataFrame, sketches: DataFrame, texts: DataFrame, threshold: Threshold, n: int, workspace: Workspace, block_bytes: int = 8 << 20
 ) -> DataFrame:
-    """``a, b``: pairs across components that the sketches leave open, no more than join all that they may join.
+    """``a, b``: links across components, enough to join all that are linked.
 
-    The sets of a family are dealt to blocks of bounded bytes and each block is compared with each, sketch by
-    sketch, in a task of its own. Of the pairs that are close enough and have not failed, a block lets out a spanning forest,
-    the closest first.
+    The texts of a family are dealt to blocks of bounded bytes and each block is compared with each in a task of its own: all pairs
+    across components by their sketches, those that are close by their whole sets, the closest first and no longer once they are joined.
     """
     known = label.withColumnRenamed("node", "doc")
-    rows = families.join(known, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    rows = _families(shared, label, workspace).join(known, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     rows = workspace.stage(rows, "family_rows")
     several = rows.groupBy("family").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
     several = workspace.stage(several.select("family"), "open_families")
     rows = rows.join(several, "family", "left_semi").join(sketches.withColumnRenamed("__id", "doc"), "doc")
-    both = failed.select("a", "b").unionByName(failed.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rows = rows.join(both.groupBy(F.col("a").alias("doc")).agg(F.collect_set("b").alias("failed")), "doc", "left")
-    rows = workspace.stage(rows, "family_sketches")
-    sizes = rows.groupBy("family").agg(F.ceil(F.sum(F.octet_length("__bits") + 64) / block_bytes).cast("int").alias("blocks"))
+    rows = workspace.stage(rows.join(texts.withColumnRenamed("__id", "doc"), "doc"), "family_texts")
+    sizes = rows.groupBy("family").agg(F.ceil(F.sum(F.octet_length("__bits") + F.octet_length("__text")) / block_bytes).cast("int").alias("blocks"))
     rows = rows.join(workspace.stage(sizes, "family_sizes"), "family")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
-    kind = dict(families.dtypes)["doc"]
-    return rows.groupBy("family", "low", "high").applyInArrow(lambda table: _joining(table, threshold), f"a {kind}, b {kind}").distinct()
+    kind = dict(rows.dtypes)["doc"]
+    return rows.groupBy("family", "low", "high").applyInArrow(lambda table: _joining(table, threshold, n), f"a {kind}, b {kind}").distinct()
 
 
-def _joining(table: pa.Table, threshold: Threshold) -> pa.Table:
-    """Pairs of a block with another, or with itself, that join components, the closest first."""
-    ids, parts, failed = (table.column(x).to_pylist() for x in ("doc", "component", "failed"))
-    n, own = table.column("__n").to_numpy(), table.column("own").to_numpy()
-    bits = table.column("__bits").to_pylist()
-    low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+def _joining(table: pa.Table, threshold: Threshold, n: int) -> pa.Table:
+    """Links of a block with another, or with itself, that join components."""
+    ids, parts, bits = (table.column(x).to_pylist() for x in ("doc", "component", "__bits"))
+    sizes, own = table.column("__n").to_numpy(), table.column("own").to_numpy()
+    across = table.column("low")[0].as_py() != table.column("high")[0].as_py()
     number = {x: k for k, x in enumerate(dict.fromkeys(parts))}
     part = np.array([number[x] for x in parts])
+    parent = list(range(len(number)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    sets: dict[int, np.ndarray] = {}
+
+    def values(k: int) -> np.ndarray:
+        if k not in sets:
+            sets[k] = shingle_sets(Words(pa.array([texts[k].as_py()]), lower=True), n)[0]
+        return sets[k]
+
+    texts, out = table.column("__text"), []
+    for x, y in _close_pairs(bits, sizes, part, own if across else None, threshold):
+        a, b = find(part[x]), find(part[y])
+        if a != b:
+            common = len(np.intersect1d(values(x), values(y), assume_unique=True))
+            if common and threshold.of * common >= threshold.share * (len(values(x)) + len(values(y)) - common):
+                parent[a] = b
+                out.append((ids[x], ids[y]))
+    kind = table.schema.field("doc").type
+    return pa.table({"a": pa.array([x for x, _ in out], kind), "b": pa.array([y for _, y in out], kind)})
+
+
+def _close_pairs(bits: list[bytes], sizes: np.ndarray, part: np.ndarray, own: np.ndarray | None, threshold: Threshold) -> list[tuple[int, int]]:
+    """Pairs of different parts, and of different blocks if given, whose sketches leave a link open, the closest first."""
     lengths = np.array([len(x) for x in bits])
     by_length = {size: np.flatnonzero(lengths == size) for size in sorted(set(lengths.tolist()))}
     words = {size: np.frombuffer(b"".join(bits[k] for k in rows), dtype=np.uint64).reshape(len(rows), -1) for size, rows in by_length.items()}
@@ -330,28 +341,18 @@ def _joining(table: pa.Table, threshold: Threshold) -> pa.Table:
                 folded = folded[:, :half] ^ folded[:, half:]
             columns, others = by_length[small], words[small]
             for place, k in enumerate(rows):
-                apart = np.bitwise_count(others ^ folded[place]).sum(axis=1, dtype=np.int64)
-                near = apart * (threshold.of + threshold.share) <= (n[columns] + n[k]) * (threshold.of - threshold.share)
-                near &= part[columns] != part[k]
-                near &= (own[columns] != own[k]) if low != high else (columns != k)
-                hits = np.flatnonzero(near)
-                found.extend(zip(apart[hits].tolist(), [int(k)] * len(hits), columns[hits].tolist()))
-    parent = list(range(len(number)))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out = []
-    for _, x, y in sorted(found):
-        a, b = find(part[x]), find(part[y])
-        if a != b and ids[y] not in (failed[x] or ()):
-            parent[a] = b
-            out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
-    kind = table.schema.field("doc").type
-    return pa.table({"a": pa.array([x for x, _ in out], kind), "b": pa.array([y for _, y in out], kind)})
+                near = part[columns] != part[k]
+                if small == large:
+                    near &= columns > k
+                if own is not None:
+                    near &= own[columns] != own[k]
+                most = (sizes[columns] + sizes[k]) * (threshold.of - threshold.share) // (threshold.of + threshold.share)
+                near &= np.abs(sizes[columns] - sizes[k]) <= most
+                some = np.flatnonzero(near)
+                apart = np.bitwise_count(others[some] ^ folded[place]).sum(axis=1, dtype=np.int64)
+                hits = some[apart <= most[some]]
+                found.extend(zip(apart[apart <= most[some]].tolist(), [int(k)] * len(hits), columns[hits].tolist()))
+    return [(x, y) for _, x, y in sorted(found)]
 
 
 def _close(pairs: DataFrame, sketches: DataFrame, threshold: Threshold) -> DataFrame:
