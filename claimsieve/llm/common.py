@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import string
 from collections.abc import Iterator
 
@@ -12,6 +13,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018
+except (OSError, AttributeError):
+    _LIBC = None  # another C library, which has no such call
+
 #: The white space that parts words: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -37,6 +44,13 @@ def hash128(*columns: Column) -> list[Column]:
     return [F.xxhash64(*columns), F.xxhash64(F.lit(0x9E3779B9), *columns)]
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: workers live on between tasks, several on a machine."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str, size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut by rows so that the texts of each hold about ``size`` bytes, or one row."""
     for batch in batches:
@@ -47,6 +61,8 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, size: int = PIECE_BYTES
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
+        del batch, lengths, group
+        release_memory()
 
 
 def ascii_lowered(texts: pa.Array) -> pa.Array:

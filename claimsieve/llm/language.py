@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimsieve.llm.common import BLANKS, Words, mix, pieces, ragged
+from claimsieve.llm.common import BLANKS, PIECE_BYTES, Words, mix, pieces, ragged
 
 #: Longest n-gram in bytes of a word with a mark at either end.
 GRAM = 5
@@ -241,26 +241,28 @@ def _expected_pairs(scores: np.ndarray, words: np.ndarray, moves: np.ndarray) ->
     return (joint / joint.sum(axis=(2, 3), keepdims=True)).sum(axis=(0, 1))
 
 
-def with_language(docs: DataFrame, model: LanguageModel, text: str = "text", spans: bool = False) -> DataFrame:
-    """All columns of ``docs`` and ``lang_pred, score``, replacing columns of those names.
+def with_language(
+    docs: DataFrame, model: LanguageModel, text: str = "text", spans: bool = False, marks: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """All columns of ``docs`` and ``marks``, the predicted language and its score, replacing columns of those names.
 
     Every word's language probabilities come from forward-backward over the whole text. The
-    document's are their means over its words with a letter; ``lang_pred`` is the largest, ``score``
+    document's are their means over its words with a letter; the prediction is the largest, the score
     its value. With ``spans`` there is also ``lang_spans``: (lang, words) for each run of words whose most
     probable language is the same.
     Cases: a null text, or one without a letter, is ``und`` with score 0 and spans of that language;
     ties go to the language first in order; an empty table gives an empty table. Other columns are
     not looked at.
     """
-    names = ["lang_pred", "score"] + ["lang_spans"] * spans
+    names = [*marks] + ["lang_spans"] * spans
     rest = [x for x in docs.columns if x not in names]
     kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{x}` {kinds[x]}" for x in rest) + ", lang_pred string, score double"
+    schema = ", ".join(f"`{x}` {kinds[x]}" for x in rest) + f", `{marks[0]}` string, `{marks[1]}` double"
     schema += ", lang_spans array<struct<lang: string, words: int>>" * spans
     known = np.array([*model.languages, "und"], dtype=object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, text):
+        for batch in pieces(batches, text, PIECE_BYTES // 2):
             words = Words(batch.column(text), lower=False)
             scores, letters = _emissions(model, words.values)
             found = marginals(scores[words.codes], words.offsets, model.moves)

@@ -17,7 +17,7 @@ from claimsieve.llm.common import Words, ascii_lowered, pieces, ragged
 from claimsieve.staging import Workspace
 
 #: Words whose ids a worker remembers; beyond it the memory starts anew.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 200_000
 
 #: The mark of a vocabulary's tokens that end a word.
 WORD_END = "</w>"
