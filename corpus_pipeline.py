@@ -17,13 +17,9 @@ MIN_LANGUAGE_SHARE = 0.4
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones among them teach."""
-    marks = ["lang_pred", "score"]
     model = language.train(docs.select("text", "lang"))
-    # the rest goes along in one column, so that no name can clash with those of the marks
-    rows = docs.select("text", F.struct(*(F.col(f"`{x}`") for x in docs.columns)).alias("row"))
-    marked = language.with_language(rows, model)
-    kept = marked.where((F.col(marks[0]) != "und") & (F.col(marks[1]) >= MIN_LANGUAGE_SHARE))
-    return kept.select("row.*")
+    marked = language.with_language(docs, model, marks=("__lang", "__score"))
+    return marked.where((F.col("__lang") != "und") & (F.col("__score") >= MIN_LANGUAGE_SHARE)).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
