@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimsieve.llm.common import Words, ascii_lowered, pieces, ragged
+from claimsieve.llm.common import PIECE_BYTES, Words, ascii_lowered, pieces, ragged
 from claimsieve.staging import Workspace
 
 #: Words whose ids a worker remembers; beyond it the memory starts anew.
@@ -110,7 +110,7 @@ def token_pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer)
-        for batch in pieces(batches, "__text"):
+        for batch in pieces(batches, "__text", PIECE_BYTES // 2):
             ids, lengths = encoder.ids(batch.column("__text"), end)
             parts = -(-lengths // capacity)
             row = np.repeat(np.arange(batch.num_rows), parts)
@@ -179,9 +179,13 @@ def pack(tokens: DataFrame, workspace: Workspace, capacity: int = 2048, per_task
     Cases: repeated pieces take places of their own; an empty table gives an empty table; pieces longer than
     ``capacity`` raise an error.
     """
+    heavy = [name for name, kind in tokens.dtypes if kind.startswith("array")]
+    if heavy:  # ids stay where they are while places are found, and are joined to them
+        tokens = tokens.withColumn("__row", F.monotonically_increasing_id())
     tokens = workspace.stage(tokens, "pieces")
     n = max(1, round(tokens.count() / per_task))
-    names = tokens.columns
+    light = tokens.select("__row", "doc_id", "piece", "length", "ids_crc32") if heavy else tokens
+    names = light.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, first = SumOfSquares(capacity), TaskContext.get().partitionId() << 40
@@ -193,7 +197,11 @@ def pack(tokens: DataFrame, workspace: Workspace, capacity: int = 2048, per_task
             where = np.array(places, dtype=np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(where[:, 0] + first), pa.array(where[:, 1])], [*names, "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{name}` {kind}" for name, kind in tokens.dtypes) + ", sequence_id long, offset long"
-    dealt = tokens.repartition(n, F.xxhash64("doc_id", "piece"))
+    schema = ", ".join(f"`{name}` {kind}" for name, kind in light.dtypes) + ", sequence_id long, offset long"
+    dealt = light.repartition(n, F.xxhash64("doc_id", "piece"))
     ordered = dealt.sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32")
-    return ordered.mapInArrow(run, schema)
+    placed = ordered.mapInArrow(run, schema)
+    if not heavy:
+        return placed
+    placed = workspace.stage(placed.select("__row", "sequence_id", "offset"), "places")
+    return tokens.join(placed, "__row").drop("__row")
