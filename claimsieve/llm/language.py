@@ -28,8 +28,8 @@ class LanguageModel:
     moves: np.ndarray
 
 
-def _grams(values: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Feature buckets of distinct words, and where each word's begin.
+def _gram_parts(values: pa.Array, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Feature buckets of distinct words and whose they are, in order of the words, one length of n-grams at a time.
 
     Features are the n-grams of 2 to GRAM bytes of the word between two marks, so that those with a
     mark are its prefixes and suffixes, and the whole word as an entry of the lexicon.
@@ -44,21 +44,24 @@ def _grams(values: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     row = np.repeat(np.arange(len(lengths)), lengths)
     marked[np.arange(len(data)) + 2 * row + 1] = data
     left = np.repeat(begins + lengths + 2, lengths + 2) - np.arange(len(marked))  # bytes up to the word's end
-    code, out, owner = marked.copy(), [], []
+    code = marked.copy()
     places = np.arange(len(marked))
     word = np.repeat(np.arange(len(lengths)), lengths + 2)
     for n in range(2, GRAM + 1):
         code = code[:-1] * np.uint64(0x9FB21C651E98DF25) + marked[n - 1 :] + np.uint64(1)
         inside = left[: len(code)] >= n
-        out.append((mix(code[inside] + np.uint64(n)) % np.uint64(buckets)).astype(np.int32))
-        owner.append(word[places[: len(code)][inside]])
+        yield (mix(code[inside] + np.uint64(n)) % np.uint64(buckets)).astype(np.int32), word[: len(code)][inside]
     powers = np.cumsum(np.concatenate([[0], marked * mix(places.astype(np.uint64) - np.repeat(begins, lengths + 2).astype(np.uint64))]).astype(np.uint64))
     whole = powers[begins + lengths + 2] - powers[begins]
-    out.append((mix(whole) % np.uint64(buckets)).astype(np.int32))
-    owner.append(np.arange(len(lengths)))
-    owners, features = np.concatenate(owner), np.concatenate(out)
+    yield (mix(whole) % np.uint64(buckets)).astype(np.int32), np.arange(len(lengths))
+
+
+def _grams(values: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """All feature buckets word by word, and where each word's begin."""
+    parts = list(_gram_parts(values, buckets))
+    features, owners = (np.concatenate(x) for x in zip(*parts))
     order = np.argsort(owners, kind="stable")
-    return features[order], np.searchsorted(owners[order], np.arange(len(lengths) + 1))
+    return features[order], np.searchsorted(owners[order], np.arange(len(values) + 1))
 
 
 def _has_letter(values: pa.Array) -> np.ndarray:
@@ -70,8 +73,12 @@ def _emissions(model: LanguageModel, values: pa.Array) -> tuple[np.ndarray, np.n
     letters = _has_letter(values)
     scores = np.zeros((len(values), len(model.languages)), dtype=np.float32)
     if letters.any():
-        features, begins = _grams(values.filter(pa.array(letters)), len(model.weights))
-        scores[letters] = np.add.reduceat(model.weights[features], begins[:-1], axis=0)
+        found = np.zeros((int(letters.sum()), scores.shape[1]), dtype=np.float32)
+        for features, owners in _gram_parts(values.filter(pa.array(letters)), len(model.weights)):
+            if len(owners):
+                begins = np.flatnonzero(np.concatenate([[True], owners[1:] != owners[:-1]]))
+                found[owners[begins]] += np.add.reduceat(model.weights[features], begins, axis=0)
+        scores[letters] = found
     return scores, letters
 
 
@@ -262,7 +269,7 @@ def with_language(
     known = np.array([*model.languages, "und"], dtype=object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, text, PIECE_BYTES // 2):
+        for batch in pieces(batches, text, PIECE_BYTES // 4):
             words = Words(batch.column(text), lower=False)
             scores, letters = _emissions(model, words.values)
             found = marginals(scores[words.codes], words.offsets, model.moves)
