@@ -270,7 +270,7 @@ def _families(shared: DataFrame, label: DataFrame, workspace: Workspace) -> Data
 
 
 def _family_links(
-    shared: DataFrame, label: DataFrame, sketches: DataFrame, texts: DataFrame, threshold: Threshold, n: int, workspace: Workspace, block_bytes: int = 8 << 20
+    shared: DataFrame, label: DataFrame, sketches: DataFrame, texts: DataFrame, threshold: Threshold, n: int, workspace: Workspace, block_bytes: int = 32 << 20
 ) -> DataFrame:
     """``a, b``: links across components, enough to join all that are linked.
 
