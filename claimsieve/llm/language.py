@@ -161,8 +161,10 @@ def train(
 ) -> LanguageModel:
     """Fit the model on the rows of ``docs`` that have a language and a text with words.
 
-    It sees at most about ``docs_per_language`` texts of each language, drawn by hash, and of each a window
-    of at most ``words_per_doc`` words at a hashed place; these bounds are all that reaches the driver.
+    It sees ``docs_per_language`` different texts of each language, or all if there are fewer: those of the smallest
+    seeded hashes. Copies of a text count as one, folded within tasks first. Of each text it takes a window
+    of at most ``words_per_doc`` words at a hashed place. What reaches the driver is some 2 * ``docs_per_language`` + 100
+    such windows a language, as the hash up to which a task keeps texts comes from an approximate count of the different ones.
     As whole texts have one language, the training sequences switch: they are put together
     from runs of words of several languages, and the transitions are learned from them.
     Raises an error if there is no such row.
@@ -170,19 +172,25 @@ def train(
     words = F.split(F.trim(F.col("t"), F.lit(BLANKS)), r"[ \t\n\x0B\f\r]+")
     rows = docs.select(F.col(lang).alias("l"), F.col(text).alias("t")).where("l is not null and t is not null")
     rows = rows.where(F.col("t").rlike(r"\p{L}"))
-    counts = {x["l"]: x["count"] for x in rows.groupBy("l").count().collect()}
+    rows = rows.withColumn("h", F.xxhash64("t", F.lit(seed)))
+    counts = {x["l"]: x["n"] for x in rows.groupBy("l").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not counts:
         raise ValueError("no row has a text and a language")
-    share = F.create_map(*(F.lit(x) for name, n in counts.items() for x in (name, min(1.0, docs_per_language / n))))
-    hashed = F.pmod(F.xxhash64("t", F.lit(seed)), F.lit(1_000_003))
-    sample = rows.where(hashed / 1_000_003 < share[F.col("l")]).withColumn("w", words)
+    # wide enough that a language has too few below its bound only if it has no more
+    share = {name: (2 * docs_per_language + 100) / max(1, n) for name, n in counts.items()}
+    bound = {name: (1 << 63) - 1 if x >= 1 else int(x * (1 << 64)) - (1 << 63) for name, x in share.items()}
+    upto = F.create_map(*(F.lit(x).cast(kind) for name in bound for x, kind in ((name, "string"), (bound[name], "long"))))
+    sample = rows.where(F.col("h") <= upto[F.col("l")]).withColumn("w", words)
     begin = F.greatest(F.lit(0), F.pmod(F.xxhash64("t"), F.greatest(F.lit(1), F.size("w") - words_per_doc)).cast("int"))
-    sample = sample.select("l", F.slice("w", begin + 1, F.lit(words_per_doc)).alias("w")).orderBy("l", F.xxhash64("w"))
-    languages = tuple(sorted(counts))
-    streams: dict[str, list[str]] = {name: [] for name in languages}
-    for row in sample.limit(2 * docs_per_language * len(languages)).collect():
-        streams[row["l"]].extend(row["w"])
-    languages = tuple(x for x in languages if streams[x])
+    sample = sample.select("l", "h", F.slice("w", begin + 1, F.lit(words_per_doc)).alias("w")).groupBy("l", "h").agg(F.min("w").alias("w"))
+    drawn: dict[str, list[tuple[int, int, list[str]]]] = {name: [] for name in sorted(counts)}
+    for row in sample.withColumn("o", F.xxhash64("w")).collect():
+        drawn[row["l"]].append((row["h"], row["o"], row["w"]))
+    streams = {}
+    for name, texts in drawn.items():
+        kept = sorted(texts)[:docs_per_language]
+        streams[name] = [w for _, _, text in sorted(kept, key=lambda x: x[1]) for w in text]
+    languages = tuple(x for x in streams if streams[x])
     return _fit(languages, [streams[x] for x in languages], buckets, rounds, seed)
 
 

@@ -91,3 +91,30 @@ def test_training_repeats(spark):
     docs = read_table(spark, "/root/testdata/sf0.001", "documents")
     one, two = (language.train(x, rounds=3) for x in (docs, docs.repartition(5)))
     assert one.languages == two.languages and np.array_equal(one.weights, two.weights)
+
+
+def invented(lang, k, n=30):
+    """A text of a language of its own letters; ``k`` makes it differ from others."""
+    rng = np.random.default_rng([k, *lang.encode()])
+    letters = {"de": "abcdefg", "en": "hijklmn", "fr": "opqrstu"}[lang]
+    return " ".join("".join(rng.choice(list(letters), 5)) for _ in range(n))
+
+
+@pytest.mark.parametrize("hot", range(4))
+def test_copies_do_not_take_the_place_of_other_languages(spark, hot):
+    # with the hash alone deciding, one of the hot texts is drawn with all its copies
+    texts = [("de", invented("de", k)) for k in range(5)] + [(x, invented(x, k)) for x in ("en", "fr") for k in range(5)]
+    texts += [("de", invented("de", hot))] * 200
+    docs = spark.createDataFrame([(k, text, lang, None, None) for k, (lang, text) in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    model = language.train(docs, docs_per_language=5, rounds=10)
+    assert model.languages == ("de", "en", "fr")
+    found = language.with_language(docs, model).select("lang", "lang_pred").distinct().collect()
+    assert {tuple(r) for r in found} == {(x, x) for x in model.languages}
+
+
+def test_a_language_of_equal_rows_stays(spark):
+    rows = [(invented("en", 1), "en")] * 1000 + [(invented("de", k), "de") for k in range(400)]
+    plain = [(invented("en", 1), "en")] + rows[1000:]
+    many, one = (language.train(spark.createDataFrame(x, "text string, lang string").repartition(5), rounds=3, docs_per_language=20) for x in (rows, plain))
+    assert many.languages == one.languages == ("de", "en")
+    assert np.array_equal(many.weights, one.weights)
