@@ -18,6 +18,8 @@ from claimsieve.llm.common import PIECE_BYTES, Words, mix, pieces, window_hashes
 
 #: Word n-grams of the filter ahead of the embedding.
 GRAMS = (1, 2, 3)
+#: Items of more words are embedded in parts of at most PART words, as the walks drift apart over long windows.
+WHOLE, PART = 60, 45
 
 
 @dataclass(frozen=True)
@@ -69,13 +71,24 @@ def embed(hashes: np.ndarray, begin: np.ndarray, size: int, stop: np.ndarray, se
 
 
 class ItemIndex:
-    """Some items' words, their buckets by size, and the n-grams they hold."""
+    """Some items' words, the buckets of their parts by the parts' size, and the n-grams they hold.
+
+    A short item is one part. Of a long one's parts, at least one has no larger share of edits
+    than the whole, so that what leaves out no near part leaves out no near item.
+    """
 
     def __init__(self, ids: list, texts: pa.Array, search: Search):
         words = Words(texts, lower=True)
         self.search, self.hashes, self.ids, self.offsets = search, normal_hashes(words), ids, words.offsets
-        sizes = words.lengths
-        self.sizes = np.unique(sizes[sizes > 0])
+        counts = np.where(words.lengths > WHOLE, -(-words.lengths // PART), np.minimum(words.lengths, 1))
+        self.part_item = np.repeat(np.arange(len(counts)), counts)
+        number, of = np.arange(len(self.part_item)) - np.repeat(np.cumsum(counts) - counts, counts), counts[self.part_item]
+        length = words.lengths[self.part_item]
+        #: where a part begins in its item
+        self.part_at = number * length // np.maximum(of, 1)
+        sizes = (number + 1) * length // np.maximum(of, 1) - self.part_at
+        self.part_size = sizes
+        self.sizes = np.unique(sizes)
         self.grams = []
         text = words.text_of_word
         for n in GRAMS:
@@ -85,7 +98,8 @@ class ItemIndex:
         self.buckets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for size in self.sizes.tolist():
             rows = np.flatnonzero(sizes == size)
-            keys = embed(self.hashes, self.offsets[rows], size, self.offsets[rows + 1], search)
+            begin = self.offsets[self.part_item[rows]] + self.part_at[rows]
+            keys = embed(self.hashes, begin, size, begin + size, search)
             flat, owner = keys.ravel(), np.tile(rows, len(keys))
             order = np.argsort(flat)
             self.buckets[size] = flat[order], owner[order]
@@ -95,7 +109,7 @@ class ItemIndex:
 
 
 def _windows(index: ItemIndex, hits: list[np.ndarray], begins: np.ndarray, stops: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """For each item size the starts of the windows that hold enough of the items' n-grams.
+    """For each size of the items' parts the starts of the windows that hold enough of the items' n-grams.
 
     A passage within k edits of an item of m words has at least m - n + 1 - n * k of its n-grams, and
     the window from its start at least k less; other windows can't match and are left out. What no
@@ -176,10 +190,15 @@ def _search(index: ItemIndex, words: Words) -> Iterator[tuple[int, int, int, int
                 pairs.append(np.stack([owner[place], np.repeat(starts, n)]))
     if not pairs:
         return
-    items, starts = np.unique(np.concatenate(pairs, axis=1), axis=1)
-    texts = doc[starts]
+    parts, starts = np.unique(np.concatenate(pairs, axis=1), axis=1)
+    # where the item would begin, which may be ahead of its text
+    found = np.stack([index.part_item[parts], doc[starts], starts - index.part_at[parts]])
+    order = np.lexsort(found[::-1])
+    (items, texts, starts), parts = found[:, order], parts[order]
     size = np.diff(index.offsets)[items]
     most = index.search.most(size)
+    # a window may begin anywhere in the words of a long item's part
+    slack = most + np.where(size > WHOLE, index.part_size[parts], 0)
     # windows of one text and item that lie close together are looked at as one region
     apart = np.ones(len(items), dtype=bool)
     apart[1:] = (items[1:] != items[:-1]) | (texts[1:] != texts[:-1]) | (starts[1:] - starts[:-1] > size[1:])
@@ -187,8 +206,9 @@ def _search(index: ItemIndex, words: Words) -> Iterator[tuple[int, int, int, int
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     for a, b in zip(edges, edges[1:]):
         item, text, k = int(items[a]), int(texts[a]), int(most[a])
-        low = max(int(starts[a]) - k, int(begins[text]))
-        high = min(int(starts[b - 1]) + int(size[a]) + k, int(stops[text]))
+        wide = int(slack[a:b].max())
+        low = max(int(starts[a]) - wide, int(begins[text]))
+        high = min(int(starts[b - 1]) + int(size[a]) + wide, int(stops[text]))
         own = index.item(item)
         # two-grams that a passage near the item has to share with it
         if np.isin(window_hashes(hashes[low:high], 2), window_hashes(own, 2)).sum() < len(own) - 1 - 2 * k:
@@ -217,7 +237,8 @@ def contaminated(
     of words, compared in lower case and without ASCII punctuation at their ends. Each window as long as an item is mapped by
     random walks to a string in which few edits are few differing places; samples of
     those places are its bucket keys; items of its size in one of its buckets are verified by exact edit distance
-    over the region around it. With the default 4 walks of 5 samples of 5 places some 99 % of passages
+    over the region around it. Items of more than 60 words are embedded in parts of 30 to 45 words, any of which opens the
+    verification of the whole item, so that recall does not fall with the length. With the default 4 walks of 5 samples of 5 places some 99 % of passages
     with a tenth of their words edited are found, and all unedited ones.
     The items go to the tasks in blocks of at most ``words_per_block`` words (some 30 bytes a word and walk sample), one
     pass over the documents each, so that a task's memory is bounded whatever the benchmark's size. Nothing is shuffled.

@@ -129,3 +129,38 @@ def test_rows_without_items_stay(spark):
     assert out.columns == df.columns
     ids = [r["doc_id"] for r in out.collect()]
     assert sorted(x for x in ids if x is not None) == sorted({d[0] for d in docs} - {d for d, _ in truth}) and ids.count(None) == 1
+
+
+@pytest.mark.parametrize("size", [100, 400, 1000])
+@pytest.mark.parametrize("edits", [0.1, 0.15, 0.19])
+def test_recall_of_long_items(size, edits):
+    rng = random.Random(size)
+    words = vocabulary(rng, 3000)
+    items = [[rng.choice(words) for _ in range(size + k)] for k in range(12)]
+    texts = []
+    for item in items:
+        around = [[rng.choice(words) for _ in range(rng.randint(0, 150))] for _ in range(2)]
+        texts.append(" ".join([*around[0], *edited(item, int(size * edits), rng, words), *around[1]]))
+    search = decontaminate.Search()
+    index = decontaminate.ItemIndex(list(range(len(items))), pa.array([" ".join(x) for x in items]), search)
+    words_of = Words(pa.array(texts), lower=True)
+    hashes = decontaminate.normal_hashes(words_of)
+    truth = {}  # by brute force: each item against each whole text
+    for t in range(len(texts)):
+        for i in range(len(items)) if t < 2 else [t]:
+            distance = decontaminate.edit_match(index.item(i), hashes[words_of.offsets[t] : words_of.offsets[t + 1]])[0]
+            if distance <= search.most(len(items[i])):
+                truth[t, i] = distance
+    got = {(t, i): k for t, i, _, _, k in decontaminate._search(index, words_of)}
+    assert len(truth) >= len(items) and len(got.keys() & truth.keys()) >= 0.95 * len(truth)
+    assert got.keys() <= truth.keys() and all(truth[x] == k for x, k in got.items())
+
+
+def test_parts_hold_every_word_of_their_item():
+    lengths = [0, 1, 59, 60, 61, 90, 91, 400, 1001]
+    index = decontaminate.ItemIndex(list(range(len(lengths))), pa.array([" ".join(f"w{k}" for k in range(n)) for n in lengths]), decontaminate.Search())
+    for row, n in enumerate(lengths):
+        mine = index.part_item == row
+        places = [k for a, m in zip(index.part_at[mine], index.part_size[mine]) for k in range(a, a + m)]
+        assert places == list(range(n))
+        assert n <= 60 or all(30 <= m <= 45 for m in index.part_size[mine])
