@@ -29,11 +29,13 @@ SKIPPED = frozenset(
 CONTAINERS = frozenset("div section ul ol dl table nav header footer aside form menu details figure".split())
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 SKIPPED_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banners?|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|newsletter|subscri\w+|popup|modal|overlay|sidebar|"
+    r"ads?|advert\w*|banners?|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|newsletter|subscri\w+|popup|modal|overlay|sidebar|"
     r"nav|navbar|navigation|menus?|breadcrumbs?|footer|header|masthead|comments?|commentlist|disqus|repl(?:y|ies)|respond|shar(?:e|ing)|social|"
-    r"related|recommended|widgets?|toolbar|pagination|pager|login|signin|signup|search|skip-link)(?:$|[\s_-])",
+    r"related|recommended|widgets?|toolbar|pagination|pager|login|signin|signup|search|skip-link",
     re.I,
 )
+#: Parts of a class that say what a wrapper has or lacks, not what it is.
+NEGATIONS = frozenset("no not non none has have with without hide hides".split())
 #: What an open element closes on opening, and where the search for it stops.
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
@@ -60,6 +62,7 @@ _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?
 class _Element:
     tag: str
     skipped: bool
+    named: int
     in_article: bool
     in_main: bool
     sum: object
@@ -89,9 +92,56 @@ def _is_skipped(tag: str, attributes: dict[str, str], in_content: bool) -> bool:
         return True
     if attributes.get("role", "").lower() in SKIPPED_ROLES:
         return True
+    return False
+
+
+def _is_named(tag: str, attributes: dict[str, str], in_content: bool) -> bool:
+    """Whether a class or the id, or its first or last part, is one of SKIPPED_WORDS; an article's own header is not."""
     if tag in ("html", "body", "article", "main") or tag in INLINE:
         return False
-    return any(SKIPPED_WORDS.search(attributes[x]) for x in ("class", "id") if x in attributes)
+    for token in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
+        parts = [x for x in re.split("[_-]+", token) if x]
+        if not parts or NEGATIONS.intersection(parts):
+            continue
+        if any(SKIPPED_WORDS.fullmatch(x) and not (in_content and x == "header") for x in (token, parts[0], parts[-1])):
+            return True
+    return False
+
+
+def _dropped(blocks: list[tuple[str, list[int], bool, bool]], inside: list[int], around: list[int], mains: set[int], within: set[int]) -> list[bool]:
+    """Which named elements go with all they hold. ``inside``: the innermost named element of each block; ``around``: of each element;
+    ``mains``: those around a main element; ``within``: those inside an article or main.
+
+    One that holds the main element is a wrapper and stays, as does one with more than half of the page's text, unless it stands
+    outside of an article or main that has text, such as comments marked as articles. If no text of an
+    article or main is then left, that which holds most of it stays, and so on inwards.
+    """
+    n = len(around)
+    chars, content = [0] * n, [0] * n
+    for (text, _, article, main), name in zip(blocks, inside):
+        if name >= 0:
+            chars[name] += len(text)
+            content[name] += len(text) * (article or main)
+    wraps = [k in mains for k in range(n)]
+    for k in range(n - 1, -1, -1):  # the elements inside first
+        if around[k] >= 0:
+            chars[around[k]] += chars[k]
+            content[around[k]] += content[k]
+            wraps[around[k]] |= wraps[k]
+    total, written = sum(len(x[0]) for x in blocks), sum(len(x[0]) for x in blocks if x[2] or x[3])
+    stays = [wraps[k] or 2 * chars[k] > total and (k in within or content[k] == written) for k in range(n)]
+    while True:
+        gone = [False] * n
+        outer = []
+        for k in range(n):
+            above = around[k] >= 0 and gone[around[k]]
+            gone[k] = above or not stays[k]
+            if gone[k] and not above and content[k]:
+                outer.append(k)
+        free = any((block[2] or block[3]) and (name < 0 or not gone[name]) for block, name in zip(blocks, inside))
+        if free or not outer:
+            return gone
+        stays[max(outer, key=lambda k: content[k])] = True
 
 
 def parse(page: str) -> Page:
@@ -100,10 +150,15 @@ def parse(page: str) -> Page:
     Elements are closed as in HTML where their end tags are left out; an end tag without its element is ignored,
     and at the end of a page cut short all open elements end. A subtree's hash covers tags, classes
     and text of all it holds. Text in elements that never hold the article is left out of the blocks, not of the hashes.
+    What elements named by their class or id hold is judged at the page's end, see :func:`_dropped`.
     """
     blocks: list[tuple[str, list[int], bool, bool]] = []
     subtrees: list[int] = []
-    root = _Element("", False, False, False, xxhash.xxh3_64())
+    inside: list[int] = []
+    around: list[int] = []
+    mains: set[int] = set()
+    within: set[int] = set()
+    root = _Element("", False, -1, False, False, xxhash.xxh3_64())
     stack = [root]
     text: list[str] = []
 
@@ -116,6 +171,7 @@ def parse(page: str) -> Page:
                 if element.tag in CONTAINERS:
                     element.blocks.append(len(blocks))
             blocks.append((joined, [], top.in_article, top.in_main))
+            inside.append(top.named)
 
     def close() -> None:
         element = stack.pop()
@@ -185,7 +241,15 @@ def parse(page: str) -> Page:
         if tag in VOID:
             top.sum.update(tag.encode())
             continue
-        element = _Element(tag, skipped, article, main, xxhash.xxh3_64(f"{tag} {attributes.get('class', '')}".encode("utf-8", "surrogatepass")))
+        named = top.named
+        if main and not top.in_main and not skipped:
+            mains.add(named)
+        if not skipped and _is_named(tag, attributes, top.in_article or top.in_main):
+            named = len(around)
+            around.append(top.named)
+            if top.in_article or top.in_main:
+                within.add(named)
+        element = _Element(tag, skipped, named, article, main, xxhash.xxh3_64(f"{tag} {attributes.get('class', '')}".encode("utf-8", "surrogatepass")))
         stack.append(element)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
@@ -199,6 +263,9 @@ def parse(page: str) -> Page:
     flush()
     while len(stack) > 1:
         close()
+    if around:
+        gone = _dropped(blocks, inside, around, mains, within)
+        blocks = [block for block, name in zip(blocks, inside) if name < 0 or not gone[name]]
     return Page(blocks, subtrees)
 
 
@@ -234,7 +301,8 @@ def main_text(
     are counted per host over different pages, folded within tasks first, and a subtree on at least ``min_pages`` pages and
     ``min_share`` of the host's is a template of that host: its blocks go, unless they are more than half of the
     page's text. What a page's markup names as something other than the article (menus, headers, footers,
-    sidebars, notices, adverts, forms, comments) goes too; if there is an article, only its text stays. Blocks are
+    sidebars, notices, adverts, forms, comments) goes too, but no element goes by its class or id that holds the main element, the only
+    articles or more than half of the page's text, nor by a class that says what a wrapper has or lacks (``no-sidebar``); if there is an article, only its text stays. Blocks are
     joined by a space, with references decoded and white space folded.
     Only pages whose remaining blocks lie in containers are joined with the templates of their host.
     Cases: null html is empty; a page without url or host belongs to the host ""; copies of a page count

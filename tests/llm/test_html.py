@@ -86,3 +86,25 @@ def test_host(spark):
     urls = [None, "http://www.A.example/x", "https://u:p@b.example:8080?x", "//c", "ftp://d.example#f"]
     df = spark.createDataFrame([(u,) for u in urls], "u string")
     assert [r[0] for r in df.select(html.host(F.col("u"))).collect()] == ["", "a.example", "b.example", "", "d.example"]
+
+
+LONG = "a story of many words " * 5
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<div class='layout no-sidebar'><article>x</article></div>", "x"),
+        ("<div class='has-sidebar'><div class='with-comments'><p>x</p></div><p>y</div>", "x y"),
+        ("<div class='search-results'><article>x</article></div><div id=comments>c</div>", "x"),
+        ("<div class='sidebar-left'><main>x</main></div>" + LONG, "x"),
+        ("<article><header class='entry-header'><h1>Title</h1></header>x</article>", "Title x"),
+        (f"<div class=widget><p>{LONG}</p></div><div class=sidebar>s</div>", LONG.strip()),
+        ("<article>x</article><div id=comments><article>c</article><article>d</article></div>", "x"),
+        ("<div class=sidebar><article>t</article></div><div class='search-page'><article>the longer one</article></div>", "the longer one"),
+        ("<div class=widget><div class=search><article>x</article></div></div><p>other words that stand outside", "x"),
+        ("<article>a b c<div class='post__ad'>d</div><div class='social_links'>e</div></article>", "a b c"),
+    ],
+)
+def test_wrappers_named_by_what_they_hold_stay(page, text):
+    assert body(page) == text
