@@ -257,22 +257,29 @@ def _expected_pairs(scores: np.ndarray, words: np.ndarray, moves: np.ndarray) ->
 
 
 def with_language(
-    docs: DataFrame, model: LanguageModel, text: str = "text", spans: bool = False, marks: tuple[str, str] = ("lang_pred", "score")
+    docs: DataFrame,
+    model: LanguageModel,
+    text: str = "text",
+    spans: bool = False,
+    marks: tuple[str, str] = ("lang_pred", "score"),
+    sureness: tuple[str, str] | None = None,
 ) -> DataFrame:
     """All columns of ``docs`` and ``marks``, the predicted language and its score, replacing columns of those names.
 
     Every word's language probabilities come from forward-backward over the whole text. The
     document's are their means over its words with a letter; the prediction is the largest, the score
     its value. With ``spans`` there is also ``lang_spans``: (lang, words) for each run of words whose most
-    probable language is the same.
+    probable language is the same. ``sureness`` names two more columns: the mean over the words with a letter of
+    each word's largest probability, which a text of several languages has as high as others, and these words' number.
     Cases: a null text, or one without a letter, is ``und`` with score 0 and spans of that language;
     ties go to the language first in order; an empty table gives an empty table. Other columns are
     not looked at.
     """
-    names = [*marks] + ["lang_spans"] * spans
+    names = [*marks, *(sureness or ())] + ["lang_spans"] * spans
     rest = [x for x in docs.columns if x not in names]
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{x}` {kinds[x]}" for x in rest) + f", `{marks[0]}` string, `{marks[1]}` double"
+    schema += f", `{sureness[0]}` double, `{sureness[1]}` long" if sureness else ""
     schema += ", lang_spans array<struct<lang: string, words: int>>" * spans
     known = np.array([*model.languages, "und"], dtype=object)
 
@@ -289,6 +296,9 @@ def with_language(
             best = np.where(n > 0, share.argmax(axis=1), len(model.languages))
             score = np.where(n > 0, np.clip(share.max(axis=1), 0, 1), 0.0)
             columns = [*(batch.column(x) for x in rest), pa.array(known[best], pa.string()), pa.array(score)]
+            if sureness:
+                sure = np.concatenate([[0], np.cumsum(found.max(axis=1) * counted, dtype=np.float64)]) if len(words) else np.zeros(1)
+                columns += [pa.array(np.clip(np.diff(sure[words.offsets]) / np.maximum(n, 1), 0, 1)), pa.array(n.astype(np.int64))]
             if spans:
                 columns.append(_spans(found.argmax(axis=1), best, words, known))
             yield pa.RecordBatch.from_arrays(columns, rest + names)

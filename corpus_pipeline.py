@@ -11,15 +11,20 @@ from pyspark.sql import functions as F
 from claimsieve.llm import decontaminate, jaccard, language, lines, packing
 from claimsieve.staging import scratch
 
-#: A document whose best language has a smaller share of its words is rejected, as is one without letters.
+#: A document of at least MIN_WORDS words with a letter is rejected if their largest language probabilities have a smaller mean.
 MIN_LANGUAGE_SHARE = 0.4
+MIN_WORDS = 20
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled ones among them teach."""
+    """Documents whose words are surely of languages that the labelled ones among them teach, of one or of several.
+
+    A document without a letter goes; one of few words stays, as does one that switches between languages.
+    """
     model = language.train(docs.select("text", "lang"))
-    marked = language.with_language(docs, model, marks=("__lang", "__score"))
-    return marked.where((F.col("__lang") != "und") & (F.col("__score") >= MIN_LANGUAGE_SHARE)).select(*docs.columns)
+    marked = language.with_language(docs, model, marks=("__lang", "__score"), sureness=("__sure", "__words"))
+    sure = (F.col("__words") < MIN_WORDS) | (F.col("__sure") >= MIN_LANGUAGE_SHARE)
+    return marked.where((F.col("__lang") != "und") & sure).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -105,3 +105,25 @@ def test_all_stages(spark):
     for r in out.collect():
         found[r["doc_id"]] += r["length"]
     assert Counter(found.items()) == expected
+
+
+def test_language_stage_keeps_mixtures_and_short_documents(spark, monkeypatch):
+    table = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    model = language.train(table.select("text", "lang"))
+    monkeypatch.setattr(language, "train", lambda *_: model)
+    clean = table.where("length(text) between 600 and 4000").orderBy("doc_id").collect()
+    first = {r["lang"]: " ".join(r["text"].split()[:40]) for r in reversed(clean)}
+    mixed = [" ".join(first[x] for x in order) for order in (["en", "de", "fr"], ["de", "fr", "es"], ["es", "en", "fr", "de"])]
+    short = ["qq", "zxj wvk", "жук", "пять слов", "漢字"]
+    docs = frame(spark, [(k, text, None, None, None) for k, text in enumerate(mixed + short)], extra=False)
+    scores = [r["score"] for r in language.with_language(docs, model).collect()]
+    assert min(scores) < corpus_pipeline.MIN_LANGUAGE_SHARE
+    assert Counter(rows(corpus_pipeline.keep_languages(spark, docs, SF_DIR))) == Counter(rows(docs))
+
+
+def test_language_stage_rejects_doubt(spark, monkeypatch):
+    rng = language.np.random.default_rng(1)
+    blank = language.LanguageModel(("a", "b", "c", "d"), rng.normal(size=(64, 4)).astype("float32") * 1e-3, language.np.zeros((4, 4), dtype="float32"))
+    monkeypatch.setattr(language, "train", lambda *_: blank)
+    docs = frame(spark, [(1, "word " * corpus_pipeline.MIN_WORDS, None, None, None), (2, "word", None, None, None), (3, "1 2", None, None, None)], extra=False)
+    assert [r[0] for r in rows(corpus_pipeline.keep_languages(spark, docs, SF_DIR))] == [2]
