@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from claimsieve.llm import chat, content_sort, decontaminate, html, jaccard, language, lines, packing, substrings, warc
+from claimsieve.llm import chat, content_sort, decontaminate, html, jaccard, language, lines, packing, periods, substrings, warc
 from claimsieve.llm.common import read_table, sha256_hex
 from claimsieve.staging import scratch
 
@@ -163,3 +163,28 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"),
         "valid",
     ).drop("valid")
+
+
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: a tenth of the documents, by a hash of their ids, repeat some of their words from a hashed place on."""
+    mark = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.when(mark % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)))
+    docs = docs.select("doc_id", "text", F.floor(mark / 10).alias("g"), words.alias("words")).withColumn("n", F.size("words"))
+    docs = docs.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    docs = docs.withColumn("p", F.lit(1) + F.floor((F.col("n") - F.col("a")) / (F.lit(3) + F.col("g") % 8)))
+    word = lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("words", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
+    return docs.select("doc_id", F.when(F.col("n") > 0, F.array_join(F.transform("words", word), " ")).otherwise(F.col("text")).alias("text"))
+
+
+@_query()
+def op11_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _with_planted_runs(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    best = periods.longest_run(F.col("runs"))
+    return periods.with_runs(docs).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *(best[x].alias(x) for x in ("start", "length", "period")),
+        F.floor(F.lit(1000) * best["length"] / best["period"]).alias("exponent_milli"),
+        sha256_hex(periods.runs_text(F.col("runs"))).alias("runs_sha256"),
+        sha256_hex(F.col("collapsed")).alias("collapsed_sha256"),
+    )
