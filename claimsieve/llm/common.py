@@ -71,6 +71,20 @@ def ascii_lowered(texts: pa.Array) -> pa.Array:
     return pc.ascii_lower(texts.take(pa.array(np.arange(len(texts)))))
 
 
+#: What each byte of UTF-8 becomes where terms are looked for: letters and digits in lower case, other ASCII a blank.
+_TERM_BYTES = np.array([x if x >= 0x80 else ord(chr(x).lower()) if chr(x).isalnum() else 0x20 for x in range(256)], dtype=np.uint8)
+
+
+def term_texts(texts: pa.Array) -> pa.Array:
+    """The terms of each text, parted by blanks: the longest stretches of ASCII letters, digits and other than ASCII characters, A-Z in lower case."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    texts = texts.take(pa.array(np.arange(len(texts))))  # a copy without an offset
+    _, offsets, data = texts.buffers()
+    if data is None:
+        return texts
+    return pa.LargeStringArray.from_buffers(len(texts), offsets, pa.py_buffer(_TERM_BYTES[np.frombuffer(data, dtype=np.uint8)]))
+
+
 class Words:
     """The words of some texts as codes of their distinct words.
 

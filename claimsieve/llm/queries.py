@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from claimsieve.llm import chat, content_sort, decontaminate, html, jaccard, language, lines, packing, periods, substrings, warc
+from claimsieve.llm import chat, content_sort, decontaminate, html, jaccard, language, lines, packing, periods, search, substrings, toxicity, warc
 from claimsieve.llm.common import read_table, sha256_hex
 from claimsieve.staging import scratch
 
@@ -188,3 +188,31 @@ def op11_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         sha256_hex(periods.runs_text(F.col("runs"))).alias("runs_sha256"),
         sha256_hex(F.col("collapsed")).alias("collapsed_sha256"),
     )
+
+
+@_query()
+def op12_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = language.held_out(F.col("doc_id"))
+    labels = read_table(spark, sf_dir, "labels").where(~held)
+    model = toxicity.train(docs, labels.select("doc_id", "toxic"))
+    rows = docs.select("doc_id", held.alias("held_out"), "text")
+    return toxicity.with_toxicity(rows, model).select("doc_id", "held_out", "score", "predicted")
+
+
+@_query(rf"""
+WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '{search.TERM}') AS ts FROM documents),
+s AS (SELECT count(*) FILTER (len(ts) > 0) AS big_n, sum(len(ts))::BIGINT AS big_l FROM t),
+p AS (SELECT doc_id, len(ts) AS n, unnest(ts) AS term FROM t),
+tf AS (SELECT doc_id, n, term, count(*) AS tf FROM p GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+i AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '{search.TERM}')) AS term FROM benchmark),
+c AS (SELECT item_id, term, count(*) AS c FROM i GROUP BY ALL),
+w AS (SELECT item_id, term, c * floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM c JOIN df USING (term), s),
+h AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * big_n) // big_l))))::BIGINT AS score
+  FROM w JOIN tf USING (term), s GROUP BY item_id, doc_id),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM h WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 20""")
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (read_table(spark, sf_dir, name) for name in ("documents", "benchmark"))
+    return search.search(docs, items, scratch(spark), k=20)

@@ -1,0 +1,103 @@
+"""Ranked search against scores of all documents."""
+
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from claimsieve.llm import search
+from tests.llm.cases import documents, frame
+
+
+def terms(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(search.TERM, low)
+
+
+def plain_search(docs, items, k):
+    """(item, rank, doc, score) with every document's score for every item."""
+    counted = [(d, Counter(terms(text))) for d, text in docs]
+    n_docs, total = sum(bool(c) for _, c in counted), sum(sum(c.values()) for _, c in counted)
+    df = Counter(t for _, c in counted for t in c)
+    wanted = {}
+    for i, text in items:
+        if i is not None:
+            wanted.setdefault(i, Counter()).update(terms(text))
+    out = set()
+    for i, query in wanted.items():
+        found = []
+        for d, c in counted:
+            m = 75 + 25 * sum(c.values()) * n_docs // total if total else 0
+            score = 0
+            for t, times in query.items():
+                if c[t]:
+                    w = math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1)))
+                    score += times * w * (1_000_000_000 * c[t] // (1000 * c[t] + 12 * m))
+            if score > 0:
+                found.append((-score, -1 if d is None else d, d))
+        found.sort(key=lambda x: x[:2])
+        out |= {(i, r + 1, d, -s) for r, (s, _, d) in enumerate(found[:k])}
+    return out
+
+
+def many(seed=3, n=400):
+    """Documents of words of very different frequency, some with a passage of an item, many alike."""
+    rng = random.Random(seed)
+    vocabulary = [f"w{k}" for k in range(300)]
+    odds = [1 / (k + 1) for k in range(300)]
+    text = lambda m: " ".join(rng.choices(vocabulary, odds, k=m))
+    items = [(k, text(rng.randint(1, 40))) for k in range(12)]
+    docs = [(k, text(rng.randint(0, 120))) for k in range(n)]
+    docs += [(n + k, f"{text(30)} {items[k % 5][1]} {text(20)}") for k in range(60)]
+    docs += [(2 * n + k, items[6][1]) for k in range(45)]
+    return docs, items
+
+
+@pytest.mark.parametrize("k, shard, block", [(20, 2_000_000, 500_000), (20, 700, 500_000), (3, 300, 40), (1, 5000, 1)])
+def test_against_scores_of_all(spark, workspace, k, shard, block):
+    docs, items = many()
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    out = search.search(df, spark.createDataFrame(items, "item_id long, text string"), workspace, k, terms_per_block=block, postings_per_shard=shard)
+    rows = [tuple(r) for r in out.collect()]
+    assert out.columns == ["item_id", "rank", "doc_id", "score"] and len(rows) == len(set(rows))
+    assert set(rows) == plain_search(docs, items, k)
+
+
+def test_accumulators_stop(monkeypatch):
+    """With rare terms first, a frequent one makes no accumulators once it can't bring a document among the best."""
+    common, rare = np.arange(5000), np.arange(30)
+    terms_, docs_ = np.concatenate([np.zeros(5000, int), np.ones(30, int)]), np.concatenate([common, rare])
+    order = np.argsort(docs_, kind="stable")
+    counts = np.bincount(docs_)
+    shard = search.Shard(terms_[order], np.ones(5030, int), counts, np.full(5000, 100), np.arange(5000), 2, search.Weighting())
+    found, scores = shard.best(np.array([1, 0]), np.array([9000, 5]), 20, 0)
+    assert found.tolist() == list(range(20)) and (scores == 9005 * shard.impacts[0]).all()
+    # of the frequent term only what the survivors need is read
+    monkeypatch.setattr(shard, "docs", np.concatenate([np.arange(30), np.full(4970, 10**6), np.arange(30)]))
+    assert shard.best(np.array([1, 0]), np.array([9000, 5]), 20, 0)[0].tolist() == list(range(20))
+
+
+def test_documents_of_all_cases(spark, workspace):
+    rows = documents()
+    items = [(1, rows[9][1]), (1, "la la"), (2, "Word ß 中文"), (3, None), (4, ""), (5, "never-seen"), (None, "word"), (6, rows[5][1]), (7, "x" * 20_000)]
+    table = spark.createDataFrame(items, "item_id int, text string").withColumn("doc_id", F.lit("extra")).withColumn("score", F.lit(1))
+    out = search.search(frame(spark, rows), table, workspace, k=7)
+    plain = plain_search([(r[0], r[1]) for r in rows], items, 7)
+    assert Counter(tuple(r) for r in out.collect()) == Counter(plain)
+
+
+def test_empty_tables(spark, workspace):
+    items = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    assert search.search(frame(spark, []), items, workspace).collect() == []
+    assert search.search(frame(spark), items.limit(0), workspace).collect() == []
+    assert search.search(spark.createDataFrame([(1, None), (2, " ,")], "doc_id long, text string"), items, workspace).collect() == []
+
+
+def test_ids_of_text(spark, workspace):
+    docs = spark.createDataFrame([("b", "one two"), ("a", "one two"), (None, "one two"), ("c", "three")], "doc_id string, text string")
+    items = spark.createDataFrame([("i", "two")], "item_id string, text string")
+    assert [r["doc_id"] for r in search.search(docs, items, workspace, k=2).orderBy("rank").collect()] == [None, "a"]
