@@ -17,6 +17,10 @@ from claimsieve.staging import Workspace
 
 #: Independent sketches of a set with too many empty words in the ones before; half of the smallest sets need a second.
 SKETCHES = 8
+#: Bits of the sketches for each value in which linked sets may differ: of those that travel with every row of an open bucket, and of those that pairs are compared by.
+SHORT, LONG = 4, 16
+#: Rows of an open bucket that lie together, and pairs of them that a task looks at together.
+BLOCK, PAIRS = 4096, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -102,14 +106,14 @@ def _take(values: np.ndarray, counts: np.ndarray, rows: np.ndarray) -> np.ndarra
     return values[np.arange(n.sum()) + np.repeat(begins[rows] - (np.cumsum(n) - n), n)]
 
 
-def bit_sketches(values: np.ndarray, counts: np.ndarray, threshold: Threshold) -> list[bytes]:
+def bit_sketches(values: np.ndarray, counts: np.ndarray, threshold: Threshold, bits: int = LONG) -> list[bytes]:
     """Each set's parity bits: every value flips one of a power of two of bits.
 
     The bits in which two sketches differ are at most the values in which the sets differ. A sketch of twice the bits
-    is folded by XOR of its halves. There are 16 bits for each value in which linked sets may differ.
+    is folded by XOR of its halves. There are at least ``bits`` bits for each value in which linked sets may differ.
     """
     apart = threshold.most_apart(counts.astype(np.int64) * threshold.of // threshold.share)
-    size = np.int64(1) << np.ceil(np.log2(np.maximum(64, 16 * apart))).astype(np.int64)
+    size = np.int64(1) << np.ceil(np.log2(np.maximum(64, bits * apart))).astype(np.int64)
     base = np.cumsum(size) - size
     owner = np.repeat(np.arange(len(counts)), counts)
     flipped = base[owner] + (mix(values + np.uint64(0x2545F4914F6CDD1D)) & (size[owner] - 1).astype(np.uint64)).astype(np.int64)
@@ -178,7 +182,7 @@ def bucket_keys(values: np.ndarray, counts: np.ndarray, threshold: Threshold) ->
     return np.concatenate(owners), np.concatenate(keys)
 
 
-_SETS = "__id {id}, __n long, __sum long, __xor long, __keys array<long>, __bits binary"
+_SETS = "__id {id}, __n long, __sum long, __xor long, __keys array<long>, __bits binary, __short binary"
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -194,8 +198,8 @@ def link_near_copies(
     documents link when their sets' Jaccard similarity reaches the threshold, and ``component_id`` is
     the smallest id that links reach. All links count, though not all are looked at: equal sets are found by two hashes, and of a bucket of
     equal sketch words each set is compared with the first one: first by sketches of single bits, whose
-    distance bounds the sets' difference from below, and if that leaves it open by the whole sets. The sets of buckets that
-    are then still in several components make families, in which all pairs across components are compared block by block, by sketches and then by whole sets.
+    distance bounds the sets' difference from below, and if that leaves it open by the whole sets. In buckets that
+    then still hold several components, all pairs across them are compared by short sketches; those left open are compared like the others. Texts travel to verified pairs alone.
     A task lets out the keys of equal sets once.
     Cases: a null or blank text has no shingles and no links; a text with fewer than ``n`` words has
     one shingle; rows that share an id are one document with the links of all its texts; a row
@@ -224,12 +228,13 @@ def link_near_copies(
             fresh = np.flatnonzero(new)
             own, sizes = _take(values, counts, fresh), counts[fresh]
             owner, keys = bucket_keys(own, sizes, threshold)
-            bits = np.full(len(counts), None, dtype=object)
+            bits, short = (np.full(len(counts), None, dtype=object) for _ in range(2))
             bits[fresh] = np.array([*bit_sketches(own, sizes, threshold), None], dtype=object)[:-1]
+            short[fresh] = np.array([*bit_sketches(own, sizes, threshold, SHORT), None], dtype=object)[:-1]
             order = np.argsort(owner, kind="stable")
             each = np.zeros(len(counts), dtype=np.int64)
             each[fresh] = np.bincount(owner, minlength=len(fresh))
-            columns = [batch.column("__id"), pa.array(counts, pa.int64()), pa.array(_signed(total)), pa.array(_signed(parity)), ragged(_signed(keys[order]), each, pa.int64()), pa.array(bits, pa.binary())]
+            columns = [batch.column("__id"), pa.array(counts, pa.int64()), pa.array(_signed(total)), pa.array(_signed(parity)), ragged(_signed(keys[order]), each, pa.int64()), pa.array(bits, pa.binary()), pa.array(short, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
 
     sets = workspace.stage(rows.mapInArrow(sketched, schema), "sets")
@@ -244,115 +249,179 @@ def link_near_copies(
     shared = workspace.stage(keyed.where("doc != first or next is not null").select("key", "doc", "first"), "buckets")
     near = workspace.stage(shared.where("doc != first").select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct(), "pairs")
     found = shared.select(F.col("doc").alias("__id")).distinct()
-    sketches = workspace.stage(sets.where("__bits is not null").select("__id", "__n", "__bits").join(found, "__id", "left_semi"), "sketches")
+    sketches = workspace.stage(sets.where("__bits is not null").select("__id", "__n", "__bits", "__short").join(found, "__id", "left_semi"), "sketches")
 
     texts = workspace.stage(rows.join(found, "__id", "left_semi"), "texts")
     links = _verified(_close(near, sketches, threshold), texts, threshold, n).unionByName(equal)
     links = workspace.stage(links, "links")
-    label = components(links, workspace)
-    more = workspace.stage(_family_links(shared, label, sketches, texts, threshold, n, workspace), "family_links")
-    if not more.isEmpty():
-        label = components(links.unionByName(more), workspace)
+    label = _more_links(shared, components(links, workspace), links, sketches, texts, threshold, n, workspace)
     out = sets.select("__id", "__n").join(label.withColumnRenamed("node", "__id"), "__id", "left")
     component = F.coalesce("component", "__id")
     return out.select(F.col("__id").alias("doc_id"), F.col("__n").alias("n_shingles"), component.alias("component_id"))
 
 
-def _families(shared: DataFrame, label: DataFrame, workspace: Workspace) -> DataFrame:
-    """``doc, family``: the sets of buckets that are in more than one component, together where buckets share a set."""
+def _bucket_rows(shared: DataFrame, label: DataFrame) -> DataFrame:
+    """``key, doc, component`` with the components of ``label``; a set that it doesn't know is its own."""
     known = label.withColumnRenamed("node", "doc")
-    rows = shared.join(known, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    rows = workspace.stage(rows, "bucket_rows")
-    spread = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
-    spread = workspace.stage(spread.select("key"), "open_keys")
-    pairs = rows.join(spread, "key", "left_semi").select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct()
-    return components(workspace.stage(pairs, "open_pairs"), workspace).select(F.col("node").alias("doc"), F.col("component").alias("family"))
+    return shared.select("key", "doc").join(known, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
 
 
-def _family_links(
-    shared: DataFrame, label: DataFrame, sketches: DataFrame, texts: DataFrame, threshold: Threshold, n: int, workspace: Workspace, block_bytes: int = 32 << 20
+def _open_buckets(rows: DataFrame, workspace: Workspace) -> DataFrame:
+    """The rows of the buckets that hold several components, dealt so that all pairs across components meet.
+
+    ``own`` is a row's block of some ``BLOCK`` rows of its bucket, ``low`` and ``high`` are that and one it is compared with. In a larger bucket the sets of its
+    largest component, which need no comparing among themselves, lie in blocks of their own, that only blocks of other sets are compared with.
+    """
+    counts = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
+    keys = counts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("all")).where(F.col("all") > F.col("most.n"))
+    keys = workspace.stage(keys, "open_keys")
+    rows = rows.join(keys, "key")
+    other = F.col("component") != F.col("most.component")
+    small = F.col("all") <= BLOCK
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(BLOCK))).cast("int")
+    rows = rows.withColumns({"others": F.when(small, 1).otherwise(blocks(F.col("all") - F.col("most.n"))), "rest": F.when(small, 0).otherwise(blocks(F.col("most.n")))})
+    spread = lambda n: F.pmod(F.xxhash64("doc"), n).cast("int")
+    rows = rows.withColumn("own", F.when(small | other, spread(F.col("others"))).otherwise(F.col("others") + spread(F.greatest(F.lit(1), F.col("rest")))))
+    # a block of the largest component meets those of the others alone
+    partners = F.when(small | other, F.col("others") + F.col("rest")).otherwise(F.col("others"))
+    rows = rows.withColumn("partner", F.explode(F.sequence(F.lit(0), partners - 1)))
+    return rows.select("key", F.least("own", "partner").alias("low"), F.greatest("own", "partner").alias("high"), "own", "doc", "component")
+
+
+class _Folding:
+    """Sketches of several lengths, each a power of two of 64-bit words, compared two by two."""
+
+    def __init__(self, bits: list[bytes]):
+        sizes = np.array([len(x) // 8 for x in bits], dtype=np.int64)
+        self.level = np.log2(np.maximum(sizes, 1)).astype(np.int64)
+        self.words, self.place = {}, np.zeros(len(bits), dtype=np.int64)
+        for level in np.unique(self.level).tolist():
+            rows = np.flatnonzero(self.level == level)
+            self.place[rows] = np.arange(len(rows))
+            self.words[level] = np.frombuffer(b"".join(bits[k] for k in rows.tolist()), dtype=np.uint64).reshape(len(rows), -1)
+
+    def apart(self, i: np.ndarray, j: np.ndarray, room: int = 32 << 20) -> np.ndarray:
+        """In how many bits the sketches ``i`` and ``j`` differ, the longer ones folded; arrays of ``room`` bytes at a time."""
+        i, j = np.where(self.level[i] >= self.level[j], i, j), np.where(self.level[i] >= self.level[j], j, i)
+        out = np.empty(len(i), dtype=np.int64)
+        kind = self.level[i] * 64 + self.level[j]
+        for both in np.unique(kind).tolist():
+            long, short = divmod(both, 64)
+            rows = np.flatnonzero(kind == both)
+            step = max(1, room // (8 << long))
+            for k in range(0, len(rows), step):
+                some = rows[k : k + step]
+                folded = self.words[long][self.place[i[some]]]
+                for _ in range(long - short):
+                    half = folded.shape[1] // 2
+                    folded = folded[:, :half] ^ folded[:, half:]
+                out[some] = np.bitwise_count(folded ^ self.words[short][self.place[j[some]]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def _close_in_buckets(rows: DataFrame, threshold: Threshold, joining: bool) -> DataFrame:
+    """``a, b``: pairs across components of the dealt buckets whose short sketches leave a link open.
+
+    All of them, or if only those ``joining`` are asked for, some of the closest that together join all components which such pairs can join.
+    Pairs are looked at ``PAIRS`` at a time and only close ones leave a task, so its memory is bounded by that and by two blocks.
+    """
+    kind, pairs_at_once = dict(rows.dtypes)["doc"], PAIRS
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _whole_buckets(batches):
+            group, component = part.pop("group"), part["component"].dictionary_encode().indices.to_numpy()
+            sizes, own, docs = part["n"].to_numpy(), part["own"].to_numpy(), part["doc"]
+            across = (part["low"].to_numpy() != part["high"].to_numpy())[:, None]
+            sketches = _Folding(part["short"].to_pylist())
+            end = np.searchsorted(group, group, side="right")
+            after = end - 1 - np.arange(len(group))
+            upto = np.cumsum(after)
+            joined: dict[tuple[int, int], tuple[int, int]] = {}
+
+            def find(x: tuple[int, int]) -> tuple[int, int]:
+                while joined.get(x, x) != x:
+                    joined[x] = joined.get(joined[x], joined[x])
+                    x = joined[x]
+                return x
+
+            begin = 0
+            while begin < len(group):
+                stop = max(begin + 1, int(np.searchsorted(upto, upto[begin] - after[begin] + pairs_at_once, side="right")))
+                n = after[begin:stop]
+                i = np.repeat(np.arange(begin, stop), n)
+                j = i + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                begin = stop
+                most = (sizes[i] + sizes[j]) * (threshold.of - threshold.share) // (threshold.of + threshold.share)
+                open_ = (component[i] != component[j]) & (np.abs(sizes[i] - sizes[j]) <= most) & (~across[i, 0] | (own[i] != own[j]))
+                i, j, most = i[open_], j[open_], most[open_]
+                apart = sketches.apart(i, j)
+                near = apart <= most
+                i, j, apart = i[near], j[near], apart[near]
+                if joining and len(i):
+                    kept = []
+                    for k in np.argsort(apart, kind="stable").tolist():
+                        one, two = (find((int(group[x]), int(component[x]))) for x in (i[k], j[k]))
+                        if one != two:
+                            joined[one] = two
+                            kept.append(k)
+                    i, j = i[kept], j[kept]
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([docs.take(pa.array(i)), docs.take(pa.array(j))], ["a", "b"])
+
+    arranged = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    found = arranged.mapInArrow(compare, f"a {kind}, b {kind}")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The columns of batches cut at the ends of (key, low, high), and ``group``, a number for each of these."""
+    held: pa.Table | None = None
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+        if held is None:
+            return
+        marks = [held.column(x).to_numpy() for x in ("key", "low", "high")]
+        new = np.concatenate([[False], np.any([x[1:] != x[:-1] for x in marks], axis=0)])
+        cut = held.num_rows if batch is None else int(np.flatnonzero(new)[-1]) if new.any() else 0
+        if cut:
+            part = held.slice(0, cut).combine_chunks()
+            yield {x: pa.concat_arrays(part.column(x).chunks) for x in part.column_names} | {"group": np.cumsum(new[:cut])}
+            held = held.slice(cut)
+        if batch is None:
+            return
+
+
+def _more_links(
+    shared: DataFrame, label: DataFrame, links: DataFrame, sets: DataFrame, texts: DataFrame, threshold: Threshold, n: int, workspace: Workspace
 ) -> DataFrame:
-    """``a, b``: links across components, enough to join all that are linked.
+    """``label`` after the links between components whose sets share a bucket.
 
-    The texts of a family are dealt to blocks of bounded bytes and each block is compared with each in a task of its own: all pairs
-    across components by their sketches, those that are close by their whole sets, the closest first and no longer once they are joined.
+    First some of the closest pairs that would join the components of each bucket are verified, then all pairs that short sketches
+    leave open and that are still in different components: few, as those that link are mostly joined by then.
     """
-    known = label.withColumnRenamed("node", "doc")
-    rows = _families(shared, label, workspace).join(known, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    rows = workspace.stage(rows, "family_rows")
-    several = rows.groupBy("family").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
-    several = workspace.stage(several.select("family"), "open_families")
-    rows = rows.join(several, "family", "left_semi").join(sketches.withColumnRenamed("__id", "doc"), "doc")
-    rows = workspace.stage(rows.join(texts.withColumnRenamed("__id", "doc"), "doc"), "family_texts")
-    sizes = rows.groupBy("family").agg(F.ceil(F.sum(F.octet_length("__bits") + F.octet_length("__text")) / block_bytes).cast("int").alias("blocks"))
-    rows = rows.join(workspace.stage(sizes, "family_sizes"), "family")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
-    kind = dict(rows.dtypes)["doc"]
-    return rows.groupBy("family", "low", "high").applyInArrow(lambda table: _joining(table, threshold, n), f"a {kind}, b {kind}").distinct()
-
-
-def _joining(table: pa.Table, threshold: Threshold, n: int) -> pa.Table:
-    """Links of a block with another, or with itself, that join components."""
-    ids, parts, bits = (table.column(x).to_pylist() for x in ("doc", "component", "__bits"))
-    sizes, own = table.column("__n").to_numpy(), table.column("own").to_numpy()
-    across = table.column("low")[0].as_py() != table.column("high")[0].as_py()
-    number = {x: k for k, x in enumerate(dict.fromkeys(parts))}
-    part = np.array([number[x] for x in parts])
-    parent = list(range(len(number)))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    sets: dict[int, np.ndarray] = {}
-
-    def values(k: int) -> np.ndarray:
-        if k not in sets:
-            sets[k] = shingle_sets(Words(pa.array([texts[k].as_py()]), lower=True), n)[0]
-        return sets[k]
-
-    texts, out = table.column("__text"), []
-    for x, y in _close_pairs(bits, sizes, part, own if across else None, threshold):
-        a, b = find(part[x]), find(part[y])
-        if a != b:
-            common = len(np.intersect1d(values(x), values(y), assume_unique=True))
-            if common and threshold.of * common >= threshold.share * (len(values(x)) + len(values(y)) - common):
-                parent[a] = b
-                out.append((ids[x], ids[y]))
-    kind = table.schema.field("doc").type
-    return pa.table({"a": pa.array([x for x, _ in out], kind), "b": pa.array([y for _, y in out], kind)})
-
-
-def _close_pairs(bits: list[bytes], sizes: np.ndarray, part: np.ndarray, own: np.ndarray | None, threshold: Threshold) -> list[tuple[int, int]]:
-    """Pairs of different parts, and of different blocks if given, whose sketches leave a link open, the closest first."""
-    lengths = np.array([len(x) for x in bits])
-    by_length = {size: np.flatnonzero(lengths == size) for size in sorted(set(lengths.tolist()))}
-    words = {size: np.frombuffer(b"".join(bits[k] for k in rows), dtype=np.uint64).reshape(len(rows), -1) for size, rows in by_length.items()}
-    found = []
-    for large, rows in by_length.items():
-        folded = words[large]
-        for small in sorted((x for x in by_length if x <= large), reverse=True):
-            while folded.shape[1] * 8 > small:
-                half = folded.shape[1] // 2
-                folded = folded[:, :half] ^ folded[:, half:]
-            columns, others = by_length[small], words[small]
-            for place, k in enumerate(rows):
-                near = part[columns] != part[k]
-                if small == large:
-                    near &= columns > k
-                if own is not None:
-                    near &= own[columns] != own[k]
-                most = (sizes[columns] + sizes[k]) * (threshold.of - threshold.share) // (threshold.of + threshold.share)
-                near &= np.abs(sizes[columns] - sizes[k]) <= most
-                some = np.flatnonzero(near)
-                apart = np.bitwise_count(others[some] ^ folded[place]).sum(axis=1, dtype=np.int64)
-                hits = some[apart <= most[some]]
-                found.extend(zip(apart[apart <= most[some]].tolist(), [int(k)] * len(hits), columns[hits].tolist()))
-    return [(x, y) for _, x, y in sorted(found)]
+    sketches = sets.select("__id", "__n", "__bits")
+    shorts = sets.select(F.col("__id").alias("doc"), F.col("__n").alias("n"), F.col("__short").alias("short"))
+    rows = workspace.stage(_bucket_rows(shared, label), "bucket_rows")
+    tried = None
+    for joining in (True, False):
+        dealt = _open_buckets(rows, workspace).join(shorts, "doc")
+        pairs = _close_in_buckets(dealt, threshold, joining)
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = workspace.stage(pairs, "open_pairs")
+        if pairs.isEmpty():
+            return label
+        found = workspace.stage(_verified(_close(pairs, sketches, threshold), texts, threshold, n), "more_links")
+        tried = pairs
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            label = components(links, workspace)
+            rows = workspace.stage(_bucket_rows(rows, label), "bucket_rows")
+    return label
 
 
 def _close(pairs: DataFrame, sketches: DataFrame, threshold: Threshold) -> DataFrame:

@@ -73,6 +73,31 @@ def test_chains_of_near_copies(spark, workspace):
     assert len({c for _, _, c in found}) < len(rows) - 30
 
 
+@pytest.mark.parametrize("block, pairs", [(3, 5), (50, 1 << 20)])
+def test_buckets_in_blocks(spark, workspace, monkeypatch, block, pairs):
+    """Buckets of several blocks, and pairs a few at a time, give the same links."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "PAIRS", pairs)
+    texts = [t for seed, (words, edits) in enumerate([(20, 1), (150, 9), (300, 12)]) for t in family(seed, 60, words, edits)]
+    rows = [(k, t, None, None, None) for k, t in enumerate(texts)]
+    threshold = jaccard.Threshold(85)
+    assert linked(spark, workspace, rows, threshold, 4, extra=False) == plain_links(rows, threshold, 4)
+
+
+def test_all_pairs_of_a_table(spark, workspace):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    threshold = jaccard.Threshold(85)
+    assert linked(spark, workspace, rows, threshold, 4, extra=False) == plain_links(rows, threshold, 4)
+
+
+def test_folded_sketches_are_compared_like_single_ones():
+    rng = np.random.default_rng(4)
+    counts = np.array([3, 40, 45, 300, 370, 5000, 1])
+    bits = jaccard.bit_sketches(rng.integers(0, 1 << 63, counts.sum(), dtype=np.uint64), counts, jaccard.Threshold(85), jaccard.SHORT)
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(7), np.arange(7)))
+    assert jaccard._Folding(bits).apart(i, j, room=64).tolist() == [jaccard.bits_apart(bits[a], bits[b]) for a, b in zip(i, j)]
+
+
 def test_sets_that_link_share_a_key():
     rng = np.random.default_rng(5)
     threshold = jaccard.Threshold(85)
