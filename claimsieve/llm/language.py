@@ -167,7 +167,7 @@ def train(
     such windows a language, as the hash up to which a task keeps texts comes from an approximate count of the different ones.
     As whole texts have one language, the training sequences switch: they are put together
     from runs of words of several languages, and the transitions are learned from them.
-    Raises an error if there is no such row.
+    Without such a row the model has no languages.
     """
     words = F.split(F.trim(F.col("t"), F.lit(BLANKS)), r"[ \t\n\x0B\f\r]+")
     rows = docs.select(F.col(lang).alias("l"), F.col(text).alias("t")).where("l is not null and t is not null")
@@ -175,7 +175,7 @@ def train(
     rows = rows.withColumn("h", F.xxhash64("t", F.lit(seed)))
     counts = {x["l"]: x["n"] for x in rows.groupBy("l").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not counts:
-        raise ValueError("no row has a text and a language")
+        return LanguageModel((), np.zeros((buckets, 0), dtype=np.float32), np.zeros((0, 0), dtype=np.float32))
     # wide enough that a language has too few below its bound only if it has no more
     share = {name: (2 * docs_per_language + 100) / max(1, n) for name, n in counts.items()}
     bound = {name: (1 << 63) - 1 if x >= 1 else int(x * (1 << 64)) - (1 << 63) for name, x in share.items()}
@@ -271,8 +271,8 @@ def with_language(
     its value. With ``spans`` there is also ``lang_spans``: (lang, words) for each run of words whose most
     probable language is the same. ``sureness`` names two more columns: the mean over the words with a letter of
     each word's largest probability, which a text of several languages has as high as others, and these words' number.
-    Cases: a null text, or one without a letter, is ``und`` with score 0 and spans of that language;
-    ties go to the language first in order; an empty table gives an empty table. Other columns are
+    Cases: a null text, or one without a letter, is ``und`` with score 0 and spans of that language, as are all texts if the
+    model has no languages; ties go to the language first in order; an empty table gives an empty table. Other columns are
     not looked at.
     """
     names = [*marks, *(sureness or ())] + ["lang_spans"] * spans
@@ -286,8 +286,11 @@ def with_language(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text, PIECE_BYTES // 4):
             words = Words(batch.column(text), lower=False)
-            scores, letters = _emissions(model, words.values)
-            found = marginals(scores[words.codes], words.offsets, model.moves)
+            if model.languages:
+                scores, letters = _emissions(model, words.values)
+                found = marginals(scores[words.codes], words.offsets, model.moves)
+            else:
+                letters, found = np.zeros(len(words.values), dtype=bool), np.ones((len(words), 1), dtype=np.float32)
             counted = letters[words.codes] if len(words) else np.empty(0, dtype=bool)
             upto = np.concatenate([np.zeros((1, found.shape[1])), np.cumsum(found * counted[:, None], axis=0, dtype=np.float64)])
             total = np.concatenate([[0], np.cumsum(counted)])[words.offsets]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,15 +28,18 @@ class WordEncoder:
     """Ids of texts from the ids of their words, so that a worker encodes each distinct word once.
 
     Right for tokenizers that drop white space, lower-case, and part letters from punctuation, as
-    ``word_bpe_49k`` does; others are refused.
+    ``word_bpe_49k`` does; others are refused. A text that holds the string of an added token, which is looked for
+    before all that, is encoded as a whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.whole, self.tokenizer = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # what only looks like an added token once it is in lower case is text
+        added = sorted(x.content for x in self.whole.get_added_tokens_decoder().values())
+        self.added = "|".join(re.escape(x) for x in added) or "[^\\s\\S]"
         one = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
         if one("Ab, \nc.") != [*one("ab"), *one(","), *one("c"), *one(".")]:
             raise ValueError(f"{path} doesn't encode words one by one")
@@ -67,6 +71,19 @@ class WordEncoder:
 
     def ids(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each followed by ``end``; how many each has."""
+        marked = np.flatnonzero(pc.fill_null(pc.match_substring_regex(texts, self.added), False).to_numpy(zero_copy_only=False))
+        if not len(marked):
+            return self._ids_by_word(texts, end)
+        mask = np.zeros(len(texts), dtype=bool)
+        mask[marked] = True
+        flat, counts = self._ids_by_word(pc.if_else(pa.array(mask), pa.scalar(None, texts.type), texts), end)
+        places = np.cumsum(counts) - counts
+        found = [self.whole.encode(x, add_special_tokens=False).ids for x in texts.take(pa.array(marked)).to_pylist()]
+        sizes = np.array([len(x) for x in found])
+        counts[marked] += sizes
+        return np.insert(flat, np.repeat(places[marked], sizes), np.array([i for x in found for i in x], dtype=np.uint32)), counts
+
+    def _ids_by_word(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         lower = ascii_lowered(texts)
         words = Words(pc.replace_substring_regex(lower, r"([a-z])([,.])([ \t\n\v\f\r]|$)", r"\1 \2\3"), lower=False)
         values = words.values.to_pylist()

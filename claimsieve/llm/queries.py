@@ -135,14 +135,19 @@ _MARKS = "<|im_end|><|im_start|>assistant ok"
 
 @_query(rf"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '{_MARKS}' UNION ALL SELECT -1, 1, 'assistant', '{_MARKS}')
-SELECT conv_id, count(*) AS n_turns,
+  UNION ALL SELECT -1, 0, 'user', '{_MARKS}' UNION ALL SELECT -1, 1, 'assistant', '{_MARKS}'),
+o AS (SELECT *, row_number() OVER w - 1 AS place, lag(role) OVER w AS before, lead(role) OVER w IS NULL AS last FROM c
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+b AS (SELECT conv_id, min(place) FILTER (NOT coalesce((before IS NULL AND role IN ('system', 'user')) OR (before IN ('system', 'assistant') AND role = 'user')
+  OR (before = 'user' AND role = 'assistant'), false))::INT AS bad_turn, bool_or(last AND role = 'assistant') AS answered FROM o GROUP BY conv_id),
+d AS (SELECT c.*, bad_turn, bad_turn IS NULL AND answered AS valid FROM c JOIN b USING (conv_id))
+SELECT conv_id, any_value(valid) AS valid, any_value(bad_turn) AS bad_turn, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   sum(CASE role WHEN 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
   sha256(string_agg(CASE role WHEN 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
   sum(length('<|im_start|><|im_end|>') + 2 + length(role) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')))::BIGINT
     AS formatted_chars
-FROM c GROUP BY conv_id""")
+FROM d GROUP BY conv_id""")
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     marks = spark.range(2).select(
@@ -162,7 +167,8 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         sha256_hex(loss).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
         "valid",
-    ).drop("valid")
+        "bad_turn",
+    )
 
 
 def _with_planted_runs(docs: DataFrame) -> DataFrame:

@@ -82,9 +82,14 @@ def test_cases(spark, model):
     assert language.with_language(frame(spark, []), model).count() == 0
 
 
-def test_training_without_labels_is_refused(spark):
-    with pytest.raises(ValueError):
-        language.train(frame(spark, [(1, "text", None, None, None), (2, None, "en", None, None), (3, "12", "en", None, None)], extra=False))
+@pytest.mark.parametrize("rows", [[], [(1, "text", None, None, None), (2, None, "en", None, None), (3, "12", "en", None, None)]])
+def test_no_labelled_text_gives_no_language(spark, rows):
+    model = language.train(frame(spark, rows, extra=False))
+    assert model.languages == ()
+    out = language.with_language(frame(spark), model, spans=True, sureness=("sure", "words"))
+    for r in out.collect():
+        assert (r["lang_pred"], r["score"], r["sure"], r["words"]) == ("und", 0, 0, 0)
+        assert {s["lang"] for s in r["lang_spans"]} <= {"und"} and sum(s["words"] for s in r["lang_spans"]) == len((r["text"] or "").split())
 
 
 def test_training_repeats(spark):

@@ -1,5 +1,6 @@
 """Every stage on its own input against a plain version, and all of them in a row."""
 
+import math
 from collections import Counter
 
 import pytest
@@ -39,8 +40,8 @@ def test_language_stage(spark, docs):
     out = corpus_pipeline.keep_languages(spark, docs, SF_DIR)
     assert out.columns == docs.columns
     model = language.train(docs.select("text", "lang"))
-    marked = language.with_language(docs.select(COLUMNS), model).collect()
-    kept = Counter(tuple(r[c] for c in COLUMNS) for r in marked if r["lang_pred"] != "und" and r["score"] >= corpus_pipeline.MIN_LANGUAGE_SHARE)
+    marked = language.with_language(docs.select(COLUMNS), model, sureness=("sure", "words")).collect()
+    kept = Counter(tuple(r[c] for c in COLUMNS) for r in marked if r["lang_pred"] != "und" and r["sure"] + math.sqrt(math.log(5) / 2 / r["words"]) >= 0.4)
     assert Counter(rows(out)) == kept
     assert len(marked) - 12 < sum(kept.values()) < len(marked)
 
@@ -91,7 +92,7 @@ def test_packing_stage(spark, docs):
 
 def test_stages_of_no_documents(spark, docs):
     none = docs.where("false")
-    for name, stage in corpus_pipeline.STAGES[1:]:
+    for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, SF_DIR).count() == 0, name
 
 
@@ -117,13 +118,18 @@ def test_language_stage_keeps_mixtures_and_short_documents(spark, monkeypatch):
     short = ["qq", "zxj wvk", "жук", "пять слов", "漢字"]
     docs = frame(spark, [(k, text, None, None, None) for k, text in enumerate(mixed + short)], extra=False)
     scores = [r["score"] for r in language.with_language(docs, model).collect()]
-    assert min(scores) < corpus_pipeline.MIN_LANGUAGE_SHARE
+    assert min(scores) < corpus_pipeline.MIN_SURENESS
     assert Counter(rows(corpus_pipeline.keep_languages(spark, docs, SF_DIR))) == Counter(rows(docs))
 
 
+def test_language_stage_without_labels_keeps_all(spark, docs):
+    plain = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert Counter(rows(corpus_pipeline.keep_languages(spark, plain, SF_DIR))) == Counter(rows(plain))
+
+
 def test_language_stage_rejects_doubt(spark, monkeypatch):
     rng = language.np.random.default_rng(1)
     blank = language.LanguageModel(("a", "b", "c", "d"), rng.normal(size=(64, 4)).astype("float32") * 1e-3, language.np.zeros((4, 4), dtype="float32"))
     monkeypatch.setattr(language, "train", lambda *_: blank)
-    docs = frame(spark, [(1, "word " * corpus_pipeline.MIN_WORDS, None, None, None), (2, "word", None, None, None), (3, "1 2", None, None, None)], extra=False)
+    docs = frame(spark, [(1, "word " * 100, None, None, None), (2, "word", None, None, None), (3, "1 2", None, None, None)], extra=False)
     assert [r[0] for r in rows(corpus_pipeline.keep_languages(spark, docs, SF_DIR))] == [2]
