@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import public_tokenizers
@@ -11,19 +12,23 @@ from pyspark.sql import functions as F
 from claimsieve.llm import decontaminate, jaccard, language, lines, packing
 from claimsieve.staging import scratch
 
-#: A document of at least MIN_WORDS words with a letter is rejected if their largest language probabilities have a smaller mean.
-MIN_LANGUAGE_SHARE = 0.4
-MIN_WORDS = 20
+#: A document is rejected if the mean over its words of their largest language probability is under MIN_SURENESS, and by so much that
+#: a text of as many words whose words have that mean would be with a chance of ERROR at most.
+MIN_SURENESS, ERROR = 0.4, 0.2
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose words are surely of languages that the labelled ones among them teach, of one or of several.
 
-    A document without a letter goes; one of few words stays, as does one that switches between languages.
+    A document without a letter goes; one that switches between languages stays, and the fewer its words, the more doubt
+    there may be about them. Without a labelled text no document can be judged, and all stay.
     """
     model = language.train(docs.select("text", "lang"))
+    if not model.languages:
+        return docs
     marked = language.with_language(docs, model, marks=("__lang", "__score"), sureness=("__sure", "__words"))
-    sure = (F.col("__words") < MIN_WORDS) | (F.col("__sure") >= MIN_LANGUAGE_SHARE)
+    # Hoeffding's bound on the mean of as many words
+    sure = F.col("__sure") + F.sqrt(F.lit(math.log(1 / ERROR) / 2) / F.col("__words")) >= MIN_SURENESS
     return marked.where((F.col("__lang") != "und") & sure).select(*docs.columns)
 
 
