@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimsieve.llm.common import Words, mix, pieces, ragged, window_hashes
+from claimsieve.llm.common import PIECE_BYTES, Words, mix, pieces, ragged, release_memory, window_hashes
 from claimsieve.llm.components import components
 from claimsieve.staging import Workspace
 
@@ -20,7 +20,7 @@ SKETCHES = 8
 #: Bits of the sketches for each value in which linked sets may differ: of those that travel with every row of an open bucket, and of those that pairs are compared by.
 SHORT, LONG = 4, 16
 #: Rows of an open bucket that lie together, and pairs of them that a task looks at together.
-BLOCK, PAIRS = 4096, 1 << 20
+BLOCK, PAIRS = 4096, 1 << 18
 
 
 @dataclass(frozen=True)
@@ -205,13 +205,19 @@ def link_near_copies(
     one shingle; rows that share an id are one document with the links of all its texts; a row
     without id has no links and component null; an empty table gives an empty table; other columns are not looked at.
     """
+    # the stage tables, larger than the documents, go as soon as the result is written
+    with Workspace(docs.sparkSession, root=workspace.path) as inner:
+        return workspace.stage(_linked(docs, inner, threshold, n, doc_id, text), "near_copies")
+
+
+def _linked(docs: DataFrame, workspace: Workspace, threshold: Threshold, n: int, doc_id: str, text: str) -> DataFrame:
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
     schema = _SETS.format(id=kind)
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        for batch in pieces(batches, "__text"):
+        for batch in pieces(batches, "__text", PIECE_BYTES // 2):
             values, counts = shingle_sets(Words(batch.column("__text"), lower=True), n)
             begins = np.cumsum(counts) - counts
             some = counts > 0
@@ -300,7 +306,7 @@ class _Folding:
             self.place[rows] = np.arange(len(rows))
             self.words[level] = np.frombuffer(b"".join(bits[k] for k in rows.tolist()), dtype=np.uint64).reshape(len(rows), -1)
 
-    def apart(self, i: np.ndarray, j: np.ndarray, room: int = 32 << 20) -> np.ndarray:
+    def apart(self, i: np.ndarray, j: np.ndarray, room: int = 8 << 20) -> np.ndarray:
         """In how many bits the sketches ``i`` and ``j`` differ, the longer ones folded; arrays of ``room`` bytes at a time."""
         i, j = np.where(self.level[i] >= self.level[j], i, j), np.where(self.level[i] >= self.level[j], j, i)
         out = np.empty(len(i), dtype=np.int64)
@@ -391,6 +397,8 @@ def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             part = held.slice(0, cut).combine_chunks()
             yield {x: pa.concat_arrays(part.column(x).chunks) for x in part.column_names} | {"group": np.cumsum(new[:cut])}
             held = held.slice(cut)
+            del part
+            release_memory()
         if batch is None:
             return
 
@@ -449,7 +457,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: Threshold, n: int)
     kind = dict(pairs.dtypes)["a"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text_b"):
+        for batch in pieces(batches, "text_b", PIECE_BYTES // 4):
             first = batch.column("text_a").dictionary_encode()
             both = pa.concat_arrays([first.dictionary.cast(pa.large_string()), batch.column("text_b").cast(pa.large_string())])
             values, counts = shingle_sets(Words(both, lower=True), n)

@@ -284,7 +284,7 @@ def with_language(
     known = np.array([*model.languages, "und"], dtype=object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, text, PIECE_BYTES // 4):
+        for batch in pieces(batches, text, PIECE_BYTES // 8):
             words = Words(batch.column(text), lower=False)
             if model.languages:
                 scores, letters = _emissions(model, words.values)
