@@ -380,6 +380,30 @@ _MISFITS = f"""SELECT key, code, charge, rejected FROM (
     concat_ws(',', CASE WHEN bad_key THEN 'Rndrng_NPI' END, CASE WHEN bad_charge THEN 'Avg_Sbmtd_Chrg' END) AS rejected
   FROM (SELECT *, coalesce(Provider_ID % 97 = 0, false) AS bad_key, Total_Services = 7 AS bad_charge FROM claims))"""
 
+
+
+def _records(multi_line: bool) -> str:
+    """What a reader keeps and rejects of the lines that `_broken_records` writes."""
+    fits = "key AS Rndrng_NPI, code AS HCPCS_Cd, kind AS Rndrng_Prvdr_Type, services AS Tot_Benes, NULL::VARCHAR AS record, '' AS rejected"
+    lost = "NULL::VARCHAR AS Rndrng_NPI, NULL::VARCHAR AS HCPCS_Cd, NULL::VARCHAR AS Rndrng_Prvdr_Type, NULL::VARCHAR AS Tot_Benes"
+    raw = "coalesce(key, '') || ',' || coalesce(code, '')"
+    parts = [
+        f"SELECT {fits} FROM r WHERE broken NOT IN ({'1, 2, 3, 5' if multi_line else '1, 2, 3, 4, 5'})",
+        f"SELECT {lost}, {raw}, '' FROM r WHERE broken = 1",
+        f"SELECT {lost}, {raw} || ',' || kind || ',' || services || ',extra', '' FROM r WHERE broken = 2",
+        "SELECT key, code, kind, services || 'x', NULL, 'Tot_Benes' FROM r WHERE broken = 5",
+    ]
+    if multi_line:
+        parts.append("SELECT key, code, kind || chr(10) || 'and more', services, NULL, '' FROM r WHERE broken = 3")
+    else:
+        parts.append(f"SELECT {lost}, {raw} || ',\"' || kind, '' FROM r WHERE broken = 3")
+        parts.append(f"SELECT {lost}, 'and more\",' || services, '' FROM r WHERE broken = 3")
+        parts.append(f"SELECT {lost}, {raw} || ',' || kind || ',\"' || services, '' FROM r WHERE broken = 4")
+    return f"""SELECT * FROM (WITH r AS (SELECT CAST(Provider_ID AS VARCHAR) AS key, Procedure_Code AS code, Provider_Type AS kind,
+  CAST(CAST(Total_Services AS BIGINT) AS VARCHAR) AS services, coalesce(Provider_ID % 20, 0) AS broken FROM claims)
+  {' UNION ALL '.join(parts)})"""
+
+
 #: All claims, copies included, labelled by the statistics of the first batch.
 _LATER = f"""SELECT {_list([*KEYS, RATIO, LABEL, *MIXED])}, true AS scored FROM (
   SELECT *, CASE WHEN {_RULE} THEN 1 ELSE 0 END AS {LABEL} FROM (
@@ -477,6 +501,8 @@ _BODIES = {
     "m9_score": f"SELECT count(*) AS rows, count(*) AS matching FROM labelled WHERE NOT ({_TRAIN})",
     "j9_later_batch": _LATER,
     "s1_rejected_rows": _MISFITS,
+    "s1_rejected_records": _records(False),
+    "s1_records_of_several_lines": _records(True),
     "m3_assemble": _vectors([*MEASURES, *MIXED], scaled=False, named=True),
     "m4_scale": _vectors([*MEASURES, *MIXED], named=True),
     "m5_pipeline": _vectors([*MEASURES, *MIXED]),

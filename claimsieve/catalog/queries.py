@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimsieve.catalog.claims_view import EXACT, Stages, claims_view, raw_names, stages, table
 from claimsieve.functions import quantiles
@@ -20,7 +21,7 @@ from claimsieve.plans.prepare import prepare_claims
 from claimsieve.plans.profile import profile_claims
 from claimsieve.plans.sample import sample_labelled
 from claimsieve.plans.train import train_and_score
-from claimsieve.schema import CRITICAL, ENCODED_CATEGORICALS, LABEL, MEASURES, MIXED_PREFIX, PROFILED_MEASURES, QUANTILE_ERROR, RATIO
+from claimsieve.schema import CRITICAL, ENCODED_CATEGORICALS, LABEL, MEASURES, MIXED_PREFIX, PROFILED_MEASURES, QUANTILE_ERROR, RATIO, RAW
 from claimsieve.sources import (
     append_metrics,
     describe_schema,
@@ -42,6 +43,7 @@ _QUERIES: dict[str, Query] = {}
 # Digits kept where the order of summation shows in the last ones.
 DIGITS = 4
 KEYS = [*CRITICAL, "Total_Services"]
+RECORD_FIELDS = T.StructType([RAW[name] for name in ("Rndrng_NPI", "HCPCS_Cd", "Rndrng_Prvdr_Type", "Tot_Benes")])
 PARTICIPATION_SLOTS = ["Medicare_Participation_OHE_F", "Medicare_Participation_OHE_O"]
 
 
@@ -84,6 +86,46 @@ def s1_rejected_rows(s: Stages) -> DataFrame:
     return kept.unionByName(refused)
 
 
+def _broken_records(s: Stages, multi_line: bool) -> DataFrame:
+    """Records of a file in which claims of some providers are short, long, cut by a quoted line end, open at the end, or hold a misfit."""
+    path = s.scratch().location("records")
+    value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    key, code, kind = value("Provider_ID"), value("Procedure_Code"), value("Provider_Type")
+    whole = F.concat_ws(",", key, code, kind, F.col("Total_Services").cast("long").cast("string"))
+    services = F.col("Total_Services").cast("long").cast("string")
+    broken = F.pmod("Provider_ID", F.lit(20))
+    line = (
+        F.when(broken == 1, F.concat_ws(",", key, code))
+        .when(broken == 2, F.concat(whole, F.lit(",extra")))
+        .when(broken == 3, F.concat_ws(",", key, code, F.concat(F.lit('"'), kind, F.lit('\nand more"')), services))
+        .when((broken == 4) & ~F.lit(multi_line), F.concat_ws(",", key, code, kind, F.concat(F.lit('"'), services)))
+        .when(broken == 5, F.concat(whole, F.lit("x")))
+        .otherwise(whole)
+    )
+    header = ",".join(f.name for f in RECORD_FIELDS)
+    text = s.claims().select(line.alias("value"))
+    # the text sink writes no header: the first line of each of its files
+    parts = text.withColumn("part", F.spark_partition_id())
+    heads = parts.groupBy("part").agg(F.lit(header).alias("value"))
+    rows = parts.withColumn("at", F.lit(1)).unionByName(heads.withColumn("at", F.lit(0)))
+    rows.repartition(8, "part").sortWithinPartitions("part", "at").select("value").write.text(path)
+    good, bad = read_claims_checked(s.spark, path, RECORD_FIELDS, multi_line)
+    as_text = [F.col(f.name).cast("string").alias(f.name) for f in RECORD_FIELDS]
+    kept = good.withColumn("Tot_Benes", F.col("Tot_Benes").cast("long"))
+    kept = kept.select(*as_text, F.lit(None).cast("string").alias("record"), F.lit("").alias("rejected"))
+    return kept.unionByName(bad.select(*as_text, F.col("rejected_record").alias("record"), F.array_join("rejected_columns", ",").alias("rejected")))
+
+
+@query
+def s1_rejected_records(s: Stages) -> DataFrame:
+    return _broken_records(s, multi_line=False)
+
+
+@query
+def s1_records_of_several_lines(s: Stages) -> DataFrame:
+    return _broken_records(s, multi_line=True)
+
+
 @query
 def s2_csv_strings(s: Stages) -> DataFrame:
     text = cleaning.rename_columns(read_strings(s.spark, s.raw_csv()))

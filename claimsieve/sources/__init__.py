@@ -4,6 +4,7 @@ from claimsieve.sources.tables import (
     preview,
     read_claims,
     read_claims_checked,
+    read_records,
     read_stage,
     read_strings,
     write_csv,
@@ -17,6 +18,7 @@ __all__ = [
     "read_claims",
     "read_claims_checked",
     "read_metric_files",
+    "read_records",
     "read_stage",
     "read_strings",
     "write_csv",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,8 +15,8 @@ def read_claims(spark: SparkSession, path: str, schema: T.StructType = RAW, infe
     """Claims from CSV with a header.
 
     Columns are found by header name, so files may hold more columns or another order; the
-    scan parses only those of ``schema``. A value that does not fit its type fails the job; see
-    :func:`read_claims_checked` for files that hold such values. ``infer`` takes names and types from the file instead, for a
+    scan parses only those of ``schema``. A value that does not fit its type fails the job, but a record with too few or too many
+    fields is taken as it comes; see :func:`read_claims_checked` for files that hold such values or records. ``infer`` takes names and types from the file instead, for a
     pass more over the text; codes like ``00100`` then turn into numbers.
     """
     if infer:
@@ -24,22 +24,79 @@ def read_claims(spark: SparkSession, path: str, schema: T.StructType = RAW, infe
     return read_strings(spark, path).select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields))
 
 
-def read_claims_checked(spark: SparkSession, path: str, schema: T.StructType = RAW) -> tuple[DataFrame, DataFrame]:
-    """Rows whose values all fit their types, and the others as text.
+def read_claims_checked(
+    spark: SparkSession, path: str, schema: T.StructType = RAW, multi_line: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Rows of well-formed records whose values all fit their types, and the others as text.
 
-    The rejected rows have their columns as they were read, and ``rejected_columns`` with the names of the columns that
-    don't fit. Store them, or count them, before going on with the first part alone.
+    The rejected rows have their columns as they were read, ``rejected_columns`` with the names of the columns that
+    don't fit, and for a record that is none (see :func:`read_records`) ``rejected_record`` with its whole text; its columns are
+    null. Store them, or count them, before going on with the first part alone.
     """
-    text = read_strings(spark, path).select(*(f.name for f in schema.fields))
+    text = read_records(spark, path, multi_line).select(*(f.name for f in schema.fields), REJECTED_RECORD)
     misfits = [
         F.when(F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull(), F.lit(f.name))
         for f in schema.fields
         if not isinstance(f.dataType, T.StringType)
     ]
     checked = text.withColumn("rejected_columns", F.filter(F.array(*misfits), lambda c: c.isNotNull()))
-    good = checked.where(F.size("rejected_columns") == 0)
-    typed = good.select(*(F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields))
-    return typed, checked.where(F.size("rejected_columns") > 0)
+    fits = F.col(REJECTED_RECORD).isNull() & (F.size("rejected_columns") == 0)
+    typed = checked.where(fits).select(*(F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields))
+    return typed, checked.where(~fits)
+
+
+#: The whole text of a record that is rejected as such.
+REJECTED_RECORD = "rejected_record"
+
+# In a quoted field "" or a backslash and a quote stand for one. Without these, a whole quoted field is
+# a quote, no quotes and a quote, and what still begins a field with a quote is not closed or goes on behind it.
+_ESCAPES, _QUOTED, _OPEN = r'\\.|""', r'(^|,)"[^"]*+"(?=,|$)', r'(?:^|,)"'
+
+
+def _ill_quoted(line: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(line, _ESCAPES, ""), _QUOTED, "$1").rlike(_OPEN)
+
+
+def read_records(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """CSV with a header, every column a string, and ``rejected_record``: the text of a record that is none, else null.
+
+    Rejected, with all columns null, are records with fewer or more fields than the header, and those with a quote that is not closed
+    or that something other than a comma follows. Blank lines are skipped. Without ``multi_line`` a record is a line, and files are
+    split among tasks; a line end inside quotes then leaves two rejected lines. With it quoted line ends are part of the value, each file is read by one
+    task, and an unclosed quote takes in what follows up to the next quote, which is rejected together; a file with an odd number of quotes,
+    where one is open to the end, raises an error.
+    Every file needs the header of the first, else there is an error. A pass over the text checks that, or the quotes.
+    """
+    header = spark.read.option("header", True).csv(path).columns
+    fields = T.StructType([T.StructField(name, T.StringType()) for name in [*header, REJECTED_RECORD]])
+    lines = spark.read.text(path)
+    by_file = lines.groupBy(F.input_file_name().alias("file"))
+    if multi_line:
+        quotes = F.length(F.regexp_replace(F.regexp_replace("value", _ESCAPES, ""), r'[^"]++', ""))
+        if odd := by_file.agg(F.sum(quotes).alias("quotes")).where("quotes % 2 = 1").limit(3).collect():
+            raise ValueError(f"a quote is not closed in {', '.join(r['file'] for r in odd)}")
+        reader = spark.read.option("header", True).option("enforceSchema", False).option("multiLine", True)
+        rows = reader.option("columnNameOfCorruptRecord", REJECTED_RECORD).schema(fields).csv(path)
+        # a quote that was never closed stays in front of its value
+        opened = F.exists(F.array(*(f"`{c}`" for c in header)), lambda v: F.startswith(v, F.lit('"')) & F.contains(v, F.lit("\n")))
+        whole = F.concat_ws(",", *(F.coalesce(f"`{c}`", F.lit("")) for c in header))
+        rows = rows.withColumn(REJECTED_RECORD, F.when(opened, F.coalesce(REJECTED_RECORD, whole)).otherwise(F.col(REJECTED_RECORD)))
+        good = F.col(REJECTED_RECORD).isNull()
+        return rows.select(*(F.when(good, F.col(f"`{c}`")).alias(c) for c in header), REJECTED_RECORD)
+    first = lines.where(F.trim("value") != "").head()
+    first_line = first["value"] if first else ""
+    lacking = by_file.agg(F.bool_or(F.col("value") == first_line).alias("has")).where(~F.col("has"))
+    if odd := lacking.limit(3).collect():
+        raise ValueError(f"the header of {', '.join(r['file'] for r in odd)} is not {first_line}")
+    lines = lines.where((F.trim("value") != "") & (F.col("value") != first_line))
+    parsed = F.from_csv("value", _ddl(fields), {"columnNameOfCorruptRecord": REJECTED_RECORD})
+    rows = lines.select("value", parsed.alias("r"))
+    bad = F.col(f"r.{REJECTED_RECORD}").isNotNull() | _ill_quoted(F.col("value"))
+    return rows.select(*(F.when(~bad, F.col("r").getField(c)).alias(c) for c in header), F.when(bad, F.col("value")).alias(REJECTED_RECORD))
+
+
+def _ddl(fields: T.StructType) -> str:
+    return ", ".join(f"`{f.name.replace('`', '``')}` string" for f in fields)
 
 
 def read_strings(spark: SparkSession, path: str) -> DataFrame:

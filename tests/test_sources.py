@@ -11,6 +11,7 @@ from claimsieve.sources import (
     read_claims,
     read_claims_checked,
     read_metric_files,
+    read_records,
     read_stage,
     read_strings,
     write_csv,
@@ -122,6 +123,58 @@ def test_values_that_do_not_fit_are_kept_apart(spark, workspace):
         read_claims(spark, path).collect()
 
 
+RECORDS = [
+    "a,b,c",
+    "1,x,y",
+    "2,short",
+    "3,x,y,long",
+    '4,"two',
+    'lines",y',
+    '5,"unclosed,y',
+    '6,x,"last',
+    'line"',
+    '8,"q, \\"in\\" q",ok',
+    "",
+    '9,"say "hi" you",z',
+    '10,5" pipe,',
+    ",,",
+    '11,"x" ,y',
+]
+
+
+def test_records_that_are_none_are_rejected_with_their_text(spark, workspace):
+    found = rows(read_records(spark, text_file(spark, workspace.location("csv"), *RECORDS)))
+    good = [r[:3] for r in found if r[3] is None]
+    assert good == [("1", "x", "y"), ("8", 'q, "in" q', "ok"), ("10", '5" pipe', None), (None, None, None)]
+    bad = [r for r in found if r[3] is not None]
+    assert [r[3] for r in bad] == [x for x in RECORDS[1:] if x and x.split(",")[0] not in ("1", "8", "10", "")]
+    assert {r[:3] for r in bad} == {(None, None, None)}
+
+
+def test_records_of_several_lines(spark, workspace):
+    lines = ["a,b,c", "1,x,y", "2,short", '4,"two', 'lines",y', '"5","x\n",z', '6,x,"open', '7,"x",y', '8,x,y"', "9,,"]
+    found = rows(read_records(spark, text_file(spark, workspace.location("csv"), *lines), multi_line=True))
+    assert [r[:3] for r in found if r[3] is None] == [("1", "x", "y"), ("4", "two\nlines", "y"), ("5", "x\n", "z"), ("8", "x", 'y"'), ("9", None, None)]
+    bad = [r for r in found if r[3] is not None]
+    assert [r[:3] for r in bad] == [(None, None, None)] * 2 and bad[0][3] == "2,short" and bad[1][3].startswith('6,x,"open\n7,')
+    path = text_file(spark, workspace.location("open"), *lines[:2], '6,x,"open', "7,x,y")
+    with pytest.raises(ValueError, match="not closed"):
+        read_records(spark, path, multi_line=True)
+
+
+def test_records_of_files_without_the_header_fail(spark, workspace):
+    path = text_file(spark, workspace.location("csv"), "a,b", "1,2")
+    spark.createDataFrame([("b,a",), ("2,1",)], "value string").coalesce(1).write.mode("append").text(path)
+    with pytest.raises(ValueError, match="header"):
+        read_records(spark, path)
+
+
+def test_long_lines_are_checked(spark, workspace):
+    line = ",".join(['"' + ("ab" + chr(92) + '"') * 40_000 + '"', "x" * 200_000])
+    (row,) = rows(read_records(spark, text_file(spark, workspace.location("csv"), "a,b", line)))
+    assert row[2] is None and len(row[0]) == 120_000 and len(row[1]) == 200_000
+
+
 class Conf(dict):
     def set(self, key, value):
         self[key] = value
