@@ -79,11 +79,10 @@ def fit_encoder(
     index just after the seen labels, of null and unseen values, is the category that one-hot
     leaves out, so those give an empty block. Give ``flags=()`` to leave the outlier flags,
     which the label derives from, out of the features. Labels beyond ``max_slots`` raise an error:
-    MLlib keeps the name of every slot on the driver. ``head`` labels of each column are joined by broadcast.
+    MLlib keeps the name of every slot on the driver. At most ``head`` labels of each column are found in a broadcast dictionary.
     """
     flags = columns_with_prefix(df) if flags is None else flags
-    counts = workspace.stage(label_counts(df, categorical), "label_counts")
-    labels = workspace.stage(indexed_labels(counts, workspace), "labels")
+    labels = workspace.stage(indexed_labels(label_counts(df, categorical), workspace), "labels")
     names = ordered_names(labels, categorical, max_slots)
     indexed = index_by_join(df, labels, categorical, head, names)
     return Encoder(_chain(categorical, numeric, flags).fit(indexed), labels, names, head)

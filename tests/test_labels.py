@@ -32,7 +32,7 @@ def built_in(df):
     return pairs(indexer.transform(df)), [list(found) for found in indexer.labelsArray]
 
 
-@pytest.mark.parametrize("head", [0, 1, 3, 20_000])
+@pytest.mark.parametrize("head", [0, 1, 3, labels.HEAD])
 def test_indices_are_those_of_the_built_in_indexer(skewed, known, head):
     expected, names = built_in(skewed)
     joined = labels.index_by_join(skewed, known, COLUMNS, head)
@@ -41,7 +41,7 @@ def test_indices_are_those_of_the_built_in_indexer(skewed, known, head):
     assert list(encoding.ordered_names(known, COLUMNS).values()) == names
 
 
-@pytest.mark.parametrize("head", [0, 2, 20_000])
+@pytest.mark.parametrize("head", [0, 2, labels.HEAD])
 def test_unseen_values_share_the_index_after_the_labels(spark, known, head):
     new = spark.createDataFrame([(1, "never", None), (2, "hot", "never"), (3, "", "x")], "k int, a string, b string")
     sizes = labels.label_numbers(known, COLUMNS)
@@ -63,6 +63,41 @@ def test_an_unseen_label_on_half_of_a_later_batch_is_spread(spark, known):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def many(spark, n=30_000):
+    return spark.range(2 * n).select(F.col("id").alias("k"), F.concat(F.lit("label "), (F.col("id") % n).cast("string")).alias("a"), F.lit("x").alias("b"))
+
+
+def test_many_labels_move_no_row(spark, workspace, plan_text):
+    rows = workspace.stage(many(spark), "rows")
+    known = workspace.stage(labels.indexed_labels(labels.label_counts(rows, COLUMNS), workspace), "labels")
+    joined = labels.index_by_join(rows, known, COLUMNS)
+    plan = plan_text(joined).replace("BroadcastExchange", "")
+    assert "Exchange" not in plan and "SortMergeJoin" not in plan
+    assert "label" not in plan.split("HashedRelationBroadcastMode")[1].split("\n")[0]  # the dictionary holds no text
+    found = {(r["a"], r["a_Index"]) for r in joined.collect()}
+    assert found == {(r["label"], float(r["index"])) for r in known.where("column = 'a'").collect()} and len(found) == 30_000
+
+
+def test_labels_that_clash_go_by_their_text(spark, workspace):
+    rows = workspace.stage(many(spark, 50), "rows")
+    known = workspace.stage(labels.indexed_labels(labels.label_counts(rows, COLUMNS), workspace), "labels")
+    assert known.where("clash").count() == 0
+    clashing = workspace.stage(known.withColumn("clash", F.col("index") % 7 == 3), "clashing")
+    assert pairs(labels.index_by_join(rows, clashing, COLUMNS)) == pairs(labels.index_by_join(rows, known, COLUMNS))
+
+
+def test_more_labels_than_the_dictionary_holds(spark, workspace, monkeypatch):
+    """They are ordered by a range shuffle, and each column has its share of the dictionary."""
+    rows = workspace.stage(many(spark, 400), "rows")
+    counts = labels.label_counts(rows, COLUMNS)
+    plain = workspace.stage(labels.indexed_labels(counts, workspace), "labels")
+    expected = pairs(labels.index_by_join(rows, plain, COLUMNS))
+    monkeypatch.setattr(labels, "HEAD", 60)
+    known = workspace.stage(labels.indexed_labels(counts, workspace), "labels")
+    assert sorted(map(tuple, known.collect())) == sorted(map(tuple, plain.collect()))
+    assert pairs(labels.index_by_join(rows, known, COLUMNS, 60)) == expected
+
+
 def test_long_labels_are_not_broadcast(spark, workspace, plan_text):
     df = spark.createDataFrame([(1, "x" * 500, "p"), (2, "y", "p")], "k int, a string, b string")
     known = workspace.stage(labels.indexed_labels(labels.label_counts(df, COLUMNS), workspace), "labels")
@@ -97,7 +132,7 @@ def test_any_head_gives_the_same_vectors_and_names(skewed, workspace):
         skewed.withColumn("x", F.col("k").cast("double")).withColumn("is_fraud", (F.col("k") % 2).cast("int")), "rows"
     )
     found, names = [], []
-    for head in (20_000, 4):
+    for head in (labels.HEAD, 4):
         encoder = encoding.fit_encoder(table, workspace, COLUMNS, ["x"], [], head=head)
         encoder.save(workspace.location(f"encoder-{head}"))
         encoder = encoding.Encoder.load(table.sparkSession, workspace.location(f"encoder-{head}"))
