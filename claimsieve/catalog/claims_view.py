@@ -90,7 +90,9 @@ class Stages:
         return self._once(name, lambda: self.workspace.stage(make(), name))
 
     def claims(self) -> DataFrame:
-        return self._staged("claims", lambda: claims_view(self.spark, self.sf_dir))
+        """In files of one size, as many as there are cores: the joins would leave the rows in one or two."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return self._staged("claims", lambda: claims_view(self.spark, self.sf_dir).repartition(cores))
 
     def complete(self) -> DataFrame:
         return complete_claims(self.claims())

@@ -39,10 +39,10 @@ def test_many_rounds_with_a_hot_value(spark, collect_rows, hot):
 
 def test_bounds_that_miss_only_cost_rounds(spark, monkeypatch):
     values = [float(v) for v in range(5000)]
-    monkeypatch.setattr(sys.modules[exact_quantiles.__module__], "_around", lambda share, err: (0.9, 0.95))
+    monkeypatch.setattr(sys.modules[exact_quantiles.__module__], "_shares", lambda share, err: [0.9, 0.95])
     found = exact_quantiles(frame(spark, values), ["x"], PROBS, sketch_err=0.01, collect_rows=50)
     assert found["x"] == by_sorting(values)
-    monkeypatch.setattr(sys.modules[exact_quantiles.__module__], "_around", lambda share, err: (0.05, 0.1))
+    monkeypatch.setattr(sys.modules[exact_quantiles.__module__], "_shares", lambda share, err: [0.05, 0.1])
     found = exact_quantiles(frame(spark, values), ["x"], PROBS, sketch_err=0.01, collect_rows=50)
     assert found["x"] == by_sorting(values)
 
@@ -101,3 +101,23 @@ def test_passes_over_a_large_column(spark):
     jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(group)
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert len(jobs) <= 8
+
+
+def test_one_pass_of_cuts_leaves_few_values(spark, monkeypatch):
+    """Four ranks of 200,000 values: a sketch, a count, and the rest is small enough to be collected."""
+    module = sys.modules[exact_quantiles.__module__]
+    left, counted = [], []
+    decide, count = module._decide, module._count_between
+    monkeypatch.setattr(module, "_decide", lambda values, targets: (left.extend(t.inside for t in targets), decide(values, targets)))
+    monkeypatch.setattr(module, "_count_between", lambda values, splits: (counted.append(1), count(values, splits))[1])
+    df = spark.range(200_000).select((F.col("id") * 7919 % 200_003).cast("double").alias("x"), (F.col("id") % 5).cast("double").alias("y"))
+    probs = [0.1, 0.25, 0.5, 0.999]
+    found = exact_quantiles(df, ["x", "y"], probs, collect_rows=2000)
+    x = sorted(i * 7919 % 200_003 for i in range(200_000))
+    assert found == {"x": [float(x[math.ceil(p * 200_000) - 1]) for p in probs], "y": [0.0, 1.0, 2.0, 4.0]}
+    assert len(counted) == 1 and max(left) < 400
+
+
+def test_negative_zero_and_infinities_alone(spark):
+    assert exact_quantiles(frame(spark, [-0.0, 0.0, -0.0]), ["x"], [0.5], collect_rows=0) == {"x": [0.0]}
+    assert exact_quantiles(frame(spark, [math.inf, -math.inf, math.inf]), ["x"], [0.1, 0.5], collect_rows=0) == {"x": [-math.inf, math.inf]}
