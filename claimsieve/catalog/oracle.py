@@ -526,7 +526,7 @@ def oracle_sql() -> dict[str, str]:
         "m8_forest": "SELECT 100 AS trees, 5 AS depth, true AS same, true AS tells_apart",
         "j5_train": _MODEL_METRICS,
         "s3_parquet_scan": "SELECT * REPLACE (CAST(l_shipdate AS VARCHAR) AS l_shipdate) FROM lineitem",
-        "s6_metric_append": _LINE_METRICS,
+        "s6_metric_append": f"WITH m AS ({_LINE_METRICS}) SELECT * FROM m UNION ALL SELECT * REPLACE ('2024' AS run_id) FROM m WHERE model = 'quantity'",
         "s7_skip_missing": _METRIC_FILES,
         "j6_consolidate": _METRIC_FILES,
         "m10_auc": f"{_auc('l_extendedprice', 'price')} UNION ALL {_ACCURACY}",

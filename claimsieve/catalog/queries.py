@@ -29,6 +29,7 @@ from claimsieve.sources import (
     read_claims,
     read_claims_checked,
     read_metric_files,
+    read_metrics,
     read_stage,
     read_strings,
     write_csv,
@@ -168,10 +169,13 @@ def _line_metrics(s: Stages) -> dict[str, DataFrame]:
 
 @query
 def s6_metric_append(s: Stages) -> DataFrame:
-    path = s.scratch().location("metrics")
-    for metrics in _line_metrics(s).values():
-        append_metrics(metrics, path)
-    return read_stage(s.spark, path).withColumn("value", rounded("value", 9))
+    """Two models of a run, one of them written twice and first with other values, and another run."""
+    path, metrics = s.scratch().location("metrics"), _line_metrics(s)
+    append_metrics(metrics["price"].withColumn("value", F.lit(0.0)), path)
+    for name in ("quantity", "price", "price"):
+        append_metrics(metrics[name], path)
+    append_metrics(metrics["quantity"].withColumn("run_id", F.lit("2024")), path)
+    return read_metrics(s.spark, path).withColumn("value", rounded("value", 9))
 
 
 def _metric_folder(s: Stages) -> str:

@@ -56,7 +56,7 @@ def run_all(
     labelled = read_stage(spark, f"{output}/labelled")
     profile = profile_claims(labelled.drop(LABEL), workspace)
     vectors, encoder = encode_claims(labelled, workspace, include_flags)
-    with_part(vectors, seed=seed).write.mode("overwrite").partitionBy("_part").parquet(f"{output}/processed")
+    write_stage(with_part(vectors, seed=seed), f"{output}/processed", partition_by="_part")
     processed = read_stage(spark, f"{output}/processed")
     trained = train_and_score(processed, workspace, list(METRIC_FILES), seed)
     for model_name, file_name in METRIC_FILES.items():

@@ -1,4 +1,4 @@
-from claimsieve.sources.metrics import append_metrics, read_metric_files, write_metric_file
+from claimsieve.sources.metrics import append_metrics, read_metric_files, read_metrics, write_metric_file
 from claimsieve.sources.tables import (
     describe_schema,
     preview,
@@ -18,6 +18,7 @@ __all__ = [
     "read_claims",
     "read_claims_checked",
     "read_metric_files",
+    "read_metrics",
     "read_records",
     "read_stage",
     "read_strings",

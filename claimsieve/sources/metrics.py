@@ -17,9 +17,23 @@ from claimsieve.sources.tables import read_strings, write_csv
 _GLOB = re.compile(r"[\\{}\[\]*?,]")
 
 
+#: What one write of metrics replaces as a whole.
+_RUN = ["run_id", "model"]
+
+
 def append_metrics(metrics: DataFrame, path: str) -> None:
-    """Add rows to the metrics table, creating it on first use."""
-    metrics.select(*METRICS.fieldNames()).write.mode("append").parquet(path)
+    """Add rows to the metrics table, creating it on first use.
+
+    A run's rows of a model take the place of those that an earlier try of the same run left, so that a
+    retried task or run counts once; other rows stay as they are.
+    """
+    rows = metrics.select(*METRICS.fieldNames()).repartition(1, *_RUN)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*_RUN).parquet(path)
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """The metrics table, its run and model as text whatever they look like."""
+    return spark.read.schema(METRICS).parquet(path).select(*METRICS.fieldNames())
 
 
 def write_metric_file(metrics: DataFrame, path: str) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -105,12 +106,74 @@ def read_strings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_stage(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet stage table, vectors included."""
-    return spark.read.parquet(path)
+    """A Parquet table, vectors included: the version that was committed last, if :func:`write_stage` wrote it, else all of ``path``."""
+    version = Versions(spark, path).current()
+    return spark.read.parquet(f"{path}/{version}" if version else path)
 
 
-def write_stage(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+def write_stage(df: DataFrame, path: str, partition_by: str | None = None) -> None:
+    """Replace the table at ``path``, or create it, all at once.
+
+    The rows go into a new folder below ``path``, and only once they are all there the pointer to the current one is swapped. A write that fails,
+    or is read meanwhile, leaves the table as it was; the version before the current one stays for those who still read it.
+    Read it by :func:`read_stage`.
+    """
+    versions = Versions(df.sparkSession, path)
+    name = f"_v-{uuid.uuid4().hex}"
+    try:
+        writer = df.write
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{path}/{name}")
+        versions.commit(name)
+    except BaseException:
+        versions.delete(name)
+        raise
+
+
+class Versions:
+    """The folders below a path that hold a table's versions, and the pointer file that names the current one and the one before it."""
+
+    _POINTER = "_current"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._jvm, self._gateway = spark._jvm, spark.sparkContext._gateway
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._root = self._jvm.org.apache.hadoop.fs.Path(path)
+        self._fs = self._root.getFileSystem(self._conf)
+
+    def _at(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(self._root, name)
+
+    def _names(self) -> list[str]:
+        pointer = self._at(self._POINTER)
+        if not self._fs.exists(pointer):
+            return []
+        stream = self._fs.open(pointer)
+        try:
+            return str(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")).split()
+        finally:
+            stream.close()
+
+    def current(self) -> str | None:
+        return next(iter(self._names()), None)
+
+    def commit(self, name: str) -> None:
+        """Make ``name`` the current version by one rename, and delete the one that two others have followed."""
+        before = self._names()
+        draft = self._at(f"_next-{uuid.uuid4().hex}")
+        stream = self._fs.create(draft, True)
+        try:
+            stream.write(bytearray("\n".join([name, *before[:1]]).encode()))
+        finally:
+            stream.close()
+        overwrite = self._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        options = self._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = overwrite
+        self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf).rename(draft, self._at(self._POINTER), options)
+        for old in before[1:]:
+            self.delete(old)
+
+    def delete(self, name: str) -> None:
+        self._fs.delete(self._at(name), True)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -11,7 +11,7 @@ from claimsieve.plans.prepare import complete_claims, prepare_claims, stored_cla
 from claimsieve.plans.profile import profile_claims
 from claimsieve.schema import FILLED_CATEGORICALS, IQR_PREFIX, MEASURES, MIXED_PREFIX, RATIO, Z_PREFIX
 from claimsieve.session import planned_bytes, wide_shuffle
-from claimsieve.sources import read_stage, write_csv
+from claimsieve.sources import read_metrics, read_stage, write_csv
 from claimsieve.staging import Workspace
 from tests.micro import claims as micro_claims
 
@@ -218,7 +218,7 @@ def test_all_stages_from_a_csv_file(spark, claims, prepared, workspace):
     labelled = read_stage(spark, f"{output}/labelled")
     assert labelled.drop("is_fraud").exceptAll(prepared.cleaned).count() == 0
     assert read_stage(spark, f"{output}/processed").count() == 4010
-    metrics = read_stage(spark, f"{output}/metrics")
+    metrics = read_metrics(spark, f"{output}/metrics")
     assert {(r.model, r.metric) for r in metrics.collect()} == {
         (m, k) for m in ("logistic", "forest") for k in ("areaUnderROC", "accuracy")
     }

@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from claimsieve.sources import (
     read_claims,
     read_claims_checked,
     read_metric_files,
+    read_metrics,
     read_records,
     read_stage,
     read_strings,
@@ -63,21 +66,57 @@ def test_csv_keeps_outer_spaces_quotes_and_nulls(spark, workspace):
     assert sorted(rows(read_strings(spark, workspace.location("csv"))), key=str) == sorted(data, key=str)
 
 
+def folders(path):
+    return sorted(x.name for x in Path(path.removeprefix("file:")).iterdir() if not x.name.startswith("."))
+
+
 def test_stage_is_overwritten(spark, workspace):
     path = workspace.location("t")
     write_stage(spark.range(5), path)
+    old = read_stage(spark, path)
     write_stage(spark.range(2), path)
     assert rows(read_stage(spark, path).orderBy("id")) == [(0,), (1,)]
+    assert old.count() == 5  # who read it before still can
+    for n in (3, 4):
+        write_stage(spark.range(n), path)
+    assert len(folders(path)) == 3 and "_current" in folders(path)  # the version before it, and no older one
+    write_stage(spark.range(6).withColumn("part", F.col("id") % 2), path, partition_by="part")
+    assert sorted(rows(read_stage(spark, path)))[:2] == [(0, 0), (1, 1)]
+
+
+def test_a_write_that_fails_half_way_leaves_the_old_table(spark, workspace):
+    path = workspace.location("t")
+    half = spark.range(0, 1000, 1, 4).withColumn("x", F.when(F.col("id") > 900, F.raise_error(F.lit("no more"))).otherwise(F.lit("a")))
+    with pytest.raises(PySparkException):
+        write_stage(half, path)
+    assert "_current" not in folders(path)
+    write_stage(spark.range(5), path)
+    before = folders(path)
+    with pytest.raises(PySparkException):
+        write_stage(half, path)
+    assert rows(read_stage(spark, path).orderBy("id")) == [(k,) for k in range(5)]
+    assert folders(path) == before
+
+
+def test_a_table_that_was_written_otherwise_is_read_and_replaced(spark, workspace):
+    path = workspace.location("t")
+    spark.range(7).write.parquet(path)
+    assert read_stage(spark, path).count() == 7
+    write_stage(spark.range(2), path)
+    assert read_stage(spark, path).count() == 2
+
+
+METRIC_ROW = "value double, model string, metric string, run_id string"
 
 
-def test_metrics_append_and_create(spark, workspace):
+def test_metrics_of_a_run_count_once(spark, workspace):
     path = workspace.location("metrics")
-    for value in (0.25, 0.5):
-        append_metrics(
-            spark.createDataFrame([(value, "m", "auc", "r")], "value double, model string, metric string, run_id string"),
-            path,
-        )
-    assert sorted(r.value for r in read_stage(spark, path).collect()) == [0.25, 0.5]
+    tries = [(0.25, "m", "auc", "7"), (0.5, "m", "auc", "7"), (0.5, "m", "auc", "8"), (0.75, "n", "auc", "7"), (0.1, "m", "auc", None)]
+    for row in tries:
+        append_metrics(spark.createDataFrame([row], METRIC_ROW), path)
+    found = read_metrics(spark, path)
+    assert found.columns == ["model", "metric", "value", "run_id"]
+    assert sorted(rows(found), key=str) == [("m", "auc", 0.1, None), ("m", "auc", 0.5, "7"), ("m", "auc", 0.5, "8"), ("n", "auc", 0.75, "7")]
 
 
 def test_absent_metric_files_are_skipped(spark, workspace):
