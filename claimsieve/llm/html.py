@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import html
+import itertools
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimsieve.llm.common import ragged
+from claimsieve.llm.common import pieces, ragged
 from claimsieve.staging import Workspace
 
 # Element names of HTML, and words that sites use for what is not the article.
@@ -23,7 +24,7 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
 SKIPPED = frozenset(
-    "head script style noscript template iframe object applet svg canvas math audio video map nav footer aside form button select textarea "
+    "head script style noscript template iframe object applet svg canvas audio video map nav footer aside form button select textarea "
     "input option datalist dialog menu title noembed noframes".split()
 )
 CONTAINERS = frozenset("div section ul ol dl table nav header footer aside form menu details figure".split())
@@ -34,6 +35,12 @@ SKIPPED_WORDS = re.compile(
     r"related|recommended|widgets?|toolbar|pagination|pager|login|signin|signup|search|skip-link",
     re.I,
 )
+#: The same inside an article or main: only what nothing but such a block is called, whole, and only for GROUPS.
+SKIPPED_BLOCKS = re.compile(
+    r"(?:\w+[_-]+)*?(?:ads?|advert(?:s|isements?)?)|(?:cookie|gdpr|consent)[_-]+\w+|newsletter(?:[_-]+\w+)?|sidebar|share[_-]+(?:buttons|bar|links)|social[_-]+\w+|"
+    r"comments|comment(?:[_-]*)(?:list|area|section)|disqus(?:[_-]+\w+)?|respond"
+)
+GROUPS = frozenset("div section".split())
 #: Parts of a class that say what a wrapper has or lacks, not what it is.
 NEGATIONS = frozenset("no not non none has have with without hide hides".split())
 #: What an open element closes on opening, and where the search for it stops.
@@ -66,16 +73,15 @@ class _Element:
     in_article: bool
     in_main: bool
     sum: object
-    blocks: list[int] = field(default_factory=list)
-    depth_of_raw: bool = False
+    first: int = 0
 
 
 @dataclass
 class Page:
-    """``blocks`` of (text, places in ``subtrees`` of the containers around it, in article, in main)."""
+    """``blocks`` of (text, in article, in main); ``trees`` of (hash, first block, block after the last) of the container subtrees."""
 
-    blocks: list[tuple[str, list[int], bool, bool]]
-    subtrees: list[int]
+    blocks: list[tuple[str, bool, bool]]
+    trees: list[tuple[int, int, int]]
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -96,19 +102,26 @@ def _is_skipped(tag: str, attributes: dict[str, str], in_content: bool) -> bool:
 
 
 def _is_named(tag: str, attributes: dict[str, str], in_content: bool) -> bool:
-    """Whether a class or the id, or its first or last part, is one of SKIPPED_WORDS; an article's own header is not."""
-    if tag in ("html", "body", "article", "main") or tag in INLINE:
+    """Whether a class or the id says that an element is not the article.
+
+    Outside of an article or main, its first or last part is enough, if it is one of SKIPPED_WORDS. Inside, where headings, paragraphs and
+    sections are called after what they are about, the whole name must be one of SKIPPED_BLOCKS, of a group; all else is left to the counted templates.
+    """
+    if tag in ("html", "body", "article", "main") or tag in INLINE or in_content and tag not in GROUPS:
         return False
     for token in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
         parts = [x for x in re.split("[_-]+", token) if x]
         if not parts or NEGATIONS.intersection(parts):
             continue
-        if any(SKIPPED_WORDS.fullmatch(x) and not (in_content and x == "header") for x in (token, parts[0], parts[-1])):
+        if in_content:
+            if SKIPPED_BLOCKS.fullmatch(token):
+                return True
+        elif any(SKIPPED_WORDS.fullmatch(x) for x in (token, parts[0], parts[-1])):
             return True
     return False
 
 
-def _dropped(blocks: list[tuple[str, list[int], bool, bool]], inside: list[int], around: list[int], mains: set[int], within: set[int]) -> list[bool]:
+def _dropped(blocks: list[tuple[str, bool, bool]], inside: list[int], around: list[int], mains: set[int], within: set[int]) -> list[bool]:
     """Which named elements go with all they hold. ``inside``: the innermost named element of each block; ``around``: of each element;
     ``mains``: those around a main element; ``within``: those inside an article or main.
 
@@ -118,7 +131,7 @@ def _dropped(blocks: list[tuple[str, list[int], bool, bool]], inside: list[int],
     """
     n = len(around)
     chars, content = [0] * n, [0] * n
-    for (text, _, article, main), name in zip(blocks, inside):
+    for (text, article, main), name in zip(blocks, inside):
         if name >= 0:
             chars[name] += len(text)
             content[name] += len(text) * (article or main)
@@ -128,7 +141,7 @@ def _dropped(blocks: list[tuple[str, list[int], bool, bool]], inside: list[int],
             chars[around[k]] += chars[k]
             content[around[k]] += content[k]
             wraps[around[k]] |= wraps[k]
-    total, written = sum(len(x[0]) for x in blocks), sum(len(x[0]) for x in blocks if x[2] or x[3])
+    total, written = sum(len(x[0]) for x in blocks), sum(len(x[0]) for x in blocks if x[1] or x[2])
     stays = [wraps[k] or 2 * chars[k] > total and (k in within or content[k] == written) for k in range(n)]
     while True:
         gone = [False] * n
@@ -138,7 +151,7 @@ def _dropped(blocks: list[tuple[str, list[int], bool, bool]], inside: list[int],
             gone[k] = above or not stays[k]
             if gone[k] and not above and content[k]:
                 outer.append(k)
-        free = any((block[2] or block[3]) and (name < 0 or not gone[name]) for block, name in zip(blocks, inside))
+        free = any((block[1] or block[2]) and (name < 0 or not gone[name]) for block, name in zip(blocks, inside))
         if free or not outer:
             return gone
         stays[max(outer, key=lambda k: content[k])] = True
@@ -152,8 +165,8 @@ def parse(page: str) -> Page:
     and text of all it holds. Text in elements that never hold the article is left out of the blocks, not of the hashes.
     What elements named by their class or id hold is judged at the page's end, see :func:`_dropped`.
     """
-    blocks: list[tuple[str, list[int], bool, bool]] = []
-    subtrees: list[int] = []
+    blocks: list[tuple[str, bool, bool]] = []
+    trees: list[tuple[int, int, int]] = []
     inside: list[int] = []
     around: list[int] = []
     mains: set[int] = set()
@@ -167,10 +180,7 @@ def parse(page: str) -> Page:
         joined = " ".join("".join(text).split())
         text.clear()
         if joined and not top.skipped:
-            for element in stack:
-                if element.tag in CONTAINERS:
-                    element.blocks.append(len(blocks))
-            blocks.append((joined, [], top.in_article, top.in_main))
+            blocks.append((joined, top.in_article, top.in_main))
             inside.append(top.named)
 
     def close() -> None:
@@ -178,9 +188,7 @@ def parse(page: str) -> Page:
         digest = element.sum.intdigest()
         stack[-1].sum.update(digest.to_bytes(8, "little"))
         if element.tag in CONTAINERS:
-            for block in element.blocks:
-                blocks[block][1].append(len(subtrees))
-            subtrees.append(digest - (1 << 63))
+            trees.append((digest - (1 << 63), element.first, len(blocks)))
 
     def close_to(names: tuple[str, ...], barriers: tuple[str, ...]) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -249,7 +257,7 @@ def parse(page: str) -> Page:
             around.append(top.named)
             if top.in_article or top.in_main:
                 within.add(named)
-        element = _Element(tag, skipped, named, article, main, xxhash.xxh3_64(f"{tag} {attributes.get('class', '')}".encode("utf-8", "surrogatepass")))
+        element = _Element(tag, skipped, named, article, main, xxhash.xxh3_64(f"{tag} {attributes.get('class', '')}".encode("utf-8", "surrogatepass")), len(blocks))
         stack.append(element)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
@@ -265,16 +273,11 @@ def parse(page: str) -> Page:
         close()
     if around:
         gone = _dropped(blocks, inside, around, mains, within)
-        blocks = [block for block, name in zip(blocks, inside) if name < 0 or not gone[name]]
-    return Page(blocks, subtrees)
-
-
-def _content(page: Page) -> list[tuple[str, list[int], bool, bool]]:
-    """The blocks of the articles, else of the main element, else all."""
-    for place in (2, 3):
-        if any(block[place] for block in page.blocks):
-            return [block for block in page.blocks if block[place]]
-    return page.blocks
+        keep = [name < 0 or not gone[name] for name in inside]
+        before = [0, *itertools.accumulate(keep)]
+        blocks = [block for block, kept in zip(blocks, keep) if kept]
+        trees = [(tree, before[a], before[b]) for tree, a, b in trees]
+    return Page(blocks, trees)
 
 
 def host(url: Column) -> Column:
@@ -283,7 +286,10 @@ def host(url: Column) -> Column:
     return F.regexp_replace(name, r"^www\.", "")
 
 
-_PARSED = "__id {id}, __url string, __host string, __print long, __seen array<long>, __texts array<string>, __paths array<array<long>>"
+_PARSED = (
+    "__id {id}, __url string, __host string, __print long, __seen array<long>, __blocks array<struct<text: string, article: boolean, main: boolean>>, "
+    "__trees array<struct<tree: long, first: int, after: int>>"
+)
 
 
 def main_text(
@@ -293,20 +299,22 @@ def main_text(
     url: str = "url",
     page: str = "html",
     min_pages: int = 8,
-    min_share: float = 0.1,
 ) -> DataFrame:
     """One row for each page: ``page_id, url, text, n_chars``.
 
-    Each page is parsed once into text blocks and the hashes of its container subtrees. The hashes
-    are counted per host over different pages, folded within tasks first, and a subtree on at least ``min_pages`` pages and
-    ``min_share`` of the host's is a template of that host: its blocks go, unless they are more than half of the
-    page's text. What a page's markup names as something other than the article (menus, headers, footers,
-    sidebars, notices, adverts, forms, comments) goes too, but no element goes by its class or id that holds the main element, the only
-    articles or more than half of the page's text, nor by a class that says what a wrapper has or lacks (``no-sidebar``); if there is an article, only its text stays. Blocks are
+    Each page is parsed once into text blocks and the hashes of its container subtrees, each with the range of blocks it holds. The hashes
+    are counted per host over different pages, folded within tasks first, and a subtree on at least ``min_pages`` pages of a host, however large, is a
+    template of that host: its blocks go, unless they are more than half of the
+    page's text. Of what is left, only the blocks in an article stay if there are any, else those in a main element, else all.
+    What a page's elements say is something other than the article (menus, headers, footers,
+    asides, forms, scripts) goes by itself, as does outside of an article or main what a class or id calls so, but no element that holds the main element, the only
+    articles or more than half of the page's text, nor by a class that says what a wrapper has or lacks (``no-sidebar``); inside, a name counts
+    only if it is that of adverts, notices, sharing or comments as a whole and of a ``div`` or ``section``. Blocks are
     joined by a space, with references decoded and white space folded.
-    Only pages whose remaining blocks lie in containers are joined with the templates of their host.
+    Only pages whose blocks lie in containers are joined with the templates of their host.
     Cases: null html is empty; a page without url or host belongs to the host ""; copies of a page count
-    as one; repeated rows give repeated rows; an empty table gives an empty table; other columns are not looked at.
+    as one; repeated rows give repeated rows; an empty table gives an empty table; other columns are not looked at. A page takes
+    memory in proportion to its length, however deep its elements lie.
     """
     kind = pages.schema[page_id].dataType.simpleString()
     schema = _PARSED.format(id=kind)
@@ -317,45 +325,38 @@ def main_text(
 
     # one row for each different page of a host, then one count for each subtree of a host
     different = parsed.groupBy("__host", "__print").agg(F.first("__seen").alias("__seen"))
-    sizes = different.groupBy("__host").agg(F.count("*").alias("__pages"))
     seen = different.select("__host", F.explode("__seen").alias("__tree")).groupBy("__host", "__tree").agg(F.count("*").alias("__n"))
-    templates = seen.where(F.col("__n") >= min_pages).join(sizes, "__host").where(F.col("__n") >= min_share * F.col("__pages"))
-    templates = workspace.stage(templates.select("__host", "__tree"), "templates")
+    templates = workspace.stage(seen.where(F.col("__n") >= min_pages).select("__host", "__tree"), "templates")
 
-    open_ = F.exists("__paths", lambda path: F.size(path) > 0)
-    plain = parsed.where(~open_)
-    closed = parsed.where(open_)
-    trees = closed.select("__row", "__host", F.explode(F.array_distinct(F.flatten("__paths"))).alias("__tree"))
+    some = F.size("__trees") > 0
+    trees = parsed.where(some).select("__row", "__host", F.explode(F.array_distinct(F.col("__trees.tree"))).alias("__tree"))
     hit = trees.join(templates, ["__host", "__tree"]).groupBy("__row").agg(F.collect_set("__tree").alias("__hit"))
-    marked = closed.join(hit, "__row", "left").withColumn("__all", F.arrays_zip("__texts", "__paths"))
-    chars = lambda blocks: F.aggregate(blocks, F.lit(0), lambda n, b: n + F.length(b["__texts"]))
-    under = lambda tree: F.filter("__all", lambda b: F.array_contains(b["__paths"], tree))
-    small = F.filter("__hit", lambda tree: chars(under(tree)) * 2 <= chars(F.col("__all")))
-    marked = marked.withColumn("__hit", small)
-    left = F.filter("__all", lambda b: ~F.arrays_overlap(b["__paths"], F.col("__hit")))
-    left = F.when(F.col("__hit").isNull(), F.col("__texts")).otherwise(F.transform(left, lambda b: b["__texts"]))
-    out = plain.select("__id", "__url", F.col("__texts").alias("__left")).unionByName(marked.select("__id", "__url", left.alias("__left")))
-    text = F.array_join("__left", " ")
-    return out.select(F.col("__id").alias("page_id"), F.col("__url").alias("url"), text.alias("text"), F.length(text).cast("long").alias("n_chars"))
+    marked = parsed.where(some).join(hit, "__row", "left").unionByName(parsed.where(~some), allowMissingColumns=True)
+    chars = lambda blocks: F.aggregate(blocks, F.lit(0), lambda n, b: n + F.length(b["text"]))
+    held = lambda t: F.slice("__blocks", t["first"] + 1, t["after"] - t["first"])
+    small = lambda t: F.array_contains("__hit", t["tree"]) & (chars(held(t)) * 2 <= chars(F.col("__blocks")))
+    marked = marked.withColumn("__gone", F.filter("__trees", small))
+    inside = lambda k: F.exists("__gone", lambda t: (t["first"] <= k) & (k < t["after"]))
+    marked = marked.withColumn("__left", F.when(F.size("__gone") > 0, F.filter("__blocks", lambda b, k: ~inside(k))).otherwise(F.col("__blocks")))
+    of = lambda place: F.filter("__left", lambda b: b[place])
+    kept = F.when(F.exists("__left", lambda b: b["article"]), of("article")).when(F.exists("__left", lambda b: b["main"]), of("main")).otherwise(F.col("__left"))
+    out = marked.withColumn("__text", F.array_join(F.transform(kept, lambda b: b["text"]), " "))
+    return out.select(F.col("__id").alias("page_id"), F.col("__url").alias("url"), F.col("__text").alias("text"), F.length("__text").cast("long").alias("n_chars"))
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        seen, counts, prints, texts, paths = [], [], [], [], []
-        for source in batch.column("__page").to_pylist():
-            page = parse(source)
-            blocks = _content(page)
-            different = sorted(set(page.subtrees))
-            seen.extend(different)
-            counts.append(len(different))
-            prints.append(xxhash.xxh3_64_intdigest("\0".join(b[0] for b in page.blocks).encode("utf-8", "surrogatepass")) - (1 << 63))
-            texts.append([b[0] for b in blocks])
-            paths.append([[page.subtrees[k] for k in b[1]] for b in blocks])
+    for batch in pieces(batches, "__page"):
+        pages = [parse(x) for x in batch.column("__page").to_pylist()]
+        different = [sorted({tree for tree, _, _ in page.trees}) for page in pages]
+        prints = [xxhash.xxh3_64_intdigest("\0".join(b[0] for b in page.blocks).encode("utf-8", "surrogatepass")) - (1 << 63) for page in pages]
+        # a subtree without text has nothing to give up
+        trees = [[{"tree": tree, "first": a, "after": b} for tree, a, b in page.trees if a < b] for page in pages]
+        blocks = [[{"text": text, "article": article, "main": main} for text, article, main in page.blocks] for page in pages]
         columns = [
             *(batch.column(x) for x in ("__id", "__url", "__host")),
             pa.array(prints, pa.int64()),
-            ragged(np.array(seen, dtype=np.int64), np.array(counts), pa.int64()),
-            pa.array(texts, pa.list_(pa.string())),
-            pa.array(paths, pa.list_(pa.list_(pa.int64()))),
+            ragged(np.array([x for some in different for x in some], dtype=np.int64), np.array([len(x) for x in different]), pa.int64()),
+            pa.array(blocks, pa.list_(pa.struct([("text", pa.string()), ("article", pa.bool_()), ("main", pa.bool_())]))),
+            pa.array(trees, pa.list_(pa.struct([("tree", pa.int64()), ("first", pa.int32()), ("after", pa.int32())]))),
         ]
-        yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _PARSED.split(", ")])
+        yield pa.RecordBatch.from_arrays(columns, ["__id", "__url", "__host", "__print", "__seen", "__blocks", "__trees"])

@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import pytest
@@ -7,7 +8,13 @@ from claimsieve.llm import html
 
 
 def body(page):
-    return " ".join(b[0] for b in html._content(html.parse(page)))
+    """The text of a page whose host has no templates."""
+    blocks = html.parse(page).blocks
+    for place in (1, 2):
+        if any(b[place] for b in blocks):
+            blocks = [b for b in blocks if b[place]]
+            break
+    return " ".join(b[0] for b in blocks)
 
 
 @pytest.mark.parametrize(
@@ -23,7 +30,10 @@ def body(page):
         ("<main><p>x</p><aside>y</aside></main><div>z</div>", "x"),
         ("<header>h</header><article><header><h1>T</h1></header>x</article>", "T x"),
         ("<article>a<section id='comments'><article>c</article></section></article>", "a"),
-        ("<article>a<div class='cookie-notice'>b</div><form>c</form><p class='Sidebar'>d</p><div hidden>e</div></article>", "a"),
+        ("<article>a<div class='cookie-notice'>b</div><form>c</form><p class='Sidebar'>d</p><div hidden>e</div></article>", "a d"),
+        ("<article>a<h2 id='search'>b</h2><h2 id='binary-search'>c</h2><h3 id='sharing'>d</h3><p id='navigation'>e</p></article>", "a b c d e"),
+        ("<article><section id='login'>a</section><section id='related-work'>b</section><div class='image-related'>c</div></article>", "a b c"),
+        ("<main><ul class='menu'><li>soup<li>cake</ul><p>so <math><mi>x</mi></math></p><div id='header-files'>h</div></main>", "soup cake so x h"),
         ("<article><div class='adventure headers-up'>kept</div></article>", "kept"),
         ("<article>a<script>var t='</p><b>';</script><style>p{}</style><!-- <p>c</p> -->b", "a b"),
         ("<article>a <span class='ad'>kept</span> b", "a kept b"),
@@ -62,6 +72,55 @@ def test_templates_go_where_markup_says_nothing(spark, workspace):
     assert found[101] == "Home News story 1 of b.example and more of it here written by us"
 
 
+def plain_templates(pages, min_pages):
+    """By host, the subtrees on enough different pages, by counting them one by one."""
+    seen = {}
+    for _, url, page in pages:
+        parsed = html.parse(page)
+        seen.setdefault(url.split("/")[2].removeprefix("www."), {}).setdefault(tuple(b[0] for b in parsed.blocks), {t for t, _, _ in parsed.trees})
+    return {host: {t for t, n in Counter(t for trees in some.values() for t in trees).items() if n >= min_pages} for host, some in seen.items()}
+
+
+def plain_text(page, templates):
+    parsed = html.parse(page)
+    sizes = [len(b[0]) for b in parsed.blocks]
+    gone = {k for t, a, b in parsed.trees if t in templates and 2 * sum(sizes[a:b]) <= sum(sizes) for k in range(a, b)}
+    left = [b for k, b in enumerate(parsed.blocks) if k not in gone]
+    for place in (1, 2):
+        if any(b[place] for b in left):
+            left = [b for b in left if b[place]]
+            break
+    return " ".join(b[0] for b in left)
+
+
+def test_templates_against_counting_one_by_one(spark, workspace):
+    rng = random.Random(4)
+    bits = [f"<div class=c{k}><p>part {k}</p><ul><li>x{k}</ul></div>" for k in range(40)]
+    pages = []
+    for k in range(240):
+        inner = "".join(rng.choices(bits, [1 / (j + 1) for j in range(40)], k=rng.randint(0, 6)))
+        own = f"<div>own words of page {k} {'and more ' * rng.randint(0, 4)}</div>"
+        wrap = rng.choice(["{}", "<article>{}</article>", "<main>{}</main>", "<section><div>{}</div></section>"])
+        pages.append((k, f"http://h{k % 3}.example/{k}", rng.choice(bits) + wrap.format(inner + own) + bits[0]))
+    pages += [(1000 + k, url, page) for k, url, page in pages[:30]]
+    templates = plain_templates(pages, 8)
+    found = {r["page_id"]: r["text"] for r in extract(spark, workspace, pages).collect()}
+    assert found == {k: plain_text(page, templates[url.split("/")[2]]) for k, url, page in pages}
+    without = {r["page_id"]: r["text"] for r in extract(spark, workspace, pages, min_pages=10**9).collect()}
+    assert sum(found[k] != without[k] for k in found) > 200  # the templates decide
+
+
+def test_a_menu_of_a_small_part_of_a_large_host_goes(spark, workspace):
+    pages = site("a.example", 12) + site("a.example", 300, menu="", begin=100)
+    found = {r["page_id"]: r["text"] for r in extract(spark, workspace, pages).collect()}
+    assert found[4] == "story 4 of a.example and more of it here"
+
+
+def test_deep_pages_take_memory_in_proportion():
+    page = html.parse("".join(f"<div>w{k} " for k in range(20_000)))
+    assert len(page.blocks) == 20_000 and len(page.trees) == 20_000 and page.trees[-1][1:] == (0, 20_000)
+
+
 def test_templates_are_of_one_host_and_of_many_pages(spark, workspace):
     pages = [(k, f"http://h{k}.example/", "<div>same words</div><div><p>own words of page number %d</p></div>" % k) for k in range(30)]
     assert all("same words" in r["text"] for r in extract(spark, workspace, pages).collect())
