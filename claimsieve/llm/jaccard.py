@@ -325,10 +325,11 @@ class _Folding:
         return out
 
 
-def _close_in_buckets(rows: DataFrame, threshold: Threshold, joining: bool) -> DataFrame:
-    """``a, b``: pairs across components of the dealt buckets whose short sketches leave a link open.
+def _close_in_buckets(rows: DataFrame, threshold: Threshold, wanted: str) -> DataFrame:
+    """``a, b``: pairs across components of the dealt buckets whose sketches ``bits`` leave a link open.
 
-    All of them, or if only those ``joining`` are asked for, some of the closest that together join all components which such pairs can join.
+    ``wanted`` are "all" of them, or those "joining": some of the closest that together join all components which such pairs can join; or only
+    the "sets" that are in such pairs, each as a pair with itself.
     Pairs are looked at ``PAIRS`` at a time and only close ones leave a task, so its memory is bounded by that and by two blocks.
     """
     kind, pairs_at_once = dict(rows.dtypes)["doc"], PAIRS
@@ -338,7 +339,7 @@ def _close_in_buckets(rows: DataFrame, threshold: Threshold, joining: bool) -> D
             group, component = part.pop("group"), part["component"].dictionary_encode().indices.to_numpy()
             sizes, own, docs = part["n"].to_numpy(), part["own"].to_numpy(), part["doc"]
             across = (part["low"].to_numpy() != part["high"].to_numpy())[:, None]
-            sketches = _Folding(part["short"].to_pylist())
+            sketches = _Folding(part["bits"].to_pylist())
             end = np.searchsorted(group, group, side="right")
             after = end - 1 - np.arange(len(group))
             upto = np.cumsum(after)
@@ -350,7 +351,7 @@ def _close_in_buckets(rows: DataFrame, threshold: Threshold, joining: bool) -> D
                     x = joined[x]
                 return x
 
-            begin = 0
+            begin, close = 0, np.zeros(len(group), dtype=bool)
             while begin < len(group):
                 stop = max(begin + 1, int(np.searchsorted(upto, upto[begin] - after[begin] + pairs_at_once, side="right")))
                 n = after[begin:stop]
@@ -363,7 +364,10 @@ def _close_in_buckets(rows: DataFrame, threshold: Threshold, joining: bool) -> D
                 apart = sketches.apart(i, j)
                 near = apart <= most
                 i, j, apart = i[near], j[near], apart[near]
-                if joining and len(i):
+                if wanted == "sets":
+                    close[i] = close[j] = True
+                    continue
+                if wanted == "joining" and len(i):
                     kept = []
                     for k in np.argsort(apart, kind="stable").tolist():
                         one, two = (find((int(group[x]), int(component[x]))) for x in (i[k], j[k]))
@@ -373,6 +377,9 @@ def _close_in_buckets(rows: DataFrame, threshold: Threshold, joining: bool) -> D
                     i, j = i[kept], j[kept]
                 if len(i):
                     yield pa.RecordBatch.from_arrays([docs.take(pa.array(i)), docs.take(pa.array(j))], ["a", "b"])
+            if close.any():
+                some = docs.filter(pa.array(close)).unique()
+                yield pa.RecordBatch.from_arrays([some, some], ["a", "b"])
 
     arranged = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
     found = arranged.mapInArrow(compare, f"a {kind}, b {kind}")
@@ -408,27 +415,29 @@ def _more_links(
 ) -> DataFrame:
     """``label`` after the links between components whose sets share a bucket.
 
-    First some of the closest pairs that would join the components of each bucket are verified, then all pairs that short sketches
+    Short sketches say which sets may link with another one of their buckets at all; only these go on, with long sketches. Then some of the closest pairs that
+    would join the components of each bucket are verified, and at last all pairs that long sketches
     leave open and that are still in different components: few, as those that link are mostly joined by then.
     """
-    sketches = sets.select("__id", "__n", "__bits")
-    shorts = sets.select(F.col("__id").alias("doc"), F.col("__n").alias("n"), F.col("__short").alias("short"))
+    sketches = lambda bits: sets.select(F.col("__id").alias("doc"), F.col("__n").alias("n"), F.col(bits).alias("bits"))
     rows = workspace.stage(_bucket_rows(shared, label), "bucket_rows")
+    some = _close_in_buckets(_open_buckets(rows, workspace).join(sketches("__short"), "doc"), threshold, "sets")
+    some = workspace.stage(some.select(F.col("a").alias("doc")), "close_sets")
+    rows = workspace.stage(rows.join(some, "doc", "left_semi"), "close_rows")
     tried = None
-    for joining in (True, False):
-        dealt = _open_buckets(rows, workspace).join(shorts, "doc")
-        pairs = _close_in_buckets(dealt, threshold, joining)
+    for wanted in ("joining", "all"):
+        pairs = _close_in_buckets(_open_buckets(rows, workspace).join(sketches("__bits"), "doc"), threshold, wanted)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = workspace.stage(pairs, "open_pairs")
         if pairs.isEmpty():
             return label
-        found = workspace.stage(_verified(_close(pairs, sketches, threshold), texts, threshold, n), "more_links")
+        found = workspace.stage(_verified(pairs, texts, threshold, n), "more_links")
         tried = pairs
         if not found.isEmpty():
             links = links.unionByName(found)
             label = components(links, workspace)
-            rows = workspace.stage(_bucket_rows(rows, label), "bucket_rows")
+            rows = workspace.stage(_bucket_rows(rows, label), "close_rows")
     return label
 
 
