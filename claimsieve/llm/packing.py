@@ -39,7 +39,8 @@ class WordEncoder:
         self.whole, self.tokenizer = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # what only looks like an added token once it is in lower case is text
         added = sorted(x.content for x in self.whole.get_added_tokens_decoder().values())
-        self.added = "|".join(re.escape(x) for x in added) or "[^\\s\\S]"
+        self.added = "|".join(re.escape(x) for x in added)
+        self.added_bytes = [x.encode() for x in added]
         one = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
         if one("Ab, \nc.") != [*one("ab"), *one(","), *one("c"), *one(".")]:
             raise ValueError(f"{path} doesn't encode words one by one")
@@ -71,9 +72,9 @@ class WordEncoder:
 
     def ids(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each followed by ``end``; how many each has."""
-        marked = np.flatnonzero(pc.fill_null(pc.match_substring_regex(texts, self.added), False).to_numpy(zero_copy_only=False))
-        if not len(marked):
+        if not self._holds_added(texts):
             return self._ids_by_word(texts, end)
+        marked = np.flatnonzero(pc.fill_null(pc.match_substring_regex(texts, self.added), False).to_numpy(zero_copy_only=False))
         mask = np.zeros(len(texts), dtype=bool)
         mask[marked] = True
         flat, counts = self._ids_by_word(pc.if_else(pa.array(mask), pa.scalar(None, texts.type), texts), end)
@@ -83,6 +84,16 @@ class WordEncoder:
         counts[marked] += sizes
         return np.insert(flat, np.repeat(places[marked], sizes), np.array([i for x in found for i in x], dtype=np.uint32)), counts
 
+    def _holds_added(self, texts: pa.Array) -> bool:
+        """Whether the bytes of the texts, looked at as one, hold the string of an added token."""
+        texts = texts.cast(pa.large_string())
+        _, offsets, data = texts.buffers()
+        if data is None or not len(texts):
+            return False
+        ends = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        chunk = data.slice(int(ends[0]), int(ends[-1] - ends[0])).to_pybytes()
+        return any(x in chunk for x in self.added_bytes)
+
     def _ids_by_word(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         lower = ascii_lowered(texts)
         words = Words(pc.replace_substring_regex(lower, r"([a-z])([,.])([ \t\n\v\f\r]|$)", r"\1 \2\3"), lower=False)
