@@ -18,7 +18,7 @@ def plain_ids(text):
     return [*Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids, 0]
 
 
-ODD = ["it's I'll we've", "a.b, c.", "a,, b.. c.,", "x!. y", "<|endoftext|> a<|startoftext|>b", "A <|endoftext|> B", "a <|EndOfText|> b", "<|endoftext|", "<|endoftext|><|endoftext|>İ x", "İstanbul ǅ ß Σίσυφος", "é ́a", "1,2. 3.4", "a b\x85c\x1cd", "中文。字", "…", "A.\nB,\tC.", "don't,", ".", " , ", "﻿z​q"]
+ODD = ["it's I'll we've", "a.b, c.", "a,, b.. c.,", "x!. y", "<|endoftext|> a<|startoftext|>b", "A <|endoftext|> B", "a <|EndOfText|> b", "<|endoftext|", "<|endoftext|><|endoftext|>İ x", "İstanbul ǅ ß Σίσυφος", "é ́a", "1,2. 3.4", "a b\x85c\x1cd", "中文。字", "…", "A.\nB,\tC.", "don't,", "a!?., b### c$$$ d*** e'.! f- g&'s i~^", "ab.'s cd/'ll x<|endoftext|>!", "é!! É## ö.", ".", " , ", "﻿z​q"]
 
 
 @pytest.mark.parametrize("known", [0, 10**6])
