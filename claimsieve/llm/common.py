@@ -120,7 +120,7 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of the word at each place."""
-        hashed = [xxhash.xxh3_64_intdigest(x) for x in self.values.to_pylist()]
+        hashed = [xxhash.xxh3_64_intdigest(x) for x in self.values.to_numpy(zero_copy_only=False).tolist()]
         return np.array(hashed, dtype=np.uint64)[self.codes]
 
     def joined(self, keep: np.ndarray | None = None) -> pa.Array:

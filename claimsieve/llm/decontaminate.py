@@ -39,7 +39,7 @@ class Search:
 def normal_hashes(words: Words) -> np.ndarray:
     """64-bit hashes of words in lower case without ASCII punctuation at their ends."""
     values = pc.ascii_trim(words.values, string.punctuation)
-    hashed = [xxhash.xxh3_64_intdigest(x) for x in values.to_pylist()]
+    hashed = [xxhash.xxh3_64_intdigest(x) for x in values.to_numpy(zero_copy_only=False).tolist()]
     return np.array(hashed, dtype=np.uint64)[words.codes]
 
 
