@@ -473,6 +473,15 @@ _BODIES = {
     "a4_dedupe_normalised": f"SELECT DISTINCT {_each(NORMALISED_TEXT, lambda c: f'trim(lower({c}))')} FROM claims",
     "a5_count": 'SELECT count(*) AS "count" FROM cleaned',
     "a6_describe_all": _describe("labelled", LABELLED),
+    "a6_text_columns": " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count({c}) AS \"count\", true AS distinct_within, true AS right_counts, true AS none_missed, true AS all_exist FROM claims"
+        for c in TEXT
+    ),
+    "a6_frequent_texts": " UNION ALL ".join(
+        f"SELECT * FROM (SELECT '{c}' AS \"column\", CAST(sum(count(*)) OVER () AS BIGINT) AS \"count\", count(*) OVER () AS \"distinct\","
+        f" CAST(0 AS BIGINT) AS top_error, {c} AS item, count(*) AS n FROM claims WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY n DESC, item LIMIT 10)"
+        for c in ("Provider_State", "Medicare_Participation", "Provider_RUCA_Description", "Provider_Credentials")
+    ),
     "a7_describe_measures": _describe("cleaned", PROFILED_MEASURES),
     "a8_null_counts": f"SELECT {_list(f'count(*) - count({c}) AS {c}' for c in ALL)} FROM claims",
     "a8_null_counts_long": " UNION ALL ".join(
@@ -508,6 +517,8 @@ _BODIES = {
     "m5_pipeline": _vectors([*MEASURES, *MIXED]),
     "m5_pipeline_many_labels": _vectors([*MEASURES, *MIXED]),
     "m6_hash_split": f"SELECT {_list(KEYS)}, CASE WHEN {_TRAIN} THEN 'train' ELSE 'test' END AS Source FROM labelled",
+    "m6_group_split": "SELECT CAST(sum(n) AS BIGINT) AS rows, count(*) AS \"groups\", CAST(0 AS BIGINT) AS in_both, true AS near_share, CAST(0 AS BIGINT) AS cut FROM (SELECT count(*) AS n FROM claims"
+    f" GROUP BY {_list(f'trim(lower({c}))' if c in TEXT else c for c in ALL)})",
     "m6_stored_split": f"SELECT {_list([*KEYS, LABEL])} FROM labelled",
     "j1_prepare": "SELECT * FROM cleaned",
     "j2_profile": _PROFILE,
@@ -530,5 +541,8 @@ def oracle_sql() -> dict[str, str]:
         "s7_skip_missing": _METRIC_FILES,
         "j6_consolidate": _METRIC_FILES,
         "m10_auc": f"{_auc('l_extendedprice', 'price')} UNION ALL {_ACCURACY}",
+        "m10_sketched_auc": " UNION ALL ".join(
+            f"SELECT model, value, true AS within, true AS small FROM ({_auc(score, name)})" for name, score in (("price", "l_extendedprice"), ("quantity", "l_quantity"))
+        ),
         "o4_event_flags": _EVENT_FLAGS,
     }

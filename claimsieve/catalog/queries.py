@@ -45,6 +45,7 @@ _QUERIES: dict[str, Query] = {}
 DIGITS = 4
 KEYS = [*CRITICAL, "Total_Services"]
 RECORD_FIELDS = T.StructType([RAW[name] for name in ("Rndrng_NPI", "HCPCS_Cd", "Rndrng_Prvdr_Type", "Tot_Benes")])
+FEW_TEXTS = ["Provider_State", "Medicare_Participation", "Provider_RUCA_Description", "Provider_Credentials"]
 PARTICIPATION_SLOTS = ["Medicare_Participation_OHE_F", "Medicare_Participation_OHE_O"]
 
 
@@ -379,6 +380,43 @@ def a6_describe_all(s: Stages) -> DataFrame:
     return _described(profiling.describe_table(s.labelled()))
 
 
+@query
+def a6_text_columns(s: Stages) -> DataFrame:
+    """Of every text column whether its sketched number of texts and its most frequent texts are within their errors, by counting."""
+    claims = s.claims()
+    sketched = s.scratch().stage(profiling.text_statistics(claims, top=10, tracked=2000), "sketched")
+    counted = claims.unpivot([], sketched_columns(claims), "column", "item").where("item IS NOT NULL").groupBy("column", "item").agg(F.count("*").alias("n"))
+    counted = s.scratch().stage(counted, "counted")
+    listed = sketched.select("column", "top_error", F.explode("top").alias("x")).select("column", "top_error", "x.item", F.col("x.count").alias("found"))
+    excess = F.col("found") - F.col("n")
+    held = listed.join(counted, ["column", "item"]).groupBy("column").agg(
+        F.count("*").alias("listed"), F.min("found").alias("least"), F.bool_and(excess.between(0, F.col("top_error"))).alias("right_counts")
+    )
+    missed = counted.join(listed, ["column", "item"], "left_anti").groupBy("column").agg(F.max("n").alias("most"))
+    exact = counted.groupBy("column").agg(F.count("*").alias("texts"))
+    all_of = sketched.join(exact, "column").join(held, "column").join(missed, "column", "left")
+    near = F.abs(F.col("distinct") - F.col("texts")) <= F.ceil(F.col("distinct_error") * F.col("texts"))
+    return all_of.select(
+        "column",
+        "count",
+        near.alias("distinct_within"),
+        "right_counts",
+        (F.coalesce("most", F.lit(0)) <= F.col("least") + F.col("top_error")).alias("none_missed"),
+        (F.col("listed") == F.size("top")).alias("all_exist"),
+    )
+
+
+def sketched_columns(df: DataFrame) -> list[str]:
+    return [name for name, kind in df.dtypes if kind == "string"]
+
+
+@query
+def a6_frequent_texts(s: Stages) -> DataFrame:
+    """The ten most frequent texts of columns with few texts, whose counts the sketch has exactly."""
+    found = profiling.text_statistics(s.claims(), FEW_TEXTS, top=10)
+    return found.select("column", "count", "distinct", "top_error", F.inline("top").alias("item", "n"))
+
+
 @query
 def a7_describe_measures(s: Stages) -> DataFrame:
     return _described(profiling.describe_table(s.cleaned(), PROFILED_MEASURES))
@@ -582,6 +620,21 @@ def m6_stored_split(s: Stages) -> DataFrame:
     return reporting.union_all(learning.stored_split(s.labelled(), s.scratch())).select(*KEYS, LABEL)
 
 
+@query
+def m6_group_split(s: Stages) -> DataFrame:
+    """Claims, among them copies that differ in case: rows of either part, groups in both, groups that were cut."""
+    claims = s.claims()
+    found = learning.group_split(claims, s.scratch())
+    text = [c for c, kind in claims.dtypes if kind == "string"]
+    plain = [F.trim(F.lower(F.col(c))).alias(c) if c in text else F.col(c) for c in claims.columns]
+    both = reporting.union_all([reporting.with_source(part.select(*plain), name) for name, part in [("train", found.train), ("test", found.test)]])
+    groups = both.groupBy(*claims.columns).agg(F.count_distinct("Source").alias("parts"), F.count("*").alias("n"), F.count_if(F.col("Source") == "train").alias("train"))
+    share = F.sum("train") / F.sum("n")
+    return groups.agg(
+        F.sum("n").alias("rows"), F.count("*").alias("groups"), F.count_if(F.col("parts") > 1).alias("in_both"), F.abs(share - 0.7).__lt__(0.03).alias("near_share")
+    ).withColumn("cut", F.lit(found.cut.count()).cast("bigint"))
+
+
 def _plain_split(s: Stages) -> tuple[DataFrame, DataFrame, list[str]]:
     """Vectors without flags, from which the label can't be told with certainty, split by key; the slots' names."""
     encoder = encoding.fit_encoder(s.labelled(), s.scratch(), flags=())
@@ -641,6 +694,17 @@ def m10_auc(s: Stages) -> DataFrame:
     return learning.evaluate(scored, "price", "run").withColumn("value", rounded("value", 9))
 
 
+@query
+def m10_sketched_auc(s: Stages) -> DataFrame:
+    """The sketched area of two scores beside the exact one: the error is proven, small, and none for a score of few values."""
+    rows = []
+    for name, score in {"price": "l_extendedprice", "quantity": "l_quantity"}.items():
+        scored = _scored_lines(s, score)
+        exact, found = learning.area_under_roc(scored), learning.sketched_area_under_roc(scored)
+        rows.append((name, round(exact, 9), abs(found.value - exact) <= found.error + 1e-9, found.error <= 0.01))
+    return s.spark.createDataFrame(rows, "model string, value double, within boolean, small boolean")
+
+
 # Jobs
 
 

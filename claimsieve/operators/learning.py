@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml import Model
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import Bucketizer
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimsieve.functions.columns import normalised
+from claimsieve.functions.quantiles import sketch_aggregates, sketch_size
 from claimsieve.schema import DEPTH, TRAIN_TEST, TREES
 from claimsieve.staging import Workspace
 
@@ -71,6 +77,45 @@ def hash_split(
     return df.where(side == 1), df.where(side == 0)
 
 
+def group_hash(columns: Sequence[str], dtypes: dict[str, str]) -> Column:
+    """A hash that rows share which differ in case and outer blanks of their texts alone."""
+    values = (normalised(c) if dtypes[c] == "string" else F.col(c).cast("string") for c in columns)
+    return F.md5(F.to_json(F.array(*values)))
+
+
+@dataclass(frozen=True)
+class GroupSplit:
+    """Both parts, and the groups too large for one part: ``group_hash, rows``."""
+
+    train: DataFrame
+    test: DataFrame
+    cut: DataFrame
+
+
+def group_split(
+    df: DataFrame, workspace: Workspace, columns: Sequence[str] | None = None, weights: Sequence[float] = TRAIN_TEST, hot_share: float = 0.05, seed: int = 42
+) -> GroupSplit:
+    """Two parts such that near-equal rows are in the same one, so that no test row has a copy among those trained on.
+
+    Rows are near-equal that have equal ``columns`` (all by default) but for case and outer blanks of texts. A group's part
+    follows from its hash, so no row is moved. Only groups with more than ``hot_share`` of all rows are dealt row by
+    row, as either part would be theirs alone, and are reported in ``cut``; they are found by counting hashes, of which at most
+    ``1 / hot_share`` can be that frequent. The parts are written once.
+    Cases: nulls are equal to each other and differ from empty texts; an empty table gives empty parts.
+    """
+    columns = list(columns or df.columns)
+    hashed = df.withColumn("_group", group_hash(columns, dict(df.dtypes)))
+    counted = workspace.stage(hashed.groupBy(F.col("_group").alias("group_hash")).agg(F.count("*").alias("rows")), "groups")
+    total = counted.agg(F.sum("rows")).head()[0] or 0
+    cut = counted.where(F.col("rows") > hot_share * total)
+    hot = [r["group_hash"] for r in cut.collect()]
+    share = weights[0] / sum(weights)
+    bucket = F.pmod(F.conv(F.substring("_group", 1, 8), 16, 10).cast("long"), F.lit(_BUCKETS))
+    train = F.when(F.col("_group").isin(hot), F.rand(seed) < share).otherwise(bucket < round(_BUCKETS * share))
+    dealt = hashed.withColumn("_part", F.when(train, F.lit("train")).otherwise(F.lit("test"))).drop("_group")
+    return GroupSplit(*parts(workspace.stage(dealt, "split", partition_by="_part")), cut)
+
+
 def fit_logistic(df: DataFrame, aggregation_depth: int = 2) -> Model:
     """Logistic regression. Deeper aggregation suits wide vectors over many partitions."""
     return LogisticRegression(
@@ -103,6 +148,48 @@ def area_under_roc(predictions: DataFrame, score_column: str = "rawPrediction",
     ).evaluate(predictions)
 
 
+@dataclass(frozen=True)
+class SketchedArea:
+    """An area under the ROC curve and how far it may be from the exact one; both None with one class only."""
+
+    value: float | None
+    error: float | None
+
+
+def sketched_area_under_roc(predictions: DataFrame, score_column: str = "rawPrediction", rel_err: float = 0.01) -> SketchedArea:
+    """Area under the ROC curve without a sort of all scores: two passes, and no shuffle of rows.
+
+    The first pass sketches the scores of either class; the second counts both classes between the cuts of the two sketches.
+    A pair of a positive and a negative row in different bins is told apart by them, a pair in one bin counts a half, as ties do. So
+    ``error``, half the pairs within bins of more than one score, is a proven bound, not an estimate. The cuts are set so that it
+    comes out under ``rel_err`` for finite scores. A score so frequent that it fills a bin gets one of its own, where a half is exact.
+    Cases: rows with a null or NaN score or a null label are left out; an empty table and one with one class give None.
+    """
+    kind = predictions.schema[score_column].dataType.simpleString()
+    value = vector_to_array(score_column)[1] if kind == "vector" else F.col(score_column).cast("double")
+    rows = predictions.select((value + F.lit(0.0)).alias("score"), F.col("label").cast("double").alias("label"))
+    rows = rows.where(F.col("score").isNotNull() & ~F.isnan("score") & F.col("label").isNotNull())
+    sides = {"negative": F.when(F.col("label") <= 0.5, F.col("score")), "positive": F.when(F.col("label") > 0.5, F.col("score"))}
+    n = math.ceil(2 / rel_err)
+    shares = [i / n for i in range(1, n)]
+    found = sketch_aggregates(rows, sides, dict.fromkeys(sides, shares), sketch_size(rel_err / 8))
+    if found is None or not (found["n_negative"] and found["n_positive"]):
+        return SketchedArea(None, None)
+    cuts = sorted(x for side in sides for x in found[f"q_{side}"])
+    alone = {x for x, y in zip(cuts, cuts[1:]) if x == y and math.isfinite(x)}
+    ends = {0.0, *cuts, *(math.nextafter(x, math.inf) for x in alone)}
+    splits = [-math.inf, *sorted(x for x in ends if math.isfinite(x)), math.inf]
+    binned = Bucketizer(splits=splits, inputCol="score", outputCol="bin").transform(rows)
+    counted = binned.groupBy(F.col("bin").cast("int").alias("bin")).agg(F.count_if(F.col("label") <= 0.5).alias("negative"), F.count_if(F.col("label") > 0.5).alias("positive"))
+    below, twice, open_pairs = 0, 0, 0
+    for k, negative, positive in sorted(map(tuple, counted.collect())):  # a row for each bin
+        twice += positive * (2 * below + negative)
+        below += negative
+        open_pairs += 0 if splits[k] in alone else positive * negative
+    pairs = 2 * found["n_negative"] * found["n_positive"]
+    return SketchedArea(twice / pairs, open_pairs / pairs)
+
+
 def evaluate(
     predictions: DataFrame, model_name: str, run_id: str, score_column: str = "rawPrediction", num_bins: int = 0
 ) -> DataFrame:

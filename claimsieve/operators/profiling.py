@@ -13,6 +13,9 @@ from claimsieve.schema import SUBMITTED
 
 _DESCRIBED = (T.NumericType, T.StringType)
 
+#: Groups of input splits whose sketches are merged ahead of the last merge.
+_SPLIT_GROUPS = 512
+
 # Columns per aggregate. Eight buffer fields each keep it below the hundred fields up to which
 # Spark generates code for a stage.
 _GROUP = 12
@@ -22,6 +25,20 @@ _GROUP = 12
 _NUMBER_START = r"(?i)^[\x00-\x20]*[+-]?(\.?[0-9]|inf|nan)"
 
 
+# Most frequent first, then by text.
+_BY_COUNT = (
+    "(a, b) -> CASE WHEN a.count <> b.count THEN IF(a.count > b.count, -1, 1) WHEN a.item = b.item THEN 0 WHEN a.item < b.item THEN -1 ELSE 1 END"
+)
+
+# Rows by which a sketch of frequent items may overstate a count, as a multiple of rows over items held.
+_TOP_ERROR = 3.0
+
+
+def _hll_error(precision: int) -> float:
+    """The relative standard error of a sketch with ``2**precision`` registers."""
+    return 1.04 / 2 ** (precision / 2)
+
+
 def row_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("count"))
 
@@ -82,6 +99,56 @@ def describe_table(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     return column_statistics(df, columns).drop("nulls")
 
 
+def text_statistics(df: DataFrame, columns: Sequence[str] | None = None, top: int = 20, tracked: int = 2_000, precision: int = 14) -> DataFrame:
+    """One row per text column: ``column, count, distinct, distinct_error, top, top_error``, in one pass over all rows.
+
+    ``distinct`` estimates the number of different texts from a HyperLogLog sketch of ``2**precision`` registers;
+    ``distinct_error`` is its relative error in all but one of a hundred cases. ``top`` is an array of
+    ``(item, count)`` of the most frequent texts, most frequent first, equal counts by text, from a sketch that holds ``tracked`` texts.
+    A count in it exceeds the true one by at most ``top_error`` and never falls below it, and no text missing from a list that
+    isn't full is more frequent than that; with at most ``tracked`` different texts the counts are exact and ``top_error`` is 0.
+    Sketches are merged in two levels, so that the last task has one of each of ``_SPLIT_GROUPS`` groups of splits.
+    Cases: nulls count nowhere; a column of nulls has 0 ``distinct`` and an empty ``top``; an empty table gives no rows; columns of
+    other types are left out.
+    """
+    fields = [df.schema[c] for c in columns] if columns else df.schema.fields
+    names = [f.name for f in fields if _is_text(f)]
+    if not names:
+        raise ValueError("no text column to describe")
+    groups = F.pmod(F.spark_partition_id(), F.lit(_SPLIT_GROUPS)).alias("_group")
+    inner, outer, rows = [], [], []
+    for i, name in enumerate(names):
+        column = F.col(_quoted(name))
+        inner += [
+            F.count(column).alias(f"n{i}"),
+            F.hll_sketch_agg(column, precision).alias(f"d{i}"),
+            F.expr(f"approx_top_k_accumulate({_quoted(name)}, {tracked})").alias(f"t{i}"),
+        ]
+        outer += [
+            F.sum(f"n{i}").alias(f"n{i}"),
+            F.hll_union_agg(f"d{i}").alias(f"d{i}"),
+            F.expr(f"approx_top_k_combine(t{i}, {tracked})").alias(f"t{i}"),
+        ]
+        distinct = F.coalesce(F.hll_sketch_estimate(f"d{i}"), F.lit(0).cast("bigint"))
+        few = distinct * (1 + 3 * _hll_error(precision)) <= tracked
+        # a null may be among the items; all are taken, so that ties at the end go by text
+        found = F.expr(f"slice(array_sort(filter(approx_top_k_estimate(t{i}, {tracked}), x -> x.item IS NOT NULL), {_BY_COUNT}), 1, {top})")
+        rows.append(
+            F.struct(
+                F.lit(name).alias("column"),
+                F.col(f"n{i}").alias("count"),
+                distinct.alias("distinct"),
+                F.lit(2.6 * _hll_error(precision)).alias("distinct_error"),
+                found.alias("top"),
+                F.when(few, F.lit(0)).otherwise(F.ceil(F.lit(_TOP_ERROR / tracked) * F.col("_rows"))).cast("bigint").alias("top_error"),
+            )
+        )
+    by_group = df.groupBy(groups).agg(F.count("*").alias("_rows"), *inner)
+    # with a key, though all rows have it: an empty table then gives no row, where merging no sketch is an error
+    merged = by_group.groupBy(F.lit(0).alias("_all")).agg(F.sum("_rows").alias("_rows"), *outer)
+    return merged.select(F.inline(F.array(*rows)))
+
+
 def null_counts(df: DataFrame) -> DataFrame:
     """One wide row: the number of nulls of every column."""
     return df.agg(*(F.count_if(F.col(_quoted(c)).isNull()).alias(c) for c in df.columns))
