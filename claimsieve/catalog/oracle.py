@@ -410,6 +410,20 @@ _LATER = f"""SELECT {_list([*KEYS, RATIO, LABEL, *MIXED])}, true AS scored FROM
     SELECT p.*, {_list(_flag(m) for m in MEASURES)}, {_RATIO} FROM filled p, stats)
   WHERE {RATIO} <= 10 AND {SUBMITTED} >= {ALLOWED} AND {SUBMITTED} <= 10 * {ALLOWED})"""
 
+def _drift(measure: str) -> str:
+    """Stability index of a measure of odd providers over eighths of the others'."""
+    later = {SUBMITTED: f"{SUBMITTED} * 2", "Total_Beneficiary_Days": "CASE WHEN Total_Services <= 35 THEN Total_Beneficiary_Days END"}.get(measure, measure)
+    eighths = _list(f"quantile_disc(x, {k / 8})" for k in range(1, 8))
+    return f"""SELECT '{measure}' AS "column", CAST(sum(new) AS BIGINT) AS rows, CAST(coalesce(sum(new) FILTER (bin = -1), 0) AS BIGINT) AS missing,
+      round(sum((q - p) * ln(q / p)), 6) AS psi, sum((q - p) * ln(q / p)) > 0.2 AS shifted
+    FROM (SELECT bin, old, new, greatest(old / sum(old) OVER (), 1e-4) AS p, greatest(new / sum(new) OVER (), 1e-4) AS q
+      FROM (SELECT bin, CAST(count(*) FILTER (first) AS DOUBLE) AS old, CAST(count(*) FILTER (NOT first) AS DOUBLE) AS new
+        FROM (SELECT first, CASE WHEN x IS NULL THEN -1 ELSE len([c for c in cuts if c <= x]) END AS bin
+          FROM (SELECT Provider_ID % 2 = 0 AS first, CASE WHEN Provider_ID % 2 = 0 THEN {measure} ELSE {later} END AS x FROM complete),
+            (SELECT list_distinct([{eighths}]) AS cuts FROM (SELECT {measure} AS x FROM complete WHERE Provider_ID % 2 = 0)))
+        GROUP BY bin))"""
+
+
 _DESCRIBED = len(CLEANED)
 _END_TO_END = f"""
 SELECT stage, '' AS item, CAST(n AS BIGINT) AS rows FROM (
@@ -509,6 +523,7 @@ _BODIES = {
     "m6_random_split": "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS in_both_or_neither, true AS near_share FROM labelled",
     "m9_score": f"SELECT count(*) AS rows, count(*) AS matching FROM labelled WHERE NOT ({_TRAIN})",
     "j9_later_batch": _LATER,
+    "j9_batch_drift": " UNION ALL ".join(map(_drift, MEASURES)),
     "s1_rejected_rows": _MISFITS,
     "s1_rejected_records": _records(False),
     "s1_records_of_several_lines": _records(True),

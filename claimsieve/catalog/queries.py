@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from claimsieve.catalog.claims_view import EXACT, Stages, claims_view, raw_names, stages, table
 from claimsieve.functions import quantiles
-from claimsieve.operators import cleaning, encoding, labels, learning, outliers, profiling, reporting, rules
+from claimsieve.operators import cleaning, drift, encoding, labels, learning, outliers, profiling, reporting, rules
 from claimsieve.plans.artefacts import Artefacts
 from claimsieve.plans.consolidate import consolidate_metrics
 from claimsieve.plans.encode import encode_claims
@@ -840,6 +840,22 @@ def j9_later_batch(s: Stages) -> DataFrame:
     return scored.select(*KEYS, RATIO, LABEL, *(MIXED_PREFIX + m for m in MEASURES), F.col("prediction").isNotNull().alias("scored"))
 
 
+@query
+def j9_batch_drift(s: Stages) -> DataFrame:
+    """Claims of odd providers, with dearer submissions and days left out at large quantities, against saved spreads of the others'."""
+    path, even = s.scratch().location("artefacts"), F.pmod("Provider_ID", F.lit(2)) == 0
+    spreads = drift.fit_spreads(s.complete().where(even), bins=8, rel_err=EXACT)
+    Artefacts(s.encoder(), {}, s.prepared().medians, s.prepared().stats, spreads).save(s.spark, path, "first")
+    later = s.claims().where(~even).withColumns(
+        {
+            "Average_Submitted_Charge": F.col("Average_Submitted_Charge") * 2,
+            "Total_Beneficiary_Days": F.when(F.col("Total_Services") <= 35, F.col("Total_Beneficiary_Days")),
+        }
+    )
+    found = Artefacts.load(s.spark, path, "first", (), spreads=True).batch_drift(later)
+    return found.withColumn("psi", rounded("psi", 6))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label distribution of prepared claims, with the sketched quantiles a large table asks for."""
     workspace = scratch(spark)

@@ -179,6 +179,17 @@ def _count_between(values: DataFrame, splits: Mapping[int, Sequence[float]]) ->
     return found
 
 
+def counts_between(df: DataFrame, splits: Mapping[str, Sequence[float]]) -> tuple[int, dict[str, dict[int, int]]]:
+    """The rows, and by column how many of its values lie from each split up to the next; null and NaN lie nowhere.
+
+    Each column needs three splits or more, in ascending order.
+    """
+    columns = list(splits)
+    values = df.select(*(finite(c).alias(_name(i)) for i, c in enumerate(columns)))
+    counted = _count_between(values, {i: splits[c] for i, c in enumerate(columns)})
+    return values.count(), {c: counted[i] for i, c in enumerate(columns)}
+
+
 def _decide(values: DataFrame, targets: list[_Target]) -> None:
     """Sort the values of the last pieces, whose number has been counted."""
     names = [f"t{i}" for i in range(len(targets))]

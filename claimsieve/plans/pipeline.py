@@ -6,13 +6,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from claimsieve.operators.drift import fit_spreads
 from claimsieve.operators.learning import with_part
 from claimsieve.operators.rules import label_distribution
 from claimsieve.plans.artefacts import Artefacts
 from claimsieve.plans.consolidate import consolidate_metrics
 from claimsieve.plans.encode import encode_claims
 from claimsieve.plans.label import label_claims
-from claimsieve.plans.prepare import prepare_claims, stored_claims
+from claimsieve.plans.prepare import complete_claims, prepare_claims, stored_claims
 from claimsieve.plans.profile import Profile, profile_claims
 from claimsieve.plans.train import Trained, train_and_score
 from claimsieve.schema import LABEL, QUANTILE_ERROR
@@ -42,12 +43,14 @@ def run_all(
     rel_err: float = QUANTILE_ERROR,
     include_flags: bool = True,
     seed: int = 42,
+    with_spreads: bool = False,
 ) -> Outcome:
     """Prepare, profile, label, encode, train both models and consolidate their metrics.
 
     Two whole tables are written below ``output``: ``labelled``, which is the cleaned table and the label, and
     ``processed``, partitioned into the parts that the models are trained and tested on. What a
-    later batch needs is saved in ``artefacts`` under the workspace's run. Drop ``workspace``
+    later batch needs is saved in ``artefacts`` under the workspace's run; ``with_spreads`` adds, for two more passes
+    over the measures, what a look at the batch's drift needs. Drop ``workspace``
     once the profile and the scores are no longer read.
     """
     spark = claims.sparkSession
@@ -64,6 +67,8 @@ def run_all(
         write_metric_file(trained[model_name].metrics, f"{output}/{file_name}")
     consolidated = consolidate_metrics(spark, output, list(METRIC_FILES.values()), f"{output}/{CONSOLIDATED}")
     artefacts = Artefacts(encoder, {name: t.model for name, t in trained.items()}, prepared.medians, prepared.stats)
+    if with_spreads:
+        artefacts.spreads = fit_spreads(complete_claims(claims), rel_err=rel_err)
     artefacts.save(spark, f"{output}/artefacts", workspace.run_id)
     return Outcome(profile, labelled, processed, trained, label_distribution(labelled), consolidated, artefacts)
 
