@@ -213,7 +213,7 @@ def test_all_stages_from_a_csv_file(spark, claims, prepared, workspace):
     path, output = workspace.location("raw"), workspace.location("out")
     write_csv(raw_names(claims), path)
     space = Workspace(spark)
-    outcome = run_files(spark, path, output, space, rel_err=0.0)
+    outcome = run_files(spark, path, output, space, rel_err=0.0, with_spreads=True)
     assert {r.is_fraud: r["count"] for r in outcome.labels.collect()} == {0: 3921, 1: 89}
     labelled = read_stage(spark, f"{output}/labelled")
     assert labelled.drop("is_fraud").exceptAll(prepared.cleaned).count() == 0
@@ -226,6 +226,10 @@ def test_all_stages_from_a_csv_file(spark, claims, prepared, workspace):
     assert spark.read.option("header", True).csv(f"{output}/consolidated_metrics.csv").count() == 4
     later = Artefacts.load(spark, f"{output}/artefacts", space.run_id)
     assert later.medians == outcome.artefacts.medians and later.stats == outcome.artefacts.stats
+    with pytest.raises(ValueError):
+        later.batch_drift(claims)
+    later = Artefacts.load(spark, f"{output}/artefacts", space.run_id, spreads=True)
+    assert {(r["psi"], r["shifted"]) for r in later.batch_drift(claims).collect()} == {(0.0, False)}
     batch = later.prepare_batch(claims.limit(500))
     for model in ("logistic", "forest"):
         assert later.score_batch(batch, model).where("prediction is null").count() == 0
