@@ -247,3 +247,10 @@ def test_stage_cuts_the_lineage_and_can_be_dropped(spark, workspace, plan_text):
         other.stage(spark.range(3), "t")
     with pytest.raises(PySparkException):
         spark.read.parquet(path + "/*")
+
+
+def test_checked_claims_are_parsed_once_a_pass(spark, tmp_path):
+    path = str(tmp_path / "claims.csv")
+    spark.createDataFrame([(",".join(f.name for f in RAW.fields),), (",".join("1" for _ in RAW.fields),)], "value string").coalesce(1).write.text(path)
+    for part in read_claims_checked(spark, path):
+        assert part._jdf.queryExecution().optimizedPlan().toString().count("from_csv") == 1
