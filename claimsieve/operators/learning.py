@@ -99,15 +99,14 @@ def group_split(
 
     Rows are near-equal that have equal ``columns`` (all by default) but for case and outer blanks of texts. A group's part
     follows from its hash, so no row is moved. Only groups with more than ``hot_share`` of all rows are dealt row by
-    row, as either part would be theirs alone, and are reported in ``cut``; they are found by counting hashes, of which at most
+    row, as either part would be theirs alone, and are reported in ``cut``; they are found by counting rows, then hashes, of which at most
     ``1 / hot_share`` can be that frequent. The parts are written once.
     Cases: nulls are equal to each other and differ from empty texts; an empty table gives empty parts.
     """
     columns = list(columns or df.columns)
     hashed = df.withColumn("_group", group_hash(columns, dict(df.dtypes)))
-    counted = workspace.stage(hashed.groupBy(F.col("_group").alias("group_hash")).agg(F.count("*").alias("rows")), "groups")
-    total = counted.agg(F.sum("rows")).head()[0] or 0
-    cut = counted.where(F.col("rows") > hot_share * total)
+    counted = hashed.groupBy(F.col("_group").alias("group_hash")).agg(F.count("*").alias("rows"))
+    cut = workspace.stage(counted.where(F.col("rows") > hot_share * df.count()), "groups")
     hot = [r["group_hash"] for r in cut.collect()]
     share = weights[0] / sum(weights)
     bucket = F.pmod(F.conv(F.substring("_group", 1, 8), 16, 10).cast("long"), F.lit(_BUCKETS))
