@@ -17,15 +17,18 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
 def base32_sha1(data: Column) -> Column:
-    """SHA-1 in base32: each five hex digits are four characters."""
-    digits = F.sha1(data)
+    """SHA-1 in base32: each five hex digits are four characters.
+
+    Digest and numbers are variables of lambdas: an expression inside one would be worked out anew for each element, and the payload hashed 32 times.
+    """
     letter = lambda number, shift: F.substring(F.lit(BASE32), F.shiftright(number, shift).bitwiseAND(31) + 1, F.lit(1))
+    four = lambda number: F.concat(*(letter(number, shift) for shift in (15, 10, 5, 0)))
 
-    def four(k: Column) -> Column:
-        number = F.conv(F.substring(digits, k * 5 + 1, F.lit(5)), 16, 10).cast("int")
-        return F.concat(*(letter(number, shift) for shift in (15, 10, 5, 0)))
+    def encoded(digits: Column) -> Column:
+        fives = F.array(*(F.conv(F.substring(digits, F.lit(5 * k + 1), F.lit(5)), 16, 10).cast("int") for k in range(8)))
+        return F.array_join(F.transform(fives, four), "")
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), four), "")
+    return F.transform(F.array(F.sha1(data)), encoded)[0]
 
 
 def header_value(text: Column) -> Column:

@@ -57,6 +57,16 @@ def test_archives_round_trip(spark, workspace, split, parts, min_bytes):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+def test_a_payload_is_hashed_once(spark, plan_text):
+    rows = spark.createDataFrame([(b"",), (b"abc",), (None,)], "data binary")
+    found = rows.select("data", warc.base32_sha1(F.col("data")).alias("digest"))
+    # as often as the plan names it, and once for each element where it is inside a lambda
+    plan = plan_text(found)
+    assert plan.count("sha1(") == 1 and "array(sha1(" in plan
+    want = {x: base64.b32encode(hashlib.sha1(x).digest()).decode() for x in (b"", b"abc")} | {None: ""}
+    assert {None if r["data"] is None else bytes(r["data"]): r["digest"] for r in found.collect()} == want
+
+
 def test_urls_keep_to_their_line(spark, workspace):
     path = workspace.location("archive")
     warc.write_warc(spark.createDataFrame(pages(), PAGES), path, workspace)
