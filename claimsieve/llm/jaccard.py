@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ SKETCHES = 8
 SHORT, LONG = 4, 16
 #: Rows of an open bucket that lie together, and pairs of them that a task looks at together.
 BLOCK, PAIRS = 4096, 1 << 18
+#: A set's smallest keys that say whether a pair has met in an earlier bucket.
+FIRST_KEYS = 16
 
 
 @dataclass(frozen=True)
@@ -294,6 +297,20 @@ def _open_buckets(rows: DataFrame, workspace: Workspace) -> DataFrame:
     return rows.select("key", F.least("own", "partner").alias("low"), F.greatest("own", "partner").alias("high"), "own", "doc", "component")
 
 
+def _with_first_keys(dealt: DataFrame) -> DataFrame:
+    """The dealt rows with ``first``, the ``FIRST_KEYS`` smallest keys of each set's open buckets."""
+    keys = F.slice(F.array_sort(F.collect_set("key")), 1, FIRST_KEYS)
+    return dealt.join(dealt.groupBy("doc").agg(keys.alias("first")), "doc")
+
+
+def _met_before(first: np.ndarray, key: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the rows ``i`` and ``j`` of one bucket both have one of ``first`` below its key, and so share that bucket too."""
+    out = np.zeros(len(i), dtype=bool)
+    for column in first.T:
+        out |= (column[i] < key[i]) & (first[j] == column[i][:, None]).any(axis=1)
+    return out
+
+
 class _Folding:
     """Sketches of several lengths, each a power of two of 64-bit words, compared two by two."""
 
@@ -328,11 +345,14 @@ class _Folding:
 def _close_in_buckets(rows: DataFrame, threshold: Threshold, wanted: str) -> DataFrame:
     """``a, b``: pairs across components of the dealt buckets whose sketches ``bits`` leave a link open.
 
-    ``wanted`` are "all" of them, or those "joining": some of the closest that together join all components which such pairs can join; or only
+    ``wanted`` are "all" of them, of which each leaves the first of the many buckets that near copies share alone
+    (or all of these, where none is among the first keys of both); or those "joining": some of the closest that together join all components which such pairs can join; or only
     the "sets" that are in such pairs, each as a pair with itself.
     Pairs are looked at ``PAIRS`` at a time and only close ones leave a task, so its memory is bounded by that and by two blocks.
     """
     kind, pairs_at_once = dict(rows.dtypes)["doc"], PAIRS
+    if wanted == "all":
+        rows = _with_first_keys(rows)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _whole_buckets(batches):
@@ -340,6 +360,10 @@ def _close_in_buckets(rows: DataFrame, threshold: Threshold, wanted: str) -> Dat
             sizes, own, docs = part["n"].to_numpy(), part["own"].to_numpy(), part["doc"]
             across = (part["low"].to_numpy() != part["high"].to_numpy())[:, None]
             sketches = _Folding(part["bits"].to_pylist())
+            if wanted == "all":
+                keys, counts = part["key"].to_numpy(), pc.list_value_length(part["first"]).to_numpy()
+                first = np.full((len(group), FIRST_KEYS), np.iinfo(np.int64).max)
+                first[np.arange(FIRST_KEYS) < counts[:, None]] = part["first"].flatten().to_numpy()
             end = np.searchsorted(group, group, side="right")
             after = end - 1 - np.arange(len(group))
             upto = np.cumsum(after)
@@ -375,6 +399,9 @@ def _close_in_buckets(rows: DataFrame, threshold: Threshold, wanted: str) -> Dat
                             joined[one] = two
                             kept.append(k)
                     i, j = i[kept], j[kept]
+                if wanted == "all" and len(i):
+                    new = ~_met_before(first, keys, i, j)
+                    i, j = i[new], j[new]
                 if len(i):
                     yield pa.RecordBatch.from_arrays([docs.take(pa.array(i)), docs.take(pa.array(j))], ["a", "b"])
             if close.any():

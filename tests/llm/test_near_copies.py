@@ -145,6 +145,23 @@ def test_no_rows_and_a_hot_group(spark, workspace):
     assert {c for _, _, c in found} == {0}
 
 
+@pytest.mark.parametrize("block", [4096, 7])
+def test_a_pair_leaves_few_of_the_buckets_it_shares(spark, workspace, monkeypatch, block):
+    """All pairs across components leave, near copies with many common buckets but once."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = np.random.default_rng(4)
+    keys = rng.integers(-(1 << 63), 1 << 63, 200, dtype=np.int64).tolist()
+    members = {k: set(np.flatnonzero(rng.random(30) < 0.6).tolist()) for k in keys[:150]}
+    members |= {k: set(rng.choice(np.arange(20, 60), 3, replace=False).tolist()) for k in keys[150:]}
+    rows = spark.createDataFrame([(k, d, d // 2) for k, docs in members.items() for d in docs], "key long, doc long, component long")
+    sketches = spark.createDataFrame([(d, 100, bytearray(64)) for d in range(60)], "doc long, n long, bits binary")
+    dealt = jaccard._open_buckets(rows, workspace).join(sketches, "doc")
+    monkeypatch.setattr(type(rows), "distinct", lambda self: self)
+    found = [tuple(r) for r in jaccard._close_in_buckets(dealt, jaccard.Threshold(85), "all").collect()]
+    want = {(a, b) for docs in members.values() for a in docs for b in docs if a < b and a // 2 != b // 2}
+    assert set(found) == want and len(found) < 1.5 * len(want)
+
+
 def test_words_match_plain_words():
     texts = [None, "", " \t", "Ä b", "\x0bA\x0cb\r\n", "a\x85b\x1cc d e", "x " * 5]
     for lower in (True, False):
