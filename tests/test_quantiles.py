@@ -1,5 +1,6 @@
 import math
 import sys
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -121,3 +122,24 @@ def test_one_pass_of_cuts_leaves_few_values(spark, monkeypatch):
 def test_negative_zero_and_infinities_alone(spark):
     assert exact_quantiles(frame(spark, [-0.0, 0.0, -0.0]), ["x"], [0.5], collect_rows=0) == {"x": [0.0]}
     assert exact_quantiles(frame(spark, [math.inf, -math.inf, math.inf]), ["x"], [0.1, 0.5], collect_rows=0) == {"x": [-math.inf, math.inf]}
+
+
+def test_the_last_values_are_found_without_a_condition_for_each_quantile(spark, monkeypatch):
+    """What a row costs in the last pass must not follow the number of quantiles; the values are those of sorting."""
+    df = spark.range(3000).selectExpr("cast((id * 7919) % 1000 as double) / 3 - 100 as x", "if(id % 5 = 0, null, cast(id as double)) as y")
+    plans, collect = [], type(df).collect
+
+    def noting(self):
+        plans.append(self._jdf.queryExecution().optimizedPlan().toString())
+        return collect(self)
+
+    monkeypatch.setattr(type(df), "collect", noting)
+    rows, sizes = [r.asDict() for r in collect(df)], []
+    for n in (4, 40):
+        probs = [k / n for k in range(1, n)]
+        found = exact_quantiles(df, ["x", "y"], probs, collect_rows=3000 if n == 4 else 50)
+        for c in ("x", "y"):
+            some = sorted(r[c] for r in rows if r[c] is not None)
+            assert found[c] == [some[max(1, math.ceil(Fraction(str(p)) * len(some))) - 1] for p in probs]
+        sizes.append(plans[-1].upper().count("CASE WHEN") + plans[-1].upper().count("IF ("))
+    assert max(sizes) < 20
