@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from claimsieve.functions.columns import normalised
 from claimsieve.functions.quantiles import sketch_aggregates, sketch_size
+from claimsieve.operators import forest
 from claimsieve.schema import DEPTH, TRAIN_TEST, TREES
 from claimsieve.staging import Workspace
 
@@ -126,14 +127,15 @@ def fit_forest(
     df: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 42, max_memory_mb: int = 256
 ) -> Model:
     """Random forest. More memory lets one pass over the data grow more nodes."""
-    return RandomForestClassifier(
+    settings = RandomForestClassifier(
         featuresCol="scaled_features",
         labelCol="label",
         numTrees=trees,
         maxDepth=depth,
         seed=seed,
         maxMemoryInMB=max_memory_mb,
-    ).fit(df)
+    )
+    return forest.fit(df, settings)
 
 
 def score(df: DataFrame, model: Model) -> DataFrame:
