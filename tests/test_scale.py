@@ -81,3 +81,12 @@ def test_ranks_of_scores_are_not_counted_by_one_task(recorded, plan_text):
 
 def test_groups_are_moved_once(recorded, plan_text):
     assert "Expand" not in plan_text(catalog.queries()["m6_group_split"](recorded.spark, SF_DIR))
+
+
+def test_many_suppliers_do_not_move_the_wide_claims_once_more(spark, plan_text):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100")
+    try:
+        assert plan_text(claims_view(spark, SF_DIR)).count("SortMergeJoin") == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
