@@ -1,3 +1,4 @@
+import time
 from pathlib import Path
 
 import pytest
@@ -254,3 +255,26 @@ def test_checked_claims_are_parsed_once_a_pass(spark, tmp_path):
     spark.createDataFrame([(",".join(f.name for f in RAW.fields),), (",".join("1" for _ in RAW.fields),)], "value string").coalesce(1).write.text(path)
     for part in read_claims_checked(spark, path):
         assert part._jdf.queryExecution().optimizedPlan().toString().count("from_csv") == 1
+
+
+def _shuffle_files(spark):
+    folders = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()
+    return {p for folder in folders for p in Path(str(folder)).rglob("shuffle_*.data")}
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark, workspace):
+    before = _shuffle_files(spark)
+    counts = spark.range(1000).groupBy((F.col("id") % 97).alias("k")).count()
+    counts.collect()
+    assert _shuffle_files(spark) - before
+    before = _shuffle_files(spark)
+    workspace.stage(counts, "t")
+    until = time.time() + 10
+    while _shuffle_files(spark) - before and time.time() < until:
+        time.sleep(0.1)  # they go a moment after the write
+    assert not _shuffle_files(spark) - before
+
+
+def test_a_stored_table_is_compressed_well(spark, workspace):
+    workspace.stage(spark.range(10), "t")
+    assert list(Path(workspace.path.removeprefix("file:")).rglob("*.zstd.parquet"))
