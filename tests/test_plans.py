@@ -242,3 +242,33 @@ def test_text_is_parsed_once(spark, claims, workspace, rel_err):
     stored = stored_claims(spark, path, workspace)
     assert "csv" not in prepare_claims(stored, workspace, rel_err).population.inputFiles()[0]
     assert not any("/raw/" in f for f in stored.inputFiles())
+
+
+@pytest.mark.parametrize("normalise_first", [False, True])
+def test_copies_of_a_large_stored_table_are_found_by_hashes(claims, monkeypatch, normalise_first):
+    plain = cleaning.drop_duplicates(claims, normalise_first)
+    monkeypatch.setattr(cleaning, "WHOLE_BYTES", 0)
+    found = cleaning.drop_duplicates(claims, normalise_first, stored=True)
+    assert found.schema == plain.schema
+    assert found.count() == plain.count() < claims.count()
+    assert found.exceptAll(plain).count() == 0
+
+
+def test_rows_without_a_copy_are_not_shuffled(claims):
+    alone, others = cleaning.split_by_marks(claims, cleaning.repeated_marks(claims))
+    copies = claims.groupBy(*claims.columns).agg(F.count("*").alias("n")).where("n > 1").agg(F.sum("n")).head()[0]
+    assert copies <= others.count() < 1.1 * copies
+    assert alone.count() == alone.distinct().count() == claims.count() - others.count()
+
+
+def test_rows_that_differ_in_zeros_and_nans_alone_are_copies(spark, workspace, monkeypatch):
+    monkeypatch.setattr(cleaning, "WHOLE_BYTES", 0)
+    values = [(0.0, "a"), (-0.0, "a"), (float("nan"), None), (float("nan"), None), (None, "a"), (None, None), (1.0, "a"), (1.0, "b")]
+    rows = workspace.stage(spark.createDataFrame(values, "`x.y` double, s string"), "rows")
+    assert cleaning.drop_duplicates(rows, stored=True).count() == rows.dropDuplicates().count() == 6
+
+
+def test_bits_that_are_all_set_lose_no_row(claims, monkeypatch):
+    monkeypatch.setattr(cleaning, "WHOLE_BYTES", 0)
+    monkeypatch.setattr(cleaning, "_MARK_WORDS", 1)
+    assert cleaning.drop_duplicates(claims, stored=True).count() == claims.distinct().count()
