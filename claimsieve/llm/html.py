@@ -62,6 +62,8 @@ CLOSES = {
 BARRIERS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "option": ("select",), "p": ("table", "td", "th", "button", "object", "caption")}
 
 _TOKEN = re.compile(r"<!--(.*?)(?:-->|--!>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(>|\Z)", re.S)
+# html.unescape fails on a decimal reference of more than 4300 digits; of eight digits without zeros in front, none is a character.
+_ZEROS, _DIGITS = re.compile(r"&#0+(?=[0-9])"), re.compile(r"(&#[0-9]{8})[0-9]+")
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 
 
@@ -84,10 +86,15 @@ class Page:
     trees: list[tuple[int, int, int]]
 
 
+def _decoded(text: str) -> str:
+    """Character references decoded, as a browser does."""
+    return html.unescape(_DIGITS.sub(r"\1", _ZEROS.sub("&#", text)) if "&#" in text else text)
+
+
 def _attributes(text: str) -> dict[str, str]:
     found = {}
     for name, value in _ATTRIBUTE.findall(text):
-        found.setdefault(name.lower(), html.unescape(value.strip("\"'")))
+        found.setdefault(name.lower(), _decoded(value.strip("\"'")))
     return found
 
 
@@ -202,7 +209,7 @@ def parse(page: str) -> Page:
 
     def add(raw: str) -> None:
         if raw:
-            data = html.unescape(raw) if "&" in raw else raw
+            data = _decoded(raw) if "&" in raw else raw
             text.append(data)
             if not data.isspace():
                 stack[-1].sum.update(" ".join(data.split()).encode("utf-8", "surrogatepass"))
@@ -274,7 +281,7 @@ def parse(page: str) -> Page:
     if around:
         gone = _dropped(blocks, inside, around, mains, within)
         keep = [name < 0 or not gone[name] for name in inside]
-        before = [0, *itertools.accumulate(keep)]
+        before = [0, *itertools.accumulate(map(int, keep))]  # of booleans, the first sum would be one
         blocks = [block for block, kept in zip(blocks, keep) if kept]
         trees = [(tree, before[a], before[b]) for tree, a, b in trees]
     return Page(blocks, trees)

@@ -167,3 +167,15 @@ LONG = "a story of many words " * 5
 )
 def test_wrappers_named_by_what_they_hold_stay(page, text):
     assert body(page) == text
+
+
+def test_a_page_with_a_named_block_behind_the_first_does_not_end_the_job(spark, workspace):
+    page = "<p>one</p><div><p>two</p></div><div class='sidebar'>x</div><div><p>three</p></div>"
+    assert {type(n) for tree in html.parse(page).trees for n in tree} == {int}
+    pages = spark.createDataFrame([(1, "http://a.b/c", page)], "page_id long, url string, html string")
+    assert html.main_text(pages, workspace).head()["text"] == "one two three"
+
+
+@pytest.mark.parametrize("digits, text", [("9" * 5000, "\ufffd"), ("0" * 5000 + "65", "A"), ("1114112", "\ufffd"), ("11141110", "\ufffd"), ("00", "\ufffd"), ("x" + "f" * 5000, "\ufffd")])
+def test_references_of_many_digits(digits, text):
+    assert body(f"<p title='&#{digits};'>a&#{digits};b") == f"a{text}b"
